@@ -143,7 +143,7 @@ def load_chunks(stmts: DataFrame, chunks: DataFrame, schema: T.StructType, targe
         pending = pending.repartition(*_CHUNK_KEYS)
     rows = _chunk_key(typed_rows(pending, schema, _CHUNK_KEYS)).drop(*_CHUNK_KEYS)
     seen = Observation()
-    watched = rows.observe(seen, F.count_if("_reason IS NOT NULL").alias("bad"))
+    watched = rows.observe(seen, F.count_if(F.col("_reason").isNotNull()).alias("bad"))
     begun = time.time()
     keyed = _chunk_key(todo)
     try:

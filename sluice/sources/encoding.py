@@ -29,7 +29,7 @@ def _common_share(text: str, charset: str) -> float:
     return ok / len(wide)
 
 
-@F.pandas_udf("charset string, confidence double")
+@F.pandas_udf(T.StructType([T.StructField("charset", T.StringType()), T.StructField("confidence", T.DoubleType())]))
 def guess_legacy_charset(data: pd.Series) -> pd.DataFrame:
     """Best double-byte charset for bytes that are no UTF-8; Latin-1 with low confidence otherwise."""
     rows = []
