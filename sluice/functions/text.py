@@ -47,7 +47,7 @@ _LEADING_NOISE = (
 def strip_leading_noise(text: Column) -> Column:
     """Remove what stands between the previous ``;`` and the statement proper."""
     return F.when(
-        text.rlike(r"(?i)\A\s*+(?:INSERT\b)"), F.ltrim(text)
+        text.rlike(r"(?i)\A\s*+INSERT\b"), F.ltrim(text, F.lit(BLANKS))
     ).otherwise(F.regexp_replace(text, _LEADING_NOISE, ""))
 
 
