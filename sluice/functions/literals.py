@@ -44,13 +44,20 @@ DATE_MASKS = [
 # Masks whose text is already ISO and is cast directly.
 ISO_MASKS = ["YYYY-MM-DD", "YYYY-MM-DD HH24:MI:SS", "YYYY-MM-DD HH24:MI:SS.FF6", "YYYY-MM-DD HH24:MI:SS.FF"]
 
-_DATE_CALL = rf"(?is)^TO_(?:DATE|TIMESTAMP)\s*+\(\s*+({QUOTED})\s*+(?:,\s*+({QUOTED})\s*+)?\)$"
+#: quoted date text (1) and mask (2) of TO_DATE(..), TO_TIMESTAMP(..), DATE '..', TIMESTAMP '..' or a bare literal
+_DATE = (
+    r"(?is)\A(?:TO_DATE\s*+\(\s*+|TO_TIMESTAMP\s*+\(\s*+|DATE\s*+|TIMESTAMP\s*+)?+'([^']*+)'"
+    r"(?:\s*+,\s*+'([^']*+)'\s*+)?+\s*+\)?+\z"
+)
 _ANY_DATE = r"(?is)^(?:TO_DATE\s*+\(|TO_TIMESTAMP\s*+\(|DATE|TIMESTAMP)\s*+'([^']*+)'.*+$"
-_PREFIXED = rf"(?is)^(?:DATE|TIMESTAMP)\s*+({QUOTED})$"
 
 
-def trim_blanks(c: Column) -> Column:
-    return F.btrim(c, F.lit(BLANKS))
+def trim_end(c: Column, chars: str = ";" + BLANKS) -> Column:
+    """Right trim of a set of characters. Trimming by a set walks the whole string, so the end is tested first."""
+    ends = F.lit(False)
+    for ch in chars:
+        ends = ends | F.endswith(c, F.lit(ch))
+    return F.when(ends, F.rtrim(c, F.lit(chars))).otherwise(c)
 
 
 def is_quoted(c: Column) -> Column:
@@ -81,14 +88,13 @@ def java_mask(mask: Column) -> Column:
 
 
 def date_text(c: Column) -> Column:
-    """The date text inside TO_DATE(..), TO_TIMESTAMP(..), DATE '..', TIMESTAMP '..' or a quoted literal."""
-    plain = F.when(c.startswith("'"), c).when(c.rlike("(?i)^TO_"), F.regexp_extract(c, _DATE_CALL, 1))
-    return F.btrim(plain.otherwise(F.regexp_extract(c, _PREFIXED, 1)), F.lit("'"))
+    """The date text inside a date call or a quoted literal; empty for anything else."""
+    return F.regexp_extract(c, _DATE, 1)
 
 
 def date_mask(c: Column) -> Column:
     """The mask of a date call in upper case, empty when it has none."""
-    return F.when(c.rlike("(?i)^TO_"), F.upper(F.btrim(F.regexp_extract(c, _DATE_CALL, 2), F.lit("'")))).otherwise("")
+    return F.upper(F.regexp_extract(c, _DATE, 2))
 
 
 def to_timestamp_value(text: Column, mask: Column) -> Column:
@@ -118,7 +124,7 @@ def to_typed_value(c: Column, dtype: T.DataType) -> Column:
         hexed = F.try_to_binary(F.regexp_extract(c, r"'([0-9A-Fa-f]*)'", 1), F.lit("hex"))
         return F.when(c.rlike("(?i)^HEXTORAW"), hexed).otherwise(to_text_value(c).cast("binary"))
     # NULL is no number, so the cast covers the NULL literal too; quotes around a number are allowed
-    return F.btrim(c, F.lit("'\"")).try_cast(dtype)
+    return F.when(is_quoted(c), F.btrim(c, F.lit("'\""))).otherwise(c).try_cast(dtype)
 
 
 def render_literal(c: Column, dtype: T.DataType) -> Column:

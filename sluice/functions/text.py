@@ -46,9 +46,10 @@ _LEADING_NOISE = (
 
 def strip_leading_noise(text: Column) -> Column:
     """Remove what stands between the previous ``;`` and the statement proper."""
-    return F.when(
-        text.rlike(r"(?i)\A\s*+INSERT\b"), F.ltrim(text, F.lit(BLANKS))
-    ).otherwise(F.regexp_replace(text, _LEADING_NOISE, ""))
+    opens = F.upper(F.left(text, F.lit(6))) == "INSERT"
+    blank_first = text.rlike(r"(?i)\A\s++INSERT\b")
+    return F.when(opens, text).when(blank_first, F.ltrim(text, F.lit(BLANKS))).otherwise(
+        F.regexp_replace(text, _LEADING_NOISE, ""))
 
 
 def is_sql_line(line: Column) -> Column:

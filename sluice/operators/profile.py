@@ -27,63 +27,68 @@ def named_values(stmts: DataFrame) -> DataFrame:
         "table_name", "listed", "pos", "raw")
 
 
-def profile_values(values: DataFrame) -> DataFrame:
-    """One row per table and column.
+def _described(values: DataFrame) -> DataFrame:
+    """Each value with its kind (null, int, dec, float, date, stamp, text), text, digits and magnitude.
 
-    Values are first summed up per column list and position (partial sums before the shuffle), then the few
-    results are put under their column names: by the list, or ``c<pos>`` where the statement has none.
+    Kinds are tried in the order of their cost; most values are settled by one test.
     """
     raw = F.col("raw")
-    null = is_null_literal(raw)
-    text = to_text_value(raw)
-    quoted = is_quoted(raw)
-    dated = quoted | is_date_call(raw)
     stamp = date_text(raw)
-    is_int = ~quoted & raw.rlike(_INT)
-    is_dec = ~quoted & raw.rlike(_DEC)
-    # a leading zero carries meaning (codes), so such numbers count as text
-    is_float = ~quoted & raw.rlike(_FLOAT) & ~raw.rlike(r"^[+-]?0[0-9]")
-    is_date = dated & stamp.rlike(_DATE) & stamp.try_cast("date").isNotNull()
-    is_stamp = dated & stamp.rlike(_STAMP) & stamp.try_cast("timestamp_ntz").isNotNull()
-    digits = F.regexp_replace(raw, r"^[+-]|\..*$", "")
-    scale = F.when(is_dec, F.length(F.substring_index(raw, ".", -1))).otherwise(0)
-    number = F.when(is_int & (F.length(digits) <= 19), raw.try_cast("decimal(20,0)"))
-    flagged = values.select(
-        "table_name", "listed", "pos", null.alias("is_null"), text.alias("text"),
-        *[F.coalesce(c & ~null, F.lit(False)).alias(n) for n, c in (
-            ("is_int", is_int), ("is_dec", is_dec), ("is_float", is_float), ("is_date", is_date), ("is_stamp", is_stamp))],
-        F.when(is_int | is_dec, F.length(digits)).alias("int_digits"),
-        F.when(is_int | is_dec, scale).alias("scale"),
+    dated = (is_quoted(raw) & F.length(raw).between(12, 32) & (F.substring(raw, 6, 1) == "-")) | (
+        ~is_quoted(raw) & is_date_call(raw))
+    is_date = stamp.rlike(_DATE) & stamp.try_cast("date").isNotNull()
+    is_stamp = stamp.rlike(_STAMP) & stamp.try_cast("timestamp_ntz").isNotNull()
+    kind = (
+        F.when(is_null_literal(raw), "null")
+        .when(dated, F.when(is_date, "date").when(is_stamp, "stamp").otherwise("text"))
+        .when(is_quoted(raw), "text")
+        .when(raw.rlike(_INT), "int")
+        .when(raw.rlike(_DEC), "dec")
+        # a leading zero carries meaning (codes), so such numbers count as text
+        .when(raw.rlike(_FLOAT) & ~raw.rlike(r"^[+-]?0[0-9]"), "float")
+        .otherwise("text")
+    )
+    known = values.select(*values.columns, kind.alias("kind"))
+    sign = (raw.startswith("-") | raw.startswith("+")).cast("int")
+    dot = F.instr(raw, ".")
+    text = F.when(F.col("kind").isin("int", "dec", "float"), raw).when(F.col("kind") != "null", to_text_value(raw))
+    number = F.when((F.col("kind") == "int") & (F.length(raw) <= 20), raw.try_cast("decimal(20,0)"))
+    return known.select(
+        *values.columns, "kind", text.alias("text"),
+        F.when(F.col("kind") == "int", F.length(raw) - sign).when(F.col("kind") == "dec", dot - 1 - sign).alias("int_digits"),
+        F.when(F.col("kind") == "dec", F.length(raw) - dot).alias("scale"),
         F.abs(number).alias("magnitude"),
     )
-    per_list = flagged.groupBy("table_name", "listed", "pos").agg(
+
+
+def profile_values(values: DataFrame, text_stats: bool = True) -> DataFrame:
+    """One row per table and column.
+
+    Values are first summed up per column list and position (partial sums before the shuffle), then the few
+    results are put under their column names: by the list, or ``c<pos>`` where the statement has none.
+    ``text_stats`` adds least and greatest text and a distinct estimate, whose states are wider.
+    """
+    kinds = {"n_null": ["null"], "n_int": ["int"], "n_dec": ["int", "dec"], "n_float": ["int", "dec", "float"],
+             "n_date": ["date"], "n_stamp": ["date", "stamp"]}
+    texts = [F.min("text").alias("min_text"), F.max("text").alias("max_text"), F.hll_sketch_agg("text").alias("distinct")]
+    per_list = _described(values).groupBy("table_name", "listed", "pos").agg(
         F.count("*").alias("n"),
-        F.count_if("is_null").alias("n_null"),
+        *[F.count_if(F.col("kind").isin(*k)).alias(n) for n, k in kinds.items()],
         F.max(F.length("text")).alias("max_len"),
-        F.min("text").alias("min_text"),
-        F.max("text").alias("max_text"),
-        F.hll_sketch_agg("text").alias("distinct"),
-        F.count_if("is_int").alias("n_int"),
-        F.count_if(F.col("is_int") | F.col("is_dec")).alias("n_dec"),
-        F.count_if("is_float").alias("n_float"),
-        F.count_if("is_date").alias("n_date"),
-        F.count_if(F.col("is_date") | F.col("is_stamp")).alias("n_stamp"),
-        F.max("int_digits").alias("int_digits"),
-        F.max("scale").alias("scale"),
-        F.max("magnitude").alias("magnitude"),
+        *[F.max(c).alias(c) for c in ("int_digits", "scale", "magnitude")],
+        *(texts if text_stats else []),
     )
-    merged = per_list.withColumn("column_name", _column_name()).groupBy("table_name", "column_name").agg(
+    texts = [F.min("min_text").alias("min_text"), F.max("max_text").alias("max_text"),
+             F.hll_sketch_estimate(F.hll_union_agg("distinct")).alias("approx_distinct")]
+    return per_list.withColumn("column_name", _column_name()).groupBy("table_name", "column_name").agg(
         F.min("pos").alias("pos"),
-        *[F.sum(c).alias(c) for c in ("n", "n_null", "n_int", "n_dec", "n_float", "n_date", "n_stamp")],
+        *[F.sum(c).alias(c) for c in ("n", *kinds)],
         F.coalesce(F.max("max_len"), F.lit(0)).alias("max_len"),
-        F.min("min_text").alias("min_text"),
-        F.max("max_text").alias("max_text"),
-        F.hll_sketch_estimate(F.hll_union_agg("distinct")).alias("approx_distinct"),
         F.coalesce(F.max("int_digits"), F.lit(1)).alias("int_digits"),
         F.coalesce(F.max("scale"), F.lit(0)).alias("scale"),
         F.max("magnitude").alias("magnitude"),
+        *(texts if text_stats else []),
     )
-    return merged
 
 
 def _column_name() -> Column:
@@ -139,7 +144,7 @@ def infer_types(profile: DataFrame, tolerance: float = 0.0) -> DataFrame:
 
 def infer_schema(stmts: DataFrame, tolerance: float = 0.0) -> DataFrame:
     """INSERT statements -> ``table_name, pos, column_name, sql_type, confidence``."""
-    return infer_types(profile_values(named_values(stmts)), tolerance)
+    return infer_types(profile_values(named_values(stmts), text_stats=False), tolerance)
 
 
 def fallback_schema(tables: DataFrame, kind: str = "text") -> DataFrame:

@@ -15,7 +15,8 @@ from sluice.functions.literals import (
 from sluice.functions.text import insert_columns, insert_table_name, is_insert
 
 _HEAD = r"""(?is)\A\s*+INSERT\s++INTO\s++(?:"[^"]*+"|`[^`]*+`|[^\s("`]++)++\s*+(?:\(([^)]*+)\)\s*+)?+VALUES\s*+"""
-_ALL_TUPLES = rf"(?s)\A{TUPLE}(?:\s*+,\s*+{TUPLE})*+\z"
+_ONE_TUPLE = _HEAD + rf"({TUPLE})[;\s]*+\z"
+_ALL_TUPLES = _HEAD + rf"{TUPLE}(?:\s*+,\s*+{TUPLE})*+[;\s]*+\z"
 
 # Reasons a statement or tuple is set aside.
 NOT_INSERT = "not_insert"
@@ -36,22 +37,18 @@ def parse_tuples(stmts: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     ``listed`` is the column list as written, empty where there is none. A statement that is no INSERT or
     whose values cannot be read gives one row with a reason and its text.
     """
-    heads = stmts.select(*keep, "stmt", F.regexp_extract("stmt", _HEAD, 0).alias("head")).select(
-        *keep,
-        "stmt",
-        F.regexp_extract("head", _HEAD, 1).alias("listed"),
-        F.when(F.col("head") != "", F.rtrim(F.substring(F.col("stmt"), F.length("head") + 1, F.length("stmt")),
-                                            F.lit("; \t\r\n"))).otherwise("").alias("tail"),
+    heads = stmts.select(
+        *keep, "stmt", F.regexp_extract("stmt", _HEAD, 1).alias("listed"),
+        F.regexp_extract("stmt", _ONE_TUPLE, 2).alias("single"),
     )
-    found = heads.withColumn("tuples", F.regexp_extract_all("tail", F.lit(TUPLE), F.lit(0)))
-    whole = F.when(F.size("tuples") == 1, F.get("tuples", F.lit(0)) == F.col("tail")).otherwise(
-        F.col("tail").rlike(_ALL_TUPLES)
-    )
-    rows = found.select(
-        *keep, "stmt", "listed",
-        F.posexplode(F.when((F.size("tuples") > 0) & whole, F.col("tuples")).otherwise(
-            F.array(F.lit(None).cast("string")))).alias("row_no", "tuple"),
+    # statements of one tuple, the usual form of a dump, are done with the first pattern
+    several = F.regexp_extract_all(F.regexp_replace("stmt", _HEAD, ""), F.lit(TUPLE), F.lit(0))
+    tuples = (
+        F.when(F.col("single") != "", F.array("single"))
+        .when(F.col("stmt").rlike(_ALL_TUPLES), several)
+        .otherwise(F.array(F.lit(None).cast("string")))
     )
+    rows = heads.select(*keep, "stmt", "listed", F.posexplode(tuples).alias("row_no", "tuple"))
     body = F.substring(F.col("tuple"), F.lit(2), F.length("tuple") - 2)
     rows = rows.withColumn("vals", F.regexp_extract_all(body, F.lit(TRIMMED_VALUE), F.lit(1)))
     # a comma with nothing before or after it is looked for first, the exact test is made only where one is

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluice.functions.charset import decode_bytes
-from sluice.functions.literals import DOUBLE_QUOTED, QUOTED, SKIP_TOKENS
+from sluice.functions.literals import DOUBLE_QUOTED, QUOTED, SKIP_TOKENS, trim_end
 from sluice.functions.scale import broadcast_if_small, materialise
 from sluice.functions.text import is_insert, strip_comments, strip_leading_noise
 
@@ -195,16 +195,17 @@ def assemble(found: DumpScan) -> DataFrame:
 
 def to_statements(whole: DataFrame) -> DataFrame:
     """Whole records -> statements: leading comments and directives off, inner ends split, comments out."""
-    body = F.rtrim(strip_comments(strip_leading_noise(F.col("value"))), F.lit("; \t\r\n"))
+    body = trim_end(strip_comments(strip_leading_noise(F.col("value"))))
     several = F.col("body").rlike(r";[ \t\r]*\n")
     pieces = F.when(several, F.regexp_extract_all("body", F.lit(_PIECE), F.lit(0))).when(
         F.col("body") != "", F.array("body"))
     key = ["file_path", "block_start", "chunk_id", "ord"]
-    inner = F.rtrim(strip_leading_noise(F.col("piece")), F.lit("; \t\r\n"))
+    first = F.col("sub") == 0
+    inner = F.when(first, F.col("piece")).otherwise(trim_end(strip_leading_noise(F.col("piece"))))
     return (
         whole.select(*key, body.alias("body"))
         .select(*key, F.posexplode(pieces).alias("sub", "piece"))
-        .filter(is_insert(F.col("piece")) | (inner != ""))
+        .filter(first | (inner != ""))
         .select(*key, "sub", F.concat(inner, F.lit(";")).alias("stmt"))
     )
 
