@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from sluice.session import scratch, shared_dir
 
-#: rows of a key table (a path, a few numbers; paths are held to 255 characters) that may be broadcast
-BROADCAST_ROWS = 200_000
+#: rows of a key table that may be broadcast. A row is a path (held to 255 characters on admission) and a few
+#: numbers, so the bound stands for 300 MB at most; chunk tables stay below it up to 250 TB in 256 MB chunks.
+BROADCAST_ROWS = 1_000_000
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -15,12 +16,12 @@ from sluice.operators.chunks import pending_chunks
 from sluice.operators.values import good_rows, rejected_rows, typed_rows
 
 LEDGER_SCHEMA = (
-    "table_name string, file_path string, chunk_id long, status string, affected_rows long, rejected_rows long, "
+    "table_name string, run_id string, file_path string, chunk_id long, status string, affected_rows long, rejected_rows long, "
     "seconds double, error_message string, ts timestamp"
 )
 _CHUNK_KEYS = ["file_path", "chunk_id"]
-#: partition column of loaded data: one folder per chunk, overwritten when the chunk is loaded again
-CHUNK_KEY = "chunk_key"
+#: where a loaded row came from, kept beside its own columns
+ORIGIN = ["_file_path", "_chunk_id"]
 
 
 # ---- tables in the catalog -------------------------------------------------------------------------------
@@ -103,82 +104,83 @@ def read_ledger(spark: SparkSession, target: LoadTarget) -> DataFrame:
     return _read_or_none(spark, target.ledger, LEDGER_SCHEMA)
 
 
-def read_table(spark: SparkSession, target: LoadTarget, schema: T.StructType) -> DataFrame:
-    kept = T.StructType([*schema.fields, T.StructField(CHUNK_KEY, T.StringType())])
-    return _read_or_none(spark, target.data, kept).select(*schema.names)
+def _committed(spark: SparkSession, target: LoadTarget, folder: str, condition: str) -> list[str]:
+    """Folders of the runs the ledger holds. A run that failed left files nobody reads."""
+    runs = read_ledger(spark, target).filter("status = 'completed'").filter(condition).select("run_id").distinct()
+    return [f"{folder}/run={r.run_id}" for r in runs.collect()]
 
 
-def read_rejects(spark: SparkSession, target: LoadTarget) -> DataFrame:
-    return _read_or_none(spark, target.rejects, f"raw string, reason string, {CHUNK_KEY} string")
+def read_table(spark: SparkSession, target: LoadTarget, schema: T.StructType) -> DataFrame:
+    paths = _committed(spark, target, target.data, "affected_rows > 0")
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
-def _chunk_key(df: DataFrame) -> DataFrame:
-    key = F.concat_ws("-", F.hex(F.xxhash64("file_path")), F.col("chunk_id").cast("string"))
-    return df.withColumn(CHUNK_KEY, key)
+def read_rejects(spark: SparkSession, target: LoadTarget) -> DataFrame:
+    schema = "raw string, reason string, _file_path string, _chunk_id long"
+    paths = _committed(spark, target, target.rejects, "rejected_rows > 0")
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
-def _write_chunks(df: DataFrame, path: str) -> None:
-    # dynamic overwrite: loading a chunk again replaces its folder, so a half-written chunk leaves no trace
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(CHUNK_KEY).parquet(path)
+def _write_run(df: DataFrame, path: str) -> None:
+    df.write.parquet(path)
 
 
-def _count_chunks(df: DataFrame, name: str) -> DataFrame:
-    return df.groupBy(CHUNK_KEY).agg(F.count("*").alias(name))
+def _count_chunks(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """Rows per chunk of what was written; only the two origin columns are read back."""
+    return spark.read.parquet(path).groupBy(*ORIGIN).agg(F.count("*").alias(name)).select(
+        F.col("_file_path").alias("file_path"), F.col("_chunk_id").alias("chunk_id"), name)
 
 
-def load_chunks(stmts: DataFrame, chunks: DataFrame, schema: T.StructType, target: LoadTarget,
-                gather: bool = False) -> DataFrame:
+def load_chunks(stmts: DataFrame, chunks: DataFrame, schema: T.StructType, target: LoadTarget) -> DataFrame:
     """Load the chunks the ledger does not hold yet; returns the ledger rows of this run.
 
     ``stmts``: INSERT statements of one table with file_path and chunk_id; ``chunks``: all chunks of the
-    source. Each input split writes its own chunk folder, so the load needs no shuffle; ``gather`` brings the
-    rows of a chunk together first, for statements glued across splits. Rows that do not fit are counted on
-    the way and written in a second pass only when there are any.
+    source. Every run writes a folder of its own, straight from the scan: no shuffle, no sort. The ledger is
+    written last, and only runs it names are ever read, so a run that dies leaves nothing to undo. Rows that
+    do not fit are counted on the way and written in a second pass only when there are any.
     """
     spark = stmts.sparkSession
-    done_before = read_ledger(spark, target)
-    todo = materialise(pending_chunks(chunks.select(*_CHUNK_KEYS).distinct(), done_before), "pending")
-    pending = stmts.join(broadcast_if_small(todo), _CHUNK_KEYS, "left_semi")
-    if gather:
-        pending = pending.repartition(*_CHUNK_KEYS)
-    rows = _chunk_key(typed_rows(pending, schema, _CHUNK_KEYS)).drop(*_CHUNK_KEYS)
+    run = uuid.uuid4().hex
+    ledger = read_ledger(spark, target)
+    fresh = ledger.filter("status = 'completed'").isEmpty()
+    todo = materialise(pending_chunks(chunks.select(*_CHUNK_KEYS).distinct(), ledger), "pending")
+    if todo.isEmpty():
+        return spark.createDataFrame([], LEDGER_SCHEMA)
+    # a first load takes every chunk, so nothing has to be joined to the statements
+    pending = stmts if fresh else stmts.join(broadcast_if_small(todo), _CHUNK_KEYS, "left_semi")
+    rows = typed_rows(pending, schema, _CHUNK_KEYS).withColumnsRenamed(dict(zip(_CHUNK_KEYS, ORIGIN)))
     seen = Observation()
     watched = rows.observe(seen, F.count_if(F.col("_reason").isNotNull()).alias("bad"))
+    data, rejects = f"{target.data}/run={run}", f"{target.rejects}/run={run}"
     begun = time.time()
-    keyed = _chunk_key(todo)
     try:
-        _write_chunks(good_rows(watched), target.data)
+        _write_run(good_rows(watched).select(*schema.names, *ORIGIN), data)
         # a retried task may count twice, never too little: 0 means no rejects
         bad = seen.get["bad"]
         if bad:
-            _write_chunks(rejected_rows(rows, [CHUNK_KEY]), target.rejects)
+            _write_run(rejected_rows(rows, ORIGIN), rejects)
     except Exception as e:
-        _log(keyed, target, "failed", time.time() - begun, str(e).split("\n")[0][:500], None, None)
+        _log(todo, target, run, "failed", time.time() - begun, str(e).split("\n")[0][:500], [])
         raise
-    loaded = _count_chunks(spark.read.parquet(target.data), "affected_rows") if _has_files(spark, target.data) else None
-    refused = _count_chunks(spark.read.parquet(target.rejects), "rejected_rows") if bad else None
-    return _log(keyed, target, "completed", time.time() - begun, None, loaded, refused)
-
-
-def _has_files(spark: SparkSession, path: str) -> bool:
-    try:
-        return len(spark.read.parquet(path).columns) > 0
-    except AnalysisException:
-        return False
+    counts = [_count_chunks(spark, data, "affected_rows")]
+    if bad:
+        counts.append(_count_chunks(spark, rejects, "rejected_rows"))
+    return _log(todo, target, run, "completed", time.time() - begun, None, counts)
 
 
-def _log(keyed: DataFrame, target: LoadTarget, status: str, seconds: float, error: str | None,
-         loaded: DataFrame | None, refused: DataFrame | None) -> DataFrame:
+def _log(todo: DataFrame, target: LoadTarget, run: str, status: str, seconds: float, error: str | None,
+         counts: list[DataFrame]) -> DataFrame:
     """Ledger rows are written after the data of their chunks, all in one commit."""
-    out = keyed
-    for counts, name in ((loaded, "affected_rows"), (refused, "rejected_rows")):
-        out = out.join(counts, CHUNK_KEY, "left") if counts is not None else out.withColumn(name, F.lit(0))
+    out = todo
+    for c in counts:
+        out = out.join(c, _CHUNK_KEYS, "left")
+    for name in ("affected_rows", "rejected_rows"):
+        out = out.withColumn(name, F.coalesce(F.col(name).cast("long"), F.lit(0).cast("long"))
+                             if name in out.columns else F.lit(0).cast("long"))
     rows = out.select(
-        F.lit(target.table).alias("table_name"), "file_path", "chunk_id", F.lit(status).alias("status"),
-        F.coalesce(F.col("affected_rows").cast("long"), F.lit(0).cast("long")).alias("affected_rows"),
-        F.coalesce(F.col("rejected_rows").cast("long"), F.lit(0).cast("long")).alias("rejected_rows"),
-        F.lit(seconds).alias("seconds"), F.lit(error).cast("string").alias("error_message"),
-        F.current_timestamp().alias("ts"),
+        F.lit(target.table).alias("table_name"), F.lit(run).alias("run_id"), "file_path", "chunk_id",
+        F.lit(status).alias("status"), "affected_rows", "rejected_rows", F.lit(seconds).alias("seconds"),
+        F.lit(error).cast("string").alias("error_message"), F.current_timestamp().alias("ts"),
     )
     stored = materialise(rows, "ledger-run")
     stored.write.mode("append").parquet(target.ledger)

@@ -89,7 +89,6 @@ def migrate(
     """
     found = scan(read_records(spark, path, separator, chunk_bytes, encoding), separator)
     chunks = found.splits.select("file_path", "chunk_id")
-    glued = not found.splits.filter("n_open > 0").isEmpty()
     stmts = with_table_names(to_statements(assemble(found))).withColumn(
         "table_name", F.coalesce("table_name", F.lit(table) if table else F.lit(None).cast("string")))
     if table is not None and schemas is not None:
@@ -107,7 +106,7 @@ def migrate(
     for name, own in tables.items():
         schema = as_struct(schemas[name] if isinstance(schemas, Mapping) else schemas)
         target = LoadTarget(root, name)
-        load_chunks(own, _chunks_of(own, chunks, len(tables)), schema, target, gather=glued)
+        load_chunks(own, _chunks_of(own, chunks, len(tables)), schema, target)
         done = batch_log(read_ledger(spark, target))
         one = import_summary(done).join(
             done.groupBy("table_name").agg(F.sum("rejected_rows").alias("rejected_rows")), "table_name")

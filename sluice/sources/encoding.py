@@ -118,15 +118,18 @@ def file_charsets(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return choose_charset(heads(list_files(spark, path), DETECT_BYTES)).drop("head")
 
 
-_LINE_ENDS = r"(?s)\A(?:(?!;\r?\n).)*+;(\r?)\n"
+_FIRST_END = r"(?s)\A(?:[^;]++|;(?!\r?\n))*+;(\r?)\n"
+
+
+def separator_of(head: Column) -> Column:
+    """How statements end in a file, from the first end in its head: ``;`` and a newline of either kind."""
+    crlf = F.regexp_extract(F.make_valid_utf8(head.cast("string")), _FIRST_END, 1) == "\r"
+    return F.when(crlf, F.lit(";\r\n")).otherwise(F.lit(";\n"))
 
 
 def file_separators(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``file_path, separator``: how statements end in each file, from its head."""
-    text = F.make_valid_utf8(F.col("head").cast("string"))
-    crlf = F.regexp_extract(text, _LINE_ENDS, 1) == "\r"
-    return heads(list_files(spark, path), DETECT_BYTES).select(
-        "file_path", F.when(crlf, F.lit(";\r\n")).otherwise(F.lit(";\n")).alias("separator"))
+    """``file_path, separator`` per file, reading only heads."""
+    return heads(list_files(spark, path), DETECT_BYTES).select("file_path", separator_of(F.col("head")).alias("separator"))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

@@ -20,17 +20,17 @@ SCHEMA = "id int, name string, created timestamp_ntz, score decimal(6,2)"
 def test_resume_loads_only_what_is_missing(spark, folder, monkeypatch):
     dumps, root = write(folder, "users.sql", USERS), folder + "/out"
     target = load.LoadTarget(root, "users")
-    real = load._write_chunks
+    real = load._write_run
 
     def fail_after_data(df, path):
         real(df.filter(F.col("id") <= 100), path)
         raise RuntimeError("lost")
 
-    monkeypatch.setattr(load, "_write_chunks", fail_after_data)
+    monkeypatch.setattr(load, "_write_run", fail_after_data)
     with pytest.raises(RuntimeError):
         migrate(spark, dumps, root, "users", SCHEMA, chunk_bytes=8192)
     assert {r.status for r in load.read_ledger(spark, target).collect()} == {"failed"}
-    monkeypatch.setattr(load, "_write_chunks", real)
+    monkeypatch.setattr(load, "_write_run", real)
     migrate(spark, dumps, root, "users", SCHEMA, chunk_bytes=8192)
     write(folder, "users2.sql", USERS.replace("VALUES (", "VALUES (1"))
     summary = migrate(spark, [dumps, folder + "/users2.sql"], root, "users", SCHEMA, chunk_bytes=8192).first()

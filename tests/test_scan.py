@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sluice.operators.values import good_rows, rejected_rows, typed_rows
 from sluice.plans.migrate import as_struct
+from sluice.sources.auto import read_any
 from sluice.sources.dumps import read_statements, with_positions
 from sluice.sources.encoding import file_charsets, file_separators, read_unsplittable
 from sluice.sources.dumps import assemble, scan, to_statements
@@ -98,6 +99,14 @@ def test_charsets_of_files(spark, folder):
         assert sorted((r.id, r.s) for r in good_rows(typed_rows(stmts, as_struct(SCHEMA))).collect()) == want
 
 
+def test_mixed_folder(spark, folder):
+    write(folder, "a.sql", "INSERT INTO t VALUES (1, '中文测试数据');\r\nINSERT INTO t VALUES (2, 'b');\r\n".encode("gbk"))
+    write(folder, "b.sql", "INSERT INTO t VALUES (3, '你好;\n世界');\nINSERT INTO t VALUES (4, 'd');\n")
+    write(folder, "c.sql", "INSERT INTO t VALUES (5, '你好');\nINSERT INTO t VALUES (6, 'f');\n".encode("utf-16"))
+    rows = good_rows(typed_rows(read_any(spark, folder), as_struct(SCHEMA)))
+    assert {r.id: r.s for r in rows.collect()} == {1: "中文测试数据", 2: "b", 3: "你好;\n世界", 4: "d", 5: "你好", 6: "f"}
+
+
 def test_empty_and_comment_only_files(spark, folder):
     write(folder, "empty.sql", "")
     write(folder, "comment.sql", "-- it's nothing\nPROMPT done\n")
