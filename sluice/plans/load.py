@@ -143,11 +143,12 @@ def load_chunks(stmts: DataFrame, chunks: DataFrame, schema: T.StructType, targe
     run = uuid.uuid4().hex
     ledger = read_ledger(spark, target)
     fresh = ledger.filter("status = 'completed'").isEmpty()
-    todo = materialise(pending_chunks(chunks.select(*_CHUNK_KEYS).distinct(), ledger), "pending")
-    if todo.isEmpty():
-        return spark.createDataFrame([], LEDGER_SCHEMA)
-    # a first load takes every chunk, so nothing has to be joined to the statements
-    pending = stmts if fresh else stmts.join(broadcast_if_small(todo), _CHUNK_KEYS, "left_semi")
+    todo, pending = chunks.select(*_CHUNK_KEYS).distinct(), stmts
+    if not fresh:  # a first load takes every chunk, so nothing has to be joined to the statements
+        todo = materialise(pending_chunks(todo, ledger), "pending")
+        if todo.isEmpty():
+            return spark.createDataFrame([], LEDGER_SCHEMA)
+        pending = stmts.join(broadcast_if_small(todo), _CHUNK_KEYS, "left_semi")
     rows = typed_rows(pending, schema, _CHUNK_KEYS).withColumnsRenamed(dict(zip(_CHUNK_KEYS, ORIGIN)))
     seen = Observation()
     watched = rows.observe(seen, F.count_if(F.col("_reason").isNotNull()).alias("bad"))
@@ -182,9 +183,8 @@ def _log(todo: DataFrame, target: LoadTarget, run: str, status: str, seconds: fl
         F.lit(status).alias("status"), "affected_rows", "rejected_rows", F.lit(seconds).alias("seconds"),
         F.lit(error).cast("string").alias("error_message"), F.current_timestamp().alias("ts"),
     )
-    stored = materialise(rows, "ledger-run")
-    stored.write.mode("append").parquet(target.ledger)
-    return stored
+    rows.write.mode("append").parquet(target.ledger)
+    return read_ledger(todo.sparkSession, target).filter(F.col("run_id") == run)
 
 
 def batch_log(ledger: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ def test_parsing_is_one_jvm_stage_without_shuffle(spark, folder):
 
 
 def test_head_sample_is_cut_before_the_shuffle(spark):
-    lines = spark.range(1000).select(F.lit("f").alias("file_path"), F.col("id").alias("ord"), F.lit("x").alias("line"))
+    lines = spark.range(1000).select(F.col("id").cast("string").alias("file_path"), F.col("id").alias("ord"), F.lit("x").alias("line"))
     plan = plan_of(head_sample(lines, 10))
     assert plan.count("WindowGroupLimit") == 2
 
