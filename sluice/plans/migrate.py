@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluice.functions.scale import materialise
 from sluice.functions.text import file_table_name, insert_table_name
 from sluice.operators.profile import infer_schema as _infer_schema
 from sluice.operators.profile import render_ddl, struct_of
@@ -16,8 +17,8 @@ from sluice.operators.sampling import preview_statements
 from sluice.operators.values import with_table_names
 from sluice.plans.load import LoadTarget, batch_log, load_chunks, read_ledger
 from sluice.session import scratch
-from sluice.sources.dumps import CHUNK_BYTES, assemble, read_records, scan, to_statements
-from sluice.sources.manifest import ALLOWED_EXTENSIONS, admit, estimate_by_sample, head_lines, manifest
+from sluice.sources.dumps import CHUNK_BYTES, assemble, insert_statements, read_records, scan, to_statements
+from sluice.sources.manifest import ALLOWED_EXTENSIONS, admit, estimate_by_sample, head_statements, manifest
 
 Schema = T.StructType | str
 
@@ -49,12 +50,12 @@ def plan_migration(spark: SparkSession, path: str | list[str], allowed_dirs: Seq
         allowed_dirs=allowed_dirs, allowed_extensions=allowed_extensions,
     )
     admitted = checked.filter("error_code IS NULL")
-    lines = head_lines(admitted.select("file_path", "file_size"))
-    stmts = lines.select("file_path", F.col("line_no").alias("ord"), F.col("line").alias("stmt"))
+    stmts = insert_statements(head_statements(admitted.select("file_path", "file_size")))
+    stmts = materialise(stmts.withColumn("place", F.struct("ord", "sub")), "head-statements")
+    name = insert_table_name(F.col("stmt"))
     named = stmts.groupBy("file_path").agg(
-        F.min_by(insert_table_name(F.col("stmt")), F.when(insert_table_name(F.col("stmt")).isNotNull(), F.col("ord")))
-        .alias("named"))
-    previews = preview_statements(stmts).groupBy("file_path").agg(
+        F.min_by(name, F.when(name.isNotNull(), F.col("place"))).alias("named"))
+    previews = preview_statements(stmts, order="place").groupBy("file_path").agg(
         F.array_sort(F.collect_list(F.struct("n", "preview"))).alias("p"))
     ddl = render_ddl(infer_schema(stmts), dialect)
     estimates = estimate_by_sample(admitted.select("file_path", "file_size")).select("file_path", "estimated_rows_fast")

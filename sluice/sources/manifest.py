@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.functions.literals import BLANKS
+from sluice.functions.scale import materialise
 from sluice.operators.sampling import PROBES, REGION_EXTRA, SAMPLE_LINES, density_estimate, estimate_rows
+from sluice.sources.dumps import assemble, scan, to_statements
 from sluice.sources.ranges import heads, list_files, read_range
 
 # Admission limits and result codes.
@@ -125,6 +127,18 @@ def head_lines(files: DataFrame, n: int = SAMPLE_LINES, n_bytes: int = 1024 * 10
     ).select("file_path", "file_size", (F.col("i") + 1).alias("line_no"), "line")
 
 
+def head_statements(files: DataFrame, n_bytes: int = 1024 * 1024) -> DataFrame:
+    """Whole statements in the head of each file, in the shape of ``read_statements``; a statement the head
+    cuts off is left out."""
+    text = F.make_valid_utf8(F.col("head").cast("string"))
+    pieces = F.split(text, r";\r?\n")
+    whole = F.when(F.col("file_size") > n_bytes, F.slice(pieces, F.lit(1), F.size(pieces) - 1)).otherwise(pieces)
+    zero = F.lit(0).cast("long")
+    records = heads(files, n_bytes).select("file_path", F.posexplode(whole).alias("ord", "value")).filter("value <> ''").select(
+        "file_path", zero.alias("block_start"), zero.alias("chunk_id"), F.col("ord").cast("long").alias("ord"), "value")
+    return to_statements(assemble(scan(materialise(records, "heads"))))
+
+
 def spread_lines(files: DataFrame, regions: int = 4, n: int = SAMPLE_LINES, n_bytes: int = 256 * 1024) -> DataFrame:
     """``file_path, region, line_no, line``: first ``n / regions + 50`` whole lines of each region of a file."""
     size = F.floor(F.col("file_size") / regions)

@@ -82,6 +82,14 @@ def test_plan_reads_heads_only(spark, folder):
     assert abs(users.estimated_rows - 400) < 20
 
 
+def test_plan_of_statements_over_several_lines(spark, folder):
+    write(folder, "x.sql", "-- c\nINSERT INTO test_table (id, name, description) VALUES\n(1, '张三', '一;\n二'),\n(2, '李四', 'b'),\n(3, '王五', 'c');\n")
+    row = plan_migration(spark, folder, dialect="spark").first()
+    assert (row.table_name, row.ddl) == (
+        "test_table", "CREATE TABLE test_table (id INT, name STRING, description STRING) USING parquet")
+    assert len(row.preview) == 1
+
+
 def test_estimates_on_files(spark, folder):
     write(folder, "users.sql", USERS)
     files = list_files(spark, folder)
