@@ -79,12 +79,16 @@ def strip_comments(text: Column) -> Column:
     return F.when(has_sign, bare).otherwise(text)
 
 
+def _insert_head(owners: Sequence[str]) -> str:
+    """Pattern of ``INSERT INTO`` and every qualifier in front of the table name."""
+    named = "|".join(rf"\[{o}\]\s*+\.?+\s*+|{o}\s*+\.\s*+" for o in owners)
+    qualifier = r"""["`\[]?+(?U:\w++)["`\]]?+\s*+\.\s*+"""
+    return rf"(?i)\A\s*+INSERT\s++INTO\s++(?:{named + '|' if owners else ''}{qualifier})*+"
+
+
 def strip_insert_qualifier(stmt: Column, owners: Sequence[str] = DEFAULT_OWNERS) -> Column:
     """``INSERT INTO db.t`` -> ``INSERT INTO t``; only the head of the statement is touched."""
-    named = "|".join(rf"\[{o}\]\s*+\.?+\s*+|{o}\s*+\.\s*+" for o in owners)
-    qualifier = r"""["`\[]?+\w++["`\]]?+\s*+\.\s*+"""
-    head = rf"(?i)\A\s*+INSERT\s++INTO\s++(?:{named + '|' if owners else ''}{qualifier})*+"
-    return F.when(is_insert(stmt), F.regexp_replace(stmt, head, "INSERT INTO ")).otherwise(stmt)
+    return F.regexp_replace(stmt, _insert_head(owners), "INSERT INTO ")
 
 
 def clean_statement(stmt: Column, owners: Sequence[str] = DEFAULT_OWNERS) -> Column:
@@ -100,13 +104,10 @@ def has_insert_format(text: Column) -> Column:
     return F.coalesce(text.rlike(r"(?i)INSERT\s+INTO") & text.rlike(r"(?i)VALUES\s*\("), F.lit(False))
 
 
-_TABLE = r"""(?i)INSERT\s+INTO\s+(["`]?)((?U)\w+)\1\s*(?:\(|\bVALUES\b)"""
-
-
-def insert_table_name(stmt: Column) -> Column:
-    """Target table of an INSERT, bare or quoted, qualifier removed first; NULL when there is none."""
-    name = F.regexp_extract(strip_insert_qualifier(stmt), _TABLE, 2)
-    return F.when(is_insert(stmt) & (name != ""), name)
+def insert_table_name(stmt: Column, owners: Sequence[str] = DEFAULT_OWNERS) -> Column:
+    """Target table of an INSERT, bare or quoted, without qualifier; NULL when there is none."""
+    pattern = _insert_head(owners) + r"""(["`]?)((?U:\w++))\1\s*+(?:\(|\bVALUES\b)"""
+    return F.nullif(F.regexp_extract(stmt, pattern, 2), F.lit(""))
 
 
 def file_table_name(path: Column) -> Column:
