@@ -27,20 +27,29 @@ def local_session(app: str = "sluice", cpus: int | str = "*", shuffle_partitions
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
+    """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` is read from the session. Only where it is unset (tests on one machine) is a
-    temporary folder made, and then also used as the checkpoint folder.
+    The setting is only read. Where it is unset, a session on one machine (master ``local``) gets a temporary folder
+    and any other is refused: a machine-local folder would scatter the parts of a table over executors.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = tempfile.mkdtemp(prefix="sluice-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = context.getCheckpointDir() or tempfile.mkdtemp(prefix="sluice-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(root)
+        root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     return root.rstrip("/")
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a table that ``scratch`` named, through the filesystem that holds it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new, not yet existing path below the shared folder."""
     return f"{shared_dir(spark)}/sluice/{label}-{uuid.uuid4().hex}"

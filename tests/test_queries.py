@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from sluice.plans.queries import QUERIES
 from tests.compare import compare, oracle_connection
 
 SF = "/root/testdata/sf0.001"
@@ -14,7 +15,7 @@ def con():
     return oracle_connection(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     assert compare(con, entry.queries()[name](spark, SF), SQL[name]) == ""
 
