@@ -24,6 +24,14 @@ IDS = "bpe_ids"
 BATCH_IDS = 2_000_000
 
 
+def _flush(pieces: list[str]) -> list[tuple[bool, bool, bytes]]:
+    """Whole pre-tokens as parts. White space at their end goes apart: what follows it decides how it is split."""
+    end = len(pieces)
+    while end and pieces[end - 1].isspace():
+        end -= 1
+    return [(False, False, "".join(pieces[:end]).encode())] * (end > 0) + [(True, False, p.encode()) for p in pieces[end:]]
+
+
 def cut(bpe: ByteBPE, text: str, part_chars: int) -> list[tuple[bool, bool, bytes]]:
     """Parts of a text: (inside a pre-token, glued to the part before, UTF-8)."""
     parts: list[tuple[bool, bool, bytes]] = []
@@ -36,21 +44,21 @@ def cut(bpe: ByteBPE, text: str, part_chars: int) -> list[tuple[bool, bool, byte
             continue
         m = STABLE.search(text, at)
         run_end = m.end() if m else len(text)
-        held = ""
+        held: list[str] = []
+        size = 0
         for is_special, piece in bpe.pre_tokens(text[at:run_end]):
             if is_special or len(piece) <= part_chars:
-                held += piece
-                if len(held) > part_chars:
-                    parts.append((False, False, held.encode()))
-                    held = ""
+                held.append(piece)
+                size += len(piece)
+                if size > part_chars:
+                    parts += _flush(held)
+                    held, size = [], 0
                 continue
-            if held:
-                parts.append((False, False, held.encode()))
-                held = ""
+            parts += _flush(held)
+            held, size = [], 0
             raw = piece.encode()
             parts += [(True, i > 0, raw[i : i + part_chars]) for i in range(0, len(raw), part_chars)]
-        if held:
-            parts.append((False, False, held.encode()))
+        parts += _flush(held)
         at = run_end
     if at < len(text) or not parts:
         parts.append((False, False, text[at:].encode()))
@@ -58,14 +66,19 @@ def cut(bpe: ByteBPE, text: str, part_chars: int) -> list[tuple[bool, bool, byte
 
 
 def join_tree(bpe: ByteBPE, parts: list[tuple[bool, list[int]]]) -> list[int]:
-    """Ids of (glued to the part before, ids) in order: neighbours are joined pairwise until one is left."""
-    while len(parts) > 1:
-        paired = []
-        for i in range(0, len(parts) - 1, 2):
-            (glued, a), (inner, b) = parts[i], parts[i + 1]
-            paired.append((glued, bpe.join(a, b) if inner else a + b))
-        parts = paired + parts[len(parts) - len(parts) % 2 :]
-    return parts[0][1]
+    """Ids of (glued to the part before, ids) in order: the parts of one pre-token are joined pairwise until one is left."""
+    runs: list[list[list[int]]] = []
+    for glued, ids in parts:
+        if glued:
+            runs[-1].append(ids)
+        else:
+            runs.append([ids])
+    out: list[int] = []
+    for run in runs:
+        while len(run) > 1:
+            run = [bpe.join(*run[i : i + 2]) if i + 1 < len(run) else run[i] for i in range(0, len(run), 2)]
+        out += run[0]
+    return out
 
 
 def _list_array(lists: list[list[int]]) -> pa.Array:

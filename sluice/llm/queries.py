@@ -60,7 +60,7 @@ levels AS (
          / sum(weight) OVER (ORDER BY source_size / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM sources),
 targets AS (
-  SELECT source, source_size, least(cap, weight * (SELECT min(level) FROM levels WHERE weight * level <= cap)) AS target
+  SELECT source, source_size, least(cap, weight * (SELECT arg_min(level, source_size / weight) FROM levels WHERE weight * level <= cap)) AS target
   FROM levels),
 plan AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM targets),

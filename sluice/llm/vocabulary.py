@@ -9,12 +9,15 @@ from itertools import chain
 
 import numpy as np
 import public_tokenizers
+import regex
 import tiktoken
 
 DEFAULT_PATH = public_tokenizers.path("byte_bpe_50k.json")
 #: A blank or line feed after a letter or digit: no pre-token holds white space behind another character, so a pre-token
 #: ends here whatever stands before or after.
 STABLE = re.compile(r"[^\W_](?=[ \n])")
+#: the vocabulary's pattern for the regex package, whose \\s also takes the separators U+001C to U+001F
+PRE_TOKEN = public_tokenizers.PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
 #: pre-tokens longer than this are encoded by halves
 LEAF_BYTES = 2048
 
@@ -55,12 +58,10 @@ class ByteBPE:
 
     def pre_tokens(self, text: str):
         """(is_special, piece) of a text in order."""
-        import regex
-
         at = 0
         for m in [*(self.pieces.finditer(text) if self.pieces else ()), None]:
             end = m.start() if m else len(text)
-            for piece in regex.finditer(public_tokenizers.PATTERN, text[at:end]):
+            for piece in regex.finditer(PRE_TOKEN, text[at:end]):
                 yield False, piece.group()
             if m:
                 yield True, m.group()
