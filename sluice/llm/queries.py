@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import bpe, mixing, token_counts
+from sluice.llm import bpe, mixing, nn_descent, simhash, spherical, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(coded).select("doc_id", "n_tokens", "ids_sha256", F.sha2("bpe_text", 256).alias("decoded_sha256"))
 
 
+def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return nn_descent.nearest(vectors, F.col("vec_id") % 50 == 0)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir, "doc_id", "text", "source")).select(
         "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"),
@@ -29,6 +34,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_documents(spark, sf_dir, "doc_id", "text"))
+    print_ = F.lower(F.lpad(F.hex(F.element_at("simhash", 1)), 16, "0"))
+    return found.select("doc_id", print_.alias("fingerprint"), "component_id")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(_documents(spark, sf_dir, "doc_id", "text"))
     return counted.select(
@@ -37,10 +48,17 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spherical.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op4_nn_descent": op4_nn_descent,
     "op5_mixing": op5_mixing,
+    "op6_simhash": op6_simhash,
     "op7_token_counts": op7_token_counts,
+    "op10_spherical_caps": op10_spherical_caps,
 }
 
 MIXING_SQL = r"""
