@@ -231,7 +231,7 @@ def nearest(
     id one is used, the largest vector in order of components. With fewer than ``k`` others all are returned; an empty table gives an empty table.
     """
     usable_rows = vectors.filter(usable(vec) & F.col(vec_id).isNotNull())
-    rows = usable_rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(vec, lambda v: v + F.lit(0.0)).alias("vec"), is_query.alias("asks"))
+    rows = usable_rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(vec, lambda v: v + F.lit(0.0).cast("float")).alias("vec"), is_query.alias("asks"))
     rows = rows.groupBy("vec_id").agg(F.max(F.struct("vec", "asks")).alias("r")).select("vec_id", "r.vec", "r.asks", F.xxhash64("r.vec").alias("node"))
     rows = materialise(rows, "nearest-rows")
     classes = materialise(rows.groupBy("node").agg(F.first("vec").alias("vec")), "nearest-classes")

@@ -1,8 +1,9 @@
 """Embedding near-duplicates with spherical-cap filters.
 
 Filters are directions made of one codeword per half of a randomly rotated vector (a random product code), so a vector's
-scores against all of them come from the scores of two short lists. Every vector is decoded to all filters whose cap it
-lies in; vectors of one label that share a filter meet there and are verified in double precision. A pair is counted at
+scores against all of them come from the scores of two short lists. There are several codes, each over a rotation of its
+own. Every vector is decoded to all filters whose cap it lies in, and to its best filters of each code if those are few;
+vectors of one label that share a filter meet there and are verified in double precision. A pair is counted at
 the smallest filter that both share, so links are counted once and are never written out: a task returns per vector its
 number of links and a spanning forest.
 """
@@ -24,6 +25,8 @@ from sluice.llm.trie import Forest
 
 #: rows of a similarity block
 BLOCK = 1024
+#: filters of each code that a vector goes to at least
+LEAST_CAPS = 2
 
 
 class ProductCode:
@@ -40,32 +43,40 @@ class ProductCode:
         self.height = NormalDist().inv_cdf(1 - min(0.4, caps / words**2)) / math.sqrt(self.padded)
 
     def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, filter) of all filters whose cap holds the row, by row and filter."""
+        """(row, filter) of all filters whose cap holds the row; of its best filters at least."""
         x = np.zeros((len(unit), self.padded))
         x[:, : unit.shape[1]] = unit
         x = x @ self.rotation
         half = self.padded // 2
         a, b = (x[:, :half] @ self.codes[0].T) / math.sqrt(2), (x[:, half:] @ self.codes[1].T) / math.sqrt(2)
+        top_a, top_b = -np.sort(-a, axis=1)[:, :LEAST_CAPS], -np.sort(-b, axis=1)[:, :LEAST_CAPS]
+        sums = np.sort((top_a[:, :, None] + top_b[:, None, :]).reshape(len(unit), LEAST_CAPS**2), axis=1)
+        height = np.minimum(self.height, sums[:, -LEAST_CAPS])
         # codewords that no partner can lift over the cap are left out
-        rows, firsts = np.nonzero(a + b.max(axis=1, keepdims=True) >= self.height)
-        at, seconds = np.nonzero(a[rows, firsts][:, None] + b[rows] >= self.height)
+        rows, firsts = np.nonzero(a + b.max(axis=1, keepdims=True) >= height[:, None])
+        at, seconds = np.nonzero(a[rows, firsts][:, None] + b[rows] >= height[rows][:, None])
         return rows[at], firsts[at] * self.words + seconds
 
 
-def _decode(words: int, caps: float):
+def _decode(codes: int, words: int, caps: float):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for dims, same in frame.groupby(frame["vec"].map(len)):
-                code = ProductCode(int(dims), words, caps)
+                coders = [ProductCode(int(dims), words, caps, seed) for seed in range(codes)]
                 for at in range(0, len(same), 512):
                     part = same.iloc[at : at + 512]
                     x = np.stack(part["vec"].to_numpy()).astype(np.float64)
-                    row, cap = code.decode(x / np.linalg.norm(x, axis=1, keepdims=True))
-                    lists = np.split(cap.astype(np.int32), np.cumsum(np.bincount(row, minlength=len(part)))[:-1])
+                    x /= np.linalg.norm(x, axis=1, keepdims=True)
+                    found = [coder.decode(x) for coder in coders]
+                    row = np.concatenate([r for r, _ in found])
+                    cap = np.concatenate([c + k * words**2 for k, (_, c) in enumerate(found)]).astype(np.int32)
+                    order = np.lexsort((cap, row))
+                    row, cap = row[order], cap[order]
+                    lists = np.split(cap, np.cumsum(np.bincount(row, minlength=len(part)))[:-1])
                     yield pd.DataFrame({
                         "node": part["node"].to_numpy()[row], "label": part["label"].to_numpy()[row], "copies": part["copies"].to_numpy()[row],
-                        "vec": part["vec"].to_numpy()[row], "dims": np.full(len(row), dims, np.int32), "cap": cap.astype(np.int32),
-                        "caps": [lists[r] for r in row],
+                        "vec": part["vec"].to_numpy()[row], "dims": np.full(len(row), dims, np.int32), "cap": cap,
+                        "caps": pd.Series([lists[r] for r in row], dtype=object),
                     })
 
     return run
@@ -135,19 +146,20 @@ def usable(vec: str = "embedding"):
 
 
 def near_duplicates(
-    vectors: DataFrame, least: float = 0.93, caps: float = 24, vec_id: str = "vec_id", vec: str = "embedding", label: str = "label"
+    vectors: DataFrame, least: float = 0.93, codes: int = 8, caps: float = 6, vec_id: str = "vec_id", vec: str = "embedding", label: str = "label"
 ) -> DataFrame:
     """One row (vec_id, n_links, component_id, kept) per row of ``vectors``.
 
     Rows link if their labels are equal and not null, their vectors equally long and their cosine at least ``least``.
     Vectors that are null, zero or hold null or non-finite components, and rows without label, link with nothing and are
     components of their own. Equal vectors of a label are one row until the end, so copies cost nothing. A vector lies in
-    ``caps`` caps on average whatever the size of the table; the number of filters follows the number of vectors. Repeated
+    ``caps`` caps of each code on average whatever the size of the table; the number of filters follows the number of
+    vectors. Repeated
     ids are rows of their own with the smallest id of their component. A null vec_id counts as a link but names no
     component. An empty table gives an empty table.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(vec_id).alias("vec_id"), F.transform(vec, lambda v: v + F.lit(0.0)).alias("vec"), F.col(label).cast("string").alias("label"))
+    rows = vectors.select(F.col(vec_id).alias("vec_id"), F.transform(vec, lambda v: v + F.lit(0.0).cast("float")).alias("vec"), F.col(label).cast("string").alias("label"))
     good = usable("vec") & F.col("label").isNotNull()
     classes = materialise(
         rows.filter(good).groupBy("label", "vec").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
@@ -155,10 +167,10 @@ def near_duplicates(
         "caps-classes",
     )
     n = classes.count()
-    words = 2 ** max(6, math.ceil(math.log2(max(1, n / 8)) / 2))
+    words = 2 ** max(5, math.ceil(math.log2(max(1, n * caps / 512)) / 2))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = classes.select("node", "label", "copies", "vec").repartition(tasks).mapInPandas(
-        _decode(words, caps), "node long, label string, copies long, vec array<double>, dims int, cap int, caps array<int>"
+        _decode(codes, words, caps), f"node long, label string, copies long, vec {dict(classes.dtypes)['vec']}, dims int, cap int, caps array<int>"
     )
     found = materialise(
         dealt.repartition(tasks, "label", "dims", "cap").sortWithinPartitions("label", "dims", "cap")
