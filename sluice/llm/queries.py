@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import bpe, mixing, nn_descent, simhash, spherical, token_counts
+from sluice.llm import bpe, mixing, nn_descent, quality, simhash, spherical, token_counts, toxicity
+from sluice.llm.labelled import id_remainder
 
 
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -22,6 +23,17 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(coded).select("doc_id", "n_tokens", "ids_sha256", F.sha2("bpe_text", 256).alias("decoded_sha256"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir, "doc_id", "text", "lang")
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs, model)
+    return scored.select(
+        "doc_id", (id_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), F.col(toxicity.SCORE).alias("score"),
+        (F.col(toxicity.SCORE) >= 0.5).cast("int").alias("predicted"),
+        (F.col(toxicity.SCORE) >= toxicity.threshold(model, F.col("lang"))).alias("over_language_threshold"),
+    )
+
+
 def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return nn_descent.nearest(vectors, F.col("vec_id") % 50 == 0)
@@ -48,16 +60,27 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir, "doc_id", "text")
+    scored = quality.score(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return scored.select(
+        "doc_id", (id_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), F.col(quality.SCORE).alias("score"),
+        (F.col(quality.SCORE) >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 def op10_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spherical.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op3_toxicity": op3_toxicity,
     "op4_nn_descent": op4_nn_descent,
     "op5_mixing": op5_mixing,
     "op6_simhash": op6_simhash,
     "op7_token_counts": op7_token_counts,
+    "op8_quality": op8_quality,
     "op10_spherical_caps": op10_spherical_caps,
 }
 
