@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import bpe, mixing, nn_descent, quality, simhash, spherical, token_counts, toxicity
+from sluice.llm import bpe, mixing, nn_descent, quality, simhash, spherical, suffix_levels, token_counts, toxicity
 from sluice.llm.labelled import id_remainder
 
 
@@ -23,6 +23,15 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(coded).select("doc_id", "n_tokens", "ids_sha256", F.sha2("bpe_text", 256).alias("decoded_sha256"))
 
 
+def op2_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_levels.remove_repeats(_documents(spark, sf_dir, "doc_id", "text"))
+    length = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    return found.select(
+        "doc_id", length.alias("n_bytes"), (length - F.octet_length("repeat_kept")).alias("n_removed"),
+        F.size("repeat_begins").cast("long").alias("n_spans"), F.sha2("repeat_kept", 256).alias("kept_sha256"),
+    )
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir, "doc_id", "text", "lang")
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -75,6 +84,7 @@ def op10_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_suffix_levels": op2_suffix_levels,
     "op3_toxicity": op3_toxicity,
     "op4_nn_descent": op4_nn_descent,
     "op5_mixing": op5_mixing,
