@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import bpe, mixing, nn_descent, quality, simhash, spherical, suffix_levels, token_counts, toxicity
+from sluice.llm import bpe, mixing, nn_descent, quality, relative_lz, simhash, spherical, suffix_levels, token_counts, toxicity
 from sluice.llm.labelled import id_remainder
 
 
@@ -78,6 +78,14 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = relative_lz.remove_repeats(_documents(spark, sf_dir, "doc_id", "text"))
+    removed = F.aggregate(F.zip_with("repeat_begins", "repeat_ends", lambda b, e: e - b), F.lit(0).cast("long"), lambda s, x: s + x)
+    return found.select(
+        "doc_id", F.col("repeat_words").alias("n_words"), removed.alias("n_removed"), F.sha2("repeat_kept", 256).alias("kept_sha256")
+    )
+
+
 def op10_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spherical.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -91,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash": op6_simhash,
     "op7_token_counts": op7_token_counts,
     "op8_quality": op8_quality,
+    "op9_relative_lz": op9_relative_lz,
     "op10_spherical_caps": op10_spherical_caps,
 }
 

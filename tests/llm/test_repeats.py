@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from sluice.llm import fragments, queries, suffix_levels
+from sluice.llm import fragments, queries, relative_lz, suffix_levels
 
 SF = "/root/testdata/sf0.01"
 
@@ -96,3 +96,47 @@ def test_registered_bytes(spark):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (
             len(raw), int(mask.sum()), len(spans(mask)[0]), hashlib.sha256(kept).hexdigest()
         )
+
+
+@pytest.mark.parametrize("block", [7, 8192])
+def test_words_on_odd_texts(spark, block, monkeypatch):
+    rows = odd_texts(3)
+    docs = spark.createDataFrame([(i, t, "x", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, id string, tag long").repartition(5)
+    got = {r.tag: r for r in relative_lz.remove_repeats(docs).collect()}
+    words = [(t or "").encode().split() for _, t in rows]
+    assert len(got) == len(rows)
+    for k, mask in enumerate(brute([(i, tuple(w)) for (i, _), w in zip(rows, words, strict=True)], 13)):
+        assert (got[k].repeat_begins, got[k].repeat_ends, got[k].repeat_words) == (*spans(mask), len(words[k])), rows[k]
+        assert got[k].repeat_kept == b" ".join(w for w, m in zip(words[k], mask, strict=True) if not m).decode()
+    assert relative_lz.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_parsing_against_many_small_blocks(monkeypatch):
+    """The matcher alone, with blocks of few stretches, so that most matches lie in earlier blocks."""
+    monkeypatch.setattr(relative_lz, "BLOCK_STRETCHES", 5)
+    rng = np.random.default_rng(2)
+    pool = [" ".join(rng.choice(list("abcdefgh"), 22)) for _ in range(12)]
+    texts = []
+    for _ in range(120):
+        a, b = pool[rng.integers(12)].split(), pool[rng.integers(12)].split()
+        cut = int(rng.integers(0, 22))
+        texts.append(a[:cut] + b[cut:])
+    sizes = np.array([len(" ".join(t)) + 1 for t in texts])
+    data = np.frombuffer(("".join(" ".join(t) + " " for t in texts)).encode(), np.uint8)
+    n = len(texts)
+    monkeypatch.setattr(relative_lz, "candidates", lambda f, c, p: np.ones(len(f.doc), bool))
+    frags = fragments.Fragments(np.arange(n), np.zeros(n, int), np.full(n, 22), np.cumsum(sizes) - sizes, sizes, data)
+    got = set(zip(*(x.tolist() for x in relative_lz.match(frags)), strict=True))
+    first = {}
+    for i, t in enumerate(texts):
+        for k in range(10):
+            first.setdefault(tuple(t[k : k + 13]), i)
+    assert got == {(i, k) for i, t in enumerate(texts) for k in range(10) if first[tuple(t[k : k + 13])] < i}
+
+
+def test_registered_words(spark):
+    rows = [(r.doc_id, tuple((r.text or "").encode().split())) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = {r.doc_id: r for r in queries.op9_relative_lz(spark, SF).collect()}
+    for (i, words), mask in zip(rows, brute(rows, 13), strict=True):
+        kept = b" ".join(w for w, m in zip(words, mask, strict=True) if not m)
+        assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (len(words), int(mask.sum()), hashlib.sha256(kept).hexdigest())
