@@ -94,6 +94,17 @@ def match(frags: Fragments) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate([none, *c]) for c in zip(*found, strict=True)) if found else (none, none)
 
 
+@F.pandas_udf(T.StringType())
+def kept_text(texts: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.Series:
+    """A text without the given runs of bytes; characters of which only a part is left go too."""
+    out = []
+    for t, b, e in zip(texts, begins, ends, strict=True):
+        raw = (t or "").encode()
+        edges = [0, *(x for pair in zip(b, e, strict=True) for x in pair), len(raw)]
+        out.append("".join(raw[edges[k] : edges[k + 1]].decode("utf-8", "ignore") for k in range(0, len(edges), 2)))
+    return pd.Series(out)
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` with ``repeat_begins`` and ``repeat_ends`` (array<long>) and ``repeat_kept`` (binary).
 

@@ -90,17 +90,24 @@ def test_registered(spark):
     assert got == expected(rows)
 
 
-def test_near_copies_by_several_rounds(spark):
+def test_similar_documents(spark):
+    """Near copies at the threshold are found, less similar texts are left apart, chains of copies hang together."""
     rng = random.Random(2)
-    vocabulary = [f"v{i}" for i in range(500)]
-    rows = []
-    for k in range(40):
-        words = rng.choices(vocabulary, k=400)
-        rows.append((2 * k, " ".join(words)))
-        for _ in range(3):
-            words[rng.randrange(400)] = "changed"
-        rows.append((2 * k + 1, " ".join(words)))
+    vocabulary = [f"v{i}" for i in range(2000)]
+    rows, near, far = [], [], []
+    for k in range(120):
+        words = rng.choices(vocabulary, k=500)
+        rows.append((3 * k, " ".join(words)))
+        for step, (changes, found) in enumerate(((9, near), (55, far)), 1):
+            other = list(words)
+            for place in rng.sample(range(100), changes) if changes > 20 else range(7, 500, 500 // changes):
+                other[place * (5 if changes > 20 else 1)] = f"changed{step}"
+            rows.append((3 * k + step, " ".join(other)))
+            found.append((3 * k, 3 * k + step))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, words=5, rounds=16, verify=0.165).collect()}
-    assert all(got[2 * k] == 2 * k for k in range(40))
-    assert sum(got[2 * k + 1] == 2 * k for k in range(40)) >= 39
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    assert sum(got[b] == got[a] for a, b in near) >= 0.95 * len(near)
+    assert sum(got[b] == got[a] for a, b in far) <= 0.05 * len(far)
+    copies = [(i, " ".join(f"w{j}" if j != i % 90 else "x" for j in range(300))) for i in range(400)]
+    got = simhash.similar_documents(spark.createDataFrame(copies, "doc_id long, text string"))
+    assert {r.component_id for r in got.collect()} == {0}
