@@ -25,6 +25,15 @@ TUPLE = rf"""\((?:{_ATOM}|[^'"()]++|{_PARENS_2})*+\)"""
 #: what must be skipped while looking for an open literal
 SKIP_TOKENS = rf"""(?s){QUOTED}|{DOUBLE_QUOTED}|--[^\n]*+|/\*.*?\*/"""
 
+#: one operand of a text expression: a literal, N'..', q'[..]', CHR(n), TO_CLOB('..'), EMPTY_CLOB()
+TEXT_TERM = rf"""(?is)(?:N?+{QUOTED}|Q'\[[^'\]]*+\]'|N?CHR\s*+\(\s*+\d++\s*+\)|TO_N?CLOB\s*+\(\s*+{QUOTED}\s*+\)|EMPTY_[BC]LOB\s*+\(\s*+\))"""
+#: operands joined by ``||``
+TEXT_EXPRESSION = rf"""(?is)\A\s*+{TEXT_TERM[5:]}(?:\s*+\|\|\s*+{TEXT_TERM[5:]})*+\s*+\z"""
+#: what starts like an expression and must be looked at
+_MAYBE_EXPRESSION = r"(?i)\A(?:N'|Q'|N?CHR\s*+\(|TO_N?CLOB\s*+\(|EMPTY_[BC]LOB)"
+#: a call, other than those that have a meaning here
+_CALL = r"(?is)\A(?!(?:TO_DATE|TO_TIMESTAMP|HEXTORAW)\s*+\()[A-Z_][\w$#.]*+\s*+\(.*\)\z"
+
 BLANKS = " \t\r\n"
 
 # Date mask elements of the dump dialect and the datetime pattern letters they stand for, in the
@@ -70,6 +79,34 @@ def unquote(c: Column) -> Column:
     return F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.repeat(mark, F.lit(2)), mark)
 
 
+def is_text_expression(c: Column) -> Column:
+    """Literals joined by ``||``, N'..', CHR(n) and the like; a plain literal may pass too."""
+    return (F.contains(c, F.lit("||")) | c.rlike(_MAYBE_EXPRESSION)) & c.rlike(TEXT_EXPRESSION)
+
+
+def text_of_expression(c: Column) -> Column:
+    """The text that an expression of ``is_text_expression`` stands for."""
+
+    def term(t: Column) -> Column:
+        inner = F.regexp_extract(t, rf"(?s)({QUOTED})", 1)
+        return (
+            F.when(t.rlike(r"(?i)\AN?CHR"), F.decode(F.unhex(F.lpad(F.hex(F.regexp_extract(t, r"(\d+)", 1).cast("int")), 8, "0")), "UTF-32"))
+            .when(t.rlike(r"(?i)\AQ'"), F.substring(t, F.lit(4), F.length(t) - 5))
+            .when(inner == "", F.lit(""))
+            .otherwise(unquote(inner))
+        )
+
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(TEXT_TERM), F.lit(0)), term), "")
+
+
+def is_unsupported(c: Column) -> Column:
+    """No literal: an expression that is not understood, or a call of some other function."""
+    starts_quoted = c.startswith("'")
+    plain = c.rlike(rf"(?s)\A{QUOTED}\z")
+    odd = (starts_quoted & ~plain) | (F.contains(c, F.lit("||")) & ~is_quoted(c)) | c.rlike(_CALL)
+    return F.coalesce(odd & ~is_text_expression(c), F.lit(False))
+
+
 def is_null_literal(c: Column) -> Column:
     """Bare NULL in any case; ``'NULL'`` is a string and stays one."""
     return (F.length(c) == 4) & (F.upper(c) == "NULL")
@@ -108,7 +145,7 @@ def to_timestamp_value(text: Column, mask: Column) -> Column:
 
 def to_text_value(c: Column) -> Column:
     """Raw literal -> string. Date calls give their date text, numbers their digits."""
-    return F.when(is_quoted(c), unquote(c)).when(~is_null_literal(c), F.regexp_replace(c, _ANY_DATE, "$1"))
+    return F.when(is_text_expression(c), text_of_expression(c)).when(is_quoted(c), unquote(c)).when(~is_null_literal(c), F.regexp_replace(c, _ANY_DATE, "$1"))
 
 
 def is_temporal(dtype: T.DataType) -> bool:

@@ -21,9 +21,12 @@ CLIENT_COMMANDS = [
 # Typographic quotes and full-width punctuation and their ASCII forms, position by position.
 WIDE_FORMS = "‘’“”「」『』，。：；（）"
 ASCII_FORMS = "''" + '""""""' + ",.:;()"
-# Schema owner removed from qualified names unless the caller names others.
-DEFAULT_OWNERS = ("EMR_HIS",)
+#: schema owners removed from qualified names; a caller names those of its dumps
+DEFAULT_OWNERS: tuple[str, ...] = ()
+#: an identifier, bare or quoted
+NAME = r"""(?:"[^"]++"|`[^`]++`|\[[^\]]++\]|(?U:[\w$#]++))"""
 
+# Control characters that no line of a dump means.
 CONTROL_CHARS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 CJK = r"[\x{4e00}-\x{9fff}]"
 
@@ -36,11 +39,14 @@ def _starts_with_any(line: Column, prefixes: Sequence[str]) -> Column:
     return line.rlike("^(?:" + "|".join(_escape(p) for p in prefixes) + ")")
 
 
-#: comment, directive and blank lines in front of a statement
+#: prefixes of lines that are noise to their end, whatever they hold
+_WHOLE_LINES = ("--", "*/", "PROMPT", "REM ")
+#: comment, directive and blank lines in front of a statement; a directive ends at its ``;``, free text at its line end
 _LEADING_NOISE = (
-    r"(?i)\A(?:[ \t\r]*+(?:(?:"
-    + "|".join(_escape(p) for p in CLIENT_LINE_PREFIXES if p not in ("COMMIT;", "/*"))
-    + r"|COMMIT\b|@|DEFINE |UNDEFINE |COLUMN |TTITLE |BTITLE |BREAK |COMPUTE )[^\n]*+|/\*(?s:.*?)\*/|)(?:\n|\z))++"
+    r"(?i)\A(?:[ \t\r]*+(?:(?:" + "|".join(_escape(p) for p in _WHOLE_LINES) + r")[^\n]*+(?:\n|\z)|(?:"
+    + "|".join(_escape(p) for p in CLIENT_LINE_PREFIXES if p not in (*_WHOLE_LINES, "COMMIT;", "/*"))
+    + r"|COMMIT\b|@|DEFINE |UNDEFINE |COLUMN |TTITLE |BTITLE |BREAK |COMPUTE )[^\n;]*+(?:;|\n|\z)"
+    + r"|/\*(?s:.*?)\*/(?:\n|\z)|(?:\n|\z)))++"
 )
 
 
@@ -82,7 +88,7 @@ def strip_comments(text: Column) -> Column:
 def _insert_head(owners: Sequence[str]) -> str:
     """Pattern of ``INSERT INTO`` and every qualifier in front of the table name."""
     named = "|".join(rf"\[{o}\]\s*+\.?+\s*+|{o}\s*+\.\s*+" for o in owners)
-    qualifier = r"""["`\[]?+(?U:\w++)["`\]]?+\s*+\.\s*+"""
+    qualifier = rf"{NAME}\s*+\.\s*+"
     return rf"(?i)\A\s*+INSERT\s++INTO\s++(?:{named + '|' if owners else ''}{qualifier})*+"
 
 
@@ -106,8 +112,8 @@ def has_insert_format(text: Column) -> Column:
 
 def insert_table_name(stmt: Column, owners: Sequence[str] = DEFAULT_OWNERS) -> Column:
     """Target table of an INSERT, bare or quoted, without qualifier; NULL when there is none."""
-    pattern = _insert_head(owners) + r"""(["`]?)((?U:\w++))\1\s*+(?:\(|\bVALUES\b)"""
-    return F.nullif(F.regexp_extract(stmt, pattern, 2), F.lit(""))
+    pattern = _insert_head(owners) + rf"({NAME})\s*+(?:\(|(?:VALUES|SELECT|WITH)\b)"
+    return F.nullif(F.btrim(F.regexp_extract(stmt, pattern, 1), F.lit('"`[]')), F.lit(""))
 
 
 def file_table_name(path: Column) -> Column:
@@ -119,7 +125,7 @@ def file_table_name(path: Column) -> Column:
 
 def insert_columns(stmt: Column) -> Column:
     """Column list of the INSERT as an array, empty when the statement names none."""
-    listed = F.regexp_extract(stmt, r"(?i)\A\s*+INSERT\s++INTO\s++[^\s(]++\s*+\(([^)]*+)\)\s*+VALUES\b", 1)
+    listed = F.regexp_extract(stmt, r"""(?i)\A\s*+INSERT\s++INTO\s++(?:"[^"]*+"|`[^`]*+`|[^\s("`]++)++\s*+\(([^)]*+)\)\s*+VALUES\b""", 1)
     names = F.transform(F.split(listed, ","), lambda x: F.btrim(x, F.lit(BLANKS + '"`')))
     return F.when(listed == "", F.array().cast("array<string>")).otherwise(names)
 

@@ -61,12 +61,22 @@ def _described(values: DataFrame) -> DataFrame:
     )
 
 
-def profile_values(values: DataFrame, text_stats: bool = True) -> DataFrame:
+def _of_majority(per_list: DataFrame) -> DataFrame:
+    """Positions that statements without column list have in most of their tuples; a stray longer tuple adds none."""
+    own = Window.partitionBy("table_name", "listed").orderBy("pos")
+    exactly = F.col("n") - F.coalesce(F.lead("n").over(own), F.lit(0))
+    counted = per_list.withColumn("__exact", F.struct(exactly.alias("tuples"), F.col("pos").alias("arity")))
+    usual = F.max("__exact").over(Window.partitionBy("table_name", "listed"))
+    return counted.withColumn("__usual", usual).filter((F.col("listed") != "") | (F.col("pos") <= F.col("__usual.arity"))).drop("__exact", "__usual")
+
+
+def profile_values(values: DataFrame, text_stats: bool = True, usual_arity: bool = False) -> DataFrame:
     """One row per table and column.
 
     Values are first summed up per column list and position (partial sums before the shuffle), then the few
     results are put under their column names: by the list, or ``c<pos>`` where the statement has none.
-    ``text_stats`` adds least and greatest text and a distinct estimate, whose states are wider.
+    ``text_stats`` adds least and greatest text and a distinct estimate, whose states are wider. ``usual_arity`` leaves
+    out positions beyond the most frequent length of a table's tuples.
     """
     kinds = {"n_null": ["null"], "n_int": ["int"], "n_dec": ["int", "dec"], "n_float": ["int", "dec", "float"],
              "n_date": ["date"], "n_stamp": ["date", "stamp"]}
@@ -78,6 +88,7 @@ def profile_values(values: DataFrame, text_stats: bool = True) -> DataFrame:
         *[F.max(c).alias(c) for c in ("int_digits", "scale", "magnitude")],
         *(texts if text_stats else []),
     )
+    per_list = _of_majority(per_list) if usual_arity else per_list
     texts = [F.min("min_text").alias("min_text"), F.max("max_text").alias("max_text"),
              F.hll_sketch_estimate(F.hll_union_agg("distinct")).alias("approx_distinct")]
     return per_list.withColumn("column_name", _column_name()).groupBy("table_name", "column_name").agg(
@@ -121,12 +132,11 @@ def infer_types(profile: DataFrame, tolerance: float = 0.0) -> DataFrame:
         F.when(F.coalesce(F.col("magnitude") <= INT_MAX, F.lit(False)) & (F.col("int_digits") <= 10), "INT")
         .when(F.coalesce(F.col("magnitude") <= BIGINT_MAX, F.lit(False)) & (F.col("int_digits") <= 19), "BIGINT")
         .when(F.col("int_digits") <= MAX_DECIMAL, F.concat(F.lit("DECIMAL("), F.col("int_digits"), F.lit(",0)")))
-        .otherwise("DOUBLE")
     )
     precision = F.col("int_digits") + F.col("scale")
     decimal = F.when(
         precision <= MAX_DECIMAL, F.concat(F.lit("DECIMAL("), precision, F.lit(","), F.col("scale"), F.lit(")"))
-    ).otherwise("DOUBLE")
+    )
     text = F.when(
         F.col("max_len") <= MAX_VARCHAR, F.concat(F.lit("VARCHAR("), F.greatest("max_len", F.lit(1)), F.lit(")"))
     ).otherwise("TEXT")
@@ -134,8 +144,11 @@ def infer_types(profile: DataFrame, tolerance: float = 0.0) -> DataFrame:
               ("n_stamp", F.lit("TIMESTAMP"))]
     sql_type, share = F.when(F.lit(False), F.lit("")), F.when(F.lit(False), F.lit(1.0))
     for column, name in ladder:
-        sql_type = sql_type.when(fits(column), name)
-        share = share.when(fits(column), F.col(column) / held)
+        # numbers of more digits than a decimal holds stay text, which keeps all of them
+        taken = fits(column) & (name.isNotNull() if column in ("n_int", "n_dec") else F.lit(True))
+        taken = taken & ~(fits("n_dec") & decimal.isNull()) if column == "n_float" else taken
+        sql_type = sql_type.when(taken, name)
+        share = share.when(taken, F.col(column) / held)
     return profile.select(
         "table_name", "pos", "column_name", sql_type.otherwise(text).alias("sql_type"),
         share.otherwise(F.lit(1.0)).alias("confidence"),
@@ -144,7 +157,7 @@ def infer_types(profile: DataFrame, tolerance: float = 0.0) -> DataFrame:
 
 def infer_schema(stmts: DataFrame, tolerance: float = 0.0) -> DataFrame:
     """INSERT statements -> ``table_name, pos, column_name, sql_type, confidence``."""
-    return infer_types(profile_values(named_values(stmts), text_stats=False), tolerance)
+    return infer_types(profile_values(named_values(stmts), text_stats=False, usual_arity=True), tolerance)
 
 
 def fallback_schema(tables: DataFrame, kind: str = "text") -> DataFrame:

@@ -23,9 +23,11 @@ def content_fingerprint(df: DataFrame, table_name: str) -> DataFrame:
 
 
 def content_difference(source: DataFrame, target: DataFrame) -> DataFrame:
-    """Rows of either side the other lacks, duplicates counted."""
-    missing = source.exceptAll(target).withColumn("side", F.lit("source_only"))
-    return missing.unionByName(target.exceptAll(source).withColumn("side", F.lit("target_only")))
+    """Rows of either side the other lacks, duplicates counted. One aggregation: source rows count 1, target rows -1."""
+    both = source.withColumn("__n", F.lit(1)).unionByName(target.withColumn("__n", F.lit(-1)))
+    left = both.groupBy(*source.columns).agg(F.sum("__n").alias("__n")).filter(F.col("__n") != 0)
+    side = F.when(F.col("__n") > 0, "source_only").otherwise("target_only")
+    return left.select(*source.columns, side.alias("side"), F.explode(F.array_repeat(F.lit(1), F.abs("__n").cast("int"))).alias("__n")).drop("__n")
 
 
 def table_info(df: DataFrame, table_name: str) -> DataFrame:

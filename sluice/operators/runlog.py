@@ -16,6 +16,8 @@ TASK_STATES = [
     "pending", "parsing", "inferring", "waiting_confirmation", "ddl_confirmed", "importing", "completed", "failed",
     "cancelled",
 ]
+# States a task does not leave.
+TERMINAL_STATES = ["completed", "failed", "cancelled"]
 # State -> event sent to whoever follows the task; other states send none.
 STATE_EVENTS = [
     ("waiting_confirmation", "schema_inferred"),
@@ -50,6 +52,13 @@ def import_summary(log: DataFrame) -> DataFrame:
     )
 
 
+def latest_attempts(log: DataFrame) -> DataFrame:
+    """One row per task: its latest attempt, a completed one if there is any. Earlier failures no longer count."""
+    newest = F.struct((F.col("status") == "completed").alias("done"), "ts")
+    row = F.struct(*[F.col(c) for c in log.columns])
+    return log.groupBy("task_id").agg(F.max_by(row, newest).alias("r")).select("r.*")
+
+
 def import_errors(log: DataFrame) -> DataFrame:
     """Every error as a row: a table with millions of them must not become one list in one task."""
     return log.filter("status <> 'completed'").select("table_name", "task_id", "error_message")
@@ -115,9 +124,10 @@ def status_overview(latest: DataFrame) -> DataFrame:
 
 
 def task_duration(log: DataFrame) -> DataFrame:
-    """Seconds from the first event of a task to its last."""
-    return log.groupBy("task_id").agg(F.min("ts").alias("created_at"), F.max("ts").alias("last_at")).withColumn(
-        "seconds", F.timestamp_diff("MICROSECOND", "created_at", "last_at") / F.lit(1e6))
+    """Seconds from the first event of a task to its first terminal one; NULL while there is none."""
+    ended = F.min(F.when(F.col("status").isin(*TERMINAL_STATES), F.col("ts")))
+    return log.groupBy("task_id").agg(F.min("ts").alias("created_at"), ended.alias("ended_at")).withColumn(
+        "seconds", F.timestamp_diff("MICROSECOND", "created_at", "ended_at") / F.lit(1e6))
 
 
 def drop_cancelled(log: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 import uuid
 from dataclasses import dataclass
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 
 from sluice.functions.scale import broadcast_if_small, materialise
 from sluice.operators.chunks import pending_chunks
+from sluice.operators.runlog import latest_attempts
 from sluice.operators.values import good_rows, rejected_rows, typed_rows
 
 LEDGER_SCHEMA = (
@@ -64,9 +66,10 @@ def append_jdbc(df: DataFrame, url: str, table: str, batch_rows: int = 1000, con
                 properties: dict[str, str] | None = None) -> None:
     """Batch insert into another database: one connection and transaction per partition, rows in batches.
 
-    ``connections`` bounds what the target must bear; ``coalesce`` keeps that from costing a shuffle.
+    ``connections`` bounds what the target must bear. The rows are shuffled to as many tasks, so that scan and parse
+    before it keep all of theirs.
     """
-    df.coalesce(connections).write.option("batchsize", batch_rows).jdbc(url, table, "append", properties or {})
+    df.repartition(connections).write.option("batchsize", batch_rows).jdbc(url, table, "append", properties or {})
 
 
 # ---- chunk-tracked load ----------------------------------------------------------------------------------
@@ -78,17 +81,22 @@ class LoadTarget:
     root: str
     table: str
 
+    @property
+    def folder(self) -> str:
+        """The table's name; characters that a path cannot hold are written as _ and their code."""
+        return re.sub(r"[^\w$#. -]", lambda m: f"_{ord(m.group()):x}_", self.table)
+
     @property
     def data(self) -> str:
-        return f"{self.root}/{self.table}/data"
+        return f"{self.root}/{self.folder}/data"
 
     @property
     def rejects(self) -> str:
-        return f"{self.root}/{self.table}/rejects"
+        return f"{self.root}/{self.folder}/rejects"
 
     @property
     def ledger(self) -> str:
-        return f"{self.root}/{self.table}/ledger"
+        return f"{self.root}/{self.folder}/ledger"
 
 
 def _read_or_none(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -161,7 +169,7 @@ def load_chunks(stmts: DataFrame, chunks: DataFrame, schema: T.StructType, targe
         if bad:
             _write_run(rejected_rows(rows, ORIGIN), rejects)
     except Exception as e:
-        _log(todo, target, run, "failed", time.time() - begun, str(e).split("\n")[0][:500], [])
+        _log(todo, target, run, "failed", time.time() - begun, str(e), [])
         raise
     counts = [_count_chunks(spark, data, "affected_rows")]
     if bad:
@@ -171,8 +179,9 @@ def load_chunks(stmts: DataFrame, chunks: DataFrame, schema: T.StructType, targe
 
 def _log(todo: DataFrame, target: LoadTarget, run: str, status: str, seconds: float, error: str | None,
          counts: list[DataFrame]) -> DataFrame:
-    """Ledger rows are written after the data of their chunks, all in one commit."""
-    out = todo
+    """Ledger rows are written after the data of their chunks, all in one commit. Chunks of a run are loaded side by
+    side, so each gets an equal share of its seconds: the rows of a run sum up to its time."""
+    out, share = todo, seconds / max(1, todo.count())
     for c in counts:
         out = out.join(c, _CHUNK_KEYS, "left")
     for name in ("affected_rows", "rejected_rows"):
@@ -180,7 +189,7 @@ def _log(todo: DataFrame, target: LoadTarget, run: str, status: str, seconds: fl
                              if name in out.columns else F.lit(0).cast("long"))
     rows = out.select(
         F.lit(target.table).alias("table_name"), F.lit(run).alias("run_id"), "file_path", "chunk_id",
-        F.lit(status).alias("status"), "affected_rows", "rejected_rows", F.lit(seconds).alias("seconds"),
+        F.lit(status).alias("status"), "affected_rows", "rejected_rows", F.lit(share).alias("seconds"),
         F.lit(error).cast("string").alias("error_message"), F.current_timestamp().alias("ts"),
     )
     rows.write.mode("append").parquet(target.ledger)
@@ -188,5 +197,5 @@ def _log(todo: DataFrame, target: LoadTarget, run: str, status: str, seconds: fl
 
 
 def batch_log(ledger: DataFrame) -> DataFrame:
-    """Ledger rows as the batch log the run analytics read."""
-    return ledger.withColumn("task_id", F.concat_ws("-", "table_name", F.hex(F.xxhash64("file_path")), "chunk_id"))
+    """Ledger rows as the batch log the run analytics read: the latest attempt of every chunk."""
+    return latest_attempts(ledger.withColumn("task_id", F.concat_ws("-", "table_name", F.hex(F.xxhash64("file_path")), "chunk_id")))

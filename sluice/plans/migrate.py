@@ -9,18 +9,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.functions.scale import materialise
-from sluice.functions.text import file_table_name, insert_table_name
+from sluice.functions.text import file_table_name, insert_table_name, is_insert
 from sluice.operators.profile import infer_schema as _infer_schema
-from sluice.operators.profile import render_ddl, struct_of
+from sluice.operators.profile import fallback_schema, render_ddl, struct_of
 from sluice.operators.runlog import file_outcomes, import_summary
 from sluice.operators.sampling import preview_statements
-from sluice.operators.values import with_table_names
+from sluice.operators.values import MISPLACED, with_table_names
 from sluice.plans.load import LoadTarget, batch_log, load_chunks, read_ledger
-from sluice.session import scratch
+from sluice.session import discard, scratch
+from sluice.sources.auto import dump_kinds, read_any
 from sluice.sources.dumps import CHUNK_BYTES, assemble, insert_statements, read_records, scan, to_statements
 from sluice.sources.manifest import ALLOWED_EXTENSIONS, admit, estimate_by_sample, head_statements, manifest
 
 Schema = T.StructType | str
+#: where statements are set aside that belong to no table of a load
+UNASSIGNED = "_unassigned"
 
 
 def infer_schema(stmts: DataFrame, tolerance: float = 0.0) -> DataFrame:
@@ -71,49 +74,102 @@ def plan_migration(spark: SparkSession, path: str | list[str], allowed_dirs: Seq
     )
 
 
+def _placed(stmts: DataFrame, table: str | None) -> DataFrame:
+    """Add ``table_name`` to every statement, so that each is loaded or set aside.
+
+    An INSERT whose name cannot be read belongs to ``table``, or to the table its file is named after. Statements that
+    are no INSERT, or that name another table than ``table``, go to ``UNASSIGNED``.
+    """
+    own = F.lit(table) if table else file_table_name(F.col("file_path"))
+    named = with_table_names(stmts)
+    name = F.coalesce("table_name", F.when(is_insert(F.col("stmt")), own), F.lit(UNASSIGNED))
+    return named.withColumn("table_name", F.when(name == table, name).otherwise(UNASSIGNED) if table else name)
+
+
+def _statements(
+    spark: SparkSession, path: str | list[str], separator: str | None, chunk_bytes: int, encoding: str | None
+) -> tuple[DataFrame, DataFrame]:
+    """Statements and chunks. Without a charset and a separator each file is read with its own."""
+    if separator is None and encoding is None:
+        kinds = dump_kinds(spark, path)
+        if any(k.encoding.startswith("utf-16") for k in kinds) or len(kinds) > 1:
+            stmts = read_any(spark, path, chunk_bytes)
+            return stmts, stmts.select("file_path", "chunk_id").distinct()
+        separator, encoding = kinds[0].separator, kinds[0].encoding
+    separator = separator or ";\n"
+    found = scan(read_records(spark, path, separator, chunk_bytes, encoding or "utf-8"), separator)
+    return to_statements(assemble(found)), found.splits.select("file_path", "chunk_id")
+
+
+def _generic_schema(spark: SparkSession, table: str) -> T.StructType:
+    """Schema of a table of which no tuple could be read: all its statements will be rejects."""
+    return schemas_of(fallback_schema(spark.createDataFrame([(table,)], "table_name string"), "generic"))[table]
+
+
 def migrate(
     spark: SparkSession,
     path: str | list[str],
     root: str,
     table: str | None = None,
     schemas: Schema | Mapping[str, Schema] | None = None,
-    separator: str = ";\n",
+    separator: str | None = None,
     chunk_bytes: int = CHUNK_BYTES,
-    encoding: str = "utf-8",
+    encoding: str | None = None,
     tolerance: float = 0.0,
+    stop_on_error: bool = True,
 ) -> DataFrame:
     """Load dump files into tables below ``root``; returns one summary row per table.
 
-    Dumps of several tables are first laid out by table, so each table's load reads its own statements only.
-    ``schemas`` (a StructType, DDL, or a mapping by table) overrides inference. Running it again loads what
-    the ledger does not hold.
+    Every statement is loaded or kept as a reject: with its table, or below ``UNASSIGNED`` where it has none. Dumps of
+    several tables are first laid out by table, so each table's load reads its own statements only. ``schemas`` (a
+    StructType, DDL, or a mapping by table) overrides inference; a table that neither covers gets the generic schema.
+    Charset and line end of each file are found from its head unless they are given. A table that fails does not keep
+    the others from being loaded; the first error is raised at the end unless ``stop_on_error`` is off, and the ledger
+    holds it either way. Running it again loads what the ledger does not hold.
     """
-    found = scan(read_records(spark, path, separator, chunk_bytes, encoding), separator)
-    chunks = found.splits.select("file_path", "chunk_id")
-    stmts = with_table_names(to_statements(assemble(found))).withColumn(
-        "table_name", F.coalesce("table_name", F.lit(table) if table else F.lit(None).cast("string")))
+    stmts, chunks = _statements(spark, path, separator, chunk_bytes, encoding)
+    staged_at = None
     if table is not None and schemas is not None:
-        tables = {table: stmts.filter(F.col("table_name") == table)}
+        # one pass: statements of other tables are told apart while the table is loaded
+        own = with_table_names(stmts)
+        stray = F.coalesce(F.col("table_name") != table, F.lit(False))
+        tables = {table: own.withColumn(MISPLACED, stray)}
     else:
         staged_at = scratch(spark, "by-table")
-        stmts.filter("table_name IS NOT NULL").write.partitionBy("table_name").parquet(staged_at)
-        staged = spark.read.option("spark.sql.sources.partitionColumnTypeInference.enabled", "false").parquet(staged_at)
-        staged = staged.withColumn("table_name", F.col("table_name").cast("string"))
+        stmts = _placed(stmts, table)
+        stmts.write.partitionBy("table_name").parquet(staged_at)
+        # with a schema given, names such as 007 are read as they are
+        columns = T.StructType([*[f for f in stmts.schema if f.name != "table_name"], T.StructField("table_name", T.StringType())])
+        staged = spark.read.schema(columns).parquet(staged_at)
         names = [r.table_name for r in staged.select("table_name").distinct().collect()]
-        tables = {n: staged.filter(F.col("table_name") == n) for n in names if table in (None, n)}
+        tables = {n: staged.filter(F.col("table_name") == n).withColumn(MISPLACED, F.lit(n == UNASSIGNED)) for n in names}
         if schemas is None:
-            schemas = schemas_of(infer_schema(staged, tolerance))
-    summary = None
-    for name, own in tables.items():
-        schema = as_struct(schemas[name] if isinstance(schemas, Mapping) else schemas)
-        target = LoadTarget(root, name)
-        load_chunks(own, _chunks_of(own, chunks, len(tables)), schema, target)
-        done = batch_log(read_ledger(spark, target))
-        one = import_summary(done).join(
-            done.groupBy("table_name").agg(F.sum("rejected_rows").alias("rejected_rows")), "table_name")
-        summary = one if summary is None else summary.unionByName(one)
+            schemas = schemas_of(infer_schema(staged.filter(F.col("table_name") != UNASSIGNED), tolerance))
+    summary, errors = None, []
+    try:
+        for name, own in tables.items():
+            if name == UNASSIGNED:
+                schema = T.StructType([])
+            elif isinstance(schemas, Mapping):
+                schema = as_struct(schemas[name]) if name in schemas else _generic_schema(spark, name)
+            else:
+                schema = as_struct(schemas)
+            target = LoadTarget(root, name)
+            try:
+                load_chunks(own, _chunks_of(own, chunks, len(tables)), schema, target)
+            except Exception as e:  # the ledger holds it; the other tables go on
+                errors.append(e)
+            done = batch_log(read_ledger(spark, target))
+            one = import_summary(done).join(
+                done.groupBy("table_name").agg(F.sum("rejected_rows").alias("rejected_rows")), "table_name")
+            summary = one if summary is None else summary.unionByName(one)
+    finally:
+        if staged_at is not None:
+            discard(spark, staged_at)
+    if errors and stop_on_error:
+        raise errors[0]
     if summary is None:
-        raise ValueError(f"no INSERT statement names a table in {path}")
+        raise ValueError(f"no statement in {path}")
     return summary
 
 
@@ -124,9 +180,9 @@ def _chunks_of(own: DataFrame, chunks: DataFrame, n_tables: int) -> DataFrame:
 
 def migrate_files(spark: SparkSession, path: str | list[str], root: str, **options) -> DataFrame:
     """Load many files in one go: ``file_path, success`` per file."""
-    tables = [r.table_name for r in migrate(spark, path, root, **options).select("table_name").collect()]
+    tables = [r.table_name for r in migrate(spark, path, root, stop_on_error=False, **options).select("table_name").collect()]
     logs = [read_ledger(spark, LoadTarget(root, t)) for t in tables]
     log = logs[0]
     for other in logs[1:]:
         log = log.unionByName(other)
-    return file_outcomes(log)
+    return file_outcomes(batch_log(log))

@@ -98,7 +98,7 @@ SELECT p_partkey, 'CREATE TABLE part_' || p_partkey || ' ( id NUMERIC(10) PRIMAR
   || '), price NUMERIC(10,2), made TIMESTAMP, note TEXT, weight DOUBLE PRECISION) ;' AS ddl FROM part"""
 ORACLES["ddl_valid"] = """
 SELECT p_partkey, CASE WHEN p_type = 'ECONOMY' THEN 0 ELSE 1 END AS ok,
-  CASE p_type WHEN 'ECONOMY' THEN 'EMR_HIS' WHEN 'STANDARD' THEN 't_x' ELSE 'part_' || p_partkey END AS name FROM part"""
+  CASE p_type WHEN 'ECONOMY' THEN 'APP_OWNER' WHEN 'STANDARD' THEN 't_x' ELSE 'part_' || p_partkey END AS name FROM part"""
 ORACLES["ddl_extract"] = """
 SELECT conv_id, turn, CASE turn WHEN 0 THEN c WHEN 1 THEN c || ';' WHEN 2 THEN c || ';' ELSE '' END AS ddl
 FROM (SELECT conv_id, turn, 'CREATE TABLE t_' || conv_id || ' (id INT, turn_' || turn || ' INT)' AS c FROM conversations)"""
@@ -272,8 +272,10 @@ SELECT task_id, status, CASE status WHEN 'waiting_confirmation' THEN 'schema_inf
   WHEN 'completed' THEN 'import_completed' WHEN 'failed' THEN 'task_failed' END AS event FROM ({_LATEST})
 WHERE status IN ('waiting_confirmation', 'importing', 'completed', 'failed')"""
 ORACLES["status_overview"] = f"SELECT status, count(*) AS n_tasks FROM ({_LATEST}) GROUP BY status"
-ORACLES["task_duration"] = """
-SELECT user_id AS task_id, date_diff('microsecond', min(ts), max(ts)) / 1e6 AS seconds FROM events GROUP BY 1"""
+ORACLES["task_duration"] = f"""
+WITH t AS ({_TASKS}) SELECT task_id,
+  date_diff('microsecond', min(ts), min(CASE WHEN status IN ('completed', 'failed', 'cancelled') THEN ts END)) / 1e6 AS seconds
+FROM t GROUP BY 1"""
 ORACLES["drop_cancelled"] = f"""
 WITH t AS ({_TASKS}) SELECT task_id, event_id, status FROM t
 WHERE NOT EXISTS (SELECT 1 FROM t c WHERE c.task_id = t.task_id AND c.status = 'cancelled')"""

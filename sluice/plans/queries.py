@@ -18,6 +18,10 @@ from sluice.streaming import ingest, status
 NL = "\n"
 
 
+#: schema owner in the rendered dumps
+OWNERS = ("APP_OWNER",)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -95,12 +99,12 @@ def line_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stmt_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    owner = F.when(F.col("o_orderstatus") == "F", "EMR_HIS.orders").when(
-        F.col("o_orderstatus") == "P", "[EMR_HIS].orders").otherwise("mydb.orders")
+    owner = F.when(F.col("o_orderstatus") == "F", "APP_OWNER.orders").when(
+        F.col("o_orderstatus") == "P", "[APP_OWNER].orders").otherwise("mydb.orders")
     command = F.when(F.col("o_orderpriority") == "1-URGENT", "DEFINE x = 1").when(
         F.col("o_orderpriority") == "2-HIGH", "SELECT 1 FROM dual").otherwise(insert_text(o, owner))
     raw = o.select("o_orderkey", F.concat(F.lit("  "), command, F.lit(" ;")).alias("stmt"))
-    return raw.select("o_orderkey", text.clean_statement(F.col("stmt")).alias("stmt")).filter("stmt IS NOT NULL")
+    return raw.select("o_orderkey", text.clean_statement(F.col("stmt"), OWNERS).alias("stmt")).filter("stmt IS NOT NULL")
 
 
 def format_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,25 +161,25 @@ def date_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _part_ddl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One dirty CREATE TABLE script per part."""
     script = F.concat(
-        F.lit("USE shop;\nCREATE TABLE EMR_HIS.part_"), F.col("p_partkey"),
+        F.lit("USE shop;\nCREATE TABLE APP_OWNER.part_"), F.col("p_partkey"),
         F.lit(" (\n  id NUMBER(10) PRIMARY KEY,\n  size_no INT,\n  name VARCHAR2("), F.col("p_size"),
         F.lit(" CHAR),\n  price NUMBER(10, 2),\n  made DATETIME,\n  note CLOB,\n  weight DOUBLE,\n) ENGINE=InnoDB DEFAULT CHARSET=utf8;"))
     return table(spark, sf_dir, "part").select("p_partkey", script.alias("script"))
 
 
 def ddl_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _part_ddl(spark, sf_dir).select("p_partkey", ddl.clean_ddl(F.col("script")).alias("ddl"))
+    return _part_ddl(spark, sf_dir).select("p_partkey", ddl.clean_ddl(F.col("script"), OWNERS).alias("ddl"))
 
 
 def ddl_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = _part_ddl(spark, sf_dir).select("p_partkey", ddl.clean_ddl(F.col("script")).alias("c"))
+    cleaned = _part_ddl(spark, sf_dir).select("p_partkey", ddl.clean_ddl(F.col("script"), OWNERS).alias("c"))
     return cleaned.select("p_partkey", ddl.convert_ddl(F.col("c")).alias("ddl"))
 
 
 def ddl_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _part_ddl(spark, sf_dir).join(table(spark, sf_dir, "part").select("p_partkey", "p_type"), "p_partkey")
     script = F.when(F.col("p_type") == "ECONOMY", F.col("script")).when(
-        F.col("p_type") == "STANDARD", "CREATE TABLE IF NOT EXISTS `t_x` (a INT)").otherwise(ddl.clean_ddl(F.col("script")))
+        F.col("p_type") == "STANDARD", "CREATE TABLE IF NOT EXISTS `t_x` (a INT)").otherwise(ddl.clean_ddl(F.col("script"), OWNERS))
     return c.select("p_partkey", ddl.is_valid_ddl(script).cast("int").alias("ok"), ddl.ddl_table_name(script).alias("name"))
 
 

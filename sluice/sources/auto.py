@@ -16,6 +16,14 @@ def describe_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return looked.withColumn("separator", separator_of(F.col("head"))).drop("head")
 
 
+def dump_kinds(spark: SparkSession, path: str | list[str]) -> list:
+    """The charsets and separators that occur: a handful of rows (encoding, separator), whatever the number of files."""
+    kinds = describe_files(spark, path).select("encoding", "separator").distinct().collect()
+    if not kinds:
+        raise ValueError(f"no files in {path}")
+    return kinds
+
+
 def read_any(spark: SparkSession, path: str | list[str], chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Statements of all files, each read in its own charset and with its own line ends.
 

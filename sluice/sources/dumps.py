@@ -22,8 +22,8 @@ from sluice.functions.text import is_insert, strip_comments, strip_leading_noise
 # Fixed value: default chunk of a load, 30 MB. Use 256 MB or more from a few TB up.
 CHUNK_BYTES = 30 * 1024 * 1024
 
-#: one statement of a record that holds several (``; `` + newline, two statements on CRLF lines)
-_PIECE = rf"""(?s)(?:{QUOTED}|{DOUBLE_QUOTED}|--[^\n]*+|/\*.*?\*/|[^;'"/-]++|;(?![ \t\r]*\n)|['"/-])++"""
+#: one statement of a record that holds several: a ``;`` outside literals and comments ends it
+_PIECE = rf"""(?s)(?:{QUOTED}|{DOUBLE_QUOTED}|--[^\n]*+|/\*.*?\*/|[^;'"/-]++|['"/-])++"""
 _SPLIT_KEY = ["file_path", "block_start"]
 
 
@@ -196,7 +196,7 @@ def assemble(found: DumpScan) -> DataFrame:
 def to_statements(whole: DataFrame) -> DataFrame:
     """Whole records -> statements: leading comments and directives off, inner ends split, comments out."""
     body = trim_end(strip_comments(strip_leading_noise(F.col("value"))))
-    several = F.col("body").rlike(r";[ \t\r]*\n")
+    several = F.contains("body", F.lit(";"))
     pieces = F.when(several, F.regexp_extract_all("body", F.lit(_PIECE), F.lit(0))).when(
         F.col("body") != "", F.array("body"))
     key = ["file_path", "block_start", "chunk_id", "ord"]

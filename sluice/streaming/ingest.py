@@ -7,16 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from sluice.operators.values import good_rows, rejected_rows, typed_rows
+from sluice.operators.values import MISPLACED, good_rows, rejected_rows, typed_rows, with_table_names
 from sluice.sources.dumps import (
-    CHUNK_BYTES, assemble, fixed_split_session, insert_statements, scan, to_statements,
+    CHUNK_BYTES, assemble, fixed_split_session, scan, to_statements,
 )
 
 
 def ingest_stream(spark: SparkSession, folder: str, schema: T.StructType, target: str, checkpoint: str,
-                  separator: str = ";\n", max_files: int = 1000, chunk_bytes: int = CHUNK_BYTES) -> StreamingQuery:
+                  separator: str = ";\n", max_files: int = 1000, chunk_bytes: int = CHUNK_BYTES,
+                  table: str | None = None) -> StreamingQuery:
     """Load every file that arrives in ``folder`` into ``target`` and stop when none is left.
 
+    With ``table``, statements that name another one are rejects; so is what is no INSERT.
+
     The folder of a batch is overwritten when the batch runs again, so a restart loads nothing twice.
     """
     arriving = (
@@ -30,10 +33,13 @@ def ingest_stream(spark: SparkSession, folder: str, schema: T.StructType, target
         records = batch.select(
             "file_path", "block_start", F.lit(batch_id).cast("long").alias("chunk_id"),
             F.monotonically_increasing_id().alias("ord"), "value")
-        rows = typed_rows(insert_statements(to_statements(assemble(scan(records, separator)))), schema, ["chunk_id"])
+        named = with_table_names(to_statements(assemble(scan(records, separator))))
+        stray = F.coalesce(F.col("table_name") != table, F.lit(False)) if table else F.lit(False)
+        rows = typed_rows(named.withColumn(MISPLACED, stray), schema, ["chunk_id"]).persist()
         for part, name in ((good_rows(rows), "data"), (rejected_rows(rows, ["chunk_id"]), "rejects")):
             part.withColumnRenamed("chunk_id", "batch_id").write.mode("overwrite").option(
                 "partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{target}/{name}")
+        rows.unpersist()
 
     return (
         arriving.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)

@@ -1,5 +1,7 @@
 """Loads: ledger, resume, rejects, catalog tables, JDBC, files and admission, run log, streams."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,7 +41,7 @@ def test_resume_loads_only_what_is_missing(spark, folder, monkeypatch):
     done = load.read_ledger(spark, target).filter("status = 'completed'")
     assert done.agg(F.sum("affected_rows")).first()[0] == 800
     assert done.select("file_path", "chunk_id").distinct().count() == done.count() > 4
-    assert summary.total_rows_imported == 800 and summary.failed_tasks > 0
+    assert summary.total_rows_imported == 800 and summary.failed_tasks == 0 and summary.success
 
 
 def test_rejects_are_kept_aside(spark, folder):
@@ -123,3 +125,41 @@ def test_summary_of_a_table_without_success(spark):
     log = spark.createDataFrame([("t", "1", "failed", 5, 0.0, "x")], "table_name string, task_id string, status string, affected_rows long, seconds double, error_message string")
     row = import_summary(log).first()
     assert (row.total_rows_imported, row.success, row.rows_per_second) == (0, False, 0.0)
+
+
+def test_every_statement_is_loaded_or_rejected(spark, folder):
+    """Odd names, other tables, no INSERT, unreadable tables, a stray longer tuple, two statements on a line."""
+    write(folder, "mixed.sql", (
+        "INSERT INTO \"my tab\" VALUES (1, 'a');\nINSERT INTO SYS$X.T#1 VALUES (2);\nINSERT INTO t2 SELECT * FROM x;\nDELETE FROM users;\n"
+        "INSERT INTO users VALUES (1,'a'); INSERT INTO users VALUES (2,'b');\nSET x; INSERT INTO users VALUES (3,'c');\n"
+        "INSERT INTO users VALUES (4,'d',9);\nINSERT INTO 007 VALUES (7);\nINSERT INTO users VALUES (5, 'a'||chr(10)||N'b');\n"
+        "INSERT INTO users VALUES (6, TO_CLOB('x')||EMPTY_CLOB());\nINSERT INTO users VALUES (8, UPPER('x'));\n"
+        "INSERT INTO users VALUES (12345678901, 'z');\n"
+    ))
+    root = folder + "/../mixed-" + folder.rsplit("/", 1)[-1]
+    summary = {r.table_name: (r.total_rows_imported, r.rejected_rows, r.success) for r in migrate(spark, folder, root).collect()}
+    assert summary == {"my tab": (1, 0, True), "T#1": (1, 0, True), "t2": (0, 1, True), "007": (1, 0, True), "users": (6, 2, True), "_unassigned": (0, 1, True)}
+    schema = as_struct("c1 bigint, c2 string")
+    rows = load.read_table(spark, load.LoadTarget(root, "users"), schema).collect()
+    assert sorted((r.c1, r.c2) for r in rows) == [(1, "a"), (2, "b"), (3, "c"), (5, "a\nb"), (6, "x"), (12345678901, "z")]
+    reasons = sorted(r.reason for r in load.read_rejects(spark, load.LoadTarget(root, "users")).collect())
+    assert reasons == ["arity_mismatch", "unsupported_expression:c2"]
+    one = migrate(spark, folder, root + "-one", "users", "c1 bigint, c2 string").first()
+    assert (one.total_rows_imported, one.rejected_rows) == (6, 7)
+
+
+def test_crlf_and_gbk_without_being_told(spark, folder):
+    body = "".join(f"INSERT INTO t VALUES ({i}, '中文测试数据{i}');\r\n" for i in range(300))
+    write(folder, "a.sql", body.encode("gbk"))
+    root = folder + "/../gbk-" + folder.rsplit("/", 1)[-1]
+    summary = migrate(spark, folder, root, chunk_bytes=4096).first()
+    assert (summary.total_rows_imported, summary.rejected_rows, summary.total_tasks > 1) == (300, 0, True)
+    rows = load.read_table(spark, load.LoadTarget(root, "t"), as_struct("c1 int, c2 string")).collect()
+    assert {r.c2 for r in rows} == {f"中文测试数据{i}" for i in range(300)}
+
+
+def test_times_of_a_run_add_up_to_its_time(spark, folder):
+    path = write(folder, "users.sql", USERS)
+    begun = time.time()
+    summary = migrate(spark, path, folder + "/out", "users", SCHEMA, chunk_bytes=1024).first()
+    assert summary.total_tasks > 3 and summary.total_execution_time <= time.time() - begun

@@ -101,8 +101,8 @@ def test_normalise_goldens(spark):
 
 
 def test_statement_text(spark):
-    assert one(spark, text.strip_insert_qualifier, "insert into EMR_HIS . t VALUES ('EMR_HIS.x')") == "INSERT INTO t VALUES ('EMR_HIS.x')"
-    assert one(spark, text.clean_statement, "INSERT INTO [EMR_HIS].t\n VALUES ('a  b',  1)") == "INSERT INTO t VALUES ('a  b', 1)"
+    assert one(spark, text.strip_insert_qualifier, "insert into APP_OWNER . t VALUES ('APP_OWNER.x')") == "INSERT INTO t VALUES ('APP_OWNER.x')"
+    assert one(spark, text.clean_statement, "INSERT INTO [APP_OWNER].t\n VALUES ('a  b',  1)") == "INSERT INTO t VALUES ('a  b', 1)"
     assert one(spark, text.clean_statement, "DEFINE x = 1") is None
     assert one(spark, text.insert_table_name, 'INSERT INTO db."客户" (a) VALUES (1)') == "客户"
     assert one(spark, text.file_table_name, "/data/a-b c.2024.sql") == "a_b_c_2024"
@@ -114,7 +114,7 @@ def test_statement_text(spark):
 
 
 def test_ddl_text(spark):
-    script = ("USE db; CREATE TABLE EMR_HIS.test_table (id NUMBER(10) PRIMARY KEY, name VARCHAR2(100) NOT NULL, created_date DATE,\n"
+    script = ("USE db; CREATE TABLE APP_OWNER.test_table (id NUMBER(10) PRIMARY KEY, name VARCHAR2(100) NOT NULL, created_date DATE,\n"
               " amount NUMBER(10,2), description CLOB) ENGINE=InnoDB;")
     clean = one(spark, ddl.clean_ddl, script)
     assert clean.startswith("CREATE TABLE test_table (id NUMBER(10)")
