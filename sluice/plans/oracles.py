@@ -232,6 +232,24 @@ SELECT 'arity_mismatch' AS reason, count(*) AS n, max('(' || {_VALUES} || ')') A
 UNION ALL SELECT 'bad_value:o_orderkey', count(*), max('(''x' || o_orderkey || ''', ' || {_REST} || ')') FROM orders WHERE o_orderpriority = '2-HIGH'
 UNION ALL SELECT 'not_insert', count(*), 'DELETE FROM orders;' FROM orders WHERE o_orderpriority = '5-LOW'"""
 
+ORACLES["migrate_mixed"] = """
+WITH k AS (SELECT o_orderkey % 6 AS kind, count(*) AS n FROM orders GROUP BY 1)
+SELECT 'mixed' AS table_name, sum(CASE kind WHEN 0 THEN 2 * n WHEN 1 THEN n ELSE 0 END)::BIGINT AS total_rows_imported,
+  sum(CASE kind WHEN 4 THEN n ELSE 0 END)::BIGINT AS rejected_rows, 1 AS success FROM k
+UNION ALL SELECT 'Odd $ name', n, 0, 1 FROM k WHERE kind = 2
+UNION ALL SELECT 'unread', 0, n, 1 FROM k WHERE kind = 5
+UNION ALL SELECT '_unassigned', 0, n, 1 FROM k WHERE kind = 3"""
+ORACLES["literal_expressions"] = """
+SELECT o_orderkey::BIGINT AS id, o_orderpriority AS word, NULL::VARCHAR AS reason FROM orders WHERE o_orderkey % 6 = 0
+UNION ALL SELECT -o_orderkey::BIGINT, o_orderpriority, NULL FROM orders WHERE o_orderkey % 6 = 0
+UNION ALL SELECT o_orderkey::BIGINT, 'a' || chr(10) || o_orderpriority, NULL FROM orders WHERE o_orderkey % 6 = 1
+UNION ALL SELECT o_orderkey::BIGINT, NULL, 'unsupported_expression:word' FROM orders WHERE o_orderkey % 6 = 4"""
+ORACLES["fallback_schema"] = " UNION ALL ".join([
+    *[f"SELECT 'orders' AS table_name, {i} AS pos, '{c}' AS column_name, 'TEXT' AS sql_type, CAST(0.3 AS DOUBLE) AS confidence, 'text' AS kind"
+      for i, (c, _) in enumerate(_COLUMNS["orders"], 1)],
+    *[f"SELECT 'orders', {i}, '{c}', '{t}', CAST(0.3 AS DOUBLE), 'generic'"
+      for i, (c, t) in enumerate((("id", "BIGINT"), ("data", "TEXT"), ("created_time", "TIMESTAMP")), 1)]])
+
 _LOG = """SELECT event_id AS task_id, 't_' || user_id AS table_name, ts, event_type <> 'error' AS ok, length(props) AS affected_rows,
   CAST(value AS DECIMAL(18,6)) AS seconds, props FROM events"""
 ORACLES["import_summary"] = f"""

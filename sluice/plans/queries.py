@@ -444,6 +444,45 @@ def rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values.rejected_rows(typed).groupBy("reason").agg(F.count("*").alias("n"), F.max("raw").alias("max_raw"))
 
 
+def _tricky_orders(spark: SparkSession, sf_dir: str) -> str:
+    """Orders of two columns, written in ways that a load must not lose: two on a line behind a directive, expressions,
+    quoted and odd names, another table's DELETE, a call that is no literal, and an INSERT without values."""
+    o = table(spark, sf_dir, "orders")
+    key, word = F.col("o_orderkey").cast("string"), F.col("o_orderpriority")
+    kinds = [
+        F.concat(F.lit("SET x; INSERT INTO mixed VALUES ("), key, F.lit(", '"), word, F.lit("'); INSERT INTO mixed VALUES (-"), key, F.lit(", '"), word, F.lit("')")),
+        F.concat(F.lit("INSERT INTO mixed VALUES ("), key, F.lit(", 'a' || CHR(10) || N'"), word, F.lit("')")),
+        F.concat(F.lit("INSERT INTO \"Odd $ name\" VALUES ("), key, F.lit(")")),
+        F.concat(F.lit("DELETE FROM mixed WHERE id = "), key),
+        F.concat(F.lit("INSERT INTO mixed VALUES ("), key, F.lit(", UPPER('"), word, F.lit("'))")),
+        F.concat(F.lit("INSERT INTO unread SELECT "), key, F.lit(" FROM dual")),
+    ]
+    line = F.get(F.array(*kinds), (F.col("o_orderkey") % len(kinds)).cast("int"))
+    return write_dump(o.select(line.alias("value")).repartition(3), scratch(spark, "dump-tricky"))
+
+
+def migrate_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every statement is loaded or rejected: one row per table, ``_unassigned`` included."""
+    return migrate.migrate(spark, _tricky_orders(spark, sf_dir), scratch(spark, "load")).select(
+        "table_name", "total_rows_imported", "rejected_rows", F.col("success").cast("int").alias("success"))
+
+
+def literal_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and rejects of one table whose texts are expressions."""
+    schema = migrate.as_struct("id bigint, word string")
+    stmts = dumps.read_statements(spark, _tricky_orders(spark, sf_dir))
+    own = stmts.filter(text.insert_table_name(F.col("stmt")) == "mixed")
+    typed = values.typed_rows(own, schema)
+    return typed.select("id", F.when(F.col("_reason").isNull(), F.col("word")).alias("word"), F.col("_reason").alias("reason"))
+
+
+def fallback_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lossless and the generic schema of a table whose types are not to be guessed."""
+    profiled = profile.profile_values(profile.named_values(_stmts(spark, sf_dir, "orders")), text_stats=False)
+    kinds = [profile.fallback_schema(profiled, k).withColumn("kind", F.lit(k)) for k in ("text", "generic")]
+    return kinds[0].unionByName(kinds[1])
+
+
 def dump_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stmts(spark, sf_dir, "orders", "o_orderkey")
 
@@ -566,7 +605,7 @@ QUERIES.update({
         ddl_clean, ddl_convert, ddl_valid, ddl_extract, head_sample, spread_sample, stmt_preview, row_estimate,
         density_estimate, chunk_bytes, batch_rows, quality_gate, encoding_detect, encoding_fallback, decode_text,
         column_profile, infer_types, ddl_render, override_schema, manifest_query, admit_files, load_table, load_append,
-        load_ledger, migrate_tables, table_info, reconcile_query, reconcile_content, resume_chunks, rejects, dump_export,
+        load_ledger, migrate_tables, migrate_mixed, literal_expressions, fallback_schema, table_info, reconcile_query, reconcile_content, resume_chunks, rejects, dump_export,
         import_summary, import_errors, progress_running, multi_file, file_outcomes, metrics_rollup, task_latest,
         status_events, status_overview, task_duration, drop_cancelled, stream_ingest, stream_status,
     )
