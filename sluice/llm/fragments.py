@@ -2,11 +2,17 @@
 
 A window is ``window`` consecutive symbols (bytes or words). Every window has an anchor, the run of ``anchor`` symbols in
 it with the smallest hash, and neighbouring windows mostly share it; the stretch that they cover together is a fragment.
-Equal windows have equal anchors, so fragments are dealt to buckets by the hash of their anchor and equal windows meet
-there, wherever they are. A fragment is about four times as long as what it stands for, and no text is compared with
-another that does not share an anchor. Copies inside a batch of a map task are settled there (a fragment that a smaller
-document of the batch has too is wholly covered and not sent), so a passage in a third of all documents reaches its bucket
-once a batch. Buckets travel as compressed blocks; what is found comes back as (doc, begin, end) in symbols.
+Equal windows have equal anchors, so it is enough to compare fragments that share one. Documents are dealt once into
+chunks by their id, and three passes read that one shuffle:
+
+1. Every chunk sends the hashes of its anchors, four bytes each, to the buckets of the hashes. A bucket answers each chunk
+   with one bit per hash: does another chunk have it too? Most fragments end here.
+2. Every chunk sends the others' bytes to their buckets. Copies inside a batch are settled at once (a fragment that a
+   smaller document of the batch has too is wholly covered and not sent), so a passage in a third of all documents
+   reaches its bucket once a batch. Buckets compare bytes (``match``).
+3. What was found comes back to its chunk, where the intervals of each document are united.
+
+No text is compared with another that does not share an anchor, and no bucket, chunk or document is cut short.
 """
 
 from __future__ import annotations
@@ -16,22 +22,21 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from sluice.functions.scale import materialise
+from pyspark.sql import types as T
 
 #: symbols worked on at once, and bytes of fragments held before they are packed
 BATCH_SYMBOLS = 1 << 21
 HELD_BYTES = 48 << 20
-#: bytes of text that a bucket stands for
-BUCKET_BYTES = 2 << 20
-LEAST_BUCKETS = 256
-BUCKETS_PER_TASK = 16
+#: bytes of text in a chunk, and behind the anchors of a bucket of the first pass
+CHUNK_BYTES = 4 << 20
+ANCHOR_BYTES = 64 << 20
+LEAST_CHUNKS = 256
+LEAST_BUCKETS = 64
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _POSITION_BITS = np.uint64(22)
@@ -158,6 +163,14 @@ def stretches(text: bytes, kind: Kind) -> Iterator[tuple[int, bytes]]:
             yield at, text[at : at + step + lap]
 
 
+def segments(values: np.ndarray) -> list[tuple[int, int]]:
+    """(begin, end) of the runs of equal values."""
+    if len(values) == 0:
+        return []
+    begins = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])).tolist()
+    return list(zip(begins, [*begins[1:], len(values)], strict=True))
+
+
 def shared(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Rows whose key another document has too."""
     if len(keys) == 0:
@@ -202,97 +215,180 @@ def united(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return doc[first], begin[first], furthest[last]
 
 
-def _pack(ids: np.ndarray, tags: np.ndarray, doc: np.ndarray, begin: np.ndarray, symbols: np.ndarray, anchor: np.ndarray, sizes: np.ndarray, data: bytes) -> bytes:
-    head = struct.pack("<qq", len(ids), len(doc))
-    parts = [ids, tags, doc.astype(np.int32), begin.astype(np.int32), symbols.astype(np.uint16), anchor.astype(np.uint16), sizes.astype(np.uint32)]
-    return head + b"".join(p.tobytes() for p in parts) + data
+def _cut_chunk(table: pa.Table, kind: Kind) -> Iterator[tuple[np.ndarray, ...]]:
+    """Fragments of a chunk's usable documents, batch by batch: names of documents (id, place in the chunk), the batch, and
+    document, begin and end in the batch, what to take off for places in the text, anchor's place and hash, hash of all.
 
+    The chunk's documents come in the order of ``_ordered``; fragments do, too, so every pass sees the same.
+    """
+    pieces: list[tuple[int, int, int, bytes]] = []
+    symbols = 0
 
-def _unpack(block: bytes) -> tuple[np.ndarray, ...]:
-    n_docs, n = struct.unpack_from("<qq", block)
-    at, out = 16, []
-    for kind, count in ((np.int64, n_docs), (np.int64, n_docs), (np.int32, n), (np.int32, n), (np.uint16, n), (np.uint16, n), (np.uint32, n)):
-        out.append(np.frombuffer(block, kind, count, at))
-        at += out[-1].nbytes
-    return (*out, np.frombuffer(block, np.uint8, offset=at))
+    def work() -> tuple[np.ndarray, ...]:
+        ids, places, base = (np.array([p[k] for p in pieces], np.int64) for k in range(3))
+        batch = read_batch([p[3] for p in pieces], kind)
+        doc, begin, end, at, anchor, content = cut(batch, kind)
+        shift = (np.concatenate([[0], batch.ends[:-1]]).astype(np.int64) - base)[doc]
+        return ids, places, batch, doc, begin, end, shift, at, anchor, content
 
+    for place, (name, text) in enumerate(zip(table.column(ID), table.column(TEXT), strict=True)):
+        if not name.is_valid or not text.is_valid:
+            continue
+        for base, raw in stretches(text.as_buffer().to_pybytes(), kind):
+            if pieces and symbols + len(raw) > BATCH_SYMBOLS:
+                yield work()
+                pieces, symbols = [], 0
+            pieces.append((name.as_py(), place, base, raw))
+            symbols += len(raw)
+    if pieces:
+        yield work()
 
-def _map(kind: Kind, buckets: int):
-    """Rows (id, tag, text) to blocks of fragments by bucket, and to what is covered inside a batch (bucket -1)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _ordered(table: pa.Table) -> pa.Table:
+    return table.sort_by([(ID, "ascending"), (TAG, "ascending")])
+
+
+def _bucket_of(anchor: np.ndarray, buckets: int) -> np.ndarray:
+    return (_finish(anchor ^ np.uint64(0x5DEECE66D)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _short(anchor: np.ndarray) -> np.ndarray:
+    return (_finish(anchor) >> np.uint64(32)).astype(np.uint32)
+
+
+def _anchors_of(table: pa.Table, kind: Kind, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket << 32 | short hash) of a chunk's anchors, distinct and sorted, and which of them several documents have."""
+    keys, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for _, places, _, doc, _, _, _, _, anchor, _ in _cut_chunk(table, kind):
+        key = (_bucket_of(anchor, buckets).astype(np.uint64) << np.uint64(32)) | _short(anchor)
+        keys.append(key)
+        docs.append(places[doc])
+    key, doc = np.concatenate(keys), np.concatenate(docs)
+    several = shared(key, doc)
+    names, group = np.unique(key, return_inverse=True)
+    out = np.zeros(len(names), bool)
+    out[group[several]] = True
+    return names, out
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Rising 32-bit numbers as differences, byte plane by byte plane, so that high bytes compress to nothing."""
+    steps = np.diff(values.astype(np.int64), prepend=0).astype("<u4")
+    return zstandard.ZstdCompressor(level=1).compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _from_planes(block: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(block), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64))
+
+
+def _tell_anchors(kind: Kind, buckets: int):
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        names, _ = _anchors_of(_ordered(table), kind, buckets)
+        bucket = (names >> np.uint64(32)).astype(np.int64)
+        runs, low = segments(bucket), names & np.uint64(0xFFFFFFFF)
+        return pa.table({
+            "bucket": pa.array([int(bucket[a]) for a, _ in runs], pa.int64()), CHUNK: pa.array([key[0].as_py()] * len(runs), pa.int64()),
+            "block": pa.array([_planes(low[a:b]) for a, b in runs], pa.binary()),
+        })
+
+    return run
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """(bucket, its rows without the bucket) of a task's partition."""
+    rows: dict[int, list[tuple]] = {}
+    for batch in batches:
+        for bucket, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows.setdefault(bucket, []).append(tuple(rest))
+    for bucket in sorted(rows):
+        yield bucket, rows.pop(bucket)
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for bucket, rows in _by_bucket(batches):
+        chunks, hashes = [c for c, _ in rows], [_from_planes(b) for _, b in rows]
+        names, counts = np.unique(np.concatenate(hashes), return_counts=True)
+        common = names[counts > 1]
+        bits = [np.packbits(np.isin(h, common, assume_unique=True)).tobytes() for h in hashes]
+        yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array([bucket] * len(chunks), pa.int64()), pa.array(bits, pa.binary())], [CHUNK, "bucket", "bits"])
+
+
+def _send(kind: Kind, buckets: int, bins: int):
+    """Chunks and their answers to blocks of the fragments that are left, and to what is covered inside a batch."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
         press = zstandard.ZstdCompressor(level=3)
+        chunk = key[0].as_py()
+        table = _ordered(table)
+        names, alive = _anchors_of(table, kind, buckets)
+        first = np.searchsorted(names, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
+        for bucket, bits in zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist(), strict=True):
+            a, b = first[bucket], first[bucket + 1]
+            alive[a:b] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
+        out: dict[str, list] = {"bucket": [], CHUNK: [], "block": []}
         held: list[tuple[np.ndarray, ...]] = []
-        size = 0
-
-        def rows(bucket, block, ids=None, tags=None, begin=None, end=None):
-            n = len(bucket)
-            empty = [None] * n
-            return pa.RecordBatch.from_arrays(
-                [pa.array(bucket, pa.int64()), pa.array(block if block is not None else empty, pa.binary()),
-                 *[pa.array(c if c is not None else empty, pa.int64()) for c in (ids, tags, begin, end)]],
-                ["bucket", "block", "id", "tag", "begin", "end"],
-            )
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal size
+
+        def emit(bucket: int, block: bytes) -> None:
+            out["bucket"].append(bucket)
+            out[CHUNK].append(chunk)
+            out["block"].append(press.compress(block))
+
+        def flush() -> None:
             if not held:
                 return
-            base = np.cumsum([0, *[len(h[0]) for h in held]])[:-1]
-            ids, tags = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            doc = np.concatenate([h[2] + b for h, b in zip(held, base, strict=True)])
-            begin, symbols, anchor, sizes, bucket = (np.concatenate([h[k] for h in held]) for k in (3, 4, 5, 6, 7))
-            data = np.concatenate([h[8] for h in held])
+            ids, place, begin, symbols, anchor, sizes, bucket, data = (np.concatenate([h[k] for h in held]) for k in range(8))
             order = np.argsort(bucket, kind="stable")
             starts = (np.cumsum(sizes) - sizes)[order]
-            doc, begin, symbols, anchor, sizes, bucket = (x[order] for x in (doc, begin, symbols, anchor, sizes, bucket))
-            bounds = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            for a, b in zip(bounds, [*bounds[1:], len(bucket)], strict=True):
-                names, local = np.unique(doc[a:b], return_inverse=True)
-                block = _pack(ids[names], tags[names], local, begin[a:b], symbols[a:b], anchor[a:b], sizes[a:b], data[ranges(starts[a:b], sizes[a:b])].tobytes())
-                yield rows([int(bucket[a])], [press.compress(block)])
+            ids, place, begin, symbols, anchor, sizes, bucket = (x[order] for x in (ids, place, begin, symbols, anchor, sizes, bucket))
+            for a, b in segments(bucket):
+                emit(int(bucket[a]), _pack(ids[a:b], place[a:b], begin[a:b], symbols[a:b], anchor[a:b], sizes[a:b], data[ranges(starts[a:b], sizes[a:b])].tobytes()))
             held.clear()
-            size = 0
-
-        def work(pieces: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-            nonlocal size
-            pieces = sorted(pieces, key=lambda p: p[:3])
-            names, tag, base = (np.array([p[k] for p in pieces], np.int64) for k in range(3))
-            batch = read_batch([p[3] for p in pieces], kind)
-            doc, begin, end, at, anchor, content = cut(batch, kind)
+
+        for ids, places, batch, doc, begin, end, shift, at, anchor, content in _cut_chunk(table, kind):
+            key_of = (_bucket_of(anchor, buckets).astype(np.uint64) << np.uint64(32)) | _short(anchor)
+            left = alive[np.searchsorted(names, key_of)]
+            doc, begin, end, shift, at, anchor, content = (x[left] for x in (doc, begin, end, shift, at, anchor, content))
             if len(doc) == 0:
-                return
-            starts = (np.concatenate([[0], batch.ends[:-1]]) - base)[doc]
-            # the first of equal fragments has the smallest document
-            _, first, group = np.unique(content, return_index=True, return_inverse=True)
-            settled = (names[doc] > names[doc[first]][group]) & (end - begin == (end - begin)[first][group])
+                continue
+            # documents come by id, so the first of equal fragments has the smallest
+            _, head, group = np.unique(content, return_index=True, return_inverse=True)
+            settled = (ids[doc] > ids[doc[head]][group]) & (end - begin == (end - begin)[head][group])
             if settled.any():
-                d, b, e = united(doc[settled], (begin - starts)[settled], (end - starts)[settled])
-                yield rows(np.full(len(d), -1), None, names[d], tag[d], b, e)
-            doc, begin, end, at, anchor, starts = (x[~settled] for x in (doc, begin, end, at, anchor, starts))
+                d, b, e = united(places[doc[settled]], (begin - shift)[settled], (end - shift)[settled])
+                emit(-1, _pack_spans(d, b, e))
+            doc, begin, end, shift, at, anchor = (x[~settled] for x in (doc, begin, end, shift, at, anchor))
             low, high = batch.offsets[begin], batch.offsets[end]
-            bucket = (_finish(anchor ^ np.uint64(0x5DEECE66D)) % np.uint64(buckets)).astype(np.int64)
-            held.append((names, tag, doc, begin - starts, end - begin, at - begin, high - low, bucket, batch.data[ranges(low, high - low)]))
-            size += int((high - low).sum())
-            if size > HELD_BYTES:
-                yield from flush()
-
-        pieces: list[tuple[int, int, int, bytes]] = []
-        symbols = 0
-        for frame in batches:
-            for i, tag, text in zip(*(frame.column(c) for c in range(3)), strict=True):
-                for base, raw in stretches(text.as_buffer().to_pybytes(), kind):
-                    if symbols + len(raw) > BATCH_SYMBOLS:
-                        yield from work(pieces)
-                        pieces, symbols = [], 0
-                    pieces.append((i.as_py(), tag.as_py(), base, raw))
-                    symbols += len(raw)
-        yield from work(pieces)
-        yield from flush()
+            held.append((ids[doc], places[doc], begin - shift, end - begin, at - begin, high - low, _bucket_of(anchor ^ np.uint64(0xB5297A4D), bins), batch.data[ranges(low, high - low)]))
+            if sum(len(h[7]) for h in held) > HELD_BYTES:
+                flush()
+        flush()
+        return pa.table({"bucket": pa.array(out["bucket"], pa.int64()), CHUNK: pa.array(out[CHUNK], pa.int64()), "block": pa.array(out["block"], pa.binary())})
 
     return run
 
 
+def _pack(ids: np.ndarray, place: np.ndarray, begin: np.ndarray, symbols: np.ndarray, anchor: np.ndarray, sizes: np.ndarray, data: bytes) -> bytes:
+    places, local = np.unique(place, return_inverse=True)
+    names = ids[np.unique(place, return_index=True)[1]]
+    parts = [names, places, local.astype(np.int32), begin.astype(np.int32), symbols.astype(np.uint16), anchor.astype(np.uint16), sizes.astype(np.uint32)]
+    return struct.pack("<qq", len(places), len(place)) + b"".join(p.tobytes() for p in parts) + data
+
+
+def _unpack(block: bytes) -> tuple[np.ndarray, ...]:
+    """ids, places, begin, symbols, anchor, sizes of fragments, and their bytes."""
+    n_docs, n = struct.unpack_from("<qq", block)
+    at, out = 16, []
+    for kind, count in ((np.int64, n_docs), (np.int64, n_docs), (np.int32, n), (np.int32, n), (np.uint16, n), (np.uint16, n), (np.uint32, n)):
+        out.append(np.frombuffer(block, kind, count, at))
+        at += out[-1].nbytes
+    return out[0][out[2]], out[1][out[2]], *(x.astype(np.int64) for x in out[3:]), np.frombuffer(block, np.uint8, offset=at)
+
+
+def _pack_spans(place: np.ndarray, begin: np.ndarray, end: np.ndarray) -> bytes:
+    return b"".join(x.astype(np.int32).tobytes() for x in (place, begin, end - begin))
+
+
 @dataclass
 class Fragments:
     """Fragments of one bucket by document, smaller ids first."""
@@ -305,62 +401,86 @@ class Fragments:
     data: np.ndarray
 
 
-def _reduce(kind: Kind, match: Callable[[Fragments], tuple[np.ndarray, np.ndarray]]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        blocks: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for bucket, block in zip(batch.column(0), batch.column(1), strict=True):
-                blocks.setdefault(bucket.as_py(), []).append(block.as_py())
-        open_ = zstandard.ZstdDecompressor()
-        for bucket in sorted(blocks):
-            parts = [_unpack(open_.decompress(b)) for b in blocks.pop(bucket)]
-            ids = np.concatenate([p[0][p[2]] for p in parts])
-            tags = np.concatenate([p[1][p[2]] for p in parts])
-            begin, symbols, anchor, sizes = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in (3, 4, 5, 6))
-            data = np.concatenate([p[7] for p in parts])
-            order = np.lexsort((begin, tags, ids))
+def _match_buckets(kind: Kind, match: Callable[[Fragments], tuple[np.ndarray, np.ndarray]]):
+    """Blocks of fragments to blocks of intervals (place of the document, begin, length) by chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press, open_ = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+
+        def rows(chunks: list[int], blocks: list[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(blocks, pa.binary())], [CHUNK, "block"])
+
+        for bucket, given in _by_bucket(batches):
+            if bucket < 0:  # settled inside a batch
+                yield rows([c for c, _ in given], [b for _, b in given])
+                continue
+            parts = [_unpack(open_.decompress(b)) for _, b in given]
+            chunk = np.repeat([c for c, _ in given], [len(p[0]) for p in parts])
+            ids, place, begin, symbols, anchor, sizes = (np.concatenate([p[k] for p in parts]) for k in range(6))
+            data = np.concatenate([p[6] for p in parts])
+            order = np.lexsort((begin, place, chunk, ids))
             starts = (np.cumsum(sizes) - sizes)[order]
-            ids, tags, begin, symbols, anchor, sizes = (x[order] for x in (ids, tags, begin, symbols, anchor, sizes))
+            chunk, ids, place, begin, symbols, anchor, sizes = (x[order] for x in (chunk, ids, place, begin, symbols, anchor, sizes))
             rank = np.cumsum(np.concatenate([[0], ids[1:] != ids[:-1]]))
             fragment, window = match(Fragments(rank, anchor, symbols, starts, sizes, data))
             if len(fragment) == 0:
                 continue
-            # repeated ids with other texts are told apart by their tag
-            row = np.cumsum(np.concatenate([[0], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])]))
+            row = np.cumsum(np.concatenate([[0], (chunk[1:] != chunk[:-1]) | (place[1:] != place[:-1])]))
             d, b, e = united(row[fragment], begin[fragment] + window, begin[fragment] + window + kind.window)
             at = np.searchsorted(row, d)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ids[at], tags[at], b, e)], ["id", "tag", "begin", "end"])
+            home = np.argsort(chunk[at], kind="stable")
+            d, b, e, at = d[home], b[home], e[home], at[home]
+            runs = segments(chunk[at])
+            yield rows([int(chunk[at[i]]) for i, _ in runs], [press.compress(_pack_spans(place[at[i:j]], b[i:j], e[i:j])) for i, j in runs])
 
     return run
 
 
-def covered(docs: DataFrame, kind: Kind, match: Callable[[Fragments], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """(id, tag, begins, ends) of the rows (id, tag, text: binary) of ``docs`` with a window that starts in a smaller id too.
+def _finish_chunk(columns: list[str]):
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table, found: pa.Table) -> pa.Table:
+        table, open_ = _ordered(table), zstandard.ZstdDecompressor()
+        spans = [np.frombuffer(open_.decompress(b), np.int32).reshape(3, -1) for b in found.column("block").to_pylist()]
+        place, begin, size = np.concatenate([np.zeros((3, 0), np.int32), *spans], axis=1).astype(np.int64)
+        place, begin, end = united(place, begin, begin + size)
+        counts = np.bincount(place, minlength=table.num_rows)
+        offsets = pa.array(np.concatenate([[0], counts.cumsum()]).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (begin, end)]
+        return pa.table([*[table.column(c) for c in columns], *lists], names=[*columns, BEGINS, ENDS])
+
+    return run
+
+
+ID, TAG, TEXT, CHUNK = "__id", "__tag", "__text", "__chunk"
+BEGINS, ENDS = "repeat_begins", "repeat_ends"
+SPANS = T.ArrayType(T.LongType())
+
+
+def covered(docs: DataFrame, kind: Kind, match: Callable[[Fragments], tuple[np.ndarray, np.ndarray]], doc_id: str, text: str) -> DataFrame:
+    """All rows and columns of ``docs`` with repeat_begins and repeat_ends: what windows cover that start in a smaller id too.
 
     begins and ends are intervals in symbols, sorted, disjoint and not touching. ``match`` gets the fragments of a bucket
-    and names its covered windows. Rows of null id must not be given. Repeated rows have one result.
+    and names its covered windows. Rows of null id or text have none and take part in nothing.
     """
     spark = docs.sparkSession
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(LEAST_BUCKETS, -(-total // BUCKET_BYTES))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-buckets // BUCKETS_PER_TASK))
-    sent = materialise(
-        docs.mapInArrow(_map(kind, buckets), "bucket long, block binary, id long, tag long, begin long, end long"), "fragments"
-    )
-    found = (
-        sent.filter("bucket >= 0").select("bucket", "block").repartition(tasks, "bucket")
-        .mapInArrow(_reduce(kind, match), "id long, tag long, begin long, end long")
+    total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+    chunks = max(LEAST_CHUNKS, -(-total // CHUNK_BYTES))
+    buckets = max(LEAST_BUCKETS, -(-total // ANCHOR_BYTES))
+    bins = max(LEAST_CHUNKS, -(-total // CHUNK_BYTES))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chunks // 16))
+    names = docs.columns
+    keyed = docs.select(
+        *[F.col(f"`{c}`") for c in names], F.col(doc_id).cast("long").alias(ID), F.xxhash64(F.col(text)).alias(TAG),
+        F.encode(F.col(text), "UTF-8").alias(TEXT),
     )
-    here = sent.filter("bucket < 0").select("id", "tag", "begin", "end")
-    pairs = found.unionByName(here).groupBy("id", "tag").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-
-    @F.pandas_udf("struct<begins: array<long>, ends: array<long>>")
-    def merged(spans: pd.Series) -> pd.DataFrame:
-        out = []
-        for s in spans:
-            b = np.array([(x["begin"], x["end"]) for x in s], np.int64)
-            _, begin, end = united(np.zeros(len(b), np.int64), b[:, 0], b[:, 1])
-            out.append((begin, end))
-        return pd.DataFrame(out, columns=["begins", "ends"])
-
-    return pairs.select("id", "tag", merged("spans").alias("m")).select("id", "tag", "m.begins", "m.ends")
+    keyed = keyed.withColumn(CHUNK, F.pmod(F.xxhash64(ID, TAG), F.lit(chunks))).drop(text).repartition(tasks, CHUNK)
+    # all three passes take the same columns, so that Spark makes this shuffle once
+    told = keyed.groupBy(CHUNK).applyInArrow(_tell_anchors(kind, buckets), f"bucket long, {CHUNK} long, block binary")
+    answers = told.repartition(tasks, "bucket").mapInArrow(_answer, f"{CHUNK} long, bucket long, bits binary")
+    sent = keyed.groupBy(CHUNK).cogroup(answers.groupBy(CHUNK)).applyInArrow(_send(kind, buckets, bins), f"bucket long, {CHUNK} long, block binary")
+    # what is settled already goes along, dealt by its chunk
+    dealt = sent.repartition(tasks, F.when(F.col("bucket") < 0, -F.col(CHUNK)).otherwise(F.col("bucket")))
+    found = dealt.mapInArrow(_match_buckets(kind, match), f"{CHUNK} long, block binary")
+    rest = [c for c in names if c != text]
+    out = T.StructType([*[docs.schema[c] for c in rest], T.StructField(TEXT, T.BinaryType()), T.StructField(BEGINS, SPANS), T.StructField(ENDS, SPANS)])
+    done = keyed.groupBy(CHUNK).cogroup(found.groupBy(CHUNK)).applyInArrow(_finish_chunk([*rest, TEXT]), out)
+    return done.select(*[F.decode(TEXT, "UTF-8").alias(text) if c == text else F.col(f"`{c}`") for c in names], BEGINS, ENDS)

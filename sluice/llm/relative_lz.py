@@ -148,14 +148,6 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     names are replaced, others pass through.
     """
     docs = docs.drop("repeat_begins", "repeat_ends", "repeat_words", "repeat_kept")
-    value = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.filter(F.col(doc_id).isNotNull() & (F.octet_length(value) >= 2 * WORDS.window - 1)).select(
-        F.col(doc_id).cast("long").alias("id"), F.xxhash64(value).alias("tag"), F.encode(value, "UTF-8").alias("text")
-    )
-    spans = covered(rows, WORDS, match).select(
-        F.col("id").alias("__id"), F.col("tag").alias("__tag"), F.col("begins").alias("repeat_begins"), F.col("ends").alias("repeat_ends")
-    )
-
     @F.pandas_udf("struct<words: long, kept: string>")
     def kept(texts: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.DataFrame:
         out = []
@@ -167,11 +159,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             out.append((len(words), b" ".join(parts + words[at:]).decode()))
         return pd.DataFrame(out, columns=["words", "kept"])
 
-    joined = docs.join(spans, (F.col(doc_id) == F.col("__id")) & (F.xxhash64(value) == F.col("__tag")), "left")
-    none = F.array().cast("array<long>")
-    told = joined.select(
-        *[F.col(f"`{c}`") for c in docs.columns], F.coalesce("repeat_begins", none).alias("repeat_begins"), F.coalesce("repeat_ends", none).alias("repeat_ends")
-    ).withColumn("__kept", kept(F.col(text), "repeat_begins", "repeat_ends"))
+    told = covered(docs, WORDS, match, doc_id, text).withColumn("__kept", kept(F.col(text), "repeat_begins", "repeat_ends"))
     return told.select(
         *[F.col(f"`{c}`") for c in docs.columns], "repeat_begins", "repeat_ends",
         F.col("__kept.words").alias("repeat_words"), F.col("__kept.kept").alias("repeat_kept"),

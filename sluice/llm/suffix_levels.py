@@ -115,13 +115,6 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     docs = docs.drop("repeat_begins", "repeat_ends", "repeat_kept")
     value = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.filter(F.col(doc_id).isNotNull() & (F.octet_length(value) >= BYTES.window)).select(
-        F.col(doc_id).cast("long").alias("id"), F.xxhash64(value).alias("tag"), F.encode(value, "UTF-8").alias("text")
-    )
-    spans = covered(rows, BYTES, match).select(
-        F.col("id").alias("__id"), F.col("tag").alias("__tag"), F.col("begins").alias("repeat_begins"), F.col("ends").alias("repeat_ends")
-    )
-
     @F.pandas_udf(T.BinaryType())
     def kept(texts: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.Series:
         out = []
@@ -133,8 +126,5 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             out.append(b"".join([*parts, raw[at:]]))
         return pd.Series(out)
 
-    joined = docs.join(spans, (F.col(doc_id) == F.col("__id")) & (F.xxhash64(value) == F.col("__tag")), "left")
-    none = F.array().cast("array<long>")
-    return joined.select(
-        *[F.col(f"`{c}`") for c in docs.columns], F.coalesce("repeat_begins", none).alias("repeat_begins"), F.coalesce("repeat_ends", none).alias("repeat_ends")
-    ).withColumn("repeat_kept", F.when(F.size("repeat_begins") == 0, F.encode(value, "UTF-8")).otherwise(kept(F.col(text), "repeat_begins", "repeat_ends")))
+    told = covered(docs, BYTES, match, doc_id, text)
+    return told.withColumn("repeat_kept", F.when(F.size("repeat_begins") == 0, F.encode(value, "UTF-8")).otherwise(kept(F.col(text), "repeat_begins", "repeat_ends")))
