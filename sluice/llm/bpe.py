@@ -17,11 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluice.llm.batches import small_batches
 from sluice.llm.vocabulary import DEFAULT_PATH, STABLE, ByteBPE, load
 
 IDS = "bpe_ids"
 #: ids that one Arrow batch may hold
-BATCH_IDS = 2_000_000
+BATCH_IDS = 500_000
 
 
 def _flush(pieces: list[str]) -> list[tuple[bool, bool, bytes]]:
@@ -112,6 +113,7 @@ def encode(docs: DataFrame, path: str = DEFAULT_PATH, text: str = "text", part_c
     not kept.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.drop(IDS)
     out = T.StructType([*docs.schema.fields, T.StructField(IDS, T.ArrayType(T.IntegerType(), False))])
     size = F.coalesce(F.length(F.col(text)), F.lit(0))

@@ -29,9 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluice.llm.batches import small_batches
+
 #: symbols worked on at once, and bytes of fragments held before they are packed
 BATCH_SYMBOLS = 1 << 21
-HELD_BYTES = 48 << 20
+HELD_BYTES = 24 << 20
 #: bytes of text in a chunk, and behind the anchors of a bucket of the first pass
 CHUNK_BYTES = 4 << 20
 ANCHOR_BYTES = 64 << 20
@@ -462,6 +464,7 @@ def covered(docs: DataFrame, kind: Kind, match: Callable[[Fragments], tuple[np.n
     and names its covered windows. Rows of null id or text have none and take part in nothing.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     chunks = max(LEAST_CHUNKS, -(-total // CHUNK_BYTES))
     buckets = max(LEAST_BUCKETS, -(-total // ANCHOR_BYTES))

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluice.llm.batches import small_batches
 from sluice.llm.labelled import sample_documents, sample_labels
 
 SCORE = "quality_score"
@@ -159,6 +160,7 @@ def fit(
 
 def train(docs: DataFrame, labels: DataFrame, most_per_class: int = 4000, modulus: int = 4, held_out: int = 2) -> Additive:
     """Fit on at most ``most_per_class`` labelled documents of each class; classes weigh as in all labels learned from."""
+    small_batches(docs.sparkSession)
     learned = sample_labels(labels, "quality", modulus, held_out, most_per_class)
     rows = (
         sample_documents(docs.select("doc_id", "text"), learned)
@@ -192,6 +194,7 @@ def score(docs: DataFrame, model: Additive, text: str = "text") -> DataFrame:
     are no input of the score and pass through, except that one named quality_score is replaced.
     """
     docs = docs.drop(SCORE)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.functions.scale import materialise
+from sluice.llm.batches import small_batches
 from sluice.llm.components import connected_components
 from sluice.llm.trie import Forest, close_pairs
 
@@ -70,6 +71,7 @@ def fingerprint(docs: DataFrame, words: int = 4, rounds: int = 1, text: str = "t
     Null texts and texts without words have words of 0. A column named simhash is replaced.
     """
     docs = docs.drop(SIGNATURE)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,7 +156,7 @@ def _loose_links(bits: int, budget: int, most: int):
         pairs = [(rest - 1, rest), (lead[rest], rest)]
         for i, j in close_pairs(group[heads], short[heads], budget):
             pairs.append((heads[i], heads[j]))
-            if sum(len(x) for x, _ in pairs) > 1 << 20:
+            if sum(len(x) for x, _ in pairs) > 1 << 18:
                 link(*(np.concatenate(c) for c in zip(*pairs, strict=True)))
                 pairs = []
         if pairs:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluice.llm.batches import small_batches
 from sluice.llm.vocabulary import DEFAULT_PATH, STABLE, ByteBPE, load
 
 COUNT = "token_count"
@@ -77,6 +78,7 @@ def count_tokens(
     replaced, and special strings inside a text count as the vocabulary's special ids. The order of rows is not kept.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.drop(COUNT)
     out = T.StructType([*docs.schema.fields, T.StructField(COUNT, T.LongType())])
     size = F.coalesce(F.length(F.col(text)), F.lit(0))

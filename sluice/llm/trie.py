@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: node pairs walked at once; a wider frontier is halved and the halves walked one after the other
-FRONTIER = 1 << 19
+FRONTIER = 1 << 16
 
 
 def close_pairs(groups: np.ndarray, words: np.ndarray, budget: int, frontier: int = FRONTIER) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -28,10 +28,10 @@ def close_pairs(groups: np.ndarray, words: np.ndarray, budget: int, frontier: in
     def zeros_before(level: int) -> np.ndarray:
         if level not in zeros:
             bit = (words >> np.uint64(63 - level)) & np.uint64(1)
-            zeros[level] = np.concatenate([[0], np.cumsum(bit == 0)])
+            zeros[level] = np.concatenate([[0], np.cumsum(bit == 0)]).astype(np.int32)
         return zeros[level]
 
-    stack = [(0, np.stack([starts, ends, starts, ends, np.zeros_like(starts)]))]
+    stack = [(0, np.stack([starts, ends, starts, ends, np.zeros_like(starts)]).astype(np.int32))]
     while stack:
         level, pairs = stack.pop()
         single = (pairs[1] - pairs[0] == 1) & (pairs[3] - pairs[2] == 1)
@@ -45,7 +45,7 @@ def close_pairs(groups: np.ndarray, words: np.ndarray, budget: int, frontier: in
             continue
         if pairs.shape[1] > frontier:
             half = pairs.shape[1] // 2
-            stack += [(level, pairs[:, :half]), (level, pairs[:, half:])]
+            stack += [(level, pairs[:, :half].copy()), (level, pairs[:, half:].copy())]  # views would keep the whole
             continue
         a0, a1, b0, b1, spent = pairs
         before = zeros_before(level)
