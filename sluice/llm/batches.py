@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -15,3 +18,11 @@ def small_batches(spark: SparkSession, rows: int = TEXTS) -> None:
     now = int(spark.conf.get(_ROWS))
     if now <= 0 or now > rows:
         spark.conf.set(_ROWS, str(rows))
+
+
+def give_back() -> None:
+    """At the end of a task: return what it freed to the system, as the worker process lives on through other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.llm.batches import small_batches
+from sluice.llm.batches import give_back, small_batches
 
 #: symbols worked on at once, and bytes of fragments held before they are packed
 BATCH_SYMBOLS = 1 << 21
@@ -365,6 +365,7 @@ def _send(kind: Kind, buckets: int, bins: int):
             if sum(len(h[7]) for h in held) > HELD_BYTES:
                 flush()
         flush()
+        give_back()
         return pa.table({"bucket": pa.array(out["bucket"], pa.int64()), CHUNK: pa.array(out[CHUNK], pa.int64()), "block": pa.array(out["block"], pa.binary())})
 
     return run
@@ -433,6 +434,7 @@ def _match_buckets(kind: Kind, match: Callable[[Fragments], tuple[np.ndarray, np
             home = np.argsort(chunk[at], kind="stable")
             d, b, e, at = d[home], b[home], e[home], at[home]
             runs = segments(chunk[at])
+            del parts, data
             yield rows([int(chunk[at[i]]) for i, _ in runs], [press.compress(_pack_spans(place[at[i:j]], b[i:j], e[i:j])) for i, j in runs])
 
     return run

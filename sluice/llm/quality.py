@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.llm.batches import small_batches
+from sluice.llm.batches import give_back, small_batches
 from sluice.llm.labelled import sample_documents, sample_labels
 
 SCORE = "quality_score"
@@ -201,5 +201,6 @@ def score(docs: DataFrame, model: Additive, text: str = "text") -> DataFrame:
             column = batch.column(batch.schema.get_field_index(text))
             x = np.array([features(v.as_py() or "") for v in column]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x))], [*batch.schema.names, SCORE])
+        give_back()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(SCORE, T.DoubleType())]))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.functions.scale import materialise
-from sluice.llm.batches import small_batches
+from sluice.llm.batches import give_back, small_batches
 from sluice.llm.components import connected_components
 from sluice.llm.trie import Forest, close_pairs
 
@@ -82,6 +82,7 @@ def fingerprint(docs: DataFrame, words: int = 4, rounds: int = 1, text: str = "t
             flat = pa.array(out.reshape(-1).view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.__len__() + 1, rounds, dtype=np.int32)), flat)
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, SIGNATURE])
+        give_back()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(SIGNATURE, T.ArrayType(T.LongType(), False))]))
 
@@ -163,6 +164,8 @@ def _loose_links(bits: int, budget: int, most: int):
             link(*(np.concatenate(c) for c in zip(*pairs, strict=True)))
         i, j = forest.edges()
         yield pd.DataFrame({"a": node[i], "b": node[j]}).query("a != b")
+        del parts, node, group, word, second, short, forest, pairs
+        give_back()
 
     return run
 
