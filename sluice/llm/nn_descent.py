@@ -2,9 +2,10 @@
 
 The graph is an edge table. It starts from the best neighbours inside random hyperplane buckets and gets better by local
 joins: every node sends itself to its neighbours, where those that meet are neighbours of neighbours and are compared;
-better candidates go back and each node keeps its ``degree`` best. Only pairs with a new edge are compared again. Queries
-hold a beam of candidates that Spark joins with the graph, all open candidates of all queries at once, until no beam
-changes. Graph and search use vectors of one byte a component; results are scored again on the original vectors.
+better candidates go back and each node keeps its ``degree`` best. Only pairs with a new edge are compared again, and
+rounds end when few edges change. Queries hold a beam of candidates that Spark joins with the graph, all open candidates
+of all queries at once, until no beam changes. Graph and search use the vectors as they came and cosines in double
+precision: near copies of each other differ by less than a rounded component.
 """
 
 from __future__ import annotations
@@ -16,24 +17,22 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sluice.functions.scale import materialise
 from sluice.llm.spherical import usable
 
-#: members compared at once in a bucket or at a node; more are dealt into chunks of this size
+#: members compared at once in a bucket or at a node; more are dealt into chunks of this size, others in each table and round
 MEMBERS = 512
+#: rounds end when no more than this share of the edges is new
+SETTLED = 0.001
 #: candidates that a node takes from one local join
 OFFERS = 6
 
 
-def packed(unit: np.ndarray) -> list[bytes]:
-    scale = 127 / np.maximum(np.abs(unit).max(axis=1, keepdims=True), 1e-30)
-    return [r.tobytes() for r in np.round(unit * scale).astype(np.int8)]
-
-
-def unpacked(column: pd.Series) -> np.ndarray:
-    """Unit vectors of packed ones of equal length."""
-    x = np.frombuffer(b"".join(column), np.int8).reshape(len(column), -1).astype(np.float32)
+def unpacked(column: pd.Series, kind: str) -> np.ndarray:
+    """Unit vectors of packed ones of equal length, whose components have the numpy type ``kind``."""
+    x = np.frombuffer(b"".join(column), kind).reshape(len(column), -1).astype(np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -43,12 +42,13 @@ def _pack(bits: int, tables: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for dims, same in frame.groupby(frame["vec"].map(len)):
-                x = np.stack(same["vec"].to_numpy()).astype(np.float64)
+                raw = np.stack(same["vec"].to_numpy())
+                x = raw.astype(np.float64)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 planes = np.random.default_rng([11, int(dims)]).standard_normal((int(dims), tables * bits))
                 code = ((x @ planes) > 0).reshape(len(x), tables, bits) @ (1 << np.arange(bits)) if bits else np.zeros((len(x), tables), int)
                 keys = code + (np.arange(tables) << 40) + (int(dims) << 44)
-                yield pd.DataFrame({"node": same["node"].to_numpy(), "packed": packed(x), "keys": list(keys.astype(np.int64))})
+                yield pd.DataFrame({"node": same["node"].to_numpy(), "packed": [r.tobytes() for r in raw], "keys": list(keys.astype(np.int64))})
 
     return run
 
@@ -66,7 +66,7 @@ def _best(node: np.ndarray, nbr: np.ndarray, sim: np.ndarray, fresh: np.ndarray,
     group = np.repeat(np.arange(len(start)), np.diff([*start, len(node)]))
     rank = np.arange(len(node)) - start[group] if len(node) else np.zeros(0, int)
     full = np.bincount(group, minlength=len(start)) >= degree
-    least = np.full(len(start), -2.0, np.float32)
+    least = np.full(len(start), -2.0)
     least[full] = sim[start[full] + degree - 1]
     keep = rank < degree
     return pd.DataFrame({"node": node, "nbr": nbr, "sim": sim, "fresh": fresh, "least": least[group]})[keep]
@@ -87,8 +87,8 @@ def _offers(node: np.ndarray, x: np.ndarray, least: np.ndarray, fresh: np.ndarra
     return node[rows[good]], node[cols[good]], sims[rows[good], cols[good]]
 
 
-def _meet(key: str, most: int, descent: bool):
-    """Compares the rows of each key; rows come sorted by key."""
+def _meet(key: str, most: int, descent: bool, kind: str):
+    """Compares the rows of each key, chunk by chunk; rows come sorted by key, and only an open chunk is held."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -98,24 +98,22 @@ def _meet(key: str, most: int, descent: bool):
             bounds = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
             ends = [*bounds[1:], len(keys)]
             if not last and len(bounds):
-                held, cut = frame.iloc[bounds[-1] :], len(bounds) - 1
+                ends[-1] -= (ends[-1] - bounds[-1]) % MEMBERS
+                held = frame.iloc[ends[-1] :]
             else:
-                held, cut = None, len(bounds)
+                held = None
             node, least = frame["node"].to_numpy(), frame["least"].to_numpy()
             fresh = frame["fresh"].to_numpy() if descent else None
             out: list[tuple[np.ndarray, ...]] = []
             blobs = frame["packed"]
-            for a, b in zip(bounds[:cut], ends[:cut], strict=True):
-                if b - a < 2:
-                    continue
-                x = unpacked(blobs.iloc[a:b])
-                for at in range(0, b - a, MEMBERS):
-                    s = slice(a + at, min(b, a + at + MEMBERS))
+            for a, b in zip(bounds, ends, strict=True):
+                for at in range(a, b, MEMBERS):
+                    s = slice(at, min(b, at + MEMBERS))
                     if s.stop - s.start > 1 and (fresh is None or fresh[s].any()):
-                        out.append(_offers(node[s], x[at : at + MEMBERS], least[s], None if fresh is None else fresh[s], most))
+                        out.append(_offers(node[s], unpacked(blobs.iloc[s], kind), least[s], None if fresh is None else fresh[s], most))
             if out:
                 n, m, s = (np.concatenate(c) for c in zip(*out, strict=True))
-                yield pd.DataFrame({"node": n, "nbr": m, "sim": s.astype(np.float32), "fresh": np.ones(len(n), bool)})
+                yield pd.DataFrame({"node": n, "nbr": m, "sim": s, "fresh": np.ones(len(n), bool)})
 
     return run
 
@@ -140,52 +138,68 @@ def _keep(degree: int):
     return run
 
 
-EDGE = "node long, nbr long, sim float, fresh boolean, least float"
-PAIR = "node long, nbr long, sim float, fresh boolean"
+EDGE = "node long, nbr long, sim double, fresh boolean, least double"
+PAIR = "node long, nbr long, sim double, fresh boolean"
 
 
-def build_graph(classes: DataFrame, degree: int = 24, rounds: int = 5, tables: int = 8, bucket: int = 64) -> tuple[DataFrame, DataFrame]:
-    """(vectors: node, packed; edges: node, nbr, sim) of the rows (node, vec) of ``classes``, all of them indexed."""
+def build_graph(classes: DataFrame, degree: int = 24, settled: float = SETTLED, tables: int = 8, bucket: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(vectors: node, packed; edges: node, nbr, sim) of the rows (node, vec) of ``classes``, all of them indexed.
+
+    Rounds go on until at most ``settled`` of the edges are new; each round makes edges better, so they end.
+    """
     spark = classes.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = classes.count()
     bits = max(0, math.ceil(math.log2(max(1, n / bucket))))
     coded = materialise(classes.select("node", "vec").mapInPandas(_pack(bits, tables), "node long, packed binary, keys array<long>"), "graph-vectors")
     vectors = coded.select("node", "packed")
-    dealt = coded.select("node", "packed", F.explode("keys").alias("key"), F.lit(-2.0).cast("float").alias("least"))
-    met = dealt.repartition(tasks, "key").sortWithinPartitions("key").mapInPandas(_meet("key", degree, False), PAIR)
+    dealt = coded.select("node", "packed", F.explode("keys").alias("key"), F.lit(-2.0).alias("least"))
+    kind = numpy_kind(classes)
+    mixed = F.xxhash64("node", "key")
+    met = dealt.repartition(tasks, "key").sortWithinPartitions("key", mixed).mapInPandas(_meet("key", degree, False, kind), PAIR)
     edges = materialise(met.repartition(tasks, "node").mapInPandas(_keep(degree), EDGE), "graph-edges")
-    for _ in range(rounds):
+    turn = 0
+    while True:
+        total, new = edges.agg(F.count("*"), F.count_if("fresh")).first()
+        if new <= settled * total:
+            break
+        turn += 1
         sent = edges.join(vectors, "node").select(F.col("nbr").alias("key"), "node", "packed", "least", "fresh")
         # A node is there itself too, so that it learns of those it is a neighbour of.
         itself = edges.groupBy("node").agg(F.first("least").alias("least")).join(vectors, "node").select(
             F.col("node").alias("key"), "node", "packed", "least", F.lit(False).alias("fresh")
         )
         offered = (
-            sent.unionByName(itself).repartition(tasks, "key").sortWithinPartitions("key", F.xxhash64("node"))
-            .mapInPandas(_meet("key", OFFERS, True), PAIR)
+            sent.unionByName(itself).repartition(tasks, "key").sortWithinPartitions("key", F.xxhash64("node", F.lit(turn)))
+            .mapInPandas(_meet("key", OFFERS, True, kind), PAIR)
         )
         old = edges.select("node", "nbr", "sim", F.lit(False).alias("fresh"))
         edges = materialise(old.unionByName(offered).repartition(tasks, "node").mapInPandas(_keep(degree), EDGE), "graph-edges")
     return vectors, edges.select("node", "nbr", "sim")
 
 
-def _score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def numpy_kind(rows: DataFrame, vec: str = "vec") -> str:
+    return "f4" if rows.schema[vec].dataType.elementType == T.FloatType() else "f8"
+
+
+def _score(kind: str):
     """Neighbours of open candidates that are nearer to the query than the last of its beam."""
-    for frame in frames:
-        out = []
-        for q, asked, ids, blob, least in zip(frame["query"], frame["asked"], frame["nbrs"], frame["packs"], frame["least"], strict=True):
-            x = np.frombuffer(b"".join(blob), np.int8).reshape(len(ids), -1).astype(np.float32)
-            v = np.frombuffer(asked, np.int8).astype(np.float32)
-            sims = (x @ v) / (np.linalg.norm(x, axis=1) * np.linalg.norm(v))
-            near = sims > least
-            out.append((np.full(near.sum(), q), np.asarray(ids)[near], sims[near]))
-        if out:
-            q, n, s = (np.concatenate(c) for c in zip(*out, strict=True))
-            yield pd.DataFrame({"node": q, "nbr": n, "sim": s.astype(np.float32), "fresh": np.ones(len(q), bool)})
-
-
-def search_graph(asked: DataFrame, vectors: DataFrame, edges: DataFrame, beam: int = 256, degree: int = 24) -> DataFrame:
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for q, asked, ids, blob, least in zip(frame["query"], frame["asked"], frame["nbrs"], frame["packs"], frame["least"], strict=True):
+                sims = unpacked(blob, kind) @ unpacked([asked], kind)[0]
+                near = sims > least
+                out.append((np.full(near.sum(), q), np.asarray(ids)[near], sims[near]))
+            if out:
+                q, n, s = (np.concatenate(c) for c in zip(*out, strict=True))
+                yield pd.DataFrame({"node": q, "nbr": n, "sim": s, "fresh": np.ones(len(q), bool)})
+
+    return run
+
+
+def search_graph(asked: DataFrame, vectors: DataFrame, edges: DataFrame, kind: str, beam: int = 256, degree: int = 24) -> DataFrame:
     """(query, node, sim): the beam of each row (query, node) of ``asked``, whose node is where its search begins."""
     tasks = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     back = edges.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"), "sim")
@@ -198,12 +212,12 @@ def search_graph(asked: DataFrame, vectors: DataFrame, edges: DataFrame, beam: i
         "search-graph",
     )
     start = materialise(asked.join(vectors, "node").select("query", "node", F.col("packed").alias("asked")), "search-start")
-    beams = start.select(F.col("query").alias("node"), F.col("node").alias("nbr"), F.lit(1.0).cast("float").alias("sim"),
-                         F.lit(True).alias("fresh"), F.lit(-2.0).cast("float").alias("least"))
+    beams = start.select(F.col("query").alias("node"), F.col("node").alias("nbr"), F.lit(1.0).alias("sim"),
+                         F.lit(True).alias("fresh"), F.lit(-2.0).alias("least"))
     who = start.select("query", "asked")
     while True:
         open_ = beams.filter("fresh").select(F.col("node").alias("query"), F.col("nbr").alias("node"), "least")
-        found = open_.join(who, "query").join(graph, "node").select("query", "asked", "nbrs", "packs", "least").mapInPandas(_score, PAIR)
+        found = open_.join(who, "query").join(graph, "node").select("query", "asked", "nbrs", "packs", "least").mapInPandas(_score(kind), PAIR)
         # ``_best`` keeps a known pair as old, so a candidate is opened once
         merged = beams.select("node", "nbr", "sim", F.lit(False).alias("fresh")).unionByName(found)
         beams = materialise(merged.repartition(tasks, "node").mapInPandas(_keep(beam), EDGE), "search-beam")
@@ -221,7 +235,7 @@ def _cosine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def nearest(
-    vectors: DataFrame, is_query: Column, k: int = 5, beam: int = 256, degree: int = 24, rounds: int = 5, vec_id: str = "vec_id", vec: str = "embedding"
+    vectors: DataFrame, is_query: Column, k: int = 5, beam: int = 256, degree: int = 24, settled: float = SETTLED, vec_id: str = "vec_id", vec: str = "embedding"
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where ``is_query`` holds, its ``k`` nearest other rows found.
 
@@ -235,9 +249,9 @@ def nearest(
     rows = rows.groupBy("vec_id").agg(F.max(F.struct("vec", "asks")).alias("r")).select("vec_id", "r.vec", "r.asks", F.xxhash64("r.vec").alias("node"))
     rows = materialise(rows, "nearest-rows")
     classes = materialise(rows.groupBy("node").agg(F.first("vec").alias("vec")), "nearest-classes")
-    packs, edges = build_graph(classes, degree, rounds)
+    packs, edges = build_graph(classes, degree, settled)
     asked = rows.filter("asks").select(F.col("vec_id").alias("query"), "node", "vec")
-    found = search_graph(asked.select("query", "node"), packs, edges, beam, degree)
+    found = search_graph(asked.select("query", "node"), packs, edges, numpy_kind(classes), beam, degree)
     pairs = found.select("query", "node").join(asked.select("query", F.col("vec").alias("asked")), "query").join(classes, "node")
     scored = pairs.select("query", "node", "asked", "vec").mapInPandas(_cosine, "query long, node long, score double")
     members = rows.withColumn("m", F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))).filter(F.col("m") <= k + 1)

@@ -102,3 +102,23 @@ def test_registered_nearest(spark, sf):
     folder = f"/root/testdata/{sf}"
     rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
     assert recall(queries.op4_nn_descent(spark, folder).collect(), brute_nearest(rows)) >= 0.9
+
+
+def test_nearest_among_near_copies(spark):
+    """A third of the rows are copies of one vector, nearer to each other than a component of one byte tells."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((6000, 64))
+    x[::3] = x[0] + 0.002 * rng.standard_normal((2000, 64))
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x.astype(np.float32))]
+    frame = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)
+    got = nn_descent.nearest(frame, frame["vec_id"] % 50 == 0).collect()
+    unit = np.array([r[1] for r in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    want = {}
+    for q in range(0, len(rows), 50):
+        sims = unit @ unit[q]
+        sims[q] = -2
+        want[q] = [(-sims[i], int(i)) for i in np.argsort(-sims, kind="stable")[:5]]
+    copies = [r for r in got if r.query_id % 3 == 0]
+    assert recall(got, want) >= 0.9
+    assert recall(copies, {q: w for q, w in want.items() if q % 3 == 0}) >= 0.9
