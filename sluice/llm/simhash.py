@@ -8,7 +8,6 @@ returns a spanning forest of the links it found, not the links; components are t
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +21,14 @@ from pyspark.sql import types as T
 from sluice.functions.scale import materialise
 from sluice.llm.batches import give_back, small_batches
 from sluice.llm.components import connected_components
+from sluice.llm.prefix_join import prefix, similar_components
 from sluice.llm.trie import Forest, close_pairs
 
 SIGNATURE = "simhash"
 #: shingles whose bits are counted at once
 CHUNK = 1 << 15
+#: documents, or a few more, that tell common shingles from rare ones
+SAMPLED = 10_000
 GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -87,16 +89,53 @@ def fingerprint(docs: DataFrame, words: int = 4, rounds: int = 1, text: str = "t
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(SIGNATURE, T.ArrayType(T.LongType(), False))]))
 
 
+def _shingled(docs: DataFrame, words: int, of_items) -> DataFrame:
+    """(doc_id, node, size, items) of the rows (doc_id, text): a hash of the set of a text's shingles, its size, and
+    what ``of_items`` makes of the set."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sizes, items = [], [], []
+            for value in batch.column(1):
+                own = np.unique(shingle_hashes((value.as_py() or "").encode(), words)).view(np.int64)
+                nodes.append(xxhash.xxh64_intdigest(own.tobytes(), 42))
+                sizes.append(len(own))
+                items.append(of_items(own))
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in items])]).astype(np.int32)
+            flat = pa.array(np.concatenate(items) if items else np.zeros(0, np.int64), pa.int64())
+            columns = [batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), flat)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "size", "items"])
+        give_back()
+
+    fields = [docs.schema["doc_id"], T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("items", T.ArrayType(T.LongType()))]
+    return docs.mapInArrow(run, T.StructType(fields))
+
+
 def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``near_duplicates`` for texts whose sets of word shingles have a Jaccard similarity of ``similarity`` or more.
+    """One row (doc_id, component_id) per row of ``docs``; component_id is the smallest doc_id reachable.
 
-    Sixteen words of 64 bits estimate the angle between two texts' shingles. Two texts meet if 38 bits of one of the words
-    differ in at most three, and stay linked if the share of differing bits of all 1,024 is that of ``similarity``, give
-    or take one standard error. At a similarity of 0.8 about nine pairs of ten meet, at 0.85 nearly all, equal texts always.
+    Rows link if their sets of word shingles, repeats left out, have a Jaccard similarity of ``similarity`` or more. All
+    links are found and each is counted on whole sets (of 64-bit hashes). Texts without words are like each other only.
+    A null doc_id is never a component's id unless all are null. Repeated rows stay; an empty table gives an empty table.
     """
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    share += math.sqrt(share * (1 - share) / 1024)
-    return near_duplicates(docs, words, budget=3, rounds=16, bits=38, verify=share, doc_id=doc_id, text=text)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    some = rows.filter(F.pmod(F.xxhash64("text"), F.lit(max(1, rows.count() // SAMPLED))) == 0)
+    told = _shingled(some, words, lambda x: x).select(F.explode("items").alias("item")).groupBy("item").count().filter("count > 2").toPandas()
+    told = told.sort_values("item")
+    common, counts = told["item"].to_numpy(np.int64), told["count"].to_numpy(np.int64)
+    marked = materialise(_shingled(rows, words, lambda x: prefix(x, similarity, common, counts)), "similar-prefixes")
+    nodes = marked.groupBy("node").agg(F.first("size").alias("size"), F.first("items").alias("prefix"))
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        return _shingled(rows, words, lambda x: x).select("node", "items").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+
+    found = similar_components(nodes, sets_of, similarity).withColumnRenamed("node", "k")
+    joined = marked.select("doc_id", "node").join(found, F.col("node") == F.col("k"), "left").select(
+        "doc_id", F.coalesce("component", "node").alias("component")
+    )
+    least = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return joined.join(least, "component").select("doc_id", "component_id")
 
 
 def _trie_links(budget: int):
@@ -122,91 +161,32 @@ def _trie_links(budget: int):
     return run
 
 
-def _loose_links(bits: int, budget: int, most: int):
-    """Links by the first ``bits`` of a word that differ in at most ``most`` of the 128 bits of both words.
-
-    Rows whose first bits are equal are compared with the first of them and with the one before, so work stays linear in
-    groups of near copies. Nearer links go first: what spans then is a forest of nearest links, and one that is
-    later found too far apart has not kept out a nearer one.
-    """
-    mask = np.uint64((1 << 64) - (1 << (64 - bits)))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [tuple(f[c].to_numpy(np.int64) for c in ("node", "grp", "word", "second")) for f in frames]
-        if not parts:
-            return
-        node, group, word, second = (np.concatenate(c) for c in zip(*parts, strict=True))
-        word, second = word.view(np.uint64), second.view(np.uint64)
-        order = np.lexsort((node, second, word, group))
-        node, group, word, second = node[order], group[order], word[order], second[order]
-        if len(node) == 0:
-            return
-        short = word & mask
-        first = np.concatenate([[True], (group[1:] != group[:-1]) | (short[1:] != short[:-1])])
-        heads = np.flatnonzero(first)
-        lead = heads[np.cumsum(first) - 1]
-        forest = Forest(len(node))
-
-        def link(i: np.ndarray, j: np.ndarray) -> None:
-            far = np.bitwise_count(word[i] ^ word[j]).astype(int) + np.bitwise_count(second[i] ^ second[j])
-            for low in range(0, most + 1, 4):
-                near = (far >= low) & (far < min(low + 4, most + 1))
-                forest.link(i[near], j[near])
-
-        rest = np.flatnonzero(~first)
-        pairs = [(rest - 1, rest), (lead[rest], rest)]
-        for i, j in close_pairs(group[heads], short[heads], budget):
-            pairs.append((heads[i], heads[j]))
-            if sum(len(x) for x, _ in pairs) > 1 << 18:
-                link(*(np.concatenate(c) for c in zip(*pairs, strict=True)))
-                pairs = []
-        if pairs:
-            link(*(np.concatenate(c) for c in zip(*pairs, strict=True)))
-        i, j = forest.edges()
-        yield pd.DataFrame({"a": node[i], "b": node[j]}).query("a != b")
-        del parts, node, group, word, second, short, forest, pairs
-        give_back()
-
-    return run
-
-
-def _blocks(word, bits: int, budget: int):
-    """The ``budget`` + 1 blocks of the highest ``bits`` of a word, each marked with its place."""
-    width, spare = divmod(bits, budget + 1)
+def _blocks(word, budget: int):
+    """The ``budget`` + 1 blocks of the bits of a word, each marked with its place."""
+    width, spare = divmod(64, budget + 1)
     sizes = [width + (k < spare) for k in range(budget + 1)]
-    lows = [64 - bits + sum(sizes[:k]) for k in range(budget + 1)]
+    lows = [sum(sizes[:k]) for k in range(budget + 1)]
     return F.array(*[
         F.lit(k).cast("long") * F.lit(1 << 40) + F.shiftrightunsigned(word, low).bitwiseAND(F.lit((1 << size) - 1))
         for k, (low, size) in enumerate(zip(lows, sizes, strict=True))
     ])
 
 
-def link_forest(nodes: DataFrame, budget: int = 4, bits: int = 64, most: int | None = None) -> DataFrame:
-    """Edges (a, b) that connect the rows (node: long, simhash).
-
-    With 64 bits they connect exactly what links of at most ``budget`` bits in any round connect. With fewer, a link is at
-    most ``budget`` bits in the first ``bits`` of a word and at most ``most`` in all of it and the next round's word.
-    """
+def link_forest(nodes: DataFrame, budget: int = 4) -> DataFrame:
+    """Edges (a, b) that connect exactly what links of at most ``budget`` bits in any round connect, of rows (node: long, simhash)."""
     tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rounds = F.size(SIGNATURE)
-    rows = nodes.select("node", SIGNATURE, F.posexplode(SIGNATURE).alias("round", "word"))
-    rows = rows.select("node", "round", "word", F.element_at(SIGNATURE, ((F.col("round") + 1) % rounds + 1).cast("int")).alias("second"))
-    dealt = rows.select("node", "word", "second", "round", F.explode(_blocks(F.col("word"), bits, budget)).alias("block"))
+    rows = nodes.select("node", F.posexplode(SIGNATURE).alias("round", "word"))
+    dealt = rows.select("node", "word", "round", F.explode(_blocks(F.col("word"), budget)).alias("block"))
     grp = (F.col("round").cast("long") * F.lit(1 << 48) + F.col("block")).alias("grp")
-    if bits == 64:
-        return dealt.select("node", "word", grp).repartition(tasks, "grp").mapInPandas(_trie_links(budget), "a long, b long")
-    return dealt.select("node", "word", "second", grp).repartition(tasks, "grp").mapInPandas(_loose_links(bits, budget, most), "a long, b long")
+    return dealt.select("node", "word", grp).repartition(tasks, "grp").mapInPandas(_trie_links(budget), "a long, b long")
 
 
-def near_duplicates(
-    docs: DataFrame, words: int = 4, budget: int = 4, rounds: int = 1, bits: int = 64, verify: float | None = None, doc_id: str = "doc_id", text: str = "text"
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 4, budget: int = 4, rounds: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row (doc_id, simhash, component_id) per row of ``docs``; component_id is the smallest doc_id reachable.
 
-    Rows link where a word of the same round differs in at most ``budget`` of its first ``bits`` bits; with ``verify`` only
-    if, besides, the share of differing bits over all rounds is at most that. Without ``verify`` and with 64 bits the
-    result is exact. Texts without words share the fingerprint 0 and link like any others. A null doc_id is never a
-    component's id unless all are null. Repeated rows stay; an empty table gives an empty table.
+    Rows link where a word of the same round differs in at most ``budget`` bits; the result is exact. Texts without words
+    share the fingerprint 0 and link like any others. A null doc_id is never a component's id unless all are null. Repeated
+    rows stay; an empty table gives an empty table.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     marked = materialise(fingerprint(rows, words, rounds).select("doc_id", SIGNATURE), "simhash")
@@ -214,15 +194,7 @@ def near_duplicates(
     nodes = materialise(
         marked.groupBy(SIGNATURE).agg(F.min("doc_id").alias("first")).withColumn("node", node), "simhash-words"
     )
-    edges = link_forest(nodes, budget, bits, None if verify is None else round(128 * verify + 8))
-    if verify is not None:
-        found = materialise(edges.distinct(), "simhash-links")
-        left = nodes.select(F.col("node").alias("a"), F.col(SIGNATURE).alias("sa"))
-        right = nodes.select(F.col("node").alias("b"), F.col(SIGNATURE).alias("sb"))
-        differ = F.aggregate(
-            F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x
-        )
-        edges = found.join(left, "a").join(right, "b").filter(differ <= verify * 64 * rounds).select("a", "b")
+    edges = link_forest(nodes, budget)
     joined = nodes.join(connected_components(edges).withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left")
     classes = materialise(joined.select(SIGNATURE, "first", F.coalesce("component", "node").alias("component")), "simhash-classes")
     least = classes.groupBy("component").agg(F.min("first").alias("component_id"))
