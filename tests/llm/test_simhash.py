@@ -151,3 +151,16 @@ def test_all_similar_members_of_a_family_are_found(spark):
             words[place] = f"own{k}_{place}" if k % 3 else f"own{place}"
         texts.append(" ".join(words))
     assert similar_of(spark, texts) == similar_parts(texts)
+
+
+def test_similarity_is_exact_at_the_threshold(spark):
+    """Pairs of 0.8 exactly link, pairs just below do not, however short the texts."""
+    texts = []
+    for k in range(60):
+        shared = [f"s{k}_{i}" for i in range(14 + k)]  # 10 + k shingles
+        texts += [" ".join(shared), " ".join(shared + [f"e{k}_{i}" for i in range((10 + k) // 4 + k % 2)])]
+    sets = shingle_sets(texts)
+    nearness = {len(sets[i]) / len(sets[i + 1]) for i in range(0, len(sets), 2)}
+    assert 0.8 in nearness and any(0.77 < n < 0.8 for n in nearness)
+    texts += ["", " ", "a b", "A  b", "c"]
+    assert similar_of(spark, texts) == similar_parts(texts)
