@@ -164,3 +164,11 @@ def test_similarity_is_exact_at_the_threshold(spark):
     assert 0.8 in nearness and any(0.77 < n < 0.8 for n in nearness)
     texts += ["", " ", "a b", "A  b", "c"]
     assert similar_of(spark, texts) == similar_parts(texts)
+
+
+def test_repeats_of_a_passage_do_not_count(spark):
+    """Equal sets of shingles link whatever the counts; a repeated line does not link texts of other content."""
+    passage, rest, line = ([f"{p}{i}" for i in range(200)] for p in "pql")
+    texts = [" ".join(passage + rest), " ".join(passage * 10 + rest)]
+    texts += [" ".join(line[:20] * 40 + [f"{c}{i}" for i in range(100)]) for c in "xyz"]
+    assert similar_of(spark, texts) == similar_parts(texts) == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4}
