@@ -11,17 +11,29 @@ def id_remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def sample_labels(labels: DataFrame, column: str, modulus: int, held_out: int, most_per_class: int) -> DataFrame:
-    """(doc_id, label) of at most ``most_per_class`` documents of each label 0 and 1, first by a hash of their id.
+def usable_labels(labels: DataFrame, column: str, modulus: int, held_out: int) -> DataFrame:
+    """(doc_id, label) of all documents of label 0 or 1.
 
-    Null labels and ids, held-out ids and ids with contradicting labels are left out. Its size is bounded by the parameter,
-    so it may be broadcast.
+    Null labels and ids, held-out ids and ids with contradicting labels are left out.
     """
-    rows = (
+    return (
         labels.select("doc_id", F.col(column).cast("int").alias("label"))
         .filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (id_remainder(F.col("doc_id"), modulus) != held_out))
         .groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).filter("label = other").drop("other")
     )
+
+
+def class_counts(labels: DataFrame, column: str, modulus: int, held_out: int) -> DataFrame:
+    """(label, count) over all usable labels."""
+    return usable_labels(labels, column, modulus, held_out).groupBy("label").count()
+
+
+def sample_labels(labels: DataFrame, column: str, modulus: int, held_out: int, most_per_class: int) -> DataFrame:
+    """``usable_labels`` of at most ``most_per_class`` documents of each label, first by a hash of their id.
+
+    Its size is bounded by the parameter, so it may be broadcast.
+    """
+    rows = usable_labels(labels, column, modulus, held_out)
     order = F.xxhash64("doc_id")
     one, zero = (rows.filter(F.col("label") == v).orderBy(order, "doc_id").limit(most_per_class) for v in (1, 0))
     return one.unionByName(zero)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.llm.batches import give_back, small_batches
-from sluice.llm.labelled import sample_documents, sample_labels
+from sluice.llm.labelled import class_counts, sample_documents, sample_labels
 
 SCORE = "quality_score"
 FEATURES = (
@@ -166,10 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, most_per_class: int = 4000, modulu
         sample_documents(docs.select("doc_id", "text"), learned)
         .select("__label", _feature_column(F.coalesce("text", F.lit(""))).alias("x")).toPandas()
     )
-    shares = {
-        r["label"]: r["count"]
-        for r in sample_labels(labels, "quality", modulus, held_out, 2**31 - 1).groupBy("label").count().collect()
-    }
+    shares = {r["label"]: r["count"] for r in class_counts(labels, "quality", modulus, held_out).collect()}
     x = np.array(rows["x"].tolist(), float).reshape(-1, len(FEATURES))
     y = rows["__label"].to_numpy(float)
     weights = np.ones(len(y))

@@ -59,3 +59,16 @@ def test_interactions_are_learned():
     model = quality.fit(x[:3000], y[:3000])
     assert (3, 7) in model.pairs
     assert np.mean((model.score(x[3000:]) >= 0.5) == y[3000:]) > 0.95
+
+
+def test_class_counts_need_no_order(spark, monkeypatch):
+    """Training sorts and limits labels only for its bounded sample; the shares of the classes are counted on all."""
+    limits, real = [], quality.sample_labels
+    monkeypatch.setattr(quality, "sample_labels", lambda *a: limits.append(a[-1]) or real(*a))
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)] + [(1, 1), (2, None), (None, 1)], "doc_id long, quality int")
+    docs = spark.createDataFrame([(i, f"some words {i}") for i in range(60)], "doc_id long, text string")
+    quality.train(docs, labels, most_per_class=10)
+    assert limits == [10]
+    got = {r["label"]: r["count"] for r in quality.class_counts(labels, "quality", 4, 2).collect()}
+    held = {i for i in range(60) if zlib.crc32(str(i).encode()) % 4 == 2}
+    assert got == {v: sum(int(i % 3 == 0) == v and i not in held and i != 1 for i in range(60)) for v in (0, 1)}
