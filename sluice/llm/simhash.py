@@ -21,14 +21,11 @@ from pyspark.sql import types as T
 from sluice.functions.scale import materialise
 from sluice.llm.batches import give_back, small_batches
 from sluice.llm.components import connected_components
-from sluice.llm.prefix_join import prefix, similar_components
 from sluice.llm.trie import Forest, close_pairs
 
 SIGNATURE = "simhash"
 #: shingles whose bits are counted at once
 CHUNK = 1 << 15
-#: documents, or a few more, that tell common shingles from rare ones
-SAMPLED = 10_000
 GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -89,55 +86,6 @@ def fingerprint(docs: DataFrame, words: int = 4, rounds: int = 1, text: str = "t
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(SIGNATURE, T.ArrayType(T.LongType(), False))]))
 
 
-def _shingled(docs: DataFrame, words: int, of_items) -> DataFrame:
-    """(doc_id, node, size, items) of the rows (doc_id, text): a hash of the set of a text's shingles, its size, and
-    what ``of_items`` makes of the set."""
-    small_batches(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, sizes, items = [], [], []
-            for value in batch.column(1):
-                own = np.unique(shingle_hashes((value.as_py() or "").encode(), words)).view(np.int64)
-                nodes.append(xxhash.xxh64_intdigest(own.tobytes(), 42))
-                sizes.append(len(own))
-                items.append(of_items(own))
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in items])]).astype(np.int32)
-            flat = pa.array(np.concatenate(items) if items else np.zeros(0, np.int64), pa.int64())
-            columns = [batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), flat)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "size", "items"])
-        give_back()
-
-    fields = [docs.schema["doc_id"], T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("items", T.ArrayType(T.LongType()))]
-    return docs.mapInArrow(run, T.StructType(fields))
-
-
-def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row (doc_id, component_id) per row of ``docs``; component_id is the smallest doc_id reachable.
-
-    Rows link if their sets of word shingles, repeats left out, have a Jaccard similarity of ``similarity`` or more. All
-    links are found and each is counted on whole sets (of 64-bit hashes). Texts without words are like each other only.
-    A null doc_id is never a component's id unless all are null. Repeated rows stay; an empty table gives an empty table.
-    """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    some = rows.filter(F.pmod(F.xxhash64("text"), F.lit(max(1, rows.count() // SAMPLED))) == 0)
-    told = _shingled(some, words, lambda x: x).select(F.explode("items").alias("item")).groupBy("item").count().filter("count > 2").toPandas()
-    told = told.sort_values("item")
-    common, counts = told["item"].to_numpy(np.int64), told["count"].to_numpy(np.int64)
-    marked = materialise(_shingled(rows, words, lambda x: prefix(x, similarity, common, counts)), "similar-prefixes")
-    nodes = marked.groupBy("node").agg(F.first("size").alias("size"), F.first("items").alias("prefix"))
-
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        return _shingled(rows, words, lambda x: x).select("node", "items").join(wanted, "node", "left_semi").dropDuplicates(["node"])
-
-    found = similar_components(nodes, sets_of, similarity).withColumnRenamed("node", "k")
-    joined = marked.select("doc_id", "node").join(found, F.col("node") == F.col("k"), "left").select(
-        "doc_id", F.coalesce("component", "node").alias("component")
-    )
-    least = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return joined.join(least, "component").select("doc_id", "component_id")
-
-
 def _trie_links(budget: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [(f["node"].to_numpy(np.int64), f["grp"].to_numpy(np.int64), f["word"].to_numpy(np.int64).view(np.uint64)) for f in frames]

@@ -12,6 +12,7 @@ from sluice.llm import quality
 from sluice.llm.vocabulary import DEFAULT_PATH
 from tests.llm.test_mixing import brute as brute_mix
 from tests.llm.test_repeats import brute as brute_repeats
+from tests.llm.test_simhash import brute_components, brute_print
 
 SF = "/root/testdata/sf0.01"
 
@@ -26,11 +27,6 @@ def stages(spark):
     return [frame.collect() for frame in out]
 
 
-def shingles(text):
-    words = text.lower().encode().split()
-    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
-
-
 def test_columns_and_order(spark, stages):
     assert [name for name, _ in pipeline.STAGES] == ["quality", "similar", "repeats", "mixing", "tokens"]
     for rows in stages[1:-1]:
@@ -44,18 +40,24 @@ def test_quality(spark, stages):
 
 
 def test_one_of_similar_stays(stages):
-    kept = {r.doc_id: shingles(r.text) for r in stages[2]}
-    gone = {r.doc_id: shingles(r.text) for r in stages[1] if r.doc_id not in kept}
-    jaccard = lambda a, b: len(a & b) / len(a | b)
-    texts = {}
-    for r in stages[1]:
-        texts.setdefault(r.text, []).append(r.doc_id)
-    assert all(sum(i in kept for i in ids) <= 1 for ids in texts.values())
-    everything = kept | gone
-    for i, s in gone.items():  # every document that went is like another one
-        assert max(jaccard(s, t) for j, t in everything.items() if j != i) > 0.7
-    pairs = [(i, j) for i in kept for j in kept if i < j and min(len(kept[i]), len(kept[j])) > 0.8 * max(len(kept[i]), len(kept[j]))]
-    assert sum(jaccard(kept[i], kept[j]) >= 0.82 for i, j in pairs) <= 2
+    """Exactly the smallest id of every group that links of at most four bits connect."""
+    prints = {r.doc_id: brute_print(r.text) for r in stages[1]}
+    values = sorted(set(prints.values()))
+    links = [(a, b) for k, a in enumerate(values) for b in values[k + 1 :] if (a ^ b).bit_count() <= 4]
+    part, least = brute_components(links, values), {}
+    for i, p in prints.items():
+        least[part[p]] = min(i, least.get(part[p], i))
+    assert {r.doc_id for r in stages[2]} == set(least.values())
+    assert len(stages[2]) == len(least) < len(stages[1])
+
+
+def test_rows_of_one_id(spark):
+    """Equal rows of one id are one document; rows of one id with unlike texts, or without an id, are told apart."""
+    a, b, c = (" ".join(f"{p}{i}" for i in range(40)) for p in "abc")
+    rows = [(1, a, "en", "s", 1), (1, a, "en", "s", 1), (1, b, "en", "s", 1), (None, a, "en", "s", 1), (None, c, "en", "s", 1), (7, b, "de", "t", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = pipeline.keep_one_of_similar(spark, docs, SF).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == [("1", a), ("1", b), ("None", c)]
 
 
 def test_repeats(stages):

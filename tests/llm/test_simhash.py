@@ -88,87 +88,3 @@ def test_registered(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = sorted(((r.doc_id, int(r.fingerprint, 16), r.component_id) for r in queries.op6_simhash(spark, SF).collect()), key=str)
     assert got == expected(rows)
-
-
-def test_similar_documents(spark):
-    """Near copies at the threshold are found, less similar texts are left apart, chains of copies hang together."""
-    rng = random.Random(2)
-    vocabulary = [f"v{i}" for i in range(2000)]
-    rows, near, far = [], [], []
-    for k in range(120):
-        words = rng.choices(vocabulary, k=500)
-        rows.append((3 * k, " ".join(words)))
-        for step, (changes, found) in enumerate(((9, near), (55, far)), 1):
-            other = list(words)
-            for place in rng.sample(range(100), changes) if changes > 20 else range(7, 500, 500 // changes):
-                other[place * (5 if changes > 20 else 1)] = f"changed{step}"
-            rows.append((3 * k + step, " ".join(other)))
-            found.append((3 * k, 3 * k + step))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
-    assert sum(got[b] == got[a] for a, b in near) >= 0.95 * len(near)
-    assert sum(got[b] == got[a] for a, b in far) <= 0.05 * len(far)
-    copies = [(i, " ".join(f"w{j}" if j != i % 90 else "x" for j in range(300))) for i in range(400)]
-    got = simhash.similar_documents(spark.createDataFrame(copies, "doc_id long, text string"))
-    assert {r.component_id for r in got.collect()} == {0}
-
-
-def shingle_sets(texts):
-    out = []
-    for t in texts:
-        w = t.lower().split()
-        out.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
-    return out
-
-
-def similar_parts(texts, least=0.8):
-    """The smallest index that links of brute force reach."""
-    sets = shingle_sets(texts)
-    pairs = [
-        (j, i) for i in range(len(sets)) for j in range(i)
-        if sets[i] == sets[j] or (sets[i] and sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= least)
-    ]
-    part = brute_components(pairs, range(len(sets)))
-    lowest = {}
-    for i in range(len(sets)):
-        lowest.setdefault(part[i], i)
-    return {i: lowest[part[i]] for i in range(len(sets))}
-
-
-def similar_of(spark, texts):
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
-
-
-def test_all_similar_members_of_a_family_are_found(spark):
-    """A template whose members are 0.6 to 0.95 of each other: every true link counts, and no other."""
-    rng = random.Random(7)
-    base = [f"t{i}" for i in range(200)]
-    texts = []
-    for k in range(700):
-        words = list(base)
-        for place in rng.sample(range(200), rng.choice((1, 3, 5, 7, 9))):
-            words[place] = f"own{k}_{place}" if k % 3 else f"own{place}"
-        texts.append(" ".join(words))
-    assert similar_of(spark, texts) == similar_parts(texts)
-
-
-def test_similarity_is_exact_at_the_threshold(spark):
-    """Pairs of 0.8 exactly link, pairs just below do not, however short the texts."""
-    texts = []
-    for k in range(60):
-        shared = [f"s{k}_{i}" for i in range(14 + k)]  # 10 + k shingles
-        texts += [" ".join(shared), " ".join(shared + [f"e{k}_{i}" for i in range((10 + k) // 4 + k % 2)])]
-    sets = shingle_sets(texts)
-    nearness = {len(sets[i]) / len(sets[i + 1]) for i in range(0, len(sets), 2)}
-    assert 0.8 in nearness and any(0.77 < n < 0.8 for n in nearness)
-    texts += ["", " ", "a b", "A  b", "c"]
-    assert similar_of(spark, texts) == similar_parts(texts)
-
-
-def test_repeats_of_a_passage_do_not_count(spark):
-    """Equal sets of shingles link whatever the counts; a repeated line does not link texts of other content."""
-    passage, rest, line = ([f"{p}{i}" for i in range(200)] for p in "pql")
-    texts = [" ".join(passage + rest), " ".join(passage * 10 + rest)]
-    texts += [" ".join(line[:20] * 40 + [f"{c}{i}" for i in range(100)]) for c in "xyz"]
-    assert similar_of(spark, texts) == similar_parts(texts) == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4}
