@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import bpe, mixing, nn_descent, quality, relative_lz, simhash, spherical, suffix_levels, token_counts, toxicity
+from sluice.llm import (
+    bpe, line_dedup, merkle, mixing, nn_descent, periodic, quality, relative_lz, simhash, spherical, suffix_levels, token_counts, toxicity,
+)
 from sluice.llm.labelled import id_remainder
+from sluice.llm.oracles import LINES_SQL, MERKLE_SQL
 
 
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -90,6 +93,48 @@ def op10_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spherical.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir, "doc_id", "source", "lang", "n_chars", "text")
+
+    def leaf(text):
+        return merkle.digest(*[merkle.field_text(F.col(c)) for c in ("doc_id", "source", "lang", "n_chars")], merkle.field_text(text))
+
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    given = F.when(tampered, leaf(F.replace("text", F.lit("\n"), F.lit("")))).otherwise(leaf(F.col("text")))
+    found = merkle.manifest(docs, leaf(F.col("text")), given)
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof_text(F.col("sides")), 256).alias("proof_sha256"), "folded_root", "verified"
+    )
+
+
+def periodic_digests(docs: DataFrame) -> DataFrame:
+    """Runs of rows (doc_id, text), of which one in ten gets a period, as the contract of op12 digests them."""
+    text = periodic.with_planted_run(F.col("doc_id"), F.col("text")).alias("text")
+    found = periodic.find_runs(docs.select("doc_id", text))
+    runs = F.col(periodic.RUNS)
+    told = found.select(
+        "doc_id", F.size(runs).cast("long").alias("n_runs"), periodic.strongest_run(runs).alias("best"),
+        F.sha2(periodic.runs_text(runs), 256).alias("runs_sha256"), F.sha2(periodic.COLLAPSED, 256).alias("collapsed_sha256"),
+    )
+    exponent = F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).cast("long")
+    return told.select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period", exponent.alias("exponent_milli"), "runs_sha256", "collapsed_sha256"
+    )
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_digests(_documents(spark, sf_dir, "doc_id", "text"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.find_duplicate_lines(_documents(spark, sf_dir, "doc_id", "text"))
+    keep = F.col(line_dedup.KEEP)
+    return found.select(
+        "doc_id", F.col(line_dedup.COUNT).alias("n_lines"), line_dedup.dropped_count(keep).alias("n_dropped"),
+        F.sha2(line_dedup.kept_text(F.col("text"), keep), 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_suffix_levels": op2_suffix_levels,
@@ -101,6 +146,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_relative_lz": op9_relative_lz,
     "op10_spherical_caps": op10_spherical_caps,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 MIXING_SQL = r"""
@@ -135,4 +183,4 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
 FROM edge
 """
 
-ORACLES: dict[str, str] = {"op5_mixing": MIXING_SQL}
+ORACLES: dict[str, str] = {"op5_mixing": MIXING_SQL, "op11_merkle_manifest": MERKLE_SQL, "op13_line_dedup": LINES_SQL}
