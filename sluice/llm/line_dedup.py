@@ -39,8 +39,9 @@ def _row_key(doc_id: Column, text: Column) -> list[Column]:
 def dropped_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc, own, pos) of the lines to drop; ``own`` tells texts of one id apart, positions count from 0."""
     spark = docs.sparkSession
-    line = F.posexplode(lines_of(F.col(text))).alias("pos", "line")
-    rows = docs.select(*_row_key(F.col(doc_id), F.col(text)), line)
+    # a generator of one row fixes the digest of a text before its lines come out, else it is made for every line
+    one = F.inline(F.array(F.struct(*_row_key(F.col(doc_id), F.col(text)), lines_of(F.col(text)).alias("lines"))))
+    rows = docs.select(one).select("doc", "own", F.posexplode("lines").alias("pos", "line"))
     long_enough = F.char_length(F.btrim("line", F.lit(_BLANKS))) >= least_chars
     keyed = rows.filter(long_enough).select(F.unhex(F.md5(line_key(F.col("line")))).alias("hash"), "doc", "own", "pos")
     ranged = keyed.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "hash", "doc")
