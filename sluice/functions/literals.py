@@ -22,8 +22,6 @@ TRIMMED_VALUE = rf"""\s*+((?:{_ATOM}|[^'"(),\s]++|\s++(?![,\s]|\z)|{_PARENS_2})+
 EMPTY_VALUE = r"(?:\A|,)\s*+(?:,|\z)"
 #: one parenthesised tuple of a VALUES list
 TUPLE = rf"""\((?:{_ATOM}|[^'"()]++|{_PARENS_2})*+\)"""
-#: what must be skipped while looking for an open literal
-SKIP_TOKENS = rf"""(?s){QUOTED}|{DOUBLE_QUOTED}|--[^\n]*+|/\*.*?\*/"""
 
 #: one operand of a text expression: a literal, N'..', q'[..]', CHR(n), TO_CLOB('..'), EMPTY_CLOB()
 TEXT_TERM = rf"""(?is)(?:N?+{QUOTED}|Q'\[[^'\]]*+\]'|N?CHR\s*+\(\s*+\d++\s*+\)|TO_N?CLOB\s*+\(\s*+{QUOTED}\s*+\)|EMPTY_[BC]LOB\s*+\(\s*+\))"""
@@ -31,8 +29,9 @@ TEXT_TERM = rf"""(?is)(?:N?+{QUOTED}|Q'\[[^'\]]*+\]'|N?CHR\s*+\(\s*+\d++\s*+\)|T
 TEXT_EXPRESSION = rf"""(?is)\A\s*+{TEXT_TERM[5:]}(?:\s*+\|\|\s*+{TEXT_TERM[5:]})*+\s*+\z"""
 #: what starts like an expression and must be looked at
 _MAYBE_EXPRESSION = r"(?i)\A(?:N'|Q'|N?CHR\s*+\(|TO_N?CLOB\s*+\(|EMPTY_[BC]LOB)"
-#: a call, other than those that have a meaning here
-_CALL = r"(?is)\A(?!(?:TO_DATE|TO_TIMESTAMP|HEXTORAW)\s*+\()[A-Z_][\w$#.]*+\s*+\(.*\)\z"
+#: a number as it may stand for a text
+_NUMBER = r"\A[+-]?+(?:\d++\.?+\d*+|\.\d++)(?:[eE][+-]?+\d++)?+[fFdD]?+\z"
+_WHOLE_QUOTED = rf"(?s)\A(?:{QUOTED}|{DOUBLE_QUOTED})\z"
 
 BLANKS = " \t\r\n"
 
@@ -99,14 +98,6 @@ def text_of_expression(c: Column) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(TEXT_TERM), F.lit(0)), term), "")
 
 
-def is_unsupported(c: Column) -> Column:
-    """No literal: an expression that is not understood, or a call of some other function."""
-    starts_quoted = c.startswith("'")
-    plain = c.rlike(rf"(?s)\A{QUOTED}\z")
-    odd = (starts_quoted & ~plain) | (F.contains(c, F.lit("||")) & ~is_quoted(c)) | c.rlike(_CALL)
-    return F.coalesce(odd & ~is_text_expression(c), F.lit(False))
-
-
 def is_null_literal(c: Column) -> Column:
     """Bare NULL in any case; ``'NULL'`` is a string and stays one."""
     return (F.length(c) == 4) & (F.upper(c) == "NULL")
@@ -144,8 +135,21 @@ def to_timestamp_value(text: Column, mask: Column) -> Column:
 
 
 def to_text_value(c: Column) -> Column:
-    """Raw literal -> string. Date calls give their date text, numbers their digits."""
-    return F.when(is_text_expression(c), text_of_expression(c)).when(is_quoted(c), unquote(c)).when(~is_null_literal(c), F.regexp_replace(c, _ANY_DATE, "$1"))
+    """Raw literal -> string. Date calls give their date text, numbers their digits.
+
+    NULL for the NULL literal, and for everything that is no literal: calls of other functions, pseudo-columns such as
+    SYSDATE, names, arithmetic. A quoted literal without a quote inside, the usual case, is told without a pattern.
+    """
+    inner = F.substring(c, F.lit(2), F.length(c) - 2)
+    plain = c.startswith("'") & c.endswith("'") & (F.octet_length(c) >= 2) & ~F.contains(inner, F.lit("'"))
+    return (
+        F.when(plain, inner)
+        .when(is_null_literal(c), F.lit(None).cast("string"))
+        .when(is_text_expression(c), text_of_expression(c))
+        .when(is_quoted(c), F.when(c.rlike(_WHOLE_QUOTED), unquote(c)))
+        .when(c.rlike(_NUMBER) | F.upper(c).isin("TRUE", "FALSE"), c)
+        .when(is_date_call(c), F.nullif(F.regexp_replace(c, _ANY_DATE, "$1"), c))
+    )
 
 
 def is_temporal(dtype: T.DataType) -> bool:

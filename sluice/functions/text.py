@@ -42,7 +42,7 @@ def _starts_with_any(line: Column, prefixes: Sequence[str]) -> Column:
 #: prefixes of lines that are noise to their end, whatever they hold
 _WHOLE_LINES = ("--", "*/", "PROMPT", "REM ")
 #: comment, directive and blank lines in front of a statement; a directive ends at its ``;``, free text at its line end
-_LEADING_NOISE = (
+LEADING_NOISE = (
     r"(?i)\A(?:[ \t\r]*+(?:(?:" + "|".join(_escape(p) for p in _WHOLE_LINES) + r")[^\n]*+(?:\n|\z)|(?:"
     + "|".join(_escape(p) for p in CLIENT_LINE_PREFIXES if p not in (*_WHOLE_LINES, "COMMIT;", "/*"))
     + r"|COMMIT\b|@|DEFINE |UNDEFINE |COLUMN |TTITLE |BTITLE |BREAK |COMPUTE )[^\n;]*+(?:;|\n|\z)"
@@ -55,7 +55,7 @@ def strip_leading_noise(text: Column) -> Column:
     opens = F.upper(F.left(text, F.lit(6))) == "INSERT"
     blank_first = text.rlike(r"(?i)\A\s++INSERT\b")
     return F.when(opens, text).when(blank_first, F.ltrim(text, F.lit(BLANKS))).otherwise(
-        F.regexp_replace(text, _LEADING_NOISE, ""))
+        F.regexp_replace(text, LEADING_NOISE, ""))
 
 
 def is_sql_line(line: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.functions.literals import (
-    EMPTY_VALUE, TRIMMED_VALUE, TUPLE, VALUE, date_mask, date_text, is_null_literal, is_temporal, is_unsupported,
+    EMPTY_VALUE, TRIMMED_VALUE, TUPLE, VALUE, date_mask, date_text, is_null_literal, is_temporal,
     to_timestamp_value, to_typed_value,
 )
 from sluice.functions.text import insert_columns, insert_table_name, is_insert
@@ -26,6 +26,7 @@ UNKNOWN_COLUMN = "unknown_column"
 BAD_VALUE = "bad_value"
 UNSUPPORTED = "unsupported_expression"
 OTHER_TABLE = "other_table"
+BAD_BYTES = "bad_bytes"
 #: column of statements that are to be set aside whole, as they belong to another table
 MISPLACED = "_misplaced"
 
@@ -38,12 +39,13 @@ def column_names(listed: Column) -> Column:
 def parse_tuples(stmts: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """One row per VALUES tuple: ``keep``, ``listed``, ``row_no``, ``tuple``, ``vals``, ``reason``.
 
-    ``listed`` is the column list as written, empty where there is none. A statement that is no INSERT or
-    whose values cannot be read gives one row with a reason and its text.
+    ``listed`` is the column list as written, empty where there is none. A statement that is no INSERT, that lost
+    bytes when it was decoded, or whose values cannot be read gives one row with a reason and its text.
     """
     misplaced = F.col(MISPLACED) if MISPLACED in stmts.columns else F.lit(False)
+    damaged = F.col(BAD_BYTES) if BAD_BYTES in stmts.columns else F.lit(False)
     heads = stmts.select(
-        *keep, "stmt", misplaced.alias(MISPLACED), F.regexp_extract("stmt", _HEAD, 1).alias("listed"),
+        *keep, "stmt", (misplaced | damaged).alias(MISPLACED), damaged.alias(BAD_BYTES), F.regexp_extract("stmt", _HEAD, 1).alias("listed"),
         F.regexp_extract("stmt", _ONE_TUPLE, 2).alias("single"),
     )
     # statements of one tuple, the usual form of a dump, are done with the first pattern
@@ -54,13 +56,14 @@ def parse_tuples(stmts: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         .when(F.col("stmt").rlike(_ALL_TUPLES), several)
         .otherwise(F.array(F.lit(None).cast("string")))
     )
-    rows = heads.select(*keep, "stmt", MISPLACED, "listed", F.posexplode(tuples).alias("row_no", "tuple"))
+    rows = heads.select(*keep, "stmt", MISPLACED, BAD_BYTES, "listed", F.posexplode(tuples).alias("row_no", "tuple"))
     body = F.substring(F.col("tuple"), F.lit(2), F.length("tuple") - 2)
     rows = rows.withColumn("vals", F.regexp_extract_all(body, F.lit(TRIMMED_VALUE), F.lit(1)))
     # a comma with nothing before or after it is looked for first, the exact test is made only where one is
     covered = F.array_join(F.regexp_extract_all(body, F.lit(VALUE), F.lit(0)), ",") == body
     reason = (
         F.when(F.col("tuple").isNull() & ~is_insert(F.col("stmt")), NOT_INSERT)
+        .when(F.col(BAD_BYTES), BAD_BYTES)
         .when(F.col(MISPLACED), OTHER_TABLE)
         .when(F.col("tuple").isNull(), UNPARSED)
         .when(body.rlike(EMPTY_VALUE) & ~covered, UNPARSED)
@@ -130,11 +133,9 @@ def typed_rows(stmts: DataFrame, schema: T.StructType, keep: Sequence[str] = ())
     typed = dated.select(*keep, "tuple", "vals", "reason", *[value(i, f).alias(f"_t{i}") for i, f in fields])
     reason = F.when(F.col("reason").isNotNull(), F.col("reason"))
     for i, f in fields:
-        if isinstance(f.dataType, T.StringType):
-            reason = reason.when(is_unsupported(raw(i)), F.lit(f"{UNSUPPORTED}:{f.name}"))
-        else:
-            lost = F.col(f"_t{i}").isNull() & raw(i).isNotNull() & ~is_null_literal(raw(i))
-            reason = reason.when(lost, F.lit(f"{BAD_VALUE}:{f.name}"))
+        lost = F.col(f"_t{i}").isNull() & raw(i).isNotNull() & ~is_null_literal(raw(i))
+        why = UNSUPPORTED if isinstance(f.dataType, T.StringType) else BAD_VALUE
+        reason = reason.when(lost, F.lit(f"{why}:{f.name}"))
     row = F.struct(
         *[F.col(f"_t{i}").alias(f.name) for i, f in fields],
         F.col("tuple").alias("_tuple"), reason.alias("_reason"),

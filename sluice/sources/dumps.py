@@ -1,8 +1,8 @@
 """Statement source: SQL dump files as a DataFrame of statements.
 
 A dump is read by Spark's text source with ``;`` + newline as the record separator, so files of any size
-split. A record is a whole statement unless a literal holds ``;`` + newline. Those files - and only those -
-take a second path that glues records together, balanced over the splits of the file.
+split. A record is a whole statement unless a literal or a comment holds ``;`` + newline. Those files - and only
+those - take a second path that glues records together, balanced over the splits of the file.
 """
 
 from __future__ import annotations
@@ -11,13 +11,15 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sluice.functions.charset import decode_bytes
-from sluice.functions.literals import DOUBLE_QUOTED, QUOTED, SKIP_TOKENS, trim_end
+from sluice.functions.charset import decode_ignore, decode_strict
+from sluice.functions.dialects import ORACLE, Dialect, dialect_of, standard_literals
+from sluice.functions.literals import DOUBLE_QUOTED, QUOTED, trim_end
 from sluice.functions.scale import broadcast_if_small, materialise
 from sluice.functions.text import is_insert, strip_comments, strip_leading_noise
+from sluice.sources.lexer import START, leaves_in, statement_heads, transitions
 
 # Fixed value: default chunk of a load, 30 MB. Use 256 MB or more from a few TB up.
 CHUNK_BYTES = 30 * 1024 * 1024
@@ -27,13 +29,18 @@ _PIECE = rf"""(?s)(?:{QUOTED}|{DOUBLE_QUOTED}|--[^\n]*+|/\*.*?\*/|[^;'"/-]++|['"
 _SPLIT_KEY = ["file_path", "block_start"]
 
 
+#: what a record is known by, its text, and whether bytes of it did not fit the charset
+_RECORD = ["file_path", "block_start", "chunk_id", "ord", "value", "bad_bytes"]
+
+
 @dataclass
 class DumpScan:
     """Records of a set of dump files, and the small table of their splits (one row per split)."""
 
-    records: DataFrame  # file_path, block_start, chunk_id, ord, value
-    splits: DataFrame  # file_path, block_start, chunk_id, n_records, n_bytes, n_open
+    records: DataFrame  # file_path, block_start, chunk_id, ord, value, bad_bytes, n_raw, file_size
+    splits: DataFrame  # file_path, block_start, chunk_id, n_records, n_bytes, n_open, file_size, last
     separator: str = ";\n"
+    dialect: Dialect = ORACLE
 
 
 def fixed_split_session(spark: SparkSession, split_bytes: int) -> SparkSession:
@@ -68,10 +75,17 @@ def keyed(raw: DataFrame, chunk_bytes: int) -> DataFrame:
         F.col("_metadata.file_block_start").alias("block_start"),
         F.floor(F.col("_metadata.file_block_start") / F.lit(chunk_bytes)).cast("long").alias("chunk_id"),
         F.monotonically_increasing_id().alias("ord"),
-        "value",
+        "value", F.octet_length("value").alias("n_raw"), F.col("_metadata.file_size").alias("file_size"),
     )
 
 
+def valid_utf8(records: DataFrame) -> DataFrame:
+    """Raw records with ``bad_bytes``; bytes that are no UTF-8 are left out of ``value``."""
+    clean = F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit(""))
+    flagged = records.withColumn("bad_bytes", ~F.is_valid_utf8("value"))
+    return flagged.withColumn("value", F.when(F.col("bad_bytes"), clean).otherwise(F.col("value")))
+
+
 def read_records(
     spark: SparkSession,
     paths: str | Sequence[str],
@@ -80,122 +94,90 @@ def read_records(
     encoding: str = "utf-8",
 ) -> DataFrame:
     """Records of the dumps. Separator, quotes and newlines are single ASCII bytes in UTF-8, GBK, Big5 and
-    Latin-1, so those are split first and decoded after; UTF-16 files go through ``sources.encoding``."""
+    Latin-1, so those are split first and decoded after; UTF-16 files go through ``sources.encoding``.
+
+    Bytes that do not fit the charset are left out of ``value``, and ``bad_bytes`` says so.
+    """
     reader = fixed_split_session(spark, chunk_bytes).read.option("lineSep", separator)
     raw = reader.option("recursiveFileLookup", "true").text(paths if isinstance(paths, str) else list(paths))
     records = _rebind(spark, keyed(raw, chunk_bytes))
-    if encoding.lower() not in ("utf-8", "utf8", "ascii"):
-        records = records.withColumn("value", decode_bytes(F.col("value").cast("binary"), F.lit(encoding)))
-    return records
+    if encoding.lower() in ("utf-8", "utf8", "ascii"):
+        return valid_utf8(records)
+    data, charset = F.col("value").cast("binary"), F.lit(encoding)
+    tried = records.withColumn("strict", decode_strict(data, charset))
+    # only records that do not fit are decoded once more
+    lossy = decode_ignore(F.when(F.col("strict").isNull(), data), charset)
+    return tried.withColumn("value", F.coalesce("strict", lossy)).withColumn("bad_bytes", F.col("strict").isNull()).drop("strict")
 
 
-def _open_after(text: Column) -> Column:
-    """1 when ``text``, read from outside any literal, ends inside one."""
-    quotes = F.length(text) - F.length(F.replace(text, F.lit("'"), F.lit("")))
-    plain = (quotes % 2).cast("int")
-    scanned = F.contains(F.regexp_replace(text, SKIP_TOKENS, ""), F.lit("'")).cast("int")
-    odd_tokens = F.contains(text, F.lit("--")) | F.contains(text, F.lit("/*")) | F.contains(text, F.lit('"'))
-    return F.when(odd_tokens, scanned).otherwise(plain)
+def scan(records: DataFrame, separator: str = ";\n", dialect: str | Dialect = ORACLE) -> DumpScan:
+    """One pass over the records for the per-split totals; partial sums meet in one row per split.
 
-
-def scan(records: DataFrame, separator: str = ";\n") -> DumpScan:
-    """One pass over the records for the per-split totals; partial sums meet in one row per split."""
+    ``n_bytes`` are bytes of the file, ``n_open`` counts records after which, read alone, a statement goes on, and
+    ``last`` has the size of the split's last record and whether it is a whole statement.
+    """
+    dialect = dialect_of(dialect)
+    ended = F.rtrim(F.right("value", F.lit(64)), F.lit(" \t\r\n"))
     totals = records.groupBy("file_path", "block_start", "chunk_id").agg(
         F.count("*").alias("n_records"),
-        F.sum(F.octet_length("value") + F.lit(len(separator))).cast("long").alias("n_bytes"),
-        F.sum(_open_after(F.col("value"))).cast("long").alias("n_open"),
+        F.sum(F.col("n_raw") + F.lit(len(separator))).cast("long").alias("n_bytes"),
+        F.count_if(leaves_in(F.col("value"), dialect) != START).alias("n_open"),
+        F.max("file_size").alias("file_size"),
+        F.max_by(F.struct(F.col("n_raw").cast("long").alias("n_raw"), (ended.endswith(";") | (ended == "")).alias("whole")), "ord").alias("last"),
     )
-    return DumpScan(records, materialise(totals, "splits"), separator)
-
+    return DumpScan(records, materialise(totals, "splits"), separator, dialect)
 
-def _compose(out_if_closed: str, out_if_open: str, over) -> tuple[Column, Column]:
-    """Running (flips, forced) of the two-state scan "are we inside a literal".
 
-    A record either passes the state on, flips it, or forces it (both inputs give the same output).
-    """
-    passes = F.col(out_if_closed) != F.col(out_if_open)
-    flips = F.sum(F.when(passes, F.col(out_if_closed)).otherwise(0)).over(over)
-    return flips, F.when(~passes, F.col(out_if_closed))
+def _open_files(found: DumpScan) -> DataFrame | None:
+    """Files in which a statement may go on behind a separator; None if there are none, which is the usual case."""
+    open_splits = found.splits.filter("n_open > 0")
+    return None if open_splits.isEmpty() else materialise(open_splits.select("file_path").distinct(), "open-files")
 
 
-def _assemble_open_files(found: DumpScan) -> DataFrame:
-    """Glue the records of statements whose literals hold the separator.
+def _assemble_open_files(found: DumpScan, files: DataFrame) -> DataFrame:
+    """Glue the records of statements whose literals or comments hold the separator.
 
-    Windows run inside one split; a split hands on to the next only its two possible end states and its
-    last statement start. No group is larger than a split or a statement.
+    Each split is scanned on its own for every state it may be entered in, and hands on to the next only the state it
+    leaves in and its last statement start. No group is larger than a split or a statement.
     """
-    in_split = Window.partitionBy(*_SPLIT_KEY).orderBy("ord")
-    so_far = in_split.rowsBetween(Window.unboundedPreceding, 0)
-    files = found.splits.groupBy("file_path").agg(F.sum("n_open").alias("n")).filter("n > 0").select("file_path")
-    marked = found.records.join(broadcast_if_small(materialise(files, "open-files")), "file_path", "left_semi")
-    marked = marked.withColumn("c0", _open_after(F.col("value"))).withColumn(
-        "c1", _open_after(F.concat(F.lit("'"), F.col("value")))
-    )
-    flips, forced = _compose("c0", "c1", so_far)
-    marked = marked.withColumn("flips", flips).withColumn("force", (forced + F.col("flips")) % 2)
-    marked = marked.withColumn("force", F.last("force", ignorenulls=True).over(so_far))
-    # state after the record, for a split entered outside (0) and inside (1) a literal
-    for entry in (0, 1):
-        marked = marked.withColumn(f"after{entry}", (F.coalesce("force", F.lit(entry)) + F.col("flips")) % 2)
-    for entry in (0, 1):
-        before = F.coalesce(F.lag(f"after{entry}").over(in_split), F.lit(entry))
-        marked = marked.withColumn(
-            f"start{entry}", F.last(F.when(before == 0, F.col("ord")), ignorenulls=True).over(so_far)
-        )
-    marked = materialise(
-        marked.select(*_SPLIT_KEY, "chunk_id", "ord", "value", "after0", "after1", "start0", "start1"), "records"
-    )
-
-    in_file = Window.partitionBy("file_path").orderBy("block_start")
-    upto, earlier = in_file.rowsBetween(Window.unboundedPreceding, 0), in_file.rowsBetween(Window.unboundedPreceding, -1)
-    ends = marked.groupBy(*_SPLIT_KEY, "chunk_id").agg(
-        *[F.max_by(c, "ord").alias(c) for c in ("after0", "after1")], F.max("start0").alias("start0"),
-        F.max("start1").alias("start1"),
-    )
-    flips, forced = _compose("after0", "after1", upto)
-    ends = ends.withColumn("flips", flips).withColumn("force", (forced + F.col("flips")) % 2)
-    ends = ends.withColumn("force", F.last("force", ignorenulls=True).over(upto))
-    ends = ends.withColumn("leaves", (F.coalesce("force", F.lit(0)) + F.col("flips")) % 2)
-    ends = ends.withColumn("enters", F.coalesce(F.lag("leaves").over(in_file), F.lit(0)))
-    own = F.when(F.col("enters") == 0, F.col("start0")).otherwise(F.col("start1"))
-    ends = ends.withColumn(
-        "own", F.when(own.isNotNull(), F.struct(F.col("block_start"), F.col("chunk_id"), own.alias("ord")))
-    ).withColumn("carried", F.last("own", ignorenulls=True).over(earlier))
-    whole = Window.partitionBy("file_path")
-    # a file that ends inside a literal is broken: its records stand alone and the parser sorts them out
-    ends = ends.withColumn("broken", F.max_by("leaves", "block_start").over(whole) == 1)
-    ends = materialise(ends.select(*_SPLIT_KEY, "enters", "carried", "broken"), "split-states")
-
-    known = marked.join(broadcast_if_small(ends), _SPLIT_KEY)
-    start = F.when(F.col("enters") == 0, F.col("start0")).otherwise(F.col("start1"))
+    own = found.records.join(broadcast_if_small(files), "file_path", "left_semi").select(*_RECORD)
+    stored = materialise(own, "records")
+    marked, states = transitions(stored, found.dialect)
+    inside, per_split = statement_heads(marked.select("file_path", "block_start", "chunk_id", "ord", "leaves"), states)
+    ends = materialise(per_split, "split-states")
+    known = stored.join(materialise(inside, "record-heads"), [*_SPLIT_KEY, "ord"]).join(broadcast_if_small(ends), _SPLIT_KEY)
+    start = F.get("heads", F.col("enters"))
     here = F.struct(F.col("block_start"), F.col("chunk_id"), F.col("ord"))
-    known = known.withColumn(
-        "head",
+    carried = F.struct(F.col("head_block").alias("block_start"), F.col("head_chunk").alias("chunk_id"), F.col("head_ord").alias("ord"))
+    # a file that ends inside a literal is broken: its records stand alone and the parser sorts them out
+    head = (
         F.when(F.col("broken"), here)
-        .when(start.isNotNull(), F.struct(F.col("block_start"), F.col("chunk_id"), start.alias("ord")))
-        .otherwise(F.coalesce("carried", here)),
+        .when(start >= 0, F.struct(F.col("block_start"), F.col("chunk_id"), start.alias("ord")))
+        .when(F.col("head_ord").isNotNull(), carried).otherwise(here)
     )
     parts = F.array_sort(F.collect_list(F.struct("block_start", "ord", "value")))
-    glued = known.groupBy("file_path", "head").agg(parts.alias("parts"))
+    glued = known.withColumn("head", head).groupBy("file_path", "head").agg(parts.alias("parts"), F.bool_or("bad_bytes").alias("bad_bytes"))
     return glued.select(
         "file_path", "head.block_start", "head.chunk_id", "head.ord",
-        F.array_join(F.col("parts.value"), found.separator).alias("value"),
+        F.array_join(F.col("parts.value"), found.separator).alias("value"), "bad_bytes",
     )
 
 
 def assemble(found: DumpScan) -> DataFrame:
     """Records with every statement whole. No shuffle unless some file needs gluing."""
-    open_splits = found.splits.filter("n_open > 0")
-    if open_splits.isEmpty():
-        return found.records
-    files = materialise(open_splits.select("file_path").distinct(), "open-files")
-    closed = found.records.join(broadcast_if_small(files), "file_path", "left_anti")
-    return closed.unionByName(_assemble_open_files(found))
-
-
-def to_statements(whole: DataFrame) -> DataFrame:
-    """Whole records -> statements: leading comments and directives off, inner ends split, comments out."""
-    body = trim_end(strip_comments(strip_leading_noise(F.col("value"))))
+    files = _open_files(found)
+    if files is None:
+        return found.records.select(*_RECORD)
+    closed = found.records.join(broadcast_if_small(files), "file_path", "left_anti").select(*_RECORD)
+    return closed.unionByName(_assemble_open_files(found, files))
+
+
+def to_statements(whole: DataFrame, dialect: str | Dialect = ORACLE) -> DataFrame:
+    """Whole records -> statements: leading comments and directives off, literals in standard form, inner ends split,
+    comments out. ``bad_bytes`` marks statements that lost bytes."""
+    bare = strip_leading_noise(F.col("value"))
+    body = trim_end(strip_comments(strip_leading_noise(standard_literals(bare, dialect)) if dialect_of(dialect).backslash
+                                   else standard_literals(bare, dialect)))
     several = F.contains("body", F.lit(";"))
     pieces = F.when(several, F.regexp_extract_all("body", F.lit(_PIECE), F.lit(0))).when(
         F.col("body") != "", F.array("body"))
@@ -203,10 +185,10 @@ def to_statements(whole: DataFrame) -> DataFrame:
     first = F.col("sub") == 0
     inner = F.when(first, F.col("piece")).otherwise(trim_end(strip_leading_noise(F.col("piece"))))
     return (
-        whole.select(*key, body.alias("body"))
-        .select(*key, F.posexplode(pieces).alias("sub", "piece"))
+        whole.select(*key, body.alias("body"), "bad_bytes")
+        .select(*key, "bad_bytes", F.posexplode(pieces).alias("sub", "piece"))
         .filter(first | (inner != ""))
-        .select(*key, "sub", F.concat(inner, F.lit(";")).alias("stmt"))
+        .select(*key, "sub", F.concat(inner, F.lit(";")).alias("stmt"), "bad_bytes")
     )
 
 
@@ -216,9 +198,11 @@ def read_statements(
     separator: str = ";\n",
     chunk_bytes: int = CHUNK_BYTES,
     encoding: str = "utf-8",
+    dialect: str | Dialect = ORACLE,
 ) -> DataFrame:
-    """Dump files -> ``file_path, block_start, chunk_id, ord, sub, stmt``; order is (block_start, ord, sub)."""
-    return to_statements(assemble(scan(read_records(spark, paths, separator, chunk_bytes, encoding), separator)))
+    """Dump files -> ``file_path, block_start, chunk_id, ord, sub, stmt, bad_bytes``; order is (block_start, ord, sub)."""
+    found = scan(read_records(spark, paths, separator, chunk_bytes, encoding), separator, dialect)
+    return to_statements(assemble(found), dialect)
 
 
 def insert_statements(stmts: DataFrame) -> DataFrame:

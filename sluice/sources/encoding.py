@@ -148,4 +148,5 @@ def read_unsplittable(spark: SparkSession, path: str | list[str], charset: str =
         F.col("path").alias("file_path"), F.posexplode(_decoded_records("content", F.lit(charset))).alias("ord", "value"))
     return records.filter(F.col("value") != "").select(
         "file_path", F.lit(0).cast("long").alias("block_start"), F.lit(0).cast("long").alias("chunk_id"),
-        F.col("ord").cast("long").alias("ord"), "value")
+        F.col("ord").cast("long").alias("ord"), "value", F.lit(False).alias("bad_bytes"),
+        F.octet_length("value").alias("n_raw"), F.lit(None).cast("long").alias("file_size"))

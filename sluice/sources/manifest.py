@@ -135,7 +135,8 @@ def head_statements(files: DataFrame, n_bytes: int = 1024 * 1024) -> DataFrame:
     whole = F.when(F.col("file_size") > n_bytes, F.slice(pieces, F.lit(1), F.size(pieces) - 1)).otherwise(pieces)
     zero = F.lit(0).cast("long")
     records = heads(files, n_bytes).select("file_path", F.posexplode(whole).alias("ord", "value")).filter("value <> ''").select(
-        "file_path", zero.alias("block_start"), zero.alias("chunk_id"), F.col("ord").cast("long").alias("ord"), "value")
+        "file_path", zero.alias("block_start"), zero.alias("chunk_id"), F.col("ord").cast("long").alias("ord"), "value",
+        F.lit(False).alias("bad_bytes"), F.octet_length("value").alias("n_raw"), zero.alias("file_size"))
     return to_statements(assemble(scan(materialise(records, "heads"))))
 
 

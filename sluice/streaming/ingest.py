@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sluice.operators.values import MISPLACED, good_rows, rejected_rows, typed_rows, with_table_names
 from sluice.sources.dumps import (
-    CHUNK_BYTES, assemble, fixed_split_session, scan, to_statements,
+    CHUNK_BYTES, assemble, fixed_split_session, scan, to_statements, valid_utf8,
 )
 
 
@@ -26,13 +26,13 @@ def ingest_stream(spark: SparkSession, folder: str, schema: T.StructType, target
         fixed_split_session(spark, chunk_bytes).readStream.option("lineSep", separator).option("maxFilesPerTrigger", max_files)
         .option("recursiveFileLookup", "true").text(folder)
         .select(F.col("_metadata.file_path").alias("file_path"),
-                F.col("_metadata.file_block_start").alias("block_start"), "value")
+                F.col("_metadata.file_block_start").alias("block_start"), "value", F.col("_metadata.file_size").alias("file_size"))
     )
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        records = batch.select(
+        records = valid_utf8(batch.select(
             "file_path", "block_start", F.lit(batch_id).cast("long").alias("chunk_id"),
-            F.monotonically_increasing_id().alias("ord"), "value")
+            F.monotonically_increasing_id().alias("ord"), "value", F.octet_length("value").alias("n_raw"), "file_size"))
         named = with_table_names(to_statements(assemble(scan(records, separator))))
         stray = F.coalesce(F.col("table_name") != table, F.lit(False)) if table else F.lit(False)
         rows = typed_rows(named.withColumn(MISPLACED, stray), schema, ["chunk_id"]).persist()
