@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -14,14 +15,20 @@ from pyspark.sql import types as T
 
 from sluice.functions.scale import broadcast_if_small, materialise
 from sluice.operators.chunks import pending_chunks
+from sluice.operators.intervals import is_covered, merged, with_cover
 from sluice.operators.runlog import latest_attempts
 from sluice.operators.values import good_rows, rejected_rows, typed_rows
+from sluice.sources.versions import VERSION, compare_versions
 
+#: bytes of a file that a chunk stands for, and the version of the file
+_RANGE = {"begin_byte": "long", "end_byte": "long", "tail_byte": "long", "open_end": "boolean", "file_size": "long",
+          "modified": "timestamp", "head_hash": "string", "tail_hash": "string"}
 LEDGER_SCHEMA = (
     "table_name string, run_id string, file_path string, chunk_id long, status string, affected_rows long, rejected_rows long, "
-    "seconds double, error_message string, ts timestamp"
+    "seconds double, error_message string, ts timestamp, " + ", ".join(f"{n} {t}" for n, t in _RANGE.items())
 )
 _CHUNK_KEYS = ["file_path", "chunk_id"]
+_VERSION_OF = ["file_path", "open_end", *VERSION]
 #: where a loaded row came from, kept beside its own columns
 ORIGIN = ["_file_path", "_chunk_id"]
 
@@ -112,21 +119,52 @@ def read_ledger(spark: SparkSession, target: LoadTarget) -> DataFrame:
     return _read_or_none(spark, target.ledger, LEDGER_SCHEMA)
 
 
-def _committed(spark: SparkSession, target: LoadTarget, folder: str, condition: str) -> list[str]:
-    """Folders of the runs the ledger holds. A run that failed left files nobody reads."""
-    runs = read_ledger(spark, target).filter("status = 'completed'").filter(condition).select("run_id").distinct()
-    return [f"{folder}/run={r.run_id}" for r in runs.collect()]
+def _without(rows: DataFrame, gone: DataFrame, run: str, file: str) -> DataFrame:
+    """Rows but those of files in runs that a replaced file made void."""
+    void = materialise(gone.select(F.col("run_id").alias("void_run"), F.col("file_path").alias("void_file")).distinct(), "superseded")
+    return rows.join(broadcast_if_small(void), (F.col(run) == F.col("void_run")) & (F.col(file) == F.col("void_file")), "left_anti")
+
+
+def active_rows(ledger: DataFrame) -> DataFrame:
+    """Ledger rows that count: not those of replaced files, nor failures whose bytes another run has loaded since."""
+    rows = ledger.filter("status <> 'superseded'")
+    gone = ledger.filter("status = 'superseded'")
+    rows = rows if gone.isEmpty() else _without(rows, gone, "run_id", "file_path")
+    if rows.filter("status = 'failed'").isEmpty():
+        return rows
+    done = rows.filter("status = 'completed'").select(
+        F.col("file_path").alias("f"), F.col("ts").alias("t"), F.col("begin_byte").alias("b"), F.col("end_byte").alias("e"))
+    mended = (F.col("status") == "failed") & (F.col("file_path") == F.col("f")) & (F.col("ts") <= F.col("t")) & (
+        F.col("begin_byte") < F.col("e")) & (F.col("end_byte") > F.col("b"))
+    return rows.join(done, mended, "left_anti")
+
+
+def _committed(spark: SparkSession, target: LoadTarget, folder: str, condition: str, schema: T.StructType | str) -> DataFrame:
+    """Rows of the runs the ledger holds. A run that failed left files nobody reads, a replaced file's rows are passed over."""
+    ledger = read_ledger(spark, target)
+    gone = ledger.filter("status = 'superseded'")
+    touched = {r.run_id for r in gone.select("run_id").distinct().collect()}
+    runs = [r.run_id for r in ledger.filter("status = 'completed'").filter(condition).select("run_id").distinct().collect()]
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    clean = [f"{folder}/run={r}" for r in runs if r not in touched]
+    mixed = [f"{folder}/run={r}" for r in runs if r in touched]
+    rows = spark.read.schema(schema).parquet(*clean) if clean else spark.createDataFrame([], schema)
+    if mixed:
+        names = [f.name for f in schema]
+        origin = [T.StructField(n, t) for n, t in zip(ORIGIN, (T.StringType(), T.LongType())) if n not in names]
+        wide = spark.read.schema(T.StructType([*schema.fields, *origin])).parquet(*mixed)
+        run = F.regexp_extract(F.col("_metadata.file_path"), r"/run=([0-9a-f]+)/", 1)
+        rows = rows.unionByName(_without(wide.withColumn("_run", run), gone, "_run", ORIGIN[0]).select(*names))
+    return rows
 
 
 def read_table(spark: SparkSession, target: LoadTarget, schema: T.StructType) -> DataFrame:
-    paths = _committed(spark, target, target.data, "affected_rows > 0")
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+    return _committed(spark, target, target.data, "affected_rows > 0", schema)
 
 
 def read_rejects(spark: SparkSession, target: LoadTarget) -> DataFrame:
     schema = "raw string, reason string, _file_path string, _chunk_id long"
-    paths = _committed(spark, target, target.rejects, "rejected_rows > 0")
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+    return _committed(spark, target, target.rejects, "rejected_rows > 0", schema)
 
 
 def _write_run(df: DataFrame, path: str) -> None:
@@ -139,11 +177,59 @@ def _count_chunks(spark: SparkSession, path: str, name: str) -> DataFrame:
         F.col("_file_path").alias("file_path"), F.col("_chunk_id").alias("chunk_id"), name)
 
 
-def load_chunks(stmts: DataFrame, chunks: DataFrame, schema: T.StructType, target: LoadTarget) -> DataFrame:
-    """Load the chunks the ledger does not hold yet; returns the ledger rows of this run.
+@dataclass
+class Resumption:
+    """What is left to load of a source."""
+
+    chunks: DataFrame  # the chunks that this run works on
+    pending: DataFrame  # their statements
+    superseded: DataFrame | None = None  # ledger rows that say which runs a replaced file makes void
+
 
-    ``stmts``: INSERT statements of one table with file_path and chunk_id; ``chunks``: all chunks of the
-    source. Every run writes a folder of its own, straight from the scan: no shuffle, no sort. The ledger is
+def _resume_by_ranges(stmts: DataFrame, chunks: DataFrame, ledger: DataFrame,
+                      offsets: Callable[[DataFrame], DataFrame] | None, on_replaced: str) -> Resumption:
+    """Difference of what the source holds and what the ledger holds, both as sets of bytes of files.
+
+    A chunk of which nothing is loaded is taken whole, one that is loaded is passed over whatever its number was, and of
+    one that is partly loaded those statements are taken that begin outside of the loaded bytes.
+    """
+    done = active_rows(ledger).filter("status = 'completed'")
+    newest = done.groupBy("file_path").agg(F.max_by(F.struct(*_VERSION_OF[1:]), F.struct("file_size", "ts")).alias("v"))
+    current = chunks.select("file_path", *VERSION).distinct()
+    states = materialise(compare_versions(newest.select("file_path", "v.*"), current), "file-states")
+    replaced = states.filter("state = 'replaced'").select("file_path")
+    named = [r.file_path for r in replaced.limit(4).collect()]
+    superseded = None
+    if named and on_replaced != "replace":
+        raise ValueError(f"files were changed since they were loaded, which doubles or loses rows: {', '.join(named[:3])}"
+                         f"{' and others' if len(named) > 3 else ''}; load them with on_replaced='replace'")
+    if named:
+        superseded = done.join(replaced, "file_path", "left_semi").select(
+            "table_name", "run_id", "file_path", F.lit("superseded").alias("status")).distinct()
+        done = done.join(replaced, "file_path", "left_anti")
+    sizes = current.select("file_path", F.col("file_size").alias("size_now")).distinct()
+    # a last statement without an end is loaded again once its file has grown
+    cut = F.when((F.col("size_now") > F.col("file_size")) & F.col("tail_byte").isNotNull(), F.least("end_byte", "tail_byte")).otherwise(F.col("end_byte"))
+    loaded = merged(done.join(sizes, "file_path").select("file_path", "begin_byte", cut.alias("end_byte")), ["file_path"])
+    marked = materialise(with_cover(chunks, loaded, ["file_path"]).filter("state <> 'all'"), "pending")
+    whole = marked.filter("state = 'none'").select(*_CHUNK_KEYS)
+    pending = stmts.join(broadcast_if_small(materialise(whole, "pending-whole")), _CHUNK_KEYS, "left_semi")
+    partly = marked.filter("state = 'part'")
+    if offsets is not None and not partly.isEmpty():
+        places = offsets(partly).filter(~is_covered(F.col("begin_byte"), F.col("covers"))).select("file_path", "block_start", "ord")
+        pending = pending.unionByName(stmts.join(broadcast_if_small(materialise(places, "pending-part")), ["file_path", "block_start", "ord"], "left_semi"))
+    return Resumption(marked.drop("covers", "state"), pending, superseded)
+
+
+def load_chunks(stmts: DataFrame, chunks: DataFrame, schema: T.StructType, target: LoadTarget,
+                offsets: Callable[[DataFrame], DataFrame] | None = None, on_replaced: str = "refuse") -> DataFrame:
+    """Load what the ledger does not hold yet; returns the ledger rows of this run.
+
+    ``stmts``: INSERT statements of one table with file_path and chunk_id; ``chunks``: all chunks of the source. With the
+    columns of ``dumps.chunk_ranges``, what is loaded is told by bytes of file versions: chunks may be cut anew, files may
+    grow, and a file that was replaced is refused, or with ``on_replaced='replace'`` takes the place of its old rows.
+    ``offsets`` then gives where the records of partly loaded chunks begin. Without these columns chunks are told by
+    their number. Every run writes a folder of its own, straight from the scan: no shuffle, no sort. The ledger is
     written last, and only runs it names are ever read, so a run that dies leaves nothing to undo. Rows that
     do not fit are counted on the way and written in a second pass only when there are any.
     """
@@ -151,12 +237,17 @@ def load_chunks(stmts: DataFrame, chunks: DataFrame, schema: T.StructType, targe
     run = uuid.uuid4().hex
     ledger = read_ledger(spark, target)
     fresh = ledger.filter("status = 'completed'").isEmpty()
-    todo, pending = chunks.select(*_CHUNK_KEYS).distinct(), stmts
+    ranged = "begin_byte" in chunks.columns
+    todo, pending, superseded = (chunks if ranged else chunks.select(*_CHUNK_KEYS).distinct()), stmts, None
     if not fresh:  # a first load takes every chunk, so nothing has to be joined to the statements
-        todo = materialise(pending_chunks(todo, ledger), "pending")
+        if ranged:
+            left = _resume_by_ranges(stmts, chunks, ledger, offsets, on_replaced)
+            todo, pending, superseded = left.chunks, left.pending, left.superseded
+        else:
+            todo = materialise(pending_chunks(todo, ledger), "pending")
+            pending = stmts.join(broadcast_if_small(todo), _CHUNK_KEYS, "left_semi")
         if todo.isEmpty():
             return spark.createDataFrame([], LEDGER_SCHEMA)
-        pending = stmts.join(broadcast_if_small(todo), _CHUNK_KEYS, "left_semi")
     rows = typed_rows(pending, schema, _CHUNK_KEYS).withColumnsRenamed(dict(zip(_CHUNK_KEYS, ORIGIN)))
     seen = Observation()
     watched = rows.observe(seen, F.count_if(F.col("_reason").isNotNull()).alias("bad"))
@@ -174,12 +265,13 @@ def load_chunks(stmts: DataFrame, chunks: DataFrame, schema: T.StructType, targe
     counts = [_count_chunks(spark, data, "affected_rows")]
     if bad:
         counts.append(_count_chunks(spark, rejects, "rejected_rows"))
-    return _log(todo, target, run, "completed", time.time() - begun, None, counts)
+    return _log(todo, target, run, "completed", time.time() - begun, None, counts, superseded)
 
 
 def _log(todo: DataFrame, target: LoadTarget, run: str, status: str, seconds: float, error: str | None,
-         counts: list[DataFrame]) -> DataFrame:
-    """Ledger rows are written after the data of their chunks, all in one commit. Chunks of a run are loaded side by
+         counts: list[DataFrame], superseded: DataFrame | None = None) -> DataFrame:
+    """Ledger rows are written after the data of their chunks, all in one commit, together with what makes the rows of
+    replaced files void. Chunks of a run are loaded side by
     side, so each gets an equal share of its seconds: the rows of a run sum up to its time."""
     out, share = todo, seconds / max(1, todo.count())
     for c in counts:
@@ -191,11 +283,15 @@ def _log(todo: DataFrame, target: LoadTarget, run: str, status: str, seconds: fl
         F.lit(target.table).alias("table_name"), F.lit(run).alias("run_id"), "file_path", "chunk_id",
         F.lit(status).alias("status"), "affected_rows", "rejected_rows", F.lit(share).alias("seconds"),
         F.lit(error).cast("string").alias("error_message"), F.current_timestamp().alias("ts"),
+        *[(F.col(n) if n in out.columns else F.lit(None)).cast(t).alias(n) for n, t in _RANGE.items()],
     )
+    if superseded is not None:
+        rows = rows.unionByName(superseded.withColumn("ts", F.current_timestamp()), allowMissingColumns=True)
     rows.write.mode("append").parquet(target.ledger)
     return read_ledger(todo.sparkSession, target).filter(F.col("run_id") == run)
 
 
 def batch_log(ledger: DataFrame) -> DataFrame:
-    """Ledger rows as the batch log the run analytics read: the latest attempt of every chunk."""
-    return latest_attempts(ledger.withColumn("task_id", F.concat_ws("-", "table_name", F.hex(F.xxhash64("file_path")), "chunk_id")))
+    """Ledger rows as the batch log the run analytics read: the latest attempt of every chunk that counts."""
+    name = F.concat_ws("-", "table_name", F.hex(F.xxhash64("file_path")), "chunk_id", "begin_byte", "end_byte")
+    return latest_attempts(active_rows(ledger).withColumn("task_id", name))

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluice.functions.dialects import ORACLE, Dialect
 from sluice.functions.scale import materialise
 from sluice.functions.text import file_table_name, insert_table_name, is_insert
 from sluice.operators.profile import infer_schema as _infer_schema
@@ -17,8 +20,11 @@ from sluice.operators.sampling import preview_statements
 from sluice.operators.values import MISPLACED, with_table_names
 from sluice.plans.load import LoadTarget, batch_log, load_chunks, read_ledger
 from sluice.session import discard, scratch
-from sluice.sources.auto import dump_kinds, read_any
-from sluice.sources.dumps import CHUNK_BYTES, assemble, insert_statements, read_records, scan, to_statements
+from sluice.sources.auto import scan_any
+from sluice.sources.dumps import (
+    CHUNK_BYTES, DumpScan, assemble, chunk_ranges, insert_statements, read_records, record_offsets, scan, to_statements,
+)
+from sluice.sources.versions import file_versions
 from sluice.sources.manifest import ALLOWED_EXTENSIONS, admit, estimate_by_sample, head_statements, manifest
 
 Schema = T.StructType | str
@@ -86,19 +92,31 @@ def _placed(stmts: DataFrame, table: str | None) -> DataFrame:
     return named.withColumn("table_name", F.when(name == table, name).otherwise(UNASSIGNED) if table else name)
 
 
-def _statements(
-    spark: SparkSession, path: str | list[str], separator: str | None, chunk_bytes: int, encoding: str | None
-) -> tuple[DataFrame, DataFrame]:
-    """Statements and chunks. Without a charset and a separator each file is read with its own."""
+@dataclass
+class Source:
+    """Statements of dump files, the chunks they come in, and where the records of some chunks begin."""
+
+    stmts: DataFrame
+    chunks: DataFrame
+    scans: list[DumpScan]
+
+    def offsets(self, splits: DataFrame) -> DataFrame:
+        return reduce(DataFrame.unionByName, [record_offsets(found, splits) for found in self.scans])
+
+
+def _source(
+    spark: SparkSession, path: str | list[str], separator: str | None, chunk_bytes: int, encoding: str | None, dialect: str | Dialect
+) -> Source:
+    """Without a charset and a separator each file is read with its own."""
     if separator is None and encoding is None:
-        kinds = dump_kinds(spark, path)
-        if any(k.encoding.startswith("utf-16") for k in kinds) or len(kinds) > 1:
-            stmts = read_any(spark, path, chunk_bytes)
-            return stmts, stmts.select("file_path", "chunk_id").distinct()
-        separator, encoding = kinds[0].separator, kinds[0].encoding
-    separator = separator or ";\n"
-    found = scan(read_records(spark, path, separator, chunk_bytes, encoding or "utf-8"), separator)
-    return to_statements(assemble(found)), found.splits.select("file_path", "chunk_id")
+        scans = scan_any(spark, path, chunk_bytes, dialect)
+    else:
+        separator = separator or ";\n"
+        scans = [scan(read_records(spark, path, separator, chunk_bytes, encoding or "utf-8"), separator, dialect)]
+    versions = materialise(file_versions(spark, path), "versions")
+    stmts = [to_statements(assemble(found), dialect) for found in scans]
+    chunks = [chunk_ranges(found, versions) for found in scans]
+    return Source(reduce(DataFrame.unionByName, stmts), materialise(reduce(DataFrame.unionByName, chunks), "chunks"), scans)
 
 
 def _generic_schema(spark: SparkSession, table: str) -> T.StructType:
@@ -117,6 +135,8 @@ def migrate(
     encoding: str | None = None,
     tolerance: float = 0.0,
     stop_on_error: bool = True,
+    dialect: str | Dialect = ORACLE,
+    on_replaced: str = "refuse",
 ) -> DataFrame:
     """Load dump files into tables below ``root``; returns one summary row per table.
 
@@ -125,9 +145,13 @@ def migrate(
     StructType, DDL, or a mapping by table) overrides inference; a table that neither covers gets the generic schema.
     Charset and line end of each file are found from its head unless they are given. A table that fails does not keep
     the others from being loaded; the first error is raised at the end unless ``stop_on_error`` is off, and the ledger
-    holds it either way. Running it again loads what the ledger does not hold.
+    holds it either way. Running it again loads what the ledger does not hold: the ledger has bytes of file versions, so
+    files may have grown and ``chunk_bytes`` may differ. A file that was replaced is refused, or, with
+    ``on_replaced='replace'``, its rows take the place of those loaded before. ``dialect`` is how the dump writes its
+    literals: oracle, mysql or ansi.
     """
-    stmts, chunks = _statements(spark, path, separator, chunk_bytes, encoding)
+    source = _source(spark, path, separator, chunk_bytes, encoding, dialect)
+    stmts, chunks = source.stmts, source.chunks
     staged_at = None
     if table is not None and schemas is not None:
         # one pass: statements of other tables are told apart while the table is loaded
@@ -156,7 +180,7 @@ def migrate(
                 schema = as_struct(schemas)
             target = LoadTarget(root, name)
             try:
-                load_chunks(own, _chunks_of(own, chunks, len(tables)), schema, target)
+                load_chunks(own, _chunks_of(own, chunks, len(tables)), schema, target, source.offsets, on_replaced)
             except Exception as e:  # the ledger holds it; the other tables go on
                 errors.append(e)
             done = batch_log(read_ledger(spark, target))
@@ -175,7 +199,7 @@ def migrate(
 
 def _chunks_of(own: DataFrame, chunks: DataFrame, n_tables: int) -> DataFrame:
     """Chunks a table has statements in; with one table those are all chunks."""
-    return chunks if n_tables == 1 else own.select("file_path", "chunk_id").distinct()
+    return chunks if n_tables == 1 else chunks.join(own.select("file_path", "chunk_id").distinct(), ["file_path", "chunk_id"], "left_semi")
 
 
 def migrate_files(spark: SparkSession, path: str | list[str], root: str, **options) -> DataFrame:

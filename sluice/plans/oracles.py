@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sluice.functions.text import CLIENT_LINE_PREFIXES
+from sluice.plans import load_queries
 
 _COLUMNS = {
     "orders": [("o_orderkey", "n"), ("o_custkey", "n"), ("o_orderstatus", "s"), ("o_totalprice", "n"),
@@ -300,3 +301,5 @@ WHERE NOT EXISTS (SELECT 1 FROM t c WHERE c.task_id = t.task_id AND c.status = '
 ORACLES["flagship"] = """
 SELECT o_orderstatus, count(*) AS n_orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total_price
 FROM orders GROUP BY o_orderstatus"""
+
+ORACLES.update(load_queries.ORACLES)

@@ -10,7 +10,7 @@ from sluice.functions import ddl, text
 from sluice.functions.charset import decode_bytes, encode_text
 from sluice.operators import chunks, profile, reconcile, runlog, sampling, values
 from sluice.operators.export import export_dump, insert_text, render_inserts, write_dump
-from sluice.plans import load, migrate
+from sluice.plans import load, load_queries, migrate
 from sluice.session import scratch
 from sluice.sources import dumps, encoding, manifest
 from sluice.streaming import ingest, status
@@ -610,4 +610,5 @@ QUERIES.update({
         status_events, status_overview, task_duration, drop_cancelled, stream_ingest, stream_status,
     )
 })
+QUERIES.update(load_queries.QUERIES)
 QUERIES["flagship"] = flagship

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.sources.dumps import CHUNK_BYTES, assemble, read_records, scan, to_statements
+from sluice.functions.dialects import ORACLE, Dialect
+from sluice.sources.dumps import CHUNK_BYTES, DumpScan, assemble, read_records, scan, to_statements
 from sluice.sources.encoding import DETECT_BYTES, choose_charset, read_unsplittable, separator_of
 from sluice.sources.ranges import heads, list_files
 
@@ -24,25 +25,32 @@ def dump_kinds(spark: SparkSession, path: str | list[str]) -> list:
     return kinds
 
 
-def read_any(spark: SparkSession, path: str | list[str], chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Statements of all files, each read in its own charset and with its own line ends.
+def scan_any(spark: SparkSession, path: str | list[str], chunk_bytes: int = CHUNK_BYTES, dialect: str | Dialect = ORACLE) -> list[DumpScan]:
+    """One scan for each kind of file: its charset and its line ends.
 
-    Files fall into a handful of kinds; each kind is one splittable read, and all are put together. File names
-    (which the reader lists on the driver anyway) are gathered only when there is more than one kind.
+    Files fall into a handful of kinds; each kind is one splittable read. File names (which the reader lists on the
+    driver anyway) are gathered only when there is more than one kind.
     """
     files = describe_files(spark, path).select("file_path", "encoding", "separator").persist()
     kinds = [(r.encoding, r.separator) for r in files.select("encoding", "separator").distinct().collect()]
-    out = None
+    out = []
     for encoding, separator in kinds:
         of_kind = files.filter((F.col("encoding") == encoding) & (F.col("separator") == separator))
         paths = path if len(kinds) == 1 else [r.file_path for r in of_kind.select("file_path").collect()]
         if encoding.startswith("utf-16"):
-            found = scan(read_unsplittable(spark, paths, encoding))
+            out.append(scan(read_unsplittable(spark, paths, encoding), dialect=dialect))
         else:
-            found = scan(read_records(spark, paths, separator, chunk_bytes, encoding), separator)
-        stmts = to_statements(assemble(found))
-        out = stmts if out is None else out.unionByName(stmts)
+            out.append(scan(read_records(spark, paths, separator, chunk_bytes, encoding), separator, dialect))
     files.unpersist()
-    if out is None:
+    if not out:
         raise ValueError(f"no files in {path}")
     return out
+
+
+def read_any(spark: SparkSession, path: str | list[str], chunk_bytes: int = CHUNK_BYTES, dialect: str | Dialect = ORACLE) -> DataFrame:
+    """Statements of all files, each read in its own charset and with its own line ends."""
+    parts = [to_statements(assemble(found), dialect) for found in scan_any(spark, path, chunk_bytes, dialect)]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out

@@ -20,6 +20,8 @@ from sluice.functions.literals import DOUBLE_QUOTED, QUOTED, trim_end
 from sluice.functions.scale import broadcast_if_small, materialise
 from sluice.functions.text import is_insert, strip_comments, strip_leading_noise
 from sluice.sources.lexer import START, leaves_in, statement_heads, transitions
+from sluice.sources.ranges import file_uri
+from sluice.sources.versions import VERSION
 
 # Fixed value: default chunk of a load, 30 MB. Use 256 MB or more from a few TB up.
 CHUNK_BYTES = 30 * 1024 * 1024
@@ -41,6 +43,7 @@ class DumpScan:
     splits: DataFrame  # file_path, block_start, chunk_id, n_records, n_bytes, n_open, file_size, last
     separator: str = ";\n"
     dialect: Dialect = ORACLE
+    broken: DataFrame | None = None  # file_path of files that end inside a literal; known once assembled
 
 
 def fixed_split_session(spark: SparkSession, split_bytes: int) -> SparkSession:
@@ -145,6 +148,7 @@ def _assemble_open_files(found: DumpScan, files: DataFrame) -> DataFrame:
     marked, states = transitions(stored, found.dialect)
     inside, per_split = statement_heads(marked.select("file_path", "block_start", "chunk_id", "ord", "leaves"), states)
     ends = materialise(per_split, "split-states")
+    found.broken = ends.filter("broken").select("file_path").distinct()
     known = stored.join(materialise(inside, "record-heads"), [*_SPLIT_KEY, "ord"]).join(broadcast_if_small(ends), _SPLIT_KEY)
     start = F.get("heads", F.col("enters"))
     here = F.struct(F.col("block_start"), F.col("chunk_id"), F.col("ord"))
@@ -172,6 +176,41 @@ def assemble(found: DumpScan) -> DataFrame:
     return closed.unionByName(_assemble_open_files(found, files))
 
 
+def chunk_ranges(found: DumpScan, versions: DataFrame) -> DataFrame:
+    """One row per split with the bytes its records take, [begin_byte, end_byte), and the version of its file.
+
+    Records are told apart by where they begin, so these ranges mean the same whatever the splits were. ``tail_byte`` is
+    where a last record begins that has neither a separator nor a ``;``: more of it may come when the file grows.
+    ``open_end`` marks files that end inside a literal. Call it after ``assemble``.
+    """
+    before = Window.partitionBy("file_path").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
+    version = versions.select(F.col("file_path").alias("uri"), "bom", *[F.col(c).alias("v_" + c) for c in VERSION])
+    # the reader lists file:/x where other readers say file:///x
+    sized = found.splits.join(broadcast_if_small(version), file_uri(F.col("file_path")) == F.col("uri"), "left")
+    begin = F.coalesce(F.sum("n_bytes").over(before), F.lit(0)) + F.coalesce("bom", F.lit(0))
+    placed = sized.withColumn("begin_byte", begin).withColumn("past", F.col("begin_byte") + F.col("n_bytes") - F.col("file_size"))
+    unended = F.col("past") > 0
+    tail = F.when(unended & ~F.col("last.whole"), F.col("file_size") - F.col("last.n_raw"))
+    if found.broken is None:
+        told = placed.withColumn("open_end", F.lit(False))
+    else:
+        told = placed.join(broadcast_if_small(found.broken.withColumn("open_end", F.lit(True))), "file_path", "left").withColumn(
+            "open_end", F.coalesce("open_end", F.lit(False)))
+    end = F.col("begin_byte") + F.col("n_bytes") - F.when(unended, F.col("past")).otherwise(F.lit(0))
+    return told.select(
+        "file_path", "chunk_id", "block_start", "begin_byte", end.alias("end_byte"), tail.alias("tail_byte"), "open_end",
+        F.coalesce("v_file_size", "file_size").alias("file_size"), *[F.col("v_" + c).alias(c) for c in VERSION[1:]])
+
+
+def record_offsets(found: DumpScan, splits: DataFrame) -> DataFrame:
+    """(file_path, block_start, ord, begin_byte, covers) of the records of some splits (a few rows of ``with_cover``)."""
+    inside = Window.partitionBy(*_SPLIT_KEY).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    met = found.records.select(*_SPLIT_KEY, "ord", "n_raw").join(
+        broadcast_if_small(splits.select(*_SPLIT_KEY, "begin_byte", "covers")), _SPLIT_KEY)
+    place = F.col("begin_byte") + F.coalesce(F.sum(F.col("n_raw") + F.lit(len(found.separator))).over(inside), F.lit(0))
+    return met.withColumn("begin_byte", place).drop("n_raw")
+
+
 def to_statements(whole: DataFrame, dialect: str | Dialect = ORACLE) -> DataFrame:
     """Whole records -> statements: leading comments and directives off, literals in standard form, inner ends split,
     comments out. ``bad_bytes`` marks statements that lost bytes."""

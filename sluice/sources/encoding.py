@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from sluice.functions.charset import CHARSET_ALIASES, FALLBACK_CHARSETS, MIN_CONFIDENCE, decode_strict
 from sluice.functions.literals import BLANKS
 from sluice.operators.sampling import MIN_INSERT_SHARE, SAMPLE_LINES
-from sluice.sources.ranges import heads, list_files
+from sluice.sources.ranges import file_uri, heads, list_files
 
 # Fixed value: bytes looked at for detection.
 DETECT_BYTES = 102_400
@@ -145,7 +145,7 @@ def read_unsplittable(spark: SparkSession, path: str | list[str], charset: str =
     held to the admission limit. Same columns as ``read_records``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     records = files.select(
-        F.col("path").alias("file_path"), F.posexplode(_decoded_records("content", F.lit(charset))).alias("ord", "value"))
+        file_uri(F.col("path")).alias("file_path"), F.posexplode(_decoded_records("content", F.lit(charset))).alias("ord", "value"))
     return records.filter(F.col("value") != "").select(
         "file_path", F.lit(0).cast("long").alias("block_start"), F.lit(0).cast("long").alias("chunk_id"),
         F.col("ord").cast("long").alias("ord"), "value", F.lit(False).alias("bad_bytes"),
