@@ -186,6 +186,16 @@ def shared(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
+def same_bytes(data: np.ndarray, at: np.ndarray, size: np.ndarray, other: np.ndarray, other_size: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Of the rows asked for, those whose bytes are those of the other place; equal hashes prove nothing."""
+    out = np.zeros(len(at), bool)
+    rows = np.flatnonzero(asked & (size == other_size) & (size > 0))
+    if len(rows):
+        equal = data[ranges(at[rows], size[rows])] == data[ranges(other[rows], size[rows])]
+        out[rows] = np.logical_and.reduceat(equal, np.cumsum(size[rows]) - size[rows])
+    return out
+
+
 def row_hash(columns: list[np.ndarray]) -> np.ndarray:
     out = np.zeros(len(columns[0]), np.uint64)
     for c in columns:
@@ -356,6 +366,8 @@ def _send(kind: Kind, buckets: int, bins: int):
             # documents come by id, so the first of equal fragments has the smallest
             _, head, group = np.unique(content, return_index=True, return_inverse=True)
             settled = (ids[doc] > ids[doc[head]][group]) & (end - begin == (end - begin)[head][group])
+            low, high = batch.offsets[begin], batch.offsets[end]
+            settled &= same_bytes(batch.data, low, high - low, low[head][group], (high - low)[head][group], settled)
             if settled.any():
                 d, b, e = united(places[doc[settled]], (begin - shift)[settled], (end - shift)[settled])
                 emit(-1, _pack_spans(d, b, e))
@@ -454,7 +466,7 @@ def _finish_chunk(columns: list[str]):
     return run
 
 
-ID, TAG, TEXT, CHUNK = "__id", "__tag", "__text", "__chunk"
+ROW, ID, TAG, TEXT, CHUNK = "row", "__id", "__tag", "__text", "__chunk"
 BEGINS, ENDS = "repeat_begins", "repeat_ends"
 SPANS = T.ArrayType(T.LongType())
 
@@ -473,11 +485,13 @@ def covered(docs: DataFrame, kind: Kind, match: Callable[[Fragments], tuple[np.n
     bins = max(LEAST_CHUNKS, -(-total // CHUNK_BYTES))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chunks // 16))
     names = docs.columns
+    rest = [c for c in names if c != text]
+    # the other columns travel as one, so that none of their names meets another
     keyed = docs.select(
-        *[F.col(f"`{c}`") for c in names], F.col(doc_id).cast("long").alias(ID), F.xxhash64(F.col(text)).alias(TAG),
+        F.struct(*[F.col(f"`{c}`") for c in rest]).alias(ROW), F.col(doc_id).cast("long").alias(ID), F.xxhash64(F.col(text)).alias(TAG),
         F.encode(F.col(text), "UTF-8").alias(TEXT),
     )
-    keyed = keyed.withColumn(CHUNK, F.pmod(F.xxhash64(ID, TAG), F.lit(chunks))).drop(text).repartition(tasks, CHUNK)
+    keyed = keyed.withColumn(CHUNK, F.pmod(F.xxhash64(ID, TAG), F.lit(chunks))).repartition(tasks, CHUNK)
     # all three passes take the same columns, so that Spark makes this shuffle once
     told = keyed.groupBy(CHUNK).applyInArrow(_tell_anchors(kind, buckets), f"bucket long, {CHUNK} long, block binary")
     answers = told.repartition(tasks, "bucket").mapInArrow(_answer, f"{CHUNK} long, bucket long, bits binary")
@@ -485,7 +499,6 @@ def covered(docs: DataFrame, kind: Kind, match: Callable[[Fragments], tuple[np.n
     # what is settled already goes along, dealt by its chunk
     dealt = sent.repartition(tasks, F.when(F.col("bucket") < 0, -F.col(CHUNK)).otherwise(F.col("bucket")))
     found = dealt.mapInArrow(_match_buckets(kind, match), f"{CHUNK} long, block binary")
-    rest = [c for c in names if c != text]
-    out = T.StructType([*[docs.schema[c] for c in rest], T.StructField(TEXT, T.BinaryType()), T.StructField(BEGINS, SPANS), T.StructField(ENDS, SPANS)])
-    done = keyed.groupBy(CHUNK).cogroup(found.groupBy(CHUNK)).applyInArrow(_finish_chunk([*rest, TEXT]), out)
-    return done.select(*[F.decode(TEXT, "UTF-8").alias(text) if c == text else F.col(f"`{c}`") for c in names], BEGINS, ENDS)
+    out = T.StructType([T.StructField(ROW, T.StructType([docs.schema[c] for c in rest])), T.StructField(TEXT, T.BinaryType()), T.StructField(BEGINS, SPANS), T.StructField(ENDS, SPANS)])
+    done = keyed.groupBy(CHUNK).cogroup(found.groupBy(CHUNK)).applyInArrow(_finish_chunk([ROW, TEXT]), out)
+    return done.select(*[F.decode(TEXT, "UTF-8").alias(text) if c == text else F.col(f"{ROW}.`{c}`") for c in names], BEGINS, ENDS)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.functions.scale import materialise, running_totals
+from sluice.llm.names import unused
 
 #: the hash has 60 bits, read 12 at a time: a histogram has 4,096 buckets a source at most.
 HASH_BITS, STEP_BITS = 60, 12
@@ -103,21 +104,22 @@ def mix(
         targets.withColumn("whole", whole).withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size")), "mix-plan"
     )
     edge = _boundary(keys, plan)
+    of, size_of, target_of, whole_of, below, h = unused([*docs.columns, "mix_size"], "of", "size_of", "target_of", "whole_of", "below", "h")
     # the unit on the boundary is taken if that comes nearer to the budget
     nearer = (F.col("before") + F.col("unit") - F.col("extra")) < (F.col("extra") - F.col("before"))
     joined = plan.alias("p").join(edge.withColumnRenamed("source", "s"), F.col("s").eqNullSafe(F.col("source")), "left")
     thresholds = materialise(
         joined.select(
-            F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"),
-            F.col("whole").alias("__whole"), F.coalesce(F.col("low") + nearer.cast("long"), F.lit(0)).cast("long").alias("__below"),
+            F.col("source").alias(of), F.col("source_size").alias(size_of), F.col("target").alias(target_of),
+            F.col("whole").alias(whole_of), F.coalesce(F.col("low") + nearer.cast("long"), F.lit(0)).cast("long").alias(below),
         ),
         "mix-thresholds",
     )
-    sized = docs.withColumn("mix_size", word_count(F.col(text))).withColumn("__h", id_hash(F.col(doc_id)))
-    out = sized.join(thresholds, F.col("__source").eqNullSafe(sized[source]))
-    times = F.col("__whole") + (F.col("__h") < F.col("__below")).cast("long")
+    sized = docs.withColumn("mix_size", word_count(F.col(text))).withColumn(h, id_hash(F.col(doc_id)))
+    out = sized.join(thresholds, F.col(of).eqNullSafe(sized[source]))
+    times = F.col(whole_of) + (F.col(h) < F.col(below)).cast("long")
     names = [c for c in docs.columns if c not in ("mix_size", "mix_source_size", "mix_target", "mix_taken")]
     return out.select(
-        *[sized[f"`{c}`"] for c in names], "mix_size", F.col("__source_size").alias("mix_source_size"),
-        F.col("__target").alias("mix_target"), (F.col("mix_size") * times).alias("mix_taken"),
+        *[sized[f"`{c}`"] for c in names], "mix_size", F.col(size_of).alias("mix_source_size"),
+        F.col(target_of).alias("mix_target"), (F.col("mix_size") * times).alias("mix_taken"),
     )

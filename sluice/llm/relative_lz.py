@@ -14,10 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.fragments import WORDS, Fragments, _finish, _INVERSE, _BASE, _powers, covered, ranges, row_hash, shared
+from sluice.llm.fragments import WORDS, Fragments, covered, ranges, row_hash, shared
+from sluice.llm.names import unused
 
 #: stretches in a reference block; a document's stretches stay together
-BLOCK_STRETCHES = 1 << 13
+BLOCK_STRETCHES = 1 << 11
 #: a window holds this many words before its anchor and the anchor, or the anchor and as many after it
 SIDE = (WORDS.window - WORDS.anchor) // 2
 
@@ -25,12 +26,10 @@ SIDE = (WORDS.window - WORDS.anchor) // 2
 def word_codes(frags: Fragments) -> tuple[np.ndarray, np.ndarray]:
     """Small numbers for the words of all fragments, in the order of the data, and each fragment's first word."""
     ends = np.flatnonzero(frags.data == 32)
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    n = len(frags.data)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((frags.data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n), out=sums[1:])
-    hashes = _finish((sums[ends] - sums[starts]) * _powers(_INVERSE, n)[starts])
-    return np.unique(hashes, return_inverse=True)[1] + 1, np.searchsorted(ends, frags.starts)
+    words = frags.data.tobytes().split(b" ")[:-1]  # every word ends with a space
+    known: dict[bytes, int] = {}
+    codes = np.fromiter((known.setdefault(w, len(known) + 1) for w in words), np.int64, len(words))
+    return codes, np.searchsorted(ends, frags.starts)
 
 
 class Reference:
@@ -159,8 +158,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             out.append((len(words), b" ".join(parts + words[at:]).decode()))
         return pd.DataFrame(out, columns=["words", "kept"])
 
-    told = covered(docs, WORDS, match, doc_id, text).withColumn("__kept", kept(F.col(text), "repeat_begins", "repeat_ends"))
+    [told_by] = unused(docs.columns, "kept")
+    told = covered(docs, WORDS, match, doc_id, text).withColumn(told_by, kept(F.col(text), "repeat_begins", "repeat_ends"))
     return told.select(
         *[F.col(f"`{c}`") for c in docs.columns], "repeat_begins", "repeat_ends",
-        F.col("__kept.words").alias("repeat_words"), F.col("__kept.kept").alias("repeat_kept"),
+        F.col(f"{told_by}.words").alias("repeat_words"), F.col(f"{told_by}.kept").alias("repeat_kept"),
     )

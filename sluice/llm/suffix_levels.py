@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from sluice.llm.fragments import BYTES, Fragments, covered, ranges, row_hash, shared
 
 #: windows in a batch; a document's windows stay together
-BATCH_WINDOWS = 1 << 18
+BATCH_WINDOWS = 1 << 14
 #: a window holds this many bytes before its anchor and the anchor, or the anchor and as many after it
 SIDE = (BYTES.window - BYTES.anchor) // 2
 

@@ -70,3 +70,9 @@ def test_empty(spark):
 
 def test_registered(spark):
     assert compare(oracle_connection(SF), queries.op5_mixing(spark, SF), queries.MIXING_SQL) == ""
+
+
+def test_columns_of_any_name_pass_through(spark):
+    names = ["__h", "h", "below", "of", "__source", "__target"]
+    docs = spark.createDataFrame([(i, "a b", "s", *range(len(names))) for i in range(4)], f"doc_id long, text string, source string, {' int, '.join(names)} int")
+    assert {tuple(r[c] for c in names) for r in mixing.mix(docs).collect()} == {tuple(range(len(names)))}

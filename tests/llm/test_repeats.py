@@ -140,3 +140,53 @@ def test_registered_words(spark):
     for (i, words), mask in zip(rows, brute(rows, 13), strict=True):
         kept = b" ".join(w for w, m in zip(words, mask, strict=True) if not m)
         assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (len(words), int(mask.sum()), hashlib.sha256(kept).hexdigest())
+
+
+def thue_morse(bits):
+    """Two words of 2**bits bytes that polynomials modulo 2^64 cannot tell apart, whatever their base."""
+    flags = [bin(i).count("1") % 2 for i in range(1 << bits)]
+    return "".join("ab"[f] for f in flags), "".join("ba"[f] for f in flags)
+
+
+def test_words_are_told_by_their_bytes(spark):
+    one, other = thue_morse(11)
+    shared = [f"w{i}" for i in range(6)]
+    docs = spark.createDataFrame([(1, " ".join([*shared, one, *shared])), (2, " ".join([*shared, other, *shared])), (3, " ".join([*shared, one, *shared]))], "doc_id long, text string")
+    got = {r.doc_id: list(r.repeat_begins) for r in relative_lz.remove_repeats(docs).collect()}
+    assert got == {1: [], 2: [], 3: [0]}
+
+
+def test_equal_hashes_prove_nothing():
+    data = np.frombuffer(b"abcabdabc", np.uint8)
+    at, size, head = np.array([0, 3, 6, 6]), np.array([3, 3, 3, 2]), np.array([0, 0, 0, 0])
+    asked = np.array([False, True, True, True])
+    assert fragments.same_bytes(data, at, size, head, np.array([3, 3, 3, 3]), asked).tolist() == [False, False, True, False]
+
+
+def test_columns_of_any_name_pass_through(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    names = ["__id", "__tag", "__text", "__chunk", "__kept", "kept", "row", "repeat_words"]
+    docs = spark.createDataFrame([(i, text, *range(i, i + len(names))) for i in (7, 8)], f"doc_id long, text string, {' int, '.join(names)} int")
+    for operator in (relative_lz.remove_repeats, suffix_levels.remove_repeats):
+        rows = {r.doc_id: r.asDict() for r in operator(docs).collect()}
+        for i in (7, 8):
+            own = [c for c in names if c != "repeat_words" or operator is suffix_levels.remove_repeats]
+            assert [rows[i][c] for c in own] == [i + k for k, c in enumerate(names) if c in own]
+
+
+def test_blocks_and_levels_decide(monkeypatch):
+    """With small blocks the factors against earlier blocks, and with small batches the levels, find what sorting found."""
+    rng = np.random.default_rng(5)
+    words = [f"v{i}".encode() for i in range(40)]
+    passages = [b" ".join(words[j] for j in rng.integers(0, 40, 18)) + b" " for _ in range(6)]
+    parts = [passages[k] for k in rng.integers(0, 6, 300)]
+    sizes = np.array([len(p) for p in parts])
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    frags = fragments.Fragments(np.arange(300) // 2, np.full(300, 7), np.full(300, 18), np.cumsum(sizes) - sizes, sizes, data)
+    calls = []
+    real = relative_lz.parse
+    monkeypatch.setattr(relative_lz, "parse", lambda *a: calls.append(1) or real(*a))
+    whole = set(zip(*(x.tolist() for x in relative_lz.match(frags))))
+    monkeypatch.setattr(relative_lz, "BLOCK_STRETCHES", 16)
+    assert not calls
+    assert set(zip(*(x.tolist() for x in relative_lz.match(frags)))) == whole and calls
