@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sluice.functions.text import DEFAULT_OWNERS
+from sluice.functions.literals import BLANKS, DOUBLE_QUOTED, QUOTED, TUPLE
+from sluice.functions.text import DEFAULT_OWNERS, collapse_blanks
 
 # Source type pattern -> target type, applied to the type of each column.
 TYPE_MAP = [
@@ -48,15 +49,58 @@ def clean_ddl(ddl: Column, owners: Sequence[str] = DEFAULT_OWNERS) -> Column:
     return _tidy(out)
 
 
-def convert_ddl(ddl: Column) -> Column:
-    """Types and table options of a DDL script mapped to the other dialect."""
-    out = ddl
+#: one item of a column list: everything up to a comma outside quotes and parentheses
+_ITEM = rf"""(?:{QUOTED}|{DOUBLE_QUOTED}|`[^`]*+`|{TUPLE}|[^,'"`()])++"""
+#: a CREATE TABLE: what stands before its column list, the list, and what follows
+_SCRIPT = rf"""(?is)\A(.*?{_CREATE}(?:[\w$#.]|"[^"]*+"|`[^`]*+`|\[[^\]]*+\])++\s*+)({TUPLE})(.*+)\z"""
+#: a column: its name with the blanks around it, its type with arguments, the rest
+_COLUMN = r"""(?is)\A(\s*+(?:"[^"]*+"|`[^`]*+`|\[[^\]]*+\]|[\w$#]++)\s++)(\w++(?:\s*+\([^()]*+\))?+)(.*+)\z"""
+# First words of items that are no columns.
+_NO_COLUMN = r"(?i)\A\s*+(?:PRIMARY|UNIQUE|KEY|INDEX|CONSTRAINT|FOREIGN|CHECK|FULLTEXT|SPATIAL|EXCLUDE|LIKE)\b"
+
+
+def _without_options(text: Column) -> Column:
+    """Table options out of a text; what stands in quotes, such as a comment, is left as it is."""
+
+    def bare(t: Column) -> Column:
+        out = t
+        for pattern in DROPPED_OPTIONS:
+            out = F.regexp_replace(out, "(?i)" + pattern, "")
+        return F.when(t.startswith("'") | t.startswith('"') | t.startswith("`"), t).otherwise(out)
+
+    tokens = F.regexp_extract_all(text, F.lit(rf"""{QUOTED}|{DOUBLE_QUOTED}|`[^`]*+`|[^'"`]++|."""), F.lit(0))
+    return F.array_join(F.transform(tokens, bare), "")
+
+
+def _converted_type(sql_type: Column) -> Column:
+    out = sql_type
     for pattern, target in TYPE_MAP:
-        out = F.regexp_replace(out, "(?i)" + pattern, target)
-    for pattern in DROPPED_OPTIONS:
-        out = F.regexp_replace(out, "(?i)" + pattern, "")
-    out = F.regexp_replace(out, r",\s*(?=,|\))", "")
-    return _tidy(out)
+        out = F.regexp_replace(out, rf"(?i)\A{pattern}", target)
+    return out
+
+
+def _converted_item(item: Column) -> Column:
+    """One item of a column list with its type mapped; constraints keep their words."""
+    kind, rest = F.regexp_extract(item, _COLUMN, 2), F.regexp_extract(item, _COLUMN, 3)
+    # DOUBLE PRECISION is the other dialect's name already
+    mapped = F.when(rest.rlike(r"(?i)\A\s*+PRECISION\b"), kind).otherwise(_converted_type(kind))
+    column = F.concat(F.regexp_extract(item, _COLUMN, 1), mapped, _without_options(rest))
+    return F.when(item.rlike(_NO_COLUMN) | (kind == ""), item).otherwise(column)
+
+
+def convert_ddl(ddl: Column) -> Column:
+    """Types and table options of a CREATE TABLE mapped to the other dialect.
+
+    The column list is split at its own commas, and only the type of a column is mapped: names, defaults and comments keep
+    their words whatever they are. A text without a column list loses its options only.
+    """
+    listed = F.regexp_extract(ddl, _SCRIPT, 2)
+    inner = F.substring(listed, F.lit(2), F.length(listed) - 2)
+    items = F.filter(F.regexp_extract_all(inner, F.lit(_ITEM), F.lit(0)), lambda i: F.btrim(i, F.lit(BLANKS)) != "")
+    body = F.array_join(F.transform(items, _converted_item), ",")
+    tail = _without_options(F.regexp_extract(ddl, _SCRIPT, 3))
+    whole = F.concat(F.regexp_extract(ddl, _SCRIPT, 1), F.lit("("), body, F.lit(")"), tail)
+    return collapse_blanks(F.when(listed != "", whole).otherwise(_without_options(ddl)))
 
 
 def ddl_table_name(ddl: Column) -> Column:
@@ -74,26 +118,31 @@ def is_valid_ddl(ddl: Column) -> Column:
     )
 
 
-def extract_ddl(text: Column) -> Column:
-    """The DDL inside free text; the first of the forms below that gives any text.
+#: a CREATE TABLE up to its ``;``, which is none inside quotes or parentheses
+_STATEMENT = rf"""(?is)CREATE\s+TABLE\b(?:{QUOTED}|{DOUBLE_QUOTED}|`[^`]*+`|{TUPLE}|[^;'"`(])*+;"""
 
-    Fenced as SQL; a fenced CREATE TABLE; a bare ``CREATE TABLE ...;``; from a line that opens with it to
-    the end; the whole text if it names CREATE TABLE at all; else empty.
-    """
 
-    def first(pattern: str) -> Column:
-        return F.nullif(F.btrim(F.regexp_extract(text, pattern, 1), F.lit(" \t\r\n")), F.lit(""))
+def extract_ddl(text: Column) -> Column:
+    """The DDL inside free text, empty if there is none.
 
-    from_line = first(r"(?im)^[ \t]*+(CREATE TABLE(?s:.*))")
-    from_line = F.regexp_replace(from_line, r"(?m)^[ \t]+|[ \t\r]+$", "")
-    return F.coalesce(
-        first(r"(?is)```sql\s*(.*?)\s*```"),
-        first(r"(?is)```\s*(CREATE TABLE.*?;)\s*```"),
-        first(r"(?is)(CREATE TABLE[^;]*+;)"),
-        from_line,
-        F.when(F.contains(F.upper(text), F.lit("CREATE TABLE")), F.btrim(text, F.lit(" \t\r\n"))),
-        F.lit(""),
-    )
+    The text is cut at its code fences and each piece is classified: a fence tagged as SQL counts whole, any other piece
+    by the first whole CREATE TABLE statement in it, fenced pieces before others. A text in which no piece has one is
+    taken from the line that opens a CREATE TABLE, or whole if it names one somewhere.
+    """
+    pieces = F.split(text, "```", -1)
+
+    def candidate(piece: Column, i: Column) -> Column:
+        fenced = (i % 2 == 1) & (i < F.size(pieces) - 1)
+        tagged = F.btrim(F.regexp_extract(piece, r"(?is)\Asql\b(.*+)\z", 1), F.lit(BLANKS))
+        found = F.nullif(F.regexp_extract(piece, _STATEMENT, 0), F.lit(""))
+        rank = F.when(fenced & (tagged != ""), 0).when(fenced & found.isNotNull(), 1).when(found.isNotNull(), 2)
+        return F.struct(rank.alias("rank"), i.alias("i"), F.when(rank == 0, tagged).otherwise(found).alias("ddl"))
+
+    best = F.array_min(F.filter(F.transform(pieces, candidate), lambda c: c["rank"].isNotNull()))["ddl"]
+    opened = F.nullif(F.regexp_extract(text, r"(?im)^[ \t]*+(CREATE TABLE(?s:.*+))", 1), F.lit(""))
+    lines = F.transform(F.split(F.btrim(opened, F.lit(BLANKS)), "\n"), lambda x: F.btrim(x, F.lit(" \t\r")))
+    named = F.when(F.contains(F.upper(text), F.lit("CREATE TABLE")), F.btrim(text, F.lit(BLANKS)))
+    return F.coalesce(best, F.array_join(lines, "\n"), named, F.lit(""))
 
 
 # Inferred type -> type name per target dialect; precision and length are kept as inferred.

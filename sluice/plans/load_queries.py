@@ -8,12 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.functions import ddl
 from sluice.functions.charset import encode_text
 from sluice.operators.export import insert_text, write_dump
 from sluice.operators.values import typed_rows
 from sluice.plans import load, migrate
 from sluice.session import discard, scratch
 from sluice.sources import dumps
+from sluice.sources.ranges import list_files
 
 _BUCKETS = 4
 _PAIR = "id bigint, word string"
@@ -148,7 +150,36 @@ def migrate_bad_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
         refused.select(F.lit(None).cast("string").alias("word"), "reason", "n", F.lit(None).cast("long").alias("ids")))
 
 
+def migrate_utf16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UTF-16 dumps of both byte orders with a byte order mark, read in splits: words, and whether there were eight splits."""
+    o, folder, root = _orders(spark, sf_dir), scratch(spark, "dump-utf16"), scratch(spark, "load")
+    text = F.concat(F.lit("INSERT INTO t VALUES ("), F.col("o_orderkey").cast("string"), F.lit(", '中文;\n"), F.col("o_orderpriority"), F.lit("')"))
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    for k, (charset, mark) in enumerate((("utf-16-le", "FFFE"), ("utf-16-be", "FEFF"))):
+        part = o.filter(F.col("o_orderkey") % 2 == k).repartition(2).select(F.concat(
+            F.when(first, F.unhex(F.lit(mark))).otherwise(F.unhex(F.lit(""))), encode_text(text, F.lit(charset))).cast("string").alias("value"))
+        write_dump(part, f"{folder}/{k}", ";\n".encode(charset).decode("latin1"))
+    total = sum(r.file_size for r in list_files(spark, folder).select("file_size").collect())
+    migrate.migrate(spark, folder, root, "t", _PAIR, chunk_bytes=max(1000, total // 9))
+    target = load.LoadTarget(root, "t")
+    splits = load.read_ledger(spark, target).select("file_path", "chunk_id").distinct().count()
+    return load.read_table(spark, target, migrate.as_struct(_PAIR)).withColumn("split", F.lit(int(splits >= 8)))
+
+
+def ddl_convert_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns whose names, defaults and comments are words of the type map: only types are mapped."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    script = F.concat(
+        F.lit("CREATE TABLE number (\n number NUMBER(10, 2) DEFAULT 5,\n `double` DOUBLE COMMENT 'INT of DOUBLE, ENGINE=x',\n text VARCHAR2("),
+        F.col("p_size"), F.lit(" CHAR) DEFAULT 'CLOB  ("), F.col("p_partkey"),
+        F.lit("' NOT NULL,\n \"int\" INT AUTO_INCREMENT,\n rate DOUBLE PRECISION, clob CLOB,\n"
+              " CONSTRAINT blob CHECK (number > 1 AND text <> 'DATETIME,'),\n PRIMARY KEY (number, `double`)\n)"
+              " ENGINE=InnoDB COMMENT='INT CHARSET=x' DEFAULT CHARSET=utf8;"))
+    return p.select("p_partkey", ddl.convert_ddl(script).alias("ddl"))
+
+
 QUERIES = {f.__name__: f for f in (
+    migrate_utf16, ddl_convert_names,
     migrate_rechunked, migrate_grown_file, migrate_replaced_file, literals_oracle, literals_mysql, scan_directive_quotes, migrate_bad_bytes)}
 
 
@@ -174,6 +205,11 @@ ORACLES = {
         f"'it''s ' || w || ';' || {_NL} || 'x'", "'dq \"' || w || '\" ''x'''", "'tab\\t' || chr(9) || w || '\\'", "", "w",
         f"'a;' || {_NL} || 'b'' ' || w", "'don''t 5\\% ' || w", f"w || '\\;' || {_NL}"], {3: "unsupported_expression:word"}),
     "scan_directive_quotes": _cases(["w", "w", f"w || ';' || {_NL}", "w", "w", "w", "w", "w"], {}),
+    "migrate_utf16": "SELECT o_orderkey::BIGINT AS id, '中文;' || chr(10) || o_orderpriority AS word, 1 AS split FROM orders",
+    "ddl_convert_names": """SELECT p_partkey, 'CREATE TABLE number ( number NUMERIC(10,2) DEFAULT 5, `double` DOUBLE PRECISION COMMENT '
+        || '''INT of DOUBLE, ENGINE=x'', text VARCHAR(' || p_size || ') DEFAULT ''CLOB  (' || p_partkey
+        || ''' NOT NULL, "int" INTEGER , rate DOUBLE PRECISION, clob TEXT, CONSTRAINT blob CHECK (number > 1 AND text <> ''DATETIME,''),'
+        || ' PRIMARY KEY (number, `double`) ) COMMENT=''INT CHARSET=x'' ;' AS ddl FROM part""",
     "migrate_bad_bytes": """SELECT '中文' || o_orderpriority AS word, NULL::VARCHAR AS reason, count(*)::BIGINT AS n, sum(o_orderkey)::BIGINT AS ids
         FROM orders WHERE o_orderkey % 5 <> 0 GROUP BY 1
         UNION ALL SELECT NULL, 'bad_bytes', count(*)::BIGINT, NULL FROM orders WHERE o_orderkey % 5 = 0 HAVING count(*) > 0""",

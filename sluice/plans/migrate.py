@@ -112,7 +112,8 @@ def _source(
         scans = scan_any(spark, path, chunk_bytes, dialect)
     else:
         separator = separator or ";\n"
-        scans = [scan(read_records(spark, path, separator, chunk_bytes, encoding or "utf-8"), separator, dialect)]
+        encoding = encoding or "utf-8"
+        scans = [scan(read_records(spark, path, separator, chunk_bytes, encoding), separator, dialect, encoding)]
     versions = materialise(file_versions(spark, path), "versions")
     stmts = [to_statements(assemble(found), dialect) for found in scans]
     chunks = [chunk_ranges(found, versions) for found in scans]

@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.functions.dialects import ORACLE, Dialect
-from sluice.sources.dumps import CHUNK_BYTES, DumpScan, assemble, read_records, scan, to_statements
-from sluice.sources.encoding import DETECT_BYTES, choose_charset, read_unsplittable, separator_of
+from sluice.sources.dumps import CHUNK_BYTES, DumpScan, assemble, misaligned, read_records, scan, to_statements
+from sluice.sources.encoding import DETECT_BYTES, byte_order, choose_charset, read_unsplittable, separator_of
 from sluice.sources.ranges import heads, list_files
 
 
 def describe_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``file_path, encoding, confidence, separator`` per file, from one look at its head."""
+    """``file_path, encoding, confidence, separator`` per file, from one look at its head; wide charsets with byte order."""
     looked = choose_charset(heads(list_files(spark, path), DETECT_BYTES))
-    return looked.withColumn("separator", separator_of(F.col("head"))).drop("head")
+    ordered = looked.withColumn("encoding", byte_order(F.col("head"), F.col("encoding")))
+    return ordered.withColumn("separator", separator_of(F.col("head"))).drop("head")
 
 
 def dump_kinds(spark: SparkSession, path: str | list[str]) -> list:
@@ -37,10 +38,8 @@ def scan_any(spark: SparkSession, path: str | list[str], chunk_bytes: int = CHUN
     for encoding, separator in kinds:
         of_kind = files.filter((F.col("encoding") == encoding) & (F.col("separator") == separator))
         paths = path if len(kinds) == 1 else [r.file_path for r in of_kind.select("file_path").collect()]
-        if encoding.startswith("utf-16"):
-            out.append(scan(read_unsplittable(spark, paths, encoding), dialect=dialect))
-        else:
-            out.append(scan(read_records(spark, paths, separator, chunk_bytes, encoding), separator, dialect))
+        found = scan(read_records(spark, paths, separator, chunk_bytes, encoding), separator, dialect, encoding)
+        out.append(scan(read_unsplittable(spark, paths, encoding), dialect=dialect) if misaligned(found) else found)
     files.unpersist()
     if not out:
         raise ValueError(f"no files in {path}")

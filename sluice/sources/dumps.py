@@ -43,6 +43,7 @@ class DumpScan:
     splits: DataFrame  # file_path, block_start, chunk_id, n_records, n_bytes, n_open, file_size, last
     separator: str = ";\n"
     dialect: Dialect = ORACLE
+    separator_bytes: int = 2
     broken: DataFrame | None = None  # file_path of files that end inside a literal; known once assembled
 
 
@@ -96,12 +97,13 @@ def read_records(
     chunk_bytes: int = CHUNK_BYTES,
     encoding: str = "utf-8",
 ) -> DataFrame:
-    """Records of the dumps. Separator, quotes and newlines are single ASCII bytes in UTF-8, GBK, Big5 and
-    Latin-1, so those are split first and decoded after; UTF-16 files go through ``sources.encoding``.
+    """Records of the dumps. Files are split at the separator in their own charset and decoded after: it is single ASCII
+    bytes in UTF-8, GBK, Big5 and Latin-1, and code units of two or four bytes in UTF-16 and UTF-32, whose byte order the
+    name must give (``utf-16-le``). A split may begin inside a code unit; records never do, see ``misaligned``.
 
     Bytes that do not fit the charset are left out of ``value``, and ``bad_bytes`` says so.
     """
-    reader = fixed_split_session(spark, chunk_bytes).read.option("lineSep", separator)
+    reader = fixed_split_session(spark, chunk_bytes).read.option("lineSep", separator.encode(encoding).decode("latin1"))
     raw = reader.option("recursiveFileLookup", "true").text(paths if isinstance(paths, str) else list(paths))
     records = _rebind(spark, keyed(raw, chunk_bytes))
     if encoding.lower() in ("utf-8", "utf8", "ascii"):
@@ -110,25 +112,39 @@ def read_records(
     tried = records.withColumn("strict", decode_strict(data, charset))
     # only records that do not fit are decoded once more
     lossy = decode_ignore(F.when(F.col("strict").isNull(), data), charset)
-    return tried.withColumn("value", F.coalesce("strict", lossy)).withColumn("bad_bytes", F.col("strict").isNull()).drop("strict")
+    out = tried.withColumn("value", F.coalesce("strict", lossy)).withColumn("bad_bytes", F.col("strict").isNull()).drop("strict")
+    return out.withColumn("value", F.regexp_replace("value", r"\A\x{feff}", "")) if unit_bytes(encoding) > 1 else out
 
 
-def scan(records: DataFrame, separator: str = ";\n", dialect: str | Dialect = ORACLE) -> DumpScan:
+def unit_bytes(encoding: str) -> int:
+    """Bytes of a code unit."""
+    return 4 if encoding.lower().startswith("utf-32") else 2 if encoding.lower().startswith("utf-16") else 1
+
+
+def misaligned(found: DumpScan) -> bool:
+    """Whether a separator was seen across code units. The bytes of ``;`` and a newline can stand so only beside
+    characters that are not assigned; such files have to be read whole."""
+    return not found.splits.filter("n_uneven > 0").isEmpty()
+
+
+def scan(records: DataFrame, separator: str = ";\n", dialect: str | Dialect = ORACLE, encoding: str = "utf-8") -> DumpScan:
     """One pass over the records for the per-split totals; partial sums meet in one row per split.
 
     ``n_bytes`` are bytes of the file, ``n_open`` counts records after which, read alone, a statement goes on, and
     ``last`` has the size of the split's last record and whether it is a whole statement.
     """
     dialect = dialect_of(dialect)
+    sep_bytes = len(separator.encode(encoding))
     ended = F.rtrim(F.right("value", F.lit(64)), F.lit(" \t\r\n"))
     totals = records.groupBy("file_path", "block_start", "chunk_id").agg(
         F.count("*").alias("n_records"),
-        F.sum(F.col("n_raw") + F.lit(len(separator))).cast("long").alias("n_bytes"),
+        F.sum(F.col("n_raw") + F.lit(sep_bytes)).cast("long").alias("n_bytes"),
+        F.count_if(F.col("n_raw") % unit_bytes(encoding) != 0).alias("n_uneven"),
         F.count_if(leaves_in(F.col("value"), dialect) != START).alias("n_open"),
         F.max("file_size").alias("file_size"),
         F.max_by(F.struct(F.col("n_raw").cast("long").alias("n_raw"), (ended.endswith(";") | (ended == "")).alias("whole")), "ord").alias("last"),
     )
-    return DumpScan(records, materialise(totals, "splits"), separator, dialect)
+    return DumpScan(records, materialise(totals, "splits"), separator, dialect, sep_bytes)
 
 
 def _open_files(found: DumpScan) -> DataFrame | None:
@@ -207,7 +223,7 @@ def record_offsets(found: DumpScan, splits: DataFrame) -> DataFrame:
     inside = Window.partitionBy(*_SPLIT_KEY).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     met = found.records.select(*_SPLIT_KEY, "ord", "n_raw").join(
         broadcast_if_small(splits.select(*_SPLIT_KEY, "begin_byte", "covers")), _SPLIT_KEY)
-    place = F.col("begin_byte") + F.coalesce(F.sum(F.col("n_raw") + F.lit(len(found.separator))).over(inside), F.lit(0))
+    place = F.col("begin_byte") + F.coalesce(F.sum(F.col("n_raw") + F.lit(found.separator_bytes)).over(inside), F.lit(0))
     return met.withColumn("begin_byte", place).drop("n_raw")
 
 
@@ -240,7 +256,7 @@ def read_statements(
     dialect: str | Dialect = ORACLE,
 ) -> DataFrame:
     """Dump files -> ``file_path, block_start, chunk_id, ord, sub, stmt, bad_bytes``; order is (block_start, ord, sub)."""
-    found = scan(read_records(spark, paths, separator, chunk_bytes, encoding), separator, dialect)
+    found = scan(read_records(spark, paths, separator, chunk_bytes, encoding), separator, dialect, encoding)
     return to_statements(assemble(found), dialect)
 
 

@@ -63,7 +63,8 @@ def detect_charset(files: DataFrame, data: str = "head") -> DataFrame:
     for n in (1, 2, 3):
         utf8 = utf8 | (cut & F.is_valid_utf8(F.substring(head, F.lit(1), F.octet_length(head) - n).cast("string")))
     known = (
-        F.when(mark.startswith("FFFE") | mark.startswith("FEFF"), "utf-16").when(mark == "EFBBBF", "utf-8").when(utf8, "utf-8")
+        F.when(F.hex(F.substring(head, 1, 4)).isin("FFFE0000", "0000FEFF"), "utf-32")
+        .when(mark.startswith("FFFE") | mark.startswith("FEFF"), "utf-16").when(mark == "EFBBBF", "utf-8").when(utf8, "utf-8")
     )
     guessed = files.withColumn("__known", known).withColumn(
         "__guess", guess_legacy_charset(F.when(F.col("__known").isNull(), head))
@@ -118,12 +119,26 @@ def file_charsets(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return choose_charset(heads(list_files(spark, path), DETECT_BYTES)).drop("head")
 
 
+# Byte order marks of wide charsets, the longer first.
+BYTE_ORDERS = [("FFFE0000", "utf-32-le"), ("0000FEFF", "utf-32-be"), ("FFFE", "utf-16-le"), ("FEFF", "utf-16-be")]
+
+
+def byte_order(head: Column, encoding: Column) -> Column:
+    """The charset with its byte order: from the mark where there is one, else little end first, as Windows writes it."""
+    mark = F.hex(F.substring(head, 1, 4))
+    wide = F.lit("utf-16-le")
+    for sign, name in reversed(BYTE_ORDERS):
+        wide = F.when(mark.startswith(sign), name).otherwise(wide)
+    return F.when(encoding.startswith("utf-16") | encoding.startswith("utf-32"), wide).otherwise(encoding)
+
+
 _FIRST_END = r"(?s)\A(?:[^;]++|;(?!\r?\n))*+;(\r?)\n"
 
 
 def separator_of(head: Column) -> Column:
     """How statements end in a file, from the first end in its head: ``;`` and a newline of either kind."""
-    crlf = F.regexp_extract(F.make_valid_utf8(head.cast("string")), _FIRST_END, 1) == "\r"
+    # wide code units have zero bytes around ASCII
+    crlf = F.regexp_extract(F.replace(F.make_valid_utf8(head.cast("string")), F.lit("\0"), F.lit("")), _FIRST_END, 1) == "\r"
     return F.when(crlf, F.lit(";\r\n")).otherwise(F.lit(";\n"))
 
 
@@ -141,8 +156,8 @@ def _decoded_records(data: pd.Series, charset: pd.Series) -> pd.Series:
 
 
 def read_unsplittable(spark: SparkSession, path: str | list[str], charset: str = "utf-16") -> DataFrame:
-    """Records of UTF-16/32 dumps, whose bytes cannot be split at newlines: one file per row, so files are
-    held to the admission limit. Same columns as ``read_records``."""
+    """Records of wide dumps in which a separator stands across code units (see ``dumps.misaligned``): one file per row,
+    so files are held to the admission limit. Same columns as ``read_records``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     records = files.select(
         file_uri(F.col("path")).alias("file_path"), F.posexplode(_decoded_records("content", F.lit(charset))).alias("ord", "value"))
