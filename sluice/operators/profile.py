@@ -155,6 +155,18 @@ def infer_types(profile: DataFrame, tolerance: float = 0.0) -> DataFrame:
     )
 
 
+def merge_profiles(profiles: DataFrame) -> DataFrame:
+    """Profiles of ``profile_values`` (without text statistics) put together: one row per table and column.
+
+    Counts add up and extents take the greater, so the order of merging does not matter, and the type that ``infer_types``
+    finds for a merged profile is the least one that holds the values of all parts.
+    """
+    counts = ["n", "n_null", "n_int", "n_dec", "n_float", "n_date", "n_stamp"]
+    return profiles.groupBy("table_name", "column_name").agg(
+        F.min("pos").alias("pos"), *[F.sum(c).alias(c) for c in counts],
+        *[F.max(c).alias(c) for c in ("max_len", "int_digits", "scale", "magnitude")])
+
+
 def infer_schema(stmts: DataFrame, tolerance: float = 0.0) -> DataFrame:
     """INSERT statements -> ``table_name, pos, column_name, sql_type, confidence``."""
     return infer_types(profile_values(named_values(stmts), text_stats=False, usual_arity=True), tolerance)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import time
 import uuid
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 from sluice.functions.scale import broadcast_if_small, materialise
 from sluice.operators.chunks import pending_chunks
 from sluice.operators.intervals import is_covered, merged, with_cover
+from sluice.operators.profile import infer_types, struct_of
 from sluice.operators.runlog import latest_attempts
 from sluice.operators.values import good_rows, rejected_rows, typed_rows
 from sluice.sources.versions import VERSION, compare_versions
@@ -25,7 +27,7 @@ _RANGE = {"begin_byte": "long", "end_byte": "long", "tail_byte": "long", "open_e
           "modified": "timestamp", "head_hash": "string", "tail_hash": "string"}
 LEDGER_SCHEMA = (
     "table_name string, run_id string, file_path string, chunk_id long, status string, affected_rows long, rejected_rows long, "
-    "seconds double, error_message string, ts timestamp, " + ", ".join(f"{n} {t}" for n, t in _RANGE.items())
+    "seconds double, error_message string, ts timestamp, schema_json string, " + ", ".join(f"{n} {t}" for n, t in _RANGE.items())
 )
 _CHUNK_KEYS = ["file_path", "chunk_id"]
 _VERSION_OF = ["file_path", "open_end", *VERSION]
@@ -101,6 +103,10 @@ class LoadTarget:
     def rejects(self) -> str:
         return f"{self.root}/{self.folder}/rejects"
 
+    @property
+    def profiles(self) -> str:
+        return f"{self.root}/{self.folder}/profiles"
+
     @property
     def ledger(self) -> str:
         return f"{self.root}/{self.folder}/ledger"
@@ -139,32 +145,82 @@ def active_rows(ledger: DataFrame) -> DataFrame:
     return rows.join(done, mended, "left_anti")
 
 
-def _committed(spark: SparkSession, target: LoadTarget, folder: str, condition: str, schema: T.StructType | str) -> DataFrame:
-    """Rows of the runs the ledger holds. A run that failed left files nobody reads, a replaced file's rows are passed over."""
+# ---- the schema that is kept with a table ----------------------------------------------------------------
+
+PROFILE_SCHEMA = ("table_name string, column_name string, pos int, n long, n_null long, n_int long, n_dec long, n_float long, n_date long, "
+                  "n_stamp long, max_len int, int_digits int, scale int, magnitude decimal(20,0), version long")
+
+
+def stored_profile(spark: SparkSession, target: LoadTarget) -> DataFrame | None:
+    """The profile of all values a table was ever inferred from; None if its schema was never inferred."""
+    every = _read_or_none(spark, target.profiles, PROFILE_SCHEMA)
+    latest = every.agg(F.max("version")).first()[0]
+    return None if latest is None else every.filter(F.col("version") == latest).drop("version")
+
+
+def store_profile(profile: DataFrame, target: LoadTarget) -> None:
+    """Keep a profile with its table. Earlier versions stay, readers take the last."""
+    known = _read_or_none(profile.sparkSession, target.profiles, PROFILE_SCHEMA).agg(F.max("version")).first()[0]
+    columns = T.StructType.fromDDL(PROFILE_SCHEMA)
+    numbered = profile.withColumn("version", F.lit((known or 0) + 1))
+    numbered.select(*[F.col(f.name).cast(f.dataType) for f in columns]).coalesce(1).write.mode("append").parquet(target.profiles)
+
+
+def table_schema(spark: SparkSession, target: LoadTarget) -> T.StructType:
+    """The schema of a table: what its stored profile says, else that of its last run."""
+    profile = stored_profile(spark, target)
+    if profile is not None:
+        rows = infer_types(profile).orderBy("pos", "column_name").collect()
+        return struct_of([(r.column_name, r.sql_type) for r in rows])
+    last = read_ledger(spark, target).filter("status = 'completed'").agg(F.max_by("schema_json", "ts")).first()[0]
+    if last is None:
+        raise ValueError(f"nothing was loaded into {target.table}")
+    return T.StructType.fromJson(json.loads(last))
+
+
+def _in_schema(spark: SparkSession, paths: list[str], written: str | None, schema: T.StructType, origin: list[T.StructField]) -> DataFrame:
+    """Run folders read with the types they were written in, as columns of ``schema``; a column they lack is null."""
+    own = schema if written is None else T.StructType.fromJson(json.loads(written))
+    names = {f.name for f in own}
+    stored = spark.read.schema(T.StructType([*own.fields, *[f for f in origin if f.name not in names]])).parquet(*paths)
+    return stored.select(*[(F.col(f"`{f.name}`") if f.name in names else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema],
+                         *[F.col(f.name) for f in origin], F.col("_metadata.file_path").alias("_run_file"))
+
+
+def _committed(spark: SparkSession, target: LoadTarget, folder: str, condition: str, schema: T.StructType | str, typed: bool) -> DataFrame:
+    """Rows of the runs the ledger holds. A run that failed left files nobody reads, a replaced file's rows are passed over.
+
+    The runs of a table may differ in their types (``typed``); each kind is a read of its own.
+    """
     ledger = read_ledger(spark, target)
     gone = ledger.filter("status = 'superseded'")
     touched = {r.run_id for r in gone.select("run_id").distinct().collect()}
-    runs = [r.run_id for r in ledger.filter("status = 'completed'").filter(condition).select("run_id").distinct().collect()]
+    wanted = ledger.filter("status = 'completed'").filter(condition)
+    runs = wanted.groupBy("run_id").agg(F.first("schema_json").alias("schema_json")).collect()
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    clean = [f"{folder}/run={r}" for r in runs if r not in touched]
-    mixed = [f"{folder}/run={r}" for r in runs if r in touched]
-    rows = spark.read.schema(schema).parquet(*clean) if clean else spark.createDataFrame([], schema)
-    if mixed:
-        names = [f.name for f in schema]
-        origin = [T.StructField(n, t) for n, t in zip(ORIGIN, (T.StringType(), T.LongType())) if n not in names]
-        wide = spark.read.schema(T.StructType([*schema.fields, *origin])).parquet(*mixed)
-        run = F.regexp_extract(F.col("_metadata.file_path"), r"/run=([0-9a-f]+)/", 1)
-        rows = rows.unionByName(_without(wide.withColumn("_run", run), gone, "_run", ORIGIN[0]).select(*names))
-    return rows
-
-
-def read_table(spark: SparkSession, target: LoadTarget, schema: T.StructType) -> DataFrame:
-    return _committed(spark, target, target.data, "affected_rows > 0", schema)
+    file = T.StructField(ORIGIN[0], T.StringType())
+    kinds: dict[tuple[bool, str | None], list[str]] = {}
+    for r in runs:
+        kinds.setdefault((r.run_id in touched, r.schema_json if typed else None), []).append(f"{folder}/run={r.run_id}")
+    out = None
+    for (mixed, written), paths in kinds.items():
+        rows = _in_schema(spark, paths, written, schema, [file] if mixed and file.name not in schema.names else [])
+        if mixed:
+            run = F.regexp_extract("_run_file", r"/run=([0-9a-f]+)/", 1)
+            rows = _without(rows.withColumn("_run", run), gone, "_run", ORIGIN[0])
+        rows = rows.select(*[F.col(f"`{f.name}`") for f in schema])
+        out = rows if out is None else out.unionByName(rows)
+    return spark.createDataFrame([], schema) if out is None else out
+
+
+def read_table(spark: SparkSession, target: LoadTarget, schema: T.StructType | None = None) -> DataFrame:
+    """The rows of a table, in the schema that is kept with it unless another is given."""
+    return _committed(spark, target, target.data, "affected_rows > 0", schema or table_schema(spark, target), True)
 
 
 def read_rejects(spark: SparkSession, target: LoadTarget) -> DataFrame:
     schema = "raw string, reason string, _file_path string, _chunk_id long"
-    return _committed(spark, target, target.rejects, "rejected_rows > 0", schema)
+    return _committed(spark, target, target.rejects, "rejected_rows > 0", schema, False)
 
 
 def _write_run(df: DataFrame, path: str) -> None:
@@ -260,16 +316,16 @@ def load_chunks(stmts: DataFrame, chunks: DataFrame, schema: T.StructType, targe
         if bad:
             _write_run(rejected_rows(rows, ORIGIN), rejects)
     except Exception as e:
-        _log(todo, target, run, "failed", time.time() - begun, str(e), [])
+        _log(todo, target, run, "failed", time.time() - begun, str(e), [], schema)
         raise
     counts = [_count_chunks(spark, data, "affected_rows")]
     if bad:
         counts.append(_count_chunks(spark, rejects, "rejected_rows"))
-    return _log(todo, target, run, "completed", time.time() - begun, None, counts, superseded)
+    return _log(todo, target, run, "completed", time.time() - begun, None, counts, schema, superseded)
 
 
 def _log(todo: DataFrame, target: LoadTarget, run: str, status: str, seconds: float, error: str | None,
-         counts: list[DataFrame], superseded: DataFrame | None = None) -> DataFrame:
+         counts: list[DataFrame], schema: T.StructType, superseded: DataFrame | None = None) -> DataFrame:
     """Ledger rows are written after the data of their chunks, all in one commit, together with what makes the rows of
     replaced files void. Chunks of a run are loaded side by
     side, so each gets an equal share of its seconds: the rows of a run sum up to its time."""
@@ -282,7 +338,7 @@ def _log(todo: DataFrame, target: LoadTarget, run: str, status: str, seconds: fl
     rows = out.select(
         F.lit(target.table).alias("table_name"), F.lit(run).alias("run_id"), "file_path", "chunk_id",
         F.lit(status).alias("status"), "affected_rows", "rejected_rows", F.lit(share).alias("seconds"),
-        F.lit(error).cast("string").alias("error_message"), F.current_timestamp().alias("ts"),
+        F.lit(error).cast("string").alias("error_message"), F.current_timestamp().alias("ts"), F.lit(schema.json()).alias("schema_json"),
         *[(F.col(n) if n in out.columns else F.lit(None)).cast(t).alias(n) for n, t in _RANGE.items()],
     )
     if superseded is not None:

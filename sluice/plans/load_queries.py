@@ -166,6 +166,22 @@ def migrate_utf16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load.read_table(spark, target, migrate.as_struct(_PAIR)).withColumn("split", F.lit(int(splits >= 8)))
 
 
+def migrate_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that arrive later hold longer numbers, fractions, times of day, words and a further column: types widen and
+    all rows stay readable in them."""
+    o, root = _orders(spark, sf_dir), scratch(spark, "load")
+    key, day = F.col("o_orderkey").cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    narrow = F.concat(F.lit("INSERT INTO t (a, b, c, d) VALUES ("), key, F.lit(", "), F.col("o_custkey"), F.lit(", '"), day, F.lit("', "), key, F.lit(")"))
+    wide = F.concat(F.lit("INSERT INTO t (a, b, c, d, e) VALUES (9000000000"), F.lpad(key, 8, "0"), F.lit(", "), F.col("o_custkey"), F.lit(".25, '"), day,
+                    F.lit(" 10:30:00', 'w"), key, F.lit("', '"), F.col("o_orderpriority"), F.lit("')"))
+    for k, line in enumerate((narrow, wide)):
+        path = write_dump(o.filter(F.col("o_orderkey") % 2 == k).select(line.alias("value")), scratch(spark, "dump-drift"))
+        migrate.migrate(spark, path, root, "t")
+    target = load.LoadTarget(root, "t")
+    types = ",".join(f.dataType.simpleString() for f in load.table_schema(spark, target))
+    return load.read_table(spark, target).withColumn("b", F.col("b").cast("double")).withColumn("types", F.lit(types))
+
+
 def ddl_convert_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns whose names, defaults and comments are words of the type map: only types are mapped."""
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
@@ -179,7 +195,7 @@ def ddl_convert_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    migrate_utf16, ddl_convert_names,
+    migrate_utf16, migrate_drift, ddl_convert_names,
     migrate_rechunked, migrate_grown_file, migrate_replaced_file, literals_oracle, literals_mysql, scan_directive_quotes, migrate_bad_bytes)}
 
 
@@ -206,6 +222,12 @@ ORACLES = {
         f"'a;' || {_NL} || 'b'' ' || w", "'don''t 5\\% ' || w", f"w || '\\;' || {_NL}"], {3: "unsupported_expression:word"}),
     "scan_directive_quotes": _cases(["w", "w", f"w || ';' || {_NL}", "w", "w", "w", "w", "w"], {}),
     "migrate_utf16": "SELECT o_orderkey::BIGINT AS id, '中文;' || chr(10) || o_orderpriority AS word, 1 AS split FROM orders",
+    "migrate_drift": """SELECT CASE k WHEN 0 THEN o_orderkey ELSE ('9000000000' || lpad(o_orderkey::VARCHAR, 8, '0'))::BIGINT END AS a,
+        CASE k WHEN 0 THEN o_custkey::DOUBLE ELSE o_custkey + 0.25::DOUBLE END AS b,
+        CASE k WHEN 0 THEN date_trunc('day', o_orderdate)::TIMESTAMP ELSE date_trunc('day', o_orderdate)::TIMESTAMP + INTERVAL 630 MINUTE END AS c,
+        CASE k WHEN 0 THEN o_orderkey::VARCHAR ELSE 'w' || o_orderkey END AS d, CASE k WHEN 1 THEN o_orderpriority END AS e,
+        'bigint,decimal(' || (SELECT max(length(o_custkey::VARCHAR)) + 2 FROM orders) || ',2),timestamp_ntz,string,string' AS types
+        FROM (SELECT *, o_orderkey % 2 AS k FROM orders)""",
     "ddl_convert_names": """SELECT p_partkey, 'CREATE TABLE number ( number NUMERIC(10,2) DEFAULT 5, `double` DOUBLE PRECISION COMMENT '
         || '''INT of DOUBLE, ENGINE=x'', text VARCHAR(' || p_size || ') DEFAULT ''CLOB  (' || p_partkey
         || ''' NOT NULL, "int" INTEGER , rate DOUBLE PRECISION, clob TEXT, CONSTRAINT blob CHECK (number > 1 AND text <> ''DATETIME,''),'

@@ -14,11 +14,11 @@ from sluice.functions.dialects import ORACLE, Dialect
 from sluice.functions.scale import materialise
 from sluice.functions.text import file_table_name, insert_table_name, is_insert
 from sluice.operators.profile import infer_schema as _infer_schema
-from sluice.operators.profile import fallback_schema, render_ddl, struct_of
+from sluice.operators.profile import fallback_schema, infer_types, merge_profiles, named_values, profile_values, render_ddl, struct_of
 from sluice.operators.runlog import file_outcomes, import_summary
 from sluice.operators.sampling import preview_statements
 from sluice.operators.values import MISPLACED, with_table_names
-from sluice.plans.load import LoadTarget, batch_log, load_chunks, read_ledger
+from sluice.plans.load import LoadTarget, batch_log, load_chunks, read_ledger, store_profile, stored_profile
 from sluice.session import discard, scratch
 from sluice.sources.auto import scan_any
 from sluice.sources.dumps import (
@@ -138,6 +138,7 @@ def migrate(
     stop_on_error: bool = True,
     dialect: str | Dialect = ORACLE,
     on_replaced: str = "refuse",
+    on_drift: str = "widen",
 ) -> DataFrame:
     """Load dump files into tables below ``root``; returns one summary row per table.
 
@@ -150,10 +151,14 @@ def migrate(
     files may have grown and ``chunk_bytes`` may differ. A file that was replaced is refused, or, with
     ``on_replaced='replace'``, its rows take the place of those loaded before. ``dialect`` is how the dump writes its
     literals: oracle, mysql or ansi.
+
+    The profile a schema is inferred from is kept with its table and merged with that of later loads: types widen to what
+    holds all values, columns are added, and earlier rows are read in the wider types. With ``on_drift='reject'`` an
+    inferred schema stays as it is and rows that do not fit are rejects.
     """
     source = _source(spark, path, separator, chunk_bytes, encoding, dialect)
     stmts, chunks = source.stmts, source.chunks
-    staged_at = None
+    staged_at, profiles = None, None
     if table is not None and schemas is not None:
         # one pass: statements of other tables are told apart while the table is loaded
         own = with_table_names(stmts)
@@ -169,8 +174,10 @@ def migrate(
         names = [r.table_name for r in staged.select("table_name").distinct().collect()]
         tables = {n: staged.filter(F.col("table_name") == n).withColumn(MISPLACED, F.lit(n == UNASSIGNED)) for n in names}
         if schemas is None:
-            schemas = schemas_of(infer_schema(staged.filter(F.col("table_name") != UNASSIGNED), tolerance))
+            profiles = _profiles(spark, staged.filter(F.col("table_name") != UNASSIGNED), root, names, on_drift)
+            schemas = schemas_of(infer_types(profiles, tolerance))
     summary, errors = None, []
+    profiled = None if profiles is None else {r.table_name for r in profiles.select("table_name").distinct().collect()}
     try:
         for name, own in tables.items():
             if name == UNASSIGNED:
@@ -181,7 +188,9 @@ def migrate(
                 schema = as_struct(schemas)
             target = LoadTarget(root, name)
             try:
-                load_chunks(own, _chunks_of(own, chunks, len(tables)), schema, target, source.offsets, on_replaced)
+                loaded = load_chunks(own, _chunks_of(own, chunks, len(tables)), schema, target, source.offsets, on_replaced)
+                if profiled and name in profiled and not loaded.isEmpty():
+                    store_profile(profiles.filter(F.col("table_name") == name), target)
             except Exception as e:  # the ledger holds it; the other tables go on
                 errors.append(e)
             done = batch_log(read_ledger(spark, target))
@@ -198,6 +207,18 @@ def migrate(
     return summary
 
 
+def _profiles(spark: SparkSession, stmts: DataFrame, root: str, names: list[str], on_drift: str) -> DataFrame:
+    """Profiles of the statements merged with those that are kept; on ``reject`` a kept profile stands alone."""
+    fresh = profile_values(named_values(stmts), text_stats=False, usual_arity=True)
+    kept = [p for p in (stored_profile(spark, LoadTarget(root, n)) for n in names if n != UNASSIGNED) if p is not None]
+    if kept:
+        known = reduce(DataFrame.unionByName, kept)
+        if on_drift == "reject":
+            fresh = fresh.join(known.select("table_name").distinct(), "table_name", "left_anti")
+        fresh = fresh.unionByName(known)
+    return materialise(merge_profiles(fresh), "profiles")
+
+
 def _chunks_of(own: DataFrame, chunks: DataFrame, n_tables: int) -> DataFrame:
     """Chunks a table has statements in; with one table those are all chunks."""
     return chunks if n_tables == 1 else chunks.join(own.select("file_path", "chunk_id").distinct(), ["file_path", "chunk_id"], "left_semi")
