@@ -122,8 +122,8 @@ def unit_bytes(encoding: str) -> int:
 
 
 def misaligned(found: DumpScan) -> bool:
-    """Whether a separator was seen across code units. The bytes of ``;`` and a newline can stand so only beside
-    characters that are not assigned; such files have to be read whole."""
+    """Whether a separator was seen across code units. Its bytes can stand so only inside rows of rare characters, such as
+    U+4100 U+3B00 U+0A41; files that hold one have to be read whole."""
     return not found.splits.filter("n_uneven > 0").isEmpty()
 
 

@@ -150,7 +150,7 @@ def file_separators(spark: SparkSession, path: str | list[str]) -> DataFrame:
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _decoded_records(data: pd.Series, charset: pd.Series) -> pd.Series:
     return pd.Series([
-        None if d is None else bytes(d).decode(c, "ignore").replace(";\r\n", ";\n").split(";\n")
+        None if d is None else bytes(d).decode(c, "ignore").removeprefix("\ufeff").replace(";\r\n", ";\n").split(";\n")
         for d, c in zip(data, charset)
     ])
 

@@ -111,3 +111,50 @@ def test_empty_and_comment_only_files(spark, folder):
     write(folder, "empty.sql", "")
     write(folder, "comment.sql", "-- it's nothing\nPROMPT done\n")
     assert ordered(read_statements(spark, folder).filter(F.col("stmt").rlike("INSERT"))) == []
+
+
+def test_wide_charsets_are_split(spark, folder):
+    text = "".join(f"INSERT INTO t VALUES ({i}, '中文;\n测试{i}Ċ;');\n" for i in range(60))
+    for name, mark in (("utf-16-le", b"\xff\xfe"), ("utf-16-be", b"\xfe\xff"), ("utf-32-le", b"\xff\xfe\0\0"), ("utf-32-be", b"\0\0\xfe\xff")):
+        write(folder, f"{name}.sql", mark + text.encode(name))
+    want = sorted([(i, f"中文;\n测试{i}Ċ;") for i in range(60)] * 4)
+    for size in (997, 4000):
+        stmts = read_any(spark, folder, chunk_bytes=size)
+        assert stmts.select("file_path", "block_start").distinct().count() > 20000 // size
+        assert sorted((r.id, r.s) for r in good_rows(typed_rows(stmts, as_struct(SCHEMA))).collect()) == want
+
+
+def test_separators_across_code_units(spark, folder):
+    """U+4100 U+3B00 U+0A41 hold the bytes of a separator; such a file is read whole."""
+    odd = "INSERT INTO t VALUES (1, 'a䄀㬀ੁ');\nINSERT INTO t VALUES (2, 'b');\n"
+    assert ";\n".encode("utf-16-be") in odd.split(");")[0].encode("utf-16-be")
+    write(folder, "odd.sql", b"\xfe\xff" + odd.encode("utf-16-be"))
+    rows = good_rows(typed_rows(read_any(spark, folder), as_struct(SCHEMA))).collect()
+    assert sorted((r.id, r.s) for r in rows) == [(1, "a䄀㬀ੁ"), (2, "b")]
+
+
+def test_lexer_states(spark, folder):
+    """Directives, comments and quotes of all kinds with separators in them, whatever the splits are."""
+    pieces = ["PROMPT it's\n", "REM don't;\n", "-- it's;\n", "/* it's;\n'' */\n", "SET x it's;\n", ""]
+    values = ["'a;\nb'", "q'[it's;\nx]'", "'it''s' /* ';\n */", "Q'!;\n'!'", "'x' -- ';\n", "N'y'"]
+    want, text = {}, ""
+    told = ["a;\nb", "it's;\nx", "it's", ";\n'", "x", "y"]
+    for i in range(300):
+        text += pieces[i % 6] + f"INSERT INTO t VALUES ({i}, {values[(i // 6) % 6]});\n"
+        want[i] = told[(i // 6) % 6]
+    path = write(folder, "a.sql", text)
+    for size in (1 << 20, 900):
+        stmts = read_statements(spark, path, chunk_bytes=size)
+        assert stmts.agg(F.max(F.length("stmt"))).first()[0] < 100
+        typed = typed_rows(stmts, as_struct(SCHEMA))
+        assert rejected_rows(typed).count() == 0
+        assert {r.id: r.s for r in good_rows(typed).collect()} == want
+
+
+def test_bytes_that_do_not_fit_are_rejects(spark, folder):
+    good, bad = "INSERT INTO t VALUES (1, '中');\n".encode("gbk"), b"INSERT INTO t VALUES (2, 'x\xff\xffy');\n"
+    for encoding, data in (("gbk", good + bad), ("utf-8", "INSERT INTO t VALUES (1, '中');\n".encode() + bad)):
+        path = write(folder, f"{encoding}.sql", data)
+        typed = typed_rows(read_statements(spark, path, encoding=encoding), as_struct(SCHEMA))
+        assert [(r.id, r.s) for r in good_rows(typed).collect()] == [(1, "中")]
+        assert [r.reason for r in rejected_rows(typed).collect()] == ["bad_bytes"]
