@@ -18,7 +18,7 @@ from sluice.llm.fragments import WORDS, Fragments, covered, ranges, row_hash, sh
 from sluice.llm.names import unused
 
 #: stretches in a reference block; a document's stretches stay together
-BLOCK_STRETCHES = 1 << 11
+BLOCK_STRETCHES = 1 << 12
 #: a window holds this many words before its anchor and the anchor, or the anchor and as many after it
 SIDE = (WORDS.window - WORDS.anchor) // 2
 
