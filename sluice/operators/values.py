@@ -14,9 +14,9 @@ from sluice.functions.literals import (
 )
 from sluice.functions.text import insert_columns, insert_table_name, is_insert
 
-_HEAD = r"""(?is)\A\s*+INSERT\s++INTO\s++(?:"[^"]*+"|`[^`]*+`|[^\s("`]++)++\s*+(?:\(([^)]*+)\)\s*+)?+VALUES\s*+"""
-_ONE_TUPLE = _HEAD + rf"({TUPLE})[;\s]*+\z"
-_ALL_TUPLES = _HEAD + rf"{TUPLE}(?:\s*+,\s*+{TUPLE})*+[;\s]*+\z"
+HEAD = r"""(?is)\A\s*+INSERT\s++INTO\s++(?:"[^"]*+"|`[^`]*+`|[^\s("`]++)++\s*+(?:\(([^)]*+)\)\s*+)?+VALUES\s*+"""
+_ONE_TUPLE = HEAD + rf"({TUPLE})[;\s]*+\z"
+_ALL_TUPLES = HEAD + rf"{TUPLE}(?:\s*+,\s*+{TUPLE})*+[;\s]*+\z"
 
 # Reasons a statement or tuple is set aside.
 NOT_INSERT = "not_insert"
@@ -45,11 +45,11 @@ def parse_tuples(stmts: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     misplaced = F.col(MISPLACED) if MISPLACED in stmts.columns else F.lit(False)
     damaged = F.col(BAD_BYTES) if BAD_BYTES in stmts.columns else F.lit(False)
     heads = stmts.select(
-        *keep, "stmt", (misplaced | damaged).alias(MISPLACED), damaged.alias(BAD_BYTES), F.regexp_extract("stmt", _HEAD, 1).alias("listed"),
+        *keep, "stmt", (misplaced | damaged).alias(MISPLACED), damaged.alias(BAD_BYTES), F.regexp_extract("stmt", HEAD, 1).alias("listed"),
         F.regexp_extract("stmt", _ONE_TUPLE, 2).alias("single"),
     )
     # statements of one tuple, the usual form of a dump, are done with the first pattern
-    several = F.regexp_extract_all(F.regexp_replace("stmt", _HEAD, ""), F.lit(TUPLE), F.lit(0))
+    several = F.regexp_extract_all(F.regexp_replace("stmt", HEAD, ""), F.lit(TUPLE), F.lit(0))
     tuples = (
         F.when(F.col(MISPLACED), F.array(F.lit(None).cast("string")))
         .when(F.col("single") != "", F.array("single"))

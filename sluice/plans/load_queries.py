@@ -182,6 +182,17 @@ def migrate_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load.read_table(spark, target).withColumn("b", F.col("b").cast("double")).withColumn("types", F.lit(types))
 
 
+def plan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plan of dumps whose first INSERT alone is over 2 MB, one file a region: name, statements shown, DDL, admission."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    long = F.repeat(F.col("n_name"), 200_000)
+    row = F.concat(F.lit("("), F.col("n_nationkey").cast("string"), F.lit(", '"), long, F.lit("')"))
+    lines = n.select(F.col("n_regionkey").alias("bucket"), F.col("n_nationkey").alias("place"),
+                     F.concat(F.lit("-- it's long\nINSERT INTO nation_"), F.col("n_regionkey").cast("string"), F.lit(" (id, name) VALUES "), row, F.lit(", "), row).alias("value"))
+    plan = migrate.plan_migration(spark, _write_files(spark, lines, scratch(spark, "dump-plan")), dialect="spark")
+    return plan.select(F.substring_index("file_path", "/", -1).alias("file"), "table_name", F.size("preview").alias("n_preview"), "ddl", "error_code")
+
+
 def ddl_convert_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns whose names, defaults and comments are words of the type map: only types are mapped."""
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
@@ -195,7 +206,7 @@ def ddl_convert_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    migrate_utf16, migrate_drift, ddl_convert_names,
+    migrate_utf16, migrate_drift, plan_files, ddl_convert_names,
     migrate_rechunked, migrate_grown_file, migrate_replaced_file, literals_oracle, literals_mysql, scan_directive_quotes, migrate_bad_bytes)}
 
 
@@ -228,6 +239,8 @@ ORACLES = {
         CASE k WHEN 0 THEN o_orderkey::VARCHAR ELSE 'w' || o_orderkey END AS d, CASE k WHEN 1 THEN o_orderpriority END AS e,
         'bigint,decimal(' || (SELECT max(length(o_custkey::VARCHAR)) + 2 FROM orders) || ',2),timestamp_ntz,string,string' AS types
         FROM (SELECT *, o_orderkey % 2 AS k FROM orders)""",
+    "plan_files": """SELECT DISTINCT 'bucket=' || n_regionkey || '.sql' AS file, 'nation_' || n_regionkey AS table_name, 1 AS n_preview,
+        'CREATE TABLE nation_' || n_regionkey || ' (id INT, name STRING) USING parquet' AS ddl, NULL::VARCHAR AS error_code FROM nation""",
     "ddl_convert_names": """SELECT p_partkey, 'CREATE TABLE number ( number NUMERIC(10,2) DEFAULT 5, `double` DOUBLE PRECISION COMMENT '
         || '''INT of DOUBLE, ENGINE=x'', text VARCHAR(' || p_size || ') DEFAULT ''CLOB  (' || p_partkey
         || ''' NOT NULL, "int" INTEGER , rate DOUBLE PRECISION, clob TEXT, CONSTRAINT blob CHECK (number > 1 AND text <> ''DATETIME,''),'

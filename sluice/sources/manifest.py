@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.functions.literals import BLANKS
+from sluice.functions.literals import BLANKS, TUPLE
 from sluice.functions.scale import materialise
+from sluice.functions.text import strip_leading_noise
 from sluice.operators.sampling import PROBES, REGION_EXTRA, SAMPLE_LINES, density_estimate, estimate_rows
+from sluice.operators.values import HEAD
 from sluice.sources.dumps import assemble, scan, to_statements
 from sluice.sources.ranges import heads, list_files, read_range
 
@@ -113,49 +115,94 @@ def estimate_by_density(files: DataFrame) -> DataFrame:
     return density_estimate(probe_lines(files))
 
 
+#: the longest range that is read at once: a row holds 2 GB
+LONGEST = 1 << 30
+
+
+def widened(ranges: DataFrame, n_bytes: int, enough: Callable[[Column], Column]) -> DataFrame:
+    """Ranges (file_path, file_size, offset, limit, ..) with ``text`` and ``whole``: what stands from ``offset`` on.
+
+    ``n_bytes`` are read at first, and twice as many for those ranges whose text is not ``enough``, until it is or until
+    ``limit`` is reached (``whole``). Each round reads only what is left, spread over the cluster.
+    """
+    todo, out = ranges, None
+    while True:
+        span = F.least(F.lit(n_bytes).cast("long"), F.col("limit"))
+        read = todo.repartition("file_path", "offset").withColumn("data", read_range("file_path", "offset", span))
+        text = F.make_valid_utf8(F.col("data").cast("string"))
+        seen = materialise(read.select(*ranges.columns, text.alias("text"), (F.col("limit") <= n_bytes).alias("whole")), "ranges")
+        found = F.col("whole") | enough(F.col("text")) if n_bytes < LONGEST else F.lit(True)
+        done = seen.filter(found)
+        out = done if out is None else out.unionByName(done)
+        left = seen.filter(~found).select(*ranges.columns)
+        if n_bytes >= LONGEST or left.isEmpty():
+            return out
+        todo, n_bytes = left, n_bytes * 2
+
+
+def _whole_lines(text: Column, whole: Column) -> Column:
+    """Lines other than blank ones; what follows the last line end counts only where the text is whole."""
+    cut = F.when(whole, text).otherwise(F.regexp_replace(text, r"(?:\A|\n)[^\n]*\z", ""))
+    return F.filter(F.split(cut, r"\r?\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
+
+
 def head_lines(files: DataFrame, n: int = SAMPLE_LINES, n_bytes: int = 1024 * 1024) -> DataFrame:
-    """``file_path, line_no, line`` of the first n non-blank lines, read from the head of each file only.
+    """``file_path, line_no, line`` of the first n non-blank lines of each file, however long they are.
 
-    Heads of ``n_bytes`` are read; a file whose lines are so long that the head holds fewer than n is
-    sampled with what the head holds.
+    The head of a file is read, and more of it where it holds fewer than n whole lines.
     """
-    text = F.make_valid_utf8(F.col("head").cast("string"))
-    whole = F.when(F.col("file_size") > n_bytes, F.regexp_replace(text, r"\n[^\n]*\z", "")).otherwise(text)
-    lines = F.filter(F.split(whole, r"\r?\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
-    return heads(files, n_bytes).select(
-        "file_path", "file_size", F.posexplode(F.slice(lines, 1, n)).alias("i", "line")
+    ranges = files.select("file_path", "file_size", F.lit(0).cast("long").alias("offset"), F.col("file_size").alias("limit"))
+    heads_of = widened(ranges, n_bytes, lambda text: F.size(_whole_lines(text, F.lit(False))) >= n)
+    return heads_of.select(
+        "file_path", "file_size", F.posexplode(F.slice(_whole_lines(F.col("text"), F.col("whole")), 1, n)).alias("i", "line")
     ).select("file_path", "file_size", (F.col("i") + 1).alias("line_no"), "line")
 
 
+#: an INSERT that is cut off, up to the end of its last whole tuple
+_WHOLE_TUPLES = HEAD + rf"{TUPLE}(?:\s*+,\s*+{TUPLE})*+"
+
+
 def head_statements(files: DataFrame, n_bytes: int = 1024 * 1024) -> DataFrame:
-    """Whole statements in the head of each file, in the shape of ``read_statements``; a statement the head
-    cuts off is left out."""
-    text = F.make_valid_utf8(F.col("head").cast("string"))
-    pieces = F.split(text, r";\r?\n")
-    whole = F.when(F.col("file_size") > n_bytes, F.slice(pieces, F.lit(1), F.size(pieces) - 1)).otherwise(pieces)
+    """Statements in the head of each file, in the shape of ``read_statements``. More is read where the head has neither a
+    whole INSERT nor a whole tuple of one; an INSERT that the head cuts off counts with its whole tuples."""
+    ranges = files.select("file_path", "file_size", F.lit(0).cast("long").alias("offset"), F.col("file_size").alias("limit"))
+
+    def begun(piece: Column) -> Column:
+        return F.regexp_extract(strip_leading_noise(piece), _WHOLE_TUPLES, 0)
+
+    def enough(text: Column) -> Column:
+        return F.exists(F.split(text, r";\r?\n"), lambda p: begun(p) != "")
+
+    pieces = F.split(F.col("text"), r";\r?\n")
+    last = begun(F.element_at("pieces", -1))
+    kept = F.when(F.col("whole"), F.col("pieces")).otherwise(
+        F.concat(F.slice("pieces", F.lit(1), F.size("pieces") - 1), F.when(last != "", F.array(last)).otherwise(F.array().cast("array<string>"))))
     zero = F.lit(0).cast("long")
-    records = heads(files, n_bytes).select("file_path", F.posexplode(whole).alias("ord", "value")).filter("value <> ''").select(
+    cut = widened(ranges, n_bytes, enough).select("file_path", "whole", pieces.alias("pieces"))
+    records = cut.select("file_path", F.posexplode(kept).alias("ord", "value")).filter("value <> ''").select(
         "file_path", zero.alias("block_start"), zero.alias("chunk_id"), F.col("ord").cast("long").alias("ord"), "value",
         F.lit(False).alias("bad_bytes"), F.octet_length("value").alias("n_raw"), zero.alias("file_size"))
     return to_statements(assemble(scan(materialise(records, "heads"))))
 
 
 def spread_lines(files: DataFrame, regions: int = 4, n: int = SAMPLE_LINES, n_bytes: int = 256 * 1024) -> DataFrame:
-    """``file_path, region, line_no, line``: first ``n / regions + 50`` whole lines of each region of a file."""
-    size = F.floor(F.col("file_size") / regions)
+    """``file_path, region, line_no, line``: first ``n / regions + 50`` whole lines of each region of a file. A region is
+    read on, to its end if need be, until it has as many."""
+    size, wanted = F.floor(F.col("file_size") / regions), n // regions + REGION_EXTRA
+    last = F.col("region") == regions - 1
     ranges = (
-        files.withColumn("region", F.explode(F.array(*[F.lit(i) for i in range(regions)])))
+        files.select("file_path", "file_size", F.explode(F.array(*[F.lit(i) for i in range(regions)])).alias("region"))
         .withColumn("offset", size * F.col("region"))
-        .withColumn("span", F.least(F.lit(n_bytes), F.when(F.col("region") == regions - 1,
-                                                           F.col("file_size") - F.col("offset")).otherwise(size)))
-        .repartition("file_path", "region")
-        .withColumn("content", read_range("file_path", "offset", "span"))
+        .withColumn("limit", F.when(last, F.col("file_size") - F.col("offset")).otherwise(size))
     )
-    text = F.make_valid_utf8(F.col("content").cast("string"))
-    text = F.when(F.col("region") > 0, F.regexp_replace(text, r"\A[^\n]*\n?", "")).otherwise(text)
-    lines = F.filter(F.split(text, r"\r?\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
-    return ranges.select(
-        "file_path", "region", F.posexplode(F.slice(lines, 1, n // regions + REGION_EXTRA)).alias("i", "line")
+
+    def lines(text: Column, at_end: Column) -> Column:
+        # a region begins inside a line
+        return _whole_lines(F.when(F.col("region") > 0, F.regexp_replace(text, r"\A[^\n]*\n?", "")).otherwise(text), at_end)
+
+    found = widened(ranges, n_bytes, lambda text: F.size(lines(text, F.lit(False))) >= wanted)
+    return found.select(
+        "file_path", "region", F.posexplode(F.slice(lines(F.col("text"), F.col("whole") & last), 1, wanted)).alias("i", "line")
     ).select("file_path", "region", (F.col("i") + 1).alias("line_no"), "line")
 
 

@@ -163,3 +163,22 @@ def test_times_of_a_run_add_up_to_its_time(spark, folder):
     begun = time.time()
     summary = migrate(spark, path, folder + "/out", "users", SCHEMA, chunk_bytes=1024).first()
     assert summary.total_tasks > 3 and summary.total_execution_time <= time.time() - begun
+
+
+def test_heads_are_widened(spark, folder):
+    """Lines and statements longer than the range read at first are read whole; a cut INSERT counts with its whole tuples."""
+    long = "x" * 3000
+    write(folder, "lines.sql", "".join(f"INSERT INTO t VALUES ({i}, '{long}');\n" for i in range(12)) + "tail without end")
+    write(folder, "rows.sql", "-- it's\nINSERT INTO r VALUES " + ",\n".join(f"({i}, '{long if i == 0 else 'y'}')" for i in range(400)) + ";\n")
+    files = list_files(spark, folder)
+    one = files.filter(F.col("file_path").endswith("lines.sql"))
+    lines = manifest.head_lines(one, 20, n_bytes=1000).orderBy("line_no").collect()
+    assert [len(r.line) for r in lines] == [len(f"INSERT INTO t VALUES ({i}, '{long}');") for i in range(12)] + [16]
+    assert manifest.head_lines(one, 3, n_bytes=1000).count() == 3
+    stmts = manifest.head_statements(files, n_bytes=1000).collect()
+    assert {r.stmt[:13] for r in stmts} == {"INSERT INTO t", "INSERT INTO r"}
+    assert all(r.stmt.endswith(");") for r in stmts)
+    spread = manifest.spread_lines(one, 3, 9, n_bytes=500).groupBy("region").count().collect()
+    assert {r.region: r["count"] for r in spread} == {0: 3, 1: 3, 2: 4} or sum(r["count"] for r in spread) >= 10
+    plan = {r.table_name: r for r in plan_migration(spark, folder).collect()}
+    assert plan["t"].ddl.startswith("CREATE TABLE t (c1 INT") and len(plan["r"].preview) == 1
