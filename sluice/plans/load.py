@@ -125,9 +125,14 @@ def read_ledger(spark: SparkSession, target: LoadTarget) -> DataFrame:
     return _read_or_none(spark, target.ledger, LEDGER_SCHEMA)
 
 
+def void_files(gone: DataFrame) -> DataFrame:
+    """Files of runs that superseded ledger rows make void."""
+    return gone.select(F.col("run_id").alias("void_run"), F.col("file_path").alias("void_file")).distinct()
+
+
 def _without(rows: DataFrame, gone: DataFrame, run: str, file: str) -> DataFrame:
     """Rows but those of files in runs that a replaced file made void."""
-    void = materialise(gone.select(F.col("run_id").alias("void_run"), F.col("file_path").alias("void_file")).distinct(), "superseded")
+    void = materialise(void_files(gone), "superseded")
     return rows.join(broadcast_if_small(void), (F.col(run) == F.col("void_run")) & (F.col(file) == F.col("void_file")), "left_anti")
 
 
@@ -178,15 +183,30 @@ def table_schema(spark: SparkSession, target: LoadTarget) -> T.StructType:
     return T.StructType.fromJson(json.loads(last))
 
 
+def run_schema(written: str | None, schema: T.StructType) -> T.StructType:
+    """The types a run was written in, as its ledger rows have them; those of ``schema`` where they do not say."""
+    return schema if written is None else T.StructType.fromJson(json.loads(written))
+
+
 def _in_schema(spark: SparkSession, paths: list[str], written: str | None, schema: T.StructType, origin: list[T.StructField]) -> DataFrame:
     """Run folders read with the types they were written in, as columns of ``schema``; a column they lack is null."""
-    own = schema if written is None else T.StructType.fromJson(json.loads(written))
+    own = run_schema(written, schema)
     names = {f.name for f in own}
     stored = spark.read.schema(T.StructType([*own.fields, *[f for f in origin if f.name not in names]])).parquet(*paths)
     return stored.select(*[(F.col(f"`{f.name}`") if f.name in names else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema],
                          *[F.col(f.name) for f in origin], F.col("_metadata.file_path").alias("_run_file"))
 
 
+def committed_runs(ledger: DataFrame, folder: str, condition: str, typed: bool) -> dict[tuple[bool, str | None], list[str]]:
+    """Folders of the runs the ledger holds, by whether some of their files were replaced and by the types they have."""
+    touched = {r.run_id for r in ledger.filter("status = 'superseded'").select("run_id").distinct().collect()}
+    wanted = ledger.filter("status = 'completed'").filter(condition)
+    kinds: dict[tuple[bool, str | None], list[str]] = {}
+    for r in wanted.groupBy("run_id").agg(F.first("schema_json").alias("schema_json")).orderBy("run_id").collect():
+        kinds.setdefault((r.run_id in touched, r.schema_json if typed else None), []).append(f"{folder}/run={r.run_id}")
+    return kinds
+
+
 def _committed(spark: SparkSession, target: LoadTarget, folder: str, condition: str, schema: T.StructType | str, typed: bool) -> DataFrame:
     """Rows of the runs the ledger holds. A run that failed left files nobody reads, a replaced file's rows are passed over.
 
@@ -194,14 +214,9 @@ def _committed(spark: SparkSession, target: LoadTarget, folder: str, condition:
     """
     ledger = read_ledger(spark, target)
     gone = ledger.filter("status = 'superseded'")
-    touched = {r.run_id for r in gone.select("run_id").distinct().collect()}
-    wanted = ledger.filter("status = 'completed'").filter(condition)
-    runs = wanted.groupBy("run_id").agg(F.first("schema_json").alias("schema_json")).collect()
+    kinds = committed_runs(ledger, folder, condition, typed)
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     file = T.StructField(ORIGIN[0], T.StringType())
-    kinds: dict[tuple[bool, str | None], list[str]] = {}
-    for r in runs:
-        kinds.setdefault((r.run_id in touched, r.schema_json if typed else None), []).append(f"{folder}/run={r.run_id}")
     out = None
     for (mixed, written), paths in kinds.items():
         rows = _in_schema(spark, paths, written, schema, [file] if mixed and file.name not in schema.names else [])

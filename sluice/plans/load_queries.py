@@ -13,6 +13,7 @@ from sluice.functions.charset import encode_text
 from sluice.operators.export import insert_text, write_dump
 from sluice.operators.values import typed_rows
 from sluice.plans import load, migrate
+from sluice.plans.catalog import publish
 from sluice.session import discard, scratch
 from sluice.sources import dumps
 from sluice.sources.ranges import list_files
@@ -205,7 +206,35 @@ def ddl_convert_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", ddl.convert_ddl(script).alias("ddl"))
 
 
+def publish_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders loaded in two runs of other types, then one file replaced: read by the name that the last load published."""
+    o, root, path = _orders(spark, sf_dir), scratch(spark, "load"), scratch(spark, "dump-orders")
+    changed = F.when(F.col("o_orderkey") % _BUCKETS == 1, -F.col("o_totalprice")).otherwise(F.col("o_totalprice"))
+    whole = F.col("o_totalprice").cast("long")
+    narrow = o.withColumn("o_totalprice", whole).filter(F.col("o_orderkey") % _BUCKETS < 2)
+    for lines in (_bucketed(narrow), _bucketed(o, changed).filter("bucket <> 0")):
+        _write_files(spark, lines, path)
+        migrate.migrate(spark, path, root, "orders", on_replaced="replace")
+    publish(spark, load.LoadTarget(root, "orders"), "sluice_published_orders")
+    return spark.sql("SELECT o_orderkey, o_orderpriority, CAST(o_totalprice AS DOUBLE) AS o_totalprice FROM sluice_published_orders")
+
+
+def migrate_admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files in and outside of the allowed folder, of allowed and other names: what became of each, and rows loaded."""
+    o, root, top = _orders(spark, sf_dir), scratch(spark, "load"), scratch(spark, "dump-admit")
+    lines = _bucketed(o)
+    _write_files(spark, lines, f"{top}/in")
+    _write_files(spark, lines, f"{top}/out")
+    write_dump(o.select(insert_text(o, "orders").alias("value")), f"{top}/in/other")
+    told = migrate.migrate_files(spark, [top, f"{top}/in/none.sql"], root, admission={"allowed_dirs": [f"{top}/in"]})
+    n = _loaded(spark, root, o).agg(F.count("*").alias("n_rows"), F.sum("o_orderkey").alias("keys"))
+    named = told.filter(~F.col("file_path").contains("/part-") & ~F.col("file_path").contains("/_SUCCESS")).select(
+        F.substring_index(F.substring_index("file_path", "/", -2), "/", 1).alias("folder"), F.substring_index("file_path", "/", -1).alias("file"), "success")
+    return named.join(n, F.col("success"), "left")
+
+
 QUERIES = {f.__name__: f for f in (
+    publish_table, migrate_admitted,
     migrate_utf16, migrate_drift, plan_files, ddl_convert_names,
     migrate_rechunked, migrate_grown_file, migrate_replaced_file, literals_oracle, literals_mysql, scan_directive_quotes, migrate_bad_bytes)}
 
@@ -220,6 +249,12 @@ def _cases(kinds: list[str], rejected: dict[int, str]) -> str:
 
 _NL = "chr(10)"
 ORACLES = {
+    "publish_table": """SELECT o_orderkey, o_orderpriority, CASE o_orderkey % 4 WHEN 0 THEN trunc(o_totalprice::DECIMAL(18,2))::DOUBLE
+        WHEN 1 THEN -o_totalprice::DOUBLE ELSE o_totalprice::DOUBLE END AS o_totalprice FROM orders""",
+    "migrate_admitted": """WITH files AS (SELECT DISTINCT 'bucket=' || (o_orderkey % 4) || '.sql' AS file FROM orders),
+        n AS (SELECT count(*)::BIGINT AS n_rows, sum(o_orderkey)::BIGINT AS keys FROM orders)
+        SELECT 'in' AS folder, file, true AS success, n_rows, keys FROM files, n
+        UNION ALL SELECT 'out', file, false, NULL, NULL FROM files UNION ALL SELECT 'in', 'none.sql', false, NULL, NULL""",
     "migrate_rechunked": "SELECT * FROM orders",
     "migrate_grown_file": "SELECT * FROM orders",
     "migrate_replaced_file": """SELECT o_orderkey, o_custkey, o_orderstatus,

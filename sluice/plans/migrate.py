@@ -18,14 +18,15 @@ from sluice.operators.profile import fallback_schema, infer_types, merge_profile
 from sluice.operators.runlog import file_outcomes, import_summary
 from sluice.operators.sampling import preview_statements
 from sluice.operators.values import MISPLACED, with_table_names
-from sluice.plans.load import LoadTarget, batch_log, load_chunks, read_ledger, store_profile, stored_profile
+from sluice.plans.catalog import publish, view_name
+from sluice.plans.load import LoadTarget, batch_log, create_database, load_chunks, read_ledger, store_profile, stored_profile
 from sluice.session import discard, scratch
 from sluice.sources.auto import scan_any
 from sluice.sources.dumps import (
     CHUNK_BYTES, DumpScan, assemble, chunk_ranges, insert_statements, read_records, record_offsets, scan, to_statements,
 )
 from sluice.sources.versions import file_versions
-from sluice.sources.manifest import ALLOWED_EXTENSIONS, admit, estimate_by_sample, head_statements, manifest
+from sluice.sources.manifest import ALLOWED_EXTENSIONS, admit_paths, estimate_by_sample, head_statements, quick_line_estimate
 
 Schema = T.StructType | str
 #: where statements are set aside that belong to no table of a load
@@ -52,12 +53,7 @@ def schemas_of(inferred: DataFrame) -> dict[str, T.StructType]:
 def plan_migration(spark: SparkSession, path: str | list[str], allowed_dirs: Sequence[str] = (),
                    allowed_extensions: Sequence[str] = ALLOWED_EXTENSIONS, dialect: str = "doris") -> DataFrame:
     """What a load would meet, from file heads alone: admission, table, row estimate, preview and DDL per file."""
-    files = manifest(spark, path)
-    checked = admit(
-        files.withColumn("path", F.regexp_replace("file_path", r"^[a-z0-9]+://[^/]*", ""))
-        .withColumn("is_file", F.lit(True)).withColumn("readable", F.lit(True)),
-        allowed_dirs=allowed_dirs, allowed_extensions=allowed_extensions,
-    )
+    checked = materialise(admit_paths(spark, path, allowed_dirs, allowed_extensions=allowed_extensions), "admission")
     admitted = checked.filter("error_code IS NULL")
     stmts = insert_statements(head_statements(admitted.select("file_path", "file_size")))
     stmts = materialise(stmts.withColumn("place", F.struct("ord", "sub")), "head-statements")
@@ -67,7 +63,9 @@ def plan_migration(spark: SparkSession, path: str | list[str], allowed_dirs: Seq
     previews = preview_statements(stmts, order="place").groupBy("file_path").agg(
         F.array_sort(F.collect_list(F.struct("n", "preview"))).alias("p"))
     ddl = render_ddl(infer_schema(stmts), dialect)
-    estimates = estimate_by_sample(admitted.select("file_path", "file_size")).select("file_path", "estimated_rows_fast")
+    sizes = admitted.select("file_path", "file_size")
+    estimates = quick_line_estimate(sizes).select("file_path", "estimated_rows").join(
+        estimate_by_sample(sizes).select("file_path", "estimated_rows_fast"), "file_path", "left")
     return (
         checked.join(named, "file_path", "left")
         .withColumn("table_name", F.coalesce("named", file_table_name(F.col("file_path"))))
@@ -92,6 +90,10 @@ def _placed(stmts: DataFrame, table: str | None) -> DataFrame:
     return named.withColumn("table_name", F.when(name == table, name).otherwise(UNASSIGNED) if table else name)
 
 
+class NothingToLoad(ValueError):
+    """The paths hold no statement, or no file that is admitted."""
+
+
 @dataclass
 class Source:
     """Statements of dump files, the chunks they come in, and where the records of some chunks begin."""
@@ -139,6 +141,8 @@ def migrate(
     dialect: str | Dialect = ORACLE,
     on_replaced: str = "refuse",
     on_drift: str = "widen",
+    admission: Mapping[str, object] | None = None,
+    database: str | None = None,
 ) -> DataFrame:
     """Load dump files into tables below ``root``; returns one summary row per table.
 
@@ -155,7 +159,15 @@ def migrate(
     The profile a schema is inferred from is kept with its table and merged with that of later loads: types widen to what
     holds all values, columns are added, and earlier rows are read in the wider types. With ``on_drift='reject'`` an
     inferred schema stays as it is and rows that do not fit are rejects.
+
+    ``admission`` has the rules of ``admit_paths``: files are held to them before any is read. The first refused ones are
+    named in an error, or, with ``stop_on_error`` off, refused files are passed over. With ``database`` each loaded table
+    is published in that database of the catalog, under its name as ``view_name`` writes it.
     """
+    if admission is not None:
+        path = _admitted(spark, path, admission, stop_on_error)
+    if database:
+        create_database(spark, database)
     source = _source(spark, path, separator, chunk_bytes, encoding, dialect)
     stmts, chunks = source.stmts, source.chunks
     staged_at, profiles = None, None
@@ -191,6 +203,8 @@ def migrate(
                 loaded = load_chunks(own, _chunks_of(own, chunks, len(tables)), schema, target, source.offsets, on_replaced)
                 if profiled and name in profiled and not loaded.isEmpty():
                     store_profile(profiles.filter(F.col("table_name") == name), target)
+                if database and name != UNASSIGNED:
+                    publish(spark, target, f"`{database}`.`{view_name(name)}`")
             except Exception as e:  # the ledger holds it; the other tables go on
                 errors.append(e)
             done = batch_log(read_ledger(spark, target))
@@ -203,10 +217,26 @@ def migrate(
     if errors and stop_on_error:
         raise errors[0]
     if summary is None:
-        raise ValueError(f"no statement in {path}")
+        raise NothingToLoad(f"no statement in {path}")
     return summary
 
 
+def _admitted(spark: SparkSession, path: str | list[str], rules: Mapping[str, object], stop: bool) -> str | list[str]:
+    """The paths themselves if all their files are admitted, else the admitted files (which the reader lists on the
+    driver anyway)."""
+    checked = materialise(admit_paths(spark, path, **rules), "admission")
+    refused = checked.filter("error_code IS NOT NULL").select("file_path", "error_code").limit(4).collect()
+    if not refused:
+        return path
+    if stop:
+        raise ValueError("not admitted: " + ", ".join(f"{r.file_path} ({r.error_code})" for r in refused[:3])
+                         + (" and others" if len(refused) > 3 else ""))
+    files = [r.file_path for r in checked.filter("error_code IS NULL").select("file_path").collect()]
+    if not files:
+        raise NothingToLoad(f"no file of {path} is admitted")
+    return files
+
+
 def _profiles(spark: SparkSession, stmts: DataFrame, root: str, names: list[str], on_drift: str) -> DataFrame:
     """Profiles of the statements merged with those that are kept; on ``reject`` a kept profile stands alone."""
     fresh = profile_values(named_values(stmts), text_stats=False, usual_arity=True)
@@ -225,10 +255,19 @@ def _chunks_of(own: DataFrame, chunks: DataFrame, n_tables: int) -> DataFrame:
 
 
 def migrate_files(spark: SparkSession, path: str | list[str], root: str, **options) -> DataFrame:
-    """Load many files in one go: ``file_path, success`` per file."""
-    tables = [r.table_name for r in migrate(spark, path, root, stop_on_error=False, **options).select("table_name").collect()]
-    logs = [read_ledger(spark, LoadTarget(root, t)) for t in tables]
-    log = logs[0]
-    for other in logs[1:]:
-        log = log.unionByName(other)
-    return file_outcomes(batch_log(log))
+    """Load many files in one go: ``file_path, success`` per file. Files that are not admitted are no success."""
+    rules = options.get("admission")
+    refused = None
+    if rules is not None:
+        checked = materialise(admit_paths(spark, path, **rules), "admission")
+        refused = checked.filter("error_code IS NOT NULL").select("file_path", F.lit(False).alias("success"))
+    try:
+        summary = migrate(spark, path, root, stop_on_error=False, **options)
+    except NothingToLoad:
+        if refused is None or refused.isEmpty():
+            raise
+        return refused
+    tables = [r.table_name for r in summary.select("table_name").collect()]
+    logs = reduce(DataFrame.unionByName, [read_ledger(spark, LoadTarget(root, t)) for t in tables])
+    loaded = file_outcomes(batch_log(logs))
+    return loaded if refused is None else loaded.unionByName(refused, allowMissingColumns=True)

@@ -49,6 +49,10 @@ ORACLES["roundtrip_broken_literals"] = "SELECT doc_id, replace(text, '. ', ''';'
 for _q in ("load_table", "load_append"):
     ORACLES[_q] = "SELECT * FROM orders"
 ORACLES["stream_ingest"] = "SELECT * FROM customer"
+ORACLES["stream_ingest_tables"] = """
+SELECT 'customer' AS table_name, c_custkey::BIGINT AS key, c_name AS name, c_acctbal::DOUBLE AS amount FROM customer
+UNION ALL SELECT 'supplier', s_suppkey::BIGINT, s_name, s_acctbal::DOUBLE FROM supplier
+UNION ALL SELECT 'orders', o_orderkey::BIGINT, o_orderstatus, o_totalprice::DOUBLE FROM orders"""
 
 ORACLES["stmt_scan"] = f"SELECT {_insert('orders')} || ';' AS stmt FROM orders"
 ORACLES["dump_export"] = f"SELECT o_orderkey, {_insert('orders')} || ';' AS stmt FROM orders"

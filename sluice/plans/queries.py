@@ -11,6 +11,7 @@ from sluice.functions.charset import decode_bytes, encode_text
 from sluice.operators import chunks, profile, reconcile, runlog, sampling, values
 from sluice.operators.export import export_dump, insert_text, render_inserts, write_dump
 from sluice.plans import load, load_queries, migrate
+from sluice.plans.catalog import publish
 from sluice.session import scratch
 from sluice.sources import dumps, encoding, manifest
 from sluice.streaming import ingest, status
@@ -575,6 +576,24 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.read_ingested(spark, target, schema)
 
 
+#: tables of a mixed dump: key, text and amount
+MIXED = {"customer": ("c_custkey", "c_name", "c_acctbal"), "supplier": ("s_suppkey", "s_name", "s_acctbal"),
+         "orders": ("o_orderkey", "o_orderstatus", "o_totalprice")}
+
+
+def stream_ingest_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that hold statements of three tables arrive in a stream, two a batch; each table is read by its name."""
+    root, folder = scratch(spark, "stream"), scratch(spark, "dump-mixed")
+    stmts = [_stmts(spark, sf_dir, t).select("stmt") for t in MIXED]
+    lines = stmts[0].unionByName(stmts[1]).unionByName(stmts[2])
+    write_dump(lines.select(F.regexp_replace("stmt", r";\z", "").alias("value")).repartition(5), folder)
+    ingest.ingest_tables(spark, folder, root, scratch(spark, "stream-state"), max_files=2, pattern="part-*").awaitTermination()
+    parts = [load.read_table(spark, load.LoadTarget(root, t)).select(
+        F.lit(t).alias("table_name"), F.col(k).cast("long").alias("key"), F.col(name).alias("name"), F.col(amount).cast("double").alias("amount"))
+        for t, (k, name, amount) in MIXED.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
@@ -589,9 +608,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     stmts = dumps.read_statements(spark, path)
     schema = migrate.schemas_of(profile.infer_schema(stmts))["orders"]
     migrate.migrate(spark, path, root, "orders", schema)
-    loaded = load.read_table(spark, load.LoadTarget(root, "orders"), schema)
-    return loaded.groupBy("o_orderstatus").agg(
-        F.count("*").alias("n_orders"), F.sum("o_totalprice").cast("double").alias("total_price"))
+    publish(spark, load.LoadTarget(root, "orders"), "sluice_orders", schema)
+    return spark.sql("SELECT o_orderstatus, count(*) AS n_orders, CAST(sum(o_totalprice) AS DOUBLE) AS total_price "
+                     "FROM sluice_orders GROUP BY o_orderstatus")
 
 
 ROUNDTRIPS = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages",
@@ -607,7 +626,8 @@ QUERIES.update({
         column_profile, infer_types, ddl_render, override_schema, manifest_query, admit_files, load_table, load_append,
         load_ledger, migrate_tables, migrate_mixed, literal_expressions, fallback_schema, table_info, reconcile_query, reconcile_content, resume_chunks, rejects, dump_export,
         import_summary, import_errors, progress_running, multi_file, file_outcomes, metrics_rollup, task_latest,
-        status_events, status_overview, task_duration, drop_cancelled, stream_ingest, stream_status,
+        status_events, status_overview, task_duration, drop_cancelled, stream_ingest, stream_ingest_tables,
+        stream_status,
     )
 })
 QUERIES.update(load_queries.QUERIES)

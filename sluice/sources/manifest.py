@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +72,48 @@ def admit(files: DataFrame, enabled: bool = True, allowed_dirs: Sequence[str] =
     return files.withColumn("normalized_path", path).withColumn("error_code", code)
 
 
+def _local(path: Column) -> Column:
+    """The path of a URI."""
+    return F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", "")
+
+
+def _found_and_readable(spark: SparkSession, path: str) -> tuple[bool, bool]:
+    """Whether a path or glob that a caller names has anything behind it, and whether it may be read."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        found = files.globStatus(place)
+        if not found:
+            return False, False
+        if len(found) == 1:
+            files.access(found[0].getPath(), spark._jvm.org.apache.hadoop.fs.permission.FsAction.READ)
+    except Py4JJavaError as e:
+        if "AccessControlException" not in e.java_exception.getClass().getName():
+            raise
+        return True, False
+    return True, True
+
+
+def admit_paths(spark: SparkSession, path: str | list[str], allowed_dirs: Sequence[str] = (), **rules) -> DataFrame:
+    """Admission of all files below the paths, globs and folders a caller names, before any is read.
+
+    ``file_path, file_size, modificationTime, path, is_file, readable, normalized_path, error_code``; a named path with
+    nothing behind it, or that may not be read, is a row of its own. Whether a file below a folder may be read shows only
+    when it is. ``allowed_dirs`` may be URIs. The rules are those of ``admit``.
+    """
+    named = [path] if isinstance(path, str) else list(path)
+    states = {p: _found_and_readable(spark, p) if p else (False, False) for p in dict.fromkeys(named)}
+    good = [p for p, (found, readable) in states.items() if found and readable]
+    lost = [(p, None, None, found, readable) for p, (found, readable) in states.items() if not (found and readable)]
+    shape = "file_path string, file_size long, modificationTime timestamp, is_file boolean, readable boolean"
+    files = spark.createDataFrame(lost, shape)
+    if good:
+        listed = list_files(spark, good).withColumn("is_file", F.lit(True)).withColumn("readable", F.lit(True))
+        files = listed.unionByName(files) if lost else listed
+    folders = [re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", d) for d in allowed_dirs]
+    return admit(files.withColumn("path", _local(F.col("file_path"))), allowed_dirs=folders, **rules)
+
+
 def describe(files: DataFrame) -> DataFrame:
     """Name, extension, size in MB of listed files."""
     return files.withColumn("file_name", F.substring_index("file_path", "/", -1)).withColumn(

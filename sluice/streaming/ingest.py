@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from sluice.operators.values import MISPLACED, good_rows, rejected_rows, typed_rows, with_table_names
+from sluice.plans.migrate import NothingToLoad, migrate
 from sluice.sources.dumps import (
     CHUNK_BYTES, assemble, fixed_split_session, scan, to_statements, valid_utf8,
 )
@@ -50,3 +51,33 @@ def ingest_stream(spark: SparkSession, folder: str, schema: T.StructType, target
 def read_ingested(spark: SparkSession, target: str, schema: T.StructType) -> DataFrame:
     kept = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
     return spark.read.schema(kept).parquet(f"{target}/data").select(*schema.names)
+
+
+def ingest_tables(spark: SparkSession, folder: str, root: str, checkpoint: str, max_files: int = 1000, pattern: str = "*",
+                  trigger: dict | None = None, **options) -> StreamingQuery:
+    """Load every dump that arrives in ``folder`` into the tables its statements name, below ``root``.
+
+    The stream only tells which files are new (at most ``max_files`` a batch, so their names fit the driver); each batch
+    of files goes through ``migrate`` with ``options``: any charset and dialect, statements routed by table, schemas from
+    the profiles kept with the tables and widened, rejects aside, the same ledger. The ledger has bytes of file versions by
+    table, so a batch that is run again loads what is missing of each table, and files loaded by hand are not loaded twice.
+    A file that grows after its batch is for ``migrate`` over the folder: file streams name a file once. ``trigger`` is
+    that of the stream; without it, it stops when nothing is left.
+    """
+    arriving = (
+        spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+        .option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+        .load(folder).select("path")  # contents are pruned, only the listing is read
+    )
+
+    def load(batch: DataFrame, batch_id: int) -> None:
+        paths = [r.path for r in batch.collect()]
+        if not paths:
+            return
+        try:
+            migrate(spark, paths, root, **options)
+        except NothingToLoad:  # files without a statement
+            pass
+
+    return arriving.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(
+        **(trigger or {"availableNow": True})).start()
