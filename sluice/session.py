@@ -35,7 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not root:
-        if not context.master.startswith("local["):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = context.getCheckpointDir() or tempfile.mkdtemp(prefix="sluice-")
     if context.getCheckpointDir() is None:
