@@ -1,4 +1,4 @@
-"""A bounded, reproducible sample of labelled rows to fit a model on, and the held-out rule."""
+"""Labelled rows to fit a model on, all or a bounded, reproducible sample, and the held-out rule."""
 
 from __future__ import annotations
 
@@ -39,6 +39,12 @@ def sample_labels(labels: DataFrame, column: str, modulus: int, held_out: int, m
     return one.unionByName(zero)
 
 
+def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``usable_labels`` has, with their label; one row for each id."""
+    known = labels.select(F.col("doc_id").alias("__id"), F.col("label").alias("__label"))
+    return docs.join(known, F.col("doc_id") == F.col("__id")).drop("__id").dropDuplicates(["doc_id"])
+
+
 def sample_documents(docs: DataFrame, sample: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """The sampled rows of ``docs`` with their label; one row for each sampled id."""
     chosen = F.broadcast(sample.select(F.col("doc_id").alias("__id"), F.col("label").alias("__label")))

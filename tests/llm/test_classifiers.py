@@ -4,6 +4,8 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from sluice.llm import quality, queries, toxicity
 
@@ -72,3 +74,27 @@ def test_class_counts_need_no_order(spark, monkeypatch):
     got = {r["label"]: r["count"] for r in quality.class_counts(labels, "quality", 4, 2).collect()}
     held = {i for i in range(60) if zlib.crc32(str(i).encode()) % 4 == 2}
     assert got == {v: sum(int(i % 3 == 0) == v and i not in held and i != 1 for i in range(60)) for v in (0, 1)}
+
+
+def test_toxicity_learns_from_every_label(spark, monkeypatch):
+    """A word that only documents behind the first 2,500 of their class hold is counted and learned, whatever the shards."""
+    monkeypatch.setattr(toxicity, "EPOCHS", 2)
+    monkeypatch.setattr(toxicity, "SHARD", 2500)
+    rank = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"))
+    rows = spark.range(8000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    kept = rows.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    late = kept.withColumn("late", F.row_number().over(rank) > 2500)
+    word = F.when(F.col("late") & (F.col("toxic") == 1), "vileness").when(F.col("toxic") == 1, "nasty").otherwise("kind")
+    docs = late.select("doc_id", F.concat(word, F.lit(" words here")).alias("text"), F.lit("en").alias("lang"))
+    model = toxicity.train(docs, rows.select("doc_id", "toxic"))
+    assert toxicity.bucket(b"vileness") in model.rows
+    assert model.score("vileness words here") > 0.5 > model.score("kind words here")
+    assert 0 < model.thresholds["en"] < 1
+
+
+def test_shards_are_averaged(spark, monkeypatch):
+    """Sf0.1 dealt into two shards: about as good on held-out documents as in one."""
+    monkeypatch.setattr(toxicity, "SHARD", 1700)
+    labels, rows = rows_of(spark, "toxic")
+    held = [r for r in rows if r.held_out and r.doc_id in labels]
+    assert np.mean([r.predicted == labels[r.doc_id] for r in held]) >= 0.95
