@@ -12,7 +12,7 @@ from sluice.operators import chunks, profile, reconcile, runlog, sampling, value
 from sluice.operators.export import export_dump, insert_text, render_inserts, write_dump
 from sluice.plans import load, load_queries, migrate
 from sluice.plans.catalog import publish
-from sluice.session import scratch
+from sluice.session import hold_batches, scratch, spread
 from sluice.sources import dumps, encoding, manifest
 from sluice.streaming import ingest, status
 
@@ -165,7 +165,7 @@ def _part_ddl(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("USE shop;\nCREATE TABLE APP_OWNER.part_"), F.col("p_partkey"),
         F.lit(" (\n  id NUMBER(10) PRIMARY KEY,\n  size_no INT,\n  name VARCHAR2("), F.col("p_size"),
         F.lit(" CHAR),\n  price NUMBER(10, 2),\n  made DATETIME,\n  note CLOB,\n  weight DOUBLE,\n) ENGINE=InnoDB DEFAULT CHARSET=utf8;"))
-    return table(spark, sf_dir, "part").select("p_partkey", script.alias("script"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", script.alias("script"))
 
 
 def ddl_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,6 +266,7 @@ def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _encoded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as the bytes of a small dump: French ones in GBK (accents become a CJK character),
     German ones in UTF-16, others in UTF-8."""
+    hold_batches(spark)
     d = table(spark, sf_dir, "documents")
     body = F.when(F.col("lang") == "fr", F.regexp_replace("text", r"[^\x00-\x7F]", "测")).otherwise(F.col("text"))
     dump = F.concat(F.lit("INSERT INTO documents VALUES ("), "doc_id", F.lit(", '"), body, F.lit("');\n"))
@@ -283,6 +284,7 @@ def encoding_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decode_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hold_batches(spark)
     d = table(spark, sf_dir, "documents")
     charset = F.when(F.col("lang") == "en", "utf-8").when(F.col("lang") == "de", "utf-16").when(
         F.col("lang") == "fr", "latin1").otherwise("gb18030")

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "sluice", cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -44,6 +44,24 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: rows handed to a Python worker at once where they hold whole texts; at 64 KB a text and eight copies of it, 128 MB
+TEXT_ROWS = 250
+
+
+def hold_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
+    """Hold the session's Arrow batches to ``rows`` rows; a smaller setting stays. Results do not depend on it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal few bytes with much work in each row over the cluster: a small file is one task whatever its rows cost. The
+    number is given, as adaptive execution would join such small partitions again."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * df.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Remove a table that ``scratch`` named, through the filesystem that holds it."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from sluice.functions.charset import CHARSET_ALIASES, FALLBACK_CHARSETS, MIN_CONFIDENCE, decode_strict
 from sluice.functions.literals import BLANKS
 from sluice.operators.sampling import MIN_INSERT_SHARE, SAMPLE_LINES
+from sluice.session import hold_batches
 from sluice.sources.ranges import file_uri, heads, list_files
 
 # Fixed value: bytes looked at for detection.
@@ -54,6 +55,7 @@ def detect_charset(files: DataFrame, data: str = "head") -> DataFrame:
 
     Byte order marks and UTF-8 validity are decided in the JVM; only other files reach Python.
     """
+    hold_batches(files.sparkSession)
     head = F.col(data)
     mark = F.hex(F.substring(head, 1, 3))
     # a head cut at a fixed size may end inside a character: up to three bytes may be missing
@@ -92,6 +94,7 @@ def _gate(text: Column) -> Column:
 def fallback_charset(files: DataFrame, data: str = "head") -> DataFrame:
     """Add ``used_encoding`` and ``ignore_errors``: the first candidate that decodes strictly and passes the
     gate, else UTF-8 with errors ignored. All candidates are tried inside the row, without a shuffle."""
+    hold_batches(files.sparkSession)
     head = F.col(data)
     utf8 = head.cast("string")
     tried = {"utf-8": F.when(F.is_valid_utf8(utf8), utf8)}
