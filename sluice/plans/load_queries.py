@@ -14,11 +14,13 @@ from sluice.operators.export import insert_text, write_dump
 from sluice.operators.values import typed_rows
 from sluice.plans import load, migrate
 from sluice.plans.catalog import publish
-from sluice.session import discard, scratch
+from sluice.session import discard, scratch, spread
 from sluice.sources import dumps
 from sluice.sources.ranges import list_files
 
 _BUCKETS = 4
+#: keys of one block, whose rows of a bucket are a file; a few MB
+_BLOCK = 1 << 18
 _PAIR = "id bigint, word string"
 
 
@@ -27,15 +29,17 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _write_files(spark: SparkSession, lines: DataFrame, folder: str) -> str:
-    """Rows (bucket, place, value) as one dump file a bucket, under names that stay when it is written again."""
-    at = scratch(spark, "buckets")
-    dealt = lines.repartition("bucket").sortWithinPartitions("bucket", "place").select("bucket", "value")
-    dealt.write.partitionBy("bucket").option("lineSep", ";\n").text(at)
+    """Rows (bucket, place, value) as one dump file a bucket, under names that stay when it is written again. Rows that
+    have a ``block`` too get a file for each bucket and block, so that no task sorts a share of all rows."""
+    at, keys = scratch(spark, "buckets"), [c for c in ("bucket", "block") if c in lines.columns]
+    dealt = lines.repartition(*keys).sortWithinPartitions(*keys, "place").select(*keys, "value")
+    dealt.write.partitionBy(*keys).option("lineSep", ";\n").text(at)
     path = spark._jvm.org.apache.hadoop.fs.Path
     files = path(at).getFileSystem(spark._jsc.hadoopConfiguration())
     files.mkdirs(path(folder))
-    for found in files.globStatus(path(f"{at}/bucket=*/part-*")):
-        target = path(f"{folder}/{found.getPath().getParent().getName()}.sql")
+    for found in files.globStatus(path(f"{at}{'/*=*' * len(keys)}/part-*")):
+        name = found.getPath().toString().split("/")[-1 - len(keys) : -1]
+        target = path(f"{folder}/{','.join(name).removesuffix(',block=0')}.sql")
         files.delete(target, False)
         files.rename(found.getPath(), target)
     discard(spark, at)
@@ -46,7 +50,7 @@ def _bucketed(o: DataFrame, price: Column | None = None) -> DataFrame:
     """Orders as lines; even keys come first in each file, so that odd keys make it grow."""
     priced = o if price is None else o.withColumn("o_totalprice", price)
     return priced.select(
-        (F.col("o_orderkey") % _BUCKETS).alias("bucket"), F.struct(F.col("o_orderkey") % 8 >= 4, "o_orderkey").alias("place"),
+        (F.col("o_orderkey") % _BUCKETS).alias("bucket"), F.floor(F.col("o_orderkey") / F.lit(_BLOCK)).alias("block"), F.struct(F.col("o_orderkey") % 8 >= 4, "o_orderkey").alias("place"),
         F.col("o_orderkey").alias("key"), insert_text(priced, "orders").alias("value"))
 
 
@@ -84,7 +88,8 @@ def migrate_replaced_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _kinds(o: DataFrame, kinds: list[Column]) -> DataFrame:
-    return o.select(F.get(F.array(*kinds), (F.col("o_orderkey") % len(kinds)).cast("int")).alias("value")).repartition(3)
+    line = F.get(F.array(*kinds), (F.col("o_orderkey") % len(kinds)).cast("int")).alias("value")
+    return spread(o.select("o_orderkey", "o_orderpriority"), "o_orderkey").select(line)
 
 
 def _told(spark: SparkSession, path: str, dialect: str, chunk_bytes: int = 200_000) -> DataFrame:
@@ -196,7 +201,7 @@ def plan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ddl_convert_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns whose names, defaults and comments are words of the type map: only types are mapped."""
-    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    p = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size"), "p_partkey")
     script = F.concat(
         F.lit("CREATE TABLE number (\n number NUMBER(10, 2) DEFAULT 5,\n `double` DOUBLE COMMENT 'INT of DOUBLE, ENGINE=x',\n text VARCHAR2("),
         F.col("p_size"), F.lit(" CHAR) DEFAULT 'CLOB  ("), F.col("p_partkey"),
@@ -222,7 +227,7 @@ def publish_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def migrate_admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files in and outside of the allowed folder, of allowed and other names: what became of each, and rows loaded."""
     o, root, top = _orders(spark, sf_dir), scratch(spark, "load"), scratch(spark, "dump-admit")
-    lines = _bucketed(o)
+    lines = _bucketed(o).drop("block")  # the SQL beside it names one file a bucket
     _write_files(spark, lines, f"{top}/in")
     _write_files(spark, lines, f"{top}/out")
     write_dump(o.select(insert_text(o, "orders").alias("value")), f"{top}/in/other")

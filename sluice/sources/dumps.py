@@ -142,9 +142,12 @@ def scan(records: DataFrame, separator: str = ";\n", dialect: str | Dialect = OR
         F.count_if(F.col("n_raw") % unit_bytes(encoding) != 0).alias("n_uneven"),
         F.count_if(leaves_in(F.col("value"), dialect) != START).alias("n_open"),
         F.max("file_size").alias("file_size"),
-        F.max_by(F.struct(F.col("n_raw").cast("long").alias("n_raw"), (ended.endswith(";") | (ended == "")).alias("whole")), "ord").alias("last"),
+        # numbers and flags only: a struct or a text in the buffer would have every record sorted by split
+        F.max_by(F.col("n_raw").cast("long"), "ord").alias("last_raw"),
+        F.max_by(ended.endswith(";") | (ended == ""), "ord").alias("last_whole"),
     )
-    return DumpScan(records, materialise(totals, "splits"), separator, dialect, sep_bytes)
+    splits = totals.withColumn("last", F.struct(F.col("last_raw").alias("n_raw"), F.col("last_whole").alias("whole"))).drop("last_raw", "last_whole")
+    return DumpScan(records, materialise(splits, "splits"), separator, dialect, sep_bytes)
 
 
 def _open_files(found: DumpScan) -> DataFrame | None:
@@ -165,7 +168,7 @@ def _assemble_open_files(found: DumpScan, files: DataFrame) -> DataFrame:
     inside, per_split = statement_heads(marked.select("file_path", "block_start", "chunk_id", "ord", "leaves"), states)
     ends = materialise(per_split, "split-states")
     found.broken = ends.filter("broken").select("file_path").distinct()
-    known = stored.join(materialise(inside, "record-heads"), [*_SPLIT_KEY, "ord"]).join(broadcast_if_small(ends), _SPLIT_KEY)
+    known = stored.join(inside, [*_SPLIT_KEY, "ord"]).join(broadcast_if_small(ends), _SPLIT_KEY)
     start = F.get("heads", F.col("enters"))
     here = F.struct(F.col("block_start"), F.col("chunk_id"), F.col("ord"))
     carried = F.struct(F.col("head_block").alias("block_start"), F.col("head_chunk").alias("chunk_id"), F.col("head_ord").alias("ord"))

@@ -15,10 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions.dialects import Dialect
+from sluice.functions.scale import materialise
 from sluice.functions.text import LEADING_NOISE
 
 START, WITHIN = "", "m"
@@ -84,25 +86,69 @@ def _table(leaves: pd.Series) -> np.ndarray:
     return np.array(leaves.tolist(), np.int64).reshape(len(leaves), -1)
 
 
-def scan_split(n_states: int):
-    """Records of one split -> for every record and entry state the ``ord`` its statement begins at in the split, or -1."""
+def _walk(table: np.ndarray, order: np.ndarray, state: int, met: tuple[np.ndarray, np.ndarray] | None):
+    """States before each record and the statement heads, -1 as long as none is met, of records entered in one state.
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("ord")
-        table, order = _table(frame["leaves"]), frame["ord"].to_numpy(np.int64)
-        heads = np.empty((len(order), n_states), np.int64)
-        ends = np.empty((len(order), n_states), np.int64)
-        for entry in range(n_states):
-            state, head = entry, -1
-            for i, (row, place) in enumerate(zip(table.tolist(), order.tolist(), strict=True)):
-                if state == 0:
-                    head = place
-                state = row[state]
-                heads[i, entry], ends[i, entry] = head, state
-        return pd.DataFrame({
-            "file_path": frame["file_path"], "block_start": frame["block_start"], "ord": frame["ord"],
-            "heads": list(heads), "after": list(ends),
-        })
+    ``met`` is the same for another state: where both come to the same state they go on as one, and the rest is taken over.
+    """
+    before, heads, head, others = [], [], -1, None if met is None else met[0].tolist()
+    for i, (row, place) in enumerate(zip(table.tolist(), order.tolist(), strict=True)):
+        if others is not None and others[i] == state:
+            later = met[1][i:]
+            return np.array(before + others[i:]), np.concatenate([np.array(heads, np.int64), np.where(later >= place, later, head)])
+        before.append(state)
+        if state == 0:
+            head = place
+        heads.append(head)
+        state = row[state]
+    return np.array([*before, state]), np.array(heads, np.int64)
+
+
+def scan_splits(n_states: int):
+    """Records ordered by split and place -> for every record and entry state the ``ord`` its statement begins at in the
+    split, or -1; behind each split a row without ``ord`` with the states it leaves in and its last heads.
+
+    A batch at a time: what is kept between batches are a state and a head for each entry state.
+    """
+
+    def lists(values: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, n_states), pa.int32()), pa.array(values.ravel(), pa.int64()))
+
+    def row(split: tuple, order, heads: np.ndarray, after: np.ndarray | None) -> pa.RecordBatch:
+        path, block, chunk = split
+        n = len(heads)
+        nothing = pa.nulls(n, pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([path] * n, pa.string()), pa.array([block] * n, pa.int64()), pa.array([chunk] * n, pa.int64()),
+             pa.nulls(n, pa.int64()) if order is None else pa.array(order, pa.int64()), lists(heads), nothing if after is None else lists(after)],
+            ["file_path", "block_start", "chunk_id", "ord", "heads", "leaves"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, states, heads = None, None, None
+        for batch in batches:
+            column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            blocks, order = column["block_start"].to_numpy(), column["ord"].to_numpy()
+            paths = column["file_path"].dictionary_encode()
+            table = column["leaves"].flatten().to_numpy(zero_copy_only=False).reshape(-1, n_states)
+            path_of = paths.indices.to_numpy()
+            cuts = np.flatnonzero((blocks[1:] != blocks[:-1]) | (path_of[1:] != path_of[:-1])) + 1
+            for at, end in zip([0, *cuts], [*cuts, len(order)], strict=True):
+                if at == end:
+                    continue
+                here = (paths.dictionary[int(path_of[at])].as_py(), int(blocks[at]), column["chunk_id"][int(at)].as_py())
+                if here != split:
+                    if split is not None:
+                        yield row(split, None, heads[None], states[None])
+                    split, states, heads = here, np.arange(n_states), np.full(n_states, -1, np.int64)
+                walks, first = {}, None
+                for state in sorted(set(states.tolist())):
+                    walks[state] = _walk(table[at:end], order[at:end], state, first)
+                    first = first or walks[state]
+                found = np.stack([np.where(walks[s][1] >= 0, walks[s][1], h) for s, h in zip(states.tolist(), heads, strict=True)], axis=1)
+                yield row(split, order[at:end], found, None)
+                states, heads = np.array([walks[s][0][-1] for s in states.tolist()]), found[-1]
+        if split is not None:
+            yield row(split, None, heads[None], states[None])
 
     return run
 
@@ -132,13 +178,15 @@ def scan_file(states: list[str]):
 
 
 def statement_heads(marked: DataFrame, states: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Per record (file_path, block_start, ord, heads), per split (.., enters, head_block, head_chunk, head_ord, broken)."""
+    """Per record (file_path, block_start, ord, heads), per split (.., enters, head_block, head_chunk, head_ord, broken).
+
+    A task goes through its splits in order and holds a batch of records, however long a split is.
+    """
     keys = ["file_path", "block_start"]
-    inside = marked.select(*keys, "ord", "leaves").groupBy(*keys).applyInPandas(
-        scan_split(len(states)), "file_path string, block_start long, ord long, heads array<long>, after array<long>")
-    chunk = marked.groupBy(*keys).agg(F.first("chunk_id").alias("chunk_id"))
-    whole = inside.groupBy(*keys).agg(F.max_by(F.struct(F.col("after").alias("leaves"), "heads"), "ord").alias("x")).select(*keys, "x.leaves", "x.heads")
-    per_file = whole.join(chunk, keys).groupBy("file_path").applyInPandas(
+    ordered = marked.select(*keys, "chunk_id", "ord", "leaves").repartition(*keys).sortWithinPartitions(*keys, "ord")
+    inside = materialise(ordered.mapInArrow(
+        scan_splits(len(states)), "file_path string, block_start long, chunk_id long, ord long, heads array<long>, leaves array<long>"), "record-heads")
+    per_file = inside.filter("ord IS NULL").drop("ord").groupBy("file_path").applyInPandas(
         scan_file(states),
         "file_path string, block_start long, enters int, head_block long, head_chunk long, head_ord long, broken boolean")
-    return inside.select(*keys, "ord", "heads"), per_file
+    return inside.filter("ord IS NOT NULL").select(*keys, "ord", "heads"), per_file
