@@ -10,8 +10,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluice.functions.charset import decode_ignore, decode_strict
@@ -19,7 +20,7 @@ from sluice.functions.dialects import ORACLE, Dialect, dialect_of, standard_lite
 from sluice.functions.literals import DOUBLE_QUOTED, QUOTED, trim_end
 from sluice.functions.scale import broadcast_if_small, materialise
 from sluice.functions.text import is_insert, strip_comments, strip_leading_noise
-from sluice.sources.lexer import START, leaves_in, statement_heads, transitions
+from sluice.sources.lexer import START, leaves_in, statement_heads, transitions, whole_statement
 from sluice.sources.ranges import file_uri
 from sluice.sources.versions import VERSION
 
@@ -136,6 +137,8 @@ def scan(records: DataFrame, separator: str = ";\n", dialect: str | Dialect = OR
     dialect = dialect_of(dialect)
     sep_bytes = len(separator.encode(encoding))
     ended = F.rtrim(F.right("value", F.lit(64)), F.lit(" \t\r\n"))
+    # only what ends in one of these is looked at: cutting text by characters counts all of them
+    may_end = reduce(Column.__or__, [F.endswith("value", F.lit(ch)) for ch in "; \t\r\n"], F.col("value") == "")
     totals = records.groupBy("file_path", "block_start", "chunk_id").agg(
         F.count("*").alias("n_records"),
         F.sum(F.col("n_raw") + F.lit(sep_bytes)).cast("long").alias("n_bytes"),
@@ -144,7 +147,7 @@ def scan(records: DataFrame, separator: str = ";\n", dialect: str | Dialect = OR
         F.max("file_size").alias("file_size"),
         # numbers and flags only: a struct or a text in the buffer would have every record sorted by split
         F.max_by(F.col("n_raw").cast("long"), "ord").alias("last_raw"),
-        F.max_by(ended.endswith(";") | (ended == ""), "ord").alias("last_whole"),
+        F.max_by(may_end & (ended.endswith(";") | (ended == "")), "ord").alias("last_whole"),
     )
     splits = totals.withColumn("last", F.struct(F.col("last_raw").alias("n_raw"), F.col("last_whole").alias("whole"))).drop("last_raw", "last_whole")
     return DumpScan(records, materialise(splits, "splits"), separator, dialect, sep_bytes)
@@ -233,17 +236,22 @@ def record_offsets(found: DumpScan, splits: DataFrame) -> DataFrame:
 def to_statements(whole: DataFrame, dialect: str | Dialect = ORACLE) -> DataFrame:
     """Whole records -> statements: leading comments and directives off, literals in standard form, inner ends split,
     comments out. ``bad_bytes`` marks statements that lost bytes."""
+    # what is one statement as it stands, the usual record, is told by one walk
+    known = F.col("value").rlike(whole_statement(dialect_of(dialect))) & ~reduce(Column.__or__, [F.endswith("value", F.lit(ch)) for ch in " \t\r\n"])
+    plain = F.lit(False) if dialect_of(dialect).backslash else known
     bare = strip_leading_noise(F.col("value"))
-    body = trim_end(strip_comments(strip_leading_noise(standard_literals(bare, dialect)) if dialect_of(dialect).backslash
-                                   else standard_literals(bare, dialect)))
-    several = F.contains("body", F.lit(";"))
-    pieces = F.when(several, F.regexp_extract_all("body", F.lit(_PIECE), F.lit(0))).when(
+    careful = trim_end(strip_comments(strip_leading_noise(standard_literals(bare, dialect)) if dialect_of(dialect).backslash
+                                      else standard_literals(bare, dialect)))
+    body = F.when(F.col("plain"), F.col("value")).otherwise(careful)
+    pieces = F.when(F.col("plain"), F.array("body")).when(
+        F.contains("body", F.lit(";")), F.regexp_extract_all("body", F.lit(_PIECE), F.lit(0))).when(
         F.col("body") != "", F.array("body"))
     key = ["file_path", "block_start", "chunk_id", "ord"]
     first = F.col("sub") == 0
     inner = F.when(first, F.col("piece")).otherwise(trim_end(strip_leading_noise(F.col("piece"))))
     return (
-        whole.select(*key, body.alias("body"), "bad_bytes")
+        whole.select(*key, "value", plain.alias("plain"), "bad_bytes")
+        .select(*key, "plain", body.alias("body"), "bad_bytes")
         .select(*key, "bad_bytes", F.posexplode(pieces).alias("sub", "piece"))
         .filter(first | (inner != ""))
         .select(*key, "sub", F.concat(inner, F.lit(";")).alias("stmt"), "bad_bytes")

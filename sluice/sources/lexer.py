@@ -49,21 +49,34 @@ def _state_of(rest: Column, dialect: Dialect) -> Column:
     return state.otherwise(START)
 
 
+def whole_statement(dialect: Dialect) -> str:
+    """An INSERT from its first letter on whose literals are all closed, and that holds nothing else a lexer must know of:
+    outside its literals there is no ``;``, no comment, no name in quotes, no quote of another form."""
+    q, inner, signs = (r"(?<![qQ])" if dialect.q_quotes else ""), *((r"[^'\\]", r"\\#") if dialect.backslash else ("[^']", ""))
+    other = rf"""[^-/";'{signs}]*"""
+    return rf"""\A(?i:INSERT){other}(?:(?:{q}'{inner}*'|-(?!-)|/(?!\*)){other})*+\z"""
+
+
+def _plain(dialect: Dialect) -> str:
+    """INSERTs whose state is told by the number of their quotes: no sign of a comment, of a name in quotes, of a quote of
+    another form, in a literal or not. A ``;`` may be followed by a directive with a quote of its own."""
+    q, signs = ("qQ", r"|[qQ](?!')") if dialect.q_quotes else ("", "")
+    escapes = r"\\#" if dialect.backslash else ""
+    return rf"""\A(?i:INSERT)(?:[^-/";{q}{escapes}]+|-(?!-)|/(?!\*)|;(?![\r \t]){signs})*+\z"""
+
+
 def leaves_in(text: Column, dialect: Dialect, state: str = START) -> Column:
-    """The state after ``text``, entered in ``state``. Plain INSERTs are told by the number of their quotes."""
+    """The state after ``text``, entered in ``state``. Whole INSERTs are known by one pattern, and the plain ones among the
+    others by the number of their quotes."""
     slow = _state_of(_left_over(text, dialect, state), dialect)
     if state != START:
         if state == WITHIN:
             return slow
         return F.when(text.rlike(rf"\A{dialect.closing(state)}"), slow).otherwise(F.lit(state))
-    signs = ["--", "/*", '"', *(["\\", "#"] if dialect.backslash else []), *(["q'", "Q'"] if dialect.q_quotes else [])]
-    odd = ~(F.upper(F.left(text, F.lit(6))) == "INSERT")
-    for sign in signs:
-        odd = odd | F.contains(text, F.lit(sign))
-    # ``;`` in a plain INSERT may be followed by a directive with a quote of its own
-    odd = odd | F.contains(text, F.lit(";\r")) | F.contains(text, F.lit("; ")) | F.contains(text, F.lit(";\t"))
-    quotes = F.length(text) - F.length(F.replace(text, F.lit("'"), F.lit("")))
-    return F.when(odd, slow).otherwise(F.when(quotes % 2 == 0, START).otherwise("'"))
+    odd = ~text.rlike(_plain(dialect))
+    quotes = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("'"), F.lit("")))
+    whole = text.rlike(whole_statement(dialect))
+    return F.when(whole, START).when(odd, slow).otherwise(F.when(quotes % 2 == 0, START).otherwise("'"))
 
 
 def transitions(records: DataFrame, dialect: Dialect) -> tuple[DataFrame, list[str]]:

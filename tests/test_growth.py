@@ -74,3 +74,27 @@ def test_files_of_blocks(spark, monkeypatch):
     assert {f.replace("%3D", "=").replace("%2C", ",") for f in files} == {
         f"bucket={k}{f',block={b}' if b else ''}.sql" for k in range(4) for b in blocks}
     assert spark.read.option("lineSep", ";\n").text(folder).count() == o.count()
+
+
+TEXTS = [
+    "INSERT INTO t VALUES (1, 'a')", "INSERT INTO t VALUES (1, 'a -- b /* \" ; q''x')", "INSERT INTO t VALUES (1, 'it''s", "insert into t values (-1, '')",
+    "INSERT INTO t VALUES (q'[it's]')", "INSERT INTO t VALUES (nq'!a", "INSERT INTO t VALUES (1) -- it's", "INSERT INTO t VALUES (1) /* it's", "INSERT INTO t VALUES (5-4/2, 'x')",
+    "INSERT INTO \"it's\" VALUES (1)", "INSERT INTO t VALUES ('a\\'b')", "INSERT INTO t VALUES (1); PROMPT it's", "PROMPT it's", "", "INSERT INTO t VALUES ('a;\nb')", "INSERT INTO t VALUES (1) ",
+    "INSERT INTO t VALUES ('q', 'Q''', 'xq')", "INSERT INTO t VALUES (1) # it's",
+]
+
+
+@pytest.mark.parametrize("name", ["oracle", "mysql", "ansi"])
+def test_whole_statements_are_told_in_one_walk(spark, name, monkeypatch):
+    """What one pattern tells is what the lexer and the careful way to statements say, signs inside literals included."""
+    dialect = dumps.dialect_of(name)
+    texts = spark.createDataFrame(list(enumerate(TEXTS)), "ord long, value string")
+    state, slow = lexer.leaves_in(F.col("value"), dialect), lexer._state_of(lexer._left_over(F.col("value"), dialect, ""), dialect)
+    whole = F.col("value").rlike(lexer.whole_statement(dialect))
+    rows = texts.select("ord", whole.alias("whole"), state.alias("state"), slow.alias("slow")).collect()
+    assert {TEXTS[r.ord] for r in rows if r.whole} >= {TEXTS[0], TEXTS[1], TEXTS[3], TEXTS[8], TEXTS[14]}
+    assert all(r.state == r.slow == "" for r in rows if r.whole)
+    records = texts.select(F.lit("f").alias("file_path"), F.lit(0).alias("block_start"), F.lit(0).alias("chunk_id"), "ord", "value", F.lit(False).alias("bad_bytes"))
+    quick = dumps.to_statements(records, dialect).collect()
+    monkeypatch.setattr(dumps, "whole_statement", lambda d: r"\A(?!)")
+    assert sorted(quick) == sorted(dumps.to_statements(records, dialect).collect())
