@@ -10,8 +10,7 @@ from sluice.functions.ddl import dialect_type
 from sluice.functions.literals import date_text, is_date_call, is_null_literal, is_quoted, to_text_value
 from sluice.operators.values import column_names, explode_values, with_table_names
 
-_INT = r"^[+-]?(?:0|[1-9][0-9]*)$"
-_DEC = r"^[+-]?(?:0|[1-9][0-9]*)\.[0-9]+$"
+_NUMBER = r"^[+-]?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?$"
 _FLOAT = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
 _DATE = r"^\d{4}-\d{2}-\d{2}$"
 _STAMP = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(?:\.\d+)?$"
@@ -19,6 +18,10 @@ _STAMP = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(?:\.\d+)?$"
 INT_MAX, BIGINT_MAX = 2**31 - 1, 2**63 - 1
 MAX_DECIMAL = 38
 MAX_VARCHAR = 65533
+#: kinds of values; numbers, since every value is compared with most of them
+NULL, INT, DEC, FLOAT, DATE, STAMP, TEXT = range(7)
+#: digits that a long surely holds
+_LONG_DIGITS = 18
 
 
 def named_values(stmts: DataFrame) -> DataFrame:
@@ -28,36 +31,37 @@ def named_values(stmts: DataFrame) -> DataFrame:
 
 
 def _described(values: DataFrame) -> DataFrame:
-    """Each value with its kind (null, int, dec, float, date, stamp, text), text, digits and magnitude.
+    """Each value with its kind, text, digits and magnitude (a long, or a decimal where that is too short).
 
     Kinds are tried in the order of their cost; most values are settled by one test.
     """
     raw = F.col("raw")
     stamp = date_text(raw)
-    dated = (is_quoted(raw) & F.length(raw).between(12, 32) & (F.substring(raw, 6, 1) == "-")) | (
-        ~is_quoted(raw) & is_date_call(raw))
     is_date = stamp.rlike(_DATE) & stamp.try_cast("date").isNotNull()
     is_stamp = stamp.rlike(_STAMP) & stamp.try_cast("timestamp_ntz").isNotNull()
+    dated = F.when(is_date, DATE).when(is_stamp, STAMP).otherwise(TEXT)
     kind = (
-        F.when(is_null_literal(raw), "null")
-        .when(dated, F.when(is_date, "date").when(is_stamp, "stamp").otherwise("text"))
-        .when(is_quoted(raw), "text")
-        .when(raw.rlike(_INT), "int")
-        .when(raw.rlike(_DEC), "dec")
+        F.when(is_quoted(raw), F.when((F.substring(raw, 6, 1) == "-") & F.length(raw).between(12, 32), dated).otherwise(TEXT))
+        .when(raw.rlike(_NUMBER), F.when(F.contains(raw, F.lit(".")), DEC).otherwise(INT))
+        .when(is_null_literal(raw), NULL)
+        .when(is_date_call(raw), dated)
         # a leading zero carries meaning (codes), so such numbers count as text
-        .when(raw.rlike(_FLOAT) & ~raw.rlike(r"^[+-]?0[0-9]"), "float")
-        .otherwise("text")
+        .when(raw.rlike(_FLOAT) & ~raw.rlike(r"^[+-]?0[0-9]"), FLOAT)
+        .otherwise(TEXT)
     )
     known = values.select(*values.columns, kind.alias("kind"))
     sign = (raw.startswith("-") | raw.startswith("+")).cast("int")
     dot = F.instr(raw, ".")
-    text = F.when(F.col("kind").isin("int", "dec", "float"), raw).when(F.col("kind") != "null", to_text_value(raw))
-    number = F.when((F.col("kind") == "int") & (F.length(raw) <= 20), raw.try_cast("decimal(20,0)"))
+    # what was found to be a date has its text where the test looked for it
+    text = F.when(F.col("kind").between(INT, FLOAT), raw).when(F.col("kind").isin(DATE, STAMP), stamp).when(
+        F.col("kind") != NULL, to_text_value(raw))
+    long = F.length(raw) <= _LONG_DIGITS
     return known.select(
         *values.columns, "kind", text.alias("text"),
-        F.when(F.col("kind") == "int", F.length(raw) - sign).when(F.col("kind") == "dec", dot - 1 - sign).alias("int_digits"),
-        F.when(F.col("kind") == "dec", F.length(raw) - dot).alias("scale"),
-        F.abs(number).alias("magnitude"),
+        F.when(F.col("kind") == INT, F.length(raw) - sign).when(F.col("kind") == DEC, dot - 1 - sign).alias("int_digits"),
+        F.when(F.col("kind") == DEC, F.length(raw) - dot).alias("scale"),
+        F.when((F.col("kind") == INT) & long, F.abs(raw.try_cast("long"))).alias("small"),
+        F.when((F.col("kind") == INT) & ~long & (F.length(raw) <= 20), F.abs(raw.try_cast("decimal(20,0)"))).alias("large"),
     )
 
 
@@ -78,16 +82,17 @@ def profile_values(values: DataFrame, text_stats: bool = True, usual_arity: bool
     ``text_stats`` adds least and greatest text and a distinct estimate, whose states are wider. ``usual_arity`` leaves
     out positions beyond the most frequent length of a table's tuples.
     """
-    kinds = {"n_null": ["null"], "n_int": ["int"], "n_dec": ["int", "dec"], "n_float": ["int", "dec", "float"],
-             "n_date": ["date"], "n_stamp": ["date", "stamp"]}
+    kinds = {"n_null": (NULL, NULL), "n_int": (INT, INT), "n_dec": (INT, DEC), "n_float": (INT, FLOAT),
+             "n_date": (DATE, DATE), "n_stamp": (DATE, STAMP)}
     texts = [F.min("text").alias("min_text"), F.max("text").alias("max_text"), F.hll_sketch_agg("text").alias("distinct")]
     per_list = _described(values).groupBy("table_name", "listed", "pos").agg(
         F.count("*").alias("n"),
-        *[F.count_if(F.col("kind").isin(*k)).alias(n) for n, k in kinds.items()],
+        *[F.count_if(F.col("kind").between(*k)).alias(n) for n, k in kinds.items()],
         F.max(F.length("text")).alias("max_len"),
-        *[F.max(c).alias(c) for c in ("int_digits", "scale", "magnitude")],
+        *[F.max(c).alias(c) for c in ("int_digits", "scale", "small", "large")],
         *(texts if text_stats else []),
     )
+    per_list = per_list.withColumn("magnitude", F.greatest(F.col("small").cast("decimal(20,0)"), "large")).drop("small", "large")
     per_list = _of_majority(per_list) if usual_arity else per_list
     texts = [F.min("min_text").alias("min_text"), F.max("max_text").alias("max_text"),
              F.hll_sketch_estimate(F.hll_union_agg("distinct")).alias("approx_distinct")]

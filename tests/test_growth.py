@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from sluice.operators import profile
 from sluice.plans import load_queries, queries
 from sluice.session import scratch
 from sluice.sources import dumps, encoding, lexer
@@ -98,3 +99,19 @@ def test_whole_statements_are_told_in_one_walk(spark, name, monkeypatch):
     quick = dumps.to_statements(records, dialect).collect()
     monkeypatch.setattr(dumps, "whole_statement", lambda d: r"\A(?!)")
     assert sorted(quick) == sorted(dumps.to_statements(records, dialect).collect())
+
+
+def test_kinds_and_magnitudes_are_numbers(spark):
+    """No text and, up to 18 digits, no decimal is compared for each value; longer integers keep their magnitude."""
+    expected = {
+        "NULL": (profile.NULL, None, None), "'a'": (profile.TEXT, None, None), "-5": (profile.INT, 5, None), "1.50": (profile.DEC, None, None),
+        "999999999999999999": (profile.INT, 999999999999999999, None), "-9223372036854775809": (profile.INT, None, 9223372036854775809),
+        "1e5": (profile.FLOAT, None, None), "007": (profile.TEXT, None, None), "'2024-01-31'": (profile.DATE, None, None),
+        "TO_DATE('2024-01-31 10:00:00', 'YYYY-MM-DD HH24:MI:SS')": (profile.STAMP, None, None), "'2024-02-31'": (profile.TEXT, None, None), "SYSDATE": (profile.TEXT, None, None)}
+    described = profile._described(spark.createDataFrame([(v,) for v in expected], "raw string"))
+    types = dict(described.dtypes)
+    assert (types["kind"], types["small"], types["large"]) == ("int", "bigint", "decimal(20,0)")
+    rows = described.collect()
+    assert {r.raw: (r.kind, r.small, None if r.large is None else int(r.large)) for r in rows} == expected
+    texts = {r.raw: r.text for r in rows}
+    assert texts["'2024-01-31'"] == "2024-01-31" and texts["TO_DATE('2024-01-31 10:00:00', 'YYYY-MM-DD HH24:MI:SS')"] == "2024-01-31 10:00:00"
