@@ -18,8 +18,9 @@ No text is compared with another that does not share an anchor, and no bucket, c
 from __future__ import annotations
 
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +32,13 @@ from pyspark.sql import types as T
 
 from sluice.llm.batches import give_back, small_batches
 
-#: symbols worked on at once, and bytes of fragments held before they are packed
+#: symbols that are told apart from each other, and those of them hashed at once: a few hundred KB a column
 BATCH_SYMBOLS = 1 << 21
+SLICE_SYMBOLS = 1 << 16
+#: bytes of fragments held before they are packed
 HELD_BYTES = 24 << 20
+#: fragments whose bytes are looked up at once
+SLICE_ROWS = 1 << 11
 #: bytes of text in a chunk, and behind the anchors of a bucket of the first pass
 CHUNK_BYTES = 4 << 20
 ANCHOR_BYTES = 64 << 20
@@ -74,7 +79,8 @@ def _finish(h: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(29))
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
+@lru_cache(maxsize=4)
+def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
@@ -102,52 +108,67 @@ class Batch:
     """Symbols of some documents, one after the other."""
 
     data: np.ndarray  # bytes
-    offsets: np.ndarray  # of symbols in data, one more than symbols
-    hashes: np.ndarray
-    doc: np.ndarray  # of symbols, index into the batch's documents
     ends: np.ndarray  # of documents, in symbols
+    offsets: np.ndarray | None = None  # of words in data, one more than words; bytes stand where they are
+    hashes: np.ndarray | None = None  # of words
+
+    def hashes_of(self, begin: int, end: int) -> np.ndarray:
+        return _byte_hashes[self.data[begin:end]] if self.hashes is None else self.hashes[begin:end]
+
+    def places(self, symbols: np.ndarray) -> np.ndarray:
+        """Where symbols begin in data."""
+        return symbols if self.offsets is None else self.offsets[symbols]
 
 
 def read_batch(texts: list[bytes], kind: Kind) -> Batch:
-    if kind.words:
-        parts = [t.split() for t in texts]
-        sizes = np.array([len(p) for p in parts], np.int64)
-        words = [w for p in parts for w in p]
-        data = np.frombuffer(b" ".join(words) + b" ", np.uint8)
-        offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
-        hashes = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    else:
-        sizes = np.array([len(t) for t in texts], np.int64)
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        offsets = np.arange(len(data) + 1)
-        hashes = _byte_hashes[data]
-    return Batch(data, offsets, hashes, np.repeat(np.arange(len(texts)), sizes), np.cumsum(sizes))
+    if not kind.words:
+        return Batch(np.frombuffer(b"".join(texts), np.uint8), np.cumsum(np.array([len(t) for t in texts], np.int64)))
+    parts = [t.split() for t in texts]
+    words = [w for p in parts for w in p]
+    data = np.frombuffer(b" ".join(words) + b" ", np.uint8)
+    offsets = np.zeros(len(words) + 1, np.int64)
+    np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=offsets[1:])
+    hashes = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    return Batch(data, np.cumsum(np.array([len(p) for p in parts], np.int64)), offsets, hashes)
 
 
 def cut(batch: Batch, kind: Kind) -> tuple[np.ndarray, ...]:
     """Fragments of a batch: document, begin and end (in symbols of the batch), place and hash of the anchor, hash of all."""
-    n = len(batch.hashes)
-    none = tuple(np.zeros(0, np.int64) for _ in range(4)) + tuple(np.zeros(0, np.uint64) for _ in range(2))
-    if n < kind.window:
-        return none
-    anchors = _runs(batch.hashes, kind.anchor, lambda a, b, k: a + b * np.uint64(pow(int(_BASE), k, 1 << 64)))
+    windows = (int(batch.ends[-1]) if len(batch.ends) else 0) - kind.window + 1
+    parts, at = [tuple(np.zeros(0, np.int64) for _ in range(4)) + tuple(np.zeros(0, np.uint64) for _ in range(2))], 0
+    while at < windows:
+        part, at = _cut_slice(batch, kind, at, min(windows, at + SLICE_SYMBOLS), windows)
+        parts.append(part)
+    return tuple(np.concatenate(column) for column in zip(*parts, strict=True))
+
+
+def _cut_slice(batch: Batch, kind: Kind, low: int, high: int, windows: int) -> tuple[tuple[np.ndarray, ...], int]:
+    """Fragments that begin and end in the windows [low, high), and the first window that they leave over."""
+    hashes = batch.hashes_of(low, high + kind.window - 1)
+    anchors = _runs(hashes, kind.anchor, lambda a, b, k: a + b * np.uint64(pow(int(_BASE), k, 1 << 64)))
     order = ((_finish(anchors) >> _POSITION_BITS) << _POSITION_BITS) | np.arange(len(anchors), dtype=np.uint64)
     least = _runs(order, kind.window - kind.anchor + 1, lambda a, b, _: np.minimum(a, b))
     at = (least & ((np.uint64(1) << _POSITION_BITS) - np.uint64(1))).astype(np.int64)
-    begin = np.arange(n - kind.window + 1)
-    whole = begin + kind.window <= batch.ends[batch.doc[: len(begin)]]
-    fresh = np.empty(len(begin), bool)
+    # a window is whole unless a document ends inside it
+    n = high - low
+    ends = batch.ends[np.searchsorted(batch.ends, low, "right") : np.searchsorted(batch.ends, high + kind.window - 1)] - low
+    crossed = np.bincount(np.clip(ends - kind.window + 1, 0, n), minlength=n + 1) - np.bincount(np.minimum(ends, n), minlength=n + 1)
+    whole = np.cumsum(crossed[:n]) == 0
+    fresh = np.empty(n, bool)
     fresh[0] = True
     fresh[1:] = (at[1:] != at[:-1]) | ~whole[:-1]
     first = np.flatnonzero(fresh & whole)
-    if len(first) == 0:
-        return none
     stop = np.flatnonzero(np.concatenate([fresh[1:] | ~whole[1:], [True]]) & whole)
+    left = high
+    if high < windows and len(first) and stop[-1] == n - 1:  # may go on; a fragment has few windows, so this is not the first
+        left, first, stop = low + int(first[-1]), first[:-1], stop[:-1]
     end = stop + kind.window
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(batch.hashes * _powers(_BASE, n), out=sums[1:])
-    content = _finish((sums[end] - sums[first]) * _powers(_INVERSE, n)[first] + (end - first).astype(np.uint64))
-    return batch.doc[first], first, end, at[first], anchors[at[first]], content
+    size = SLICE_SYMBOLS + kind.window
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * _powers(int(_BASE), size)[: len(hashes)], out=sums[1:])
+    content = _finish((sums[end] - sums[first]) * _powers(int(_INVERSE), size)[first] + (end - first).astype(np.uint64))
+    doc = np.searchsorted(batch.ends, first + low, "right")
+    return (doc, first + low, end + low, at[first] + low, anchors[at[first]], content), left
 
 
 def stretches(text: bytes, kind: Kind) -> Iterator[tuple[int, bytes]]:
@@ -177,7 +198,7 @@ def shared(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Rows whose key another document has too."""
     if len(keys) == 0:
         return np.zeros(0, bool)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     k, d = keys[order], doc[order]
     first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
     several = np.minimum.reduceat(d, first) < np.maximum.reduceat(d, first)
@@ -186,16 +207,32 @@ def shared(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
+def grouped(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each distinct value, by value, and the number of each row's value."""
+    order = np.argsort(values)
+    v = values[order]
+    new = np.ones(len(v), bool)
+    new[1:] = v[1:] != v[:-1]
+    group = np.empty(len(v), np.int32)
+    group[order] = np.cumsum(new) - 1
+    return (np.minimum.reduceat(order, np.flatnonzero(new)) if len(v) else order), group
+
+
 def same_bytes(data: np.ndarray, at: np.ndarray, size: np.ndarray, other: np.ndarray, other_size: np.ndarray, asked: np.ndarray) -> np.ndarray:
     """Of the rows asked for, those whose bytes are those of the other place; equal hashes prove nothing."""
     out = np.zeros(len(at), bool)
     rows = np.flatnonzero(asked & (size == other_size) & (size > 0))
-    if len(rows):
-        equal = data[ranges(at[rows], size[rows])] == data[ranges(other[rows], size[rows])]
-        out[rows] = np.logical_and.reduceat(equal, np.cumsum(size[rows]) - size[rows])
+    for part in (rows[k : k + SLICE_ROWS] for k in range(0, len(rows), SLICE_ROWS)):
+        equal = data[ranges(at[part], size[part])] == data[ranges(other[part], size[part])]
+        out[part] = np.logical_and.reduceat(equal, np.cumsum(size[part]) - size[part])
     return out
 
 
+def taken(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of all [at, at + size), one after the other."""
+    return np.concatenate([data[:0], *(data[ranges(at[k : k + SLICE_ROWS], size[k : k + SLICE_ROWS])] for k in range(0, len(at), SLICE_ROWS))])
+
+
 def row_hash(columns: list[np.ndarray]) -> np.ndarray:
     out = np.zeros(len(columns[0]), np.uint64)
     for c in columns:
@@ -268,19 +305,19 @@ def _short(anchor: np.ndarray) -> np.ndarray:
     return (_finish(anchor) >> np.uint64(32)).astype(np.uint32)
 
 
-def _anchors_of(table: pa.Table, kind: Kind, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket << 32 | short hash) of a chunk's anchors, distinct and sorted, and which of them several documents have."""
-    keys, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for _, places, _, doc, _, _, _, _, anchor, _ in _cut_chunk(table, kind):
-        key = (_bucket_of(anchor, buckets).astype(np.uint64) << np.uint64(32)) | _short(anchor)
-        keys.append(key)
-        docs.append(places[doc])
+def _anchors_of(cuts: Iterable[tuple[np.ndarray, ...]], buckets: int) -> tuple[np.ndarray, ...]:
+    """(bucket << 32 | short hash) of a chunk's anchors, distinct and sorted, which of them several documents have, and
+    the number of each fragment's."""
+    keys, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+    for _, places, _, doc, _, _, _, _, anchor, _ in cuts:
+        keys.append((_bucket_of(anchor, buckets).astype(np.uint64) << np.uint64(32)) | _short(anchor))
+        docs.append(places[doc].astype(np.int32))
     key, doc = np.concatenate(keys), np.concatenate(docs)
-    several = shared(key, doc)
-    names, group = np.unique(key, return_inverse=True)
-    out = np.zeros(len(names), bool)
-    out[group[several]] = True
-    return names, out
+    head, group = grouped(key)
+    least, most = np.full(len(head), np.iinfo(np.int32).max, np.int32), np.full(len(head), -1, np.int32)
+    np.minimum.at(least, group, doc)
+    np.maximum.at(most, group, doc)
+    return key[head], least < most, group
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -296,7 +333,7 @@ def _from_planes(block: bytes) -> np.ndarray:
 
 def _tell_anchors(kind: Kind, buckets: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        names, _ = _anchors_of(_ordered(table), kind, buckets)
+        names, _, _ = _anchors_of(_cut_chunk(_ordered(table), kind), buckets)
         bucket = (names >> np.uint64(32)).astype(np.int64)
         runs, low = segments(bucket), names & np.uint64(0xFFFFFFFF)
         return pa.table({
@@ -333,7 +370,10 @@ def _send(kind: Kind, buckets: int, bins: int):
         press = zstandard.ZstdCompressor(level=3)
         chunk = key[0].as_py()
         table = _ordered(table)
-        names, alive = _anchors_of(table, kind, buckets)
+        # a usual chunk is cut once; the pieces of one with very long texts are cut again rather than held
+        once = table.column(TEXT).nbytes <= 2 * CHUNK_BYTES
+        cuts = list(_cut_chunk(table, kind)) if once else None
+        names, alive, group = _anchors_of(cuts or _cut_chunk(table, kind), buckets)
         first = np.searchsorted(names, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
         for bucket, bits in zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist(), strict=True):
             a, b = first[bucket], first[bucket + 1]
@@ -354,26 +394,27 @@ def _send(kind: Kind, buckets: int, bins: int):
             starts = (np.cumsum(sizes) - sizes)[order]
             ids, place, begin, symbols, anchor, sizes, bucket = (x[order] for x in (ids, place, begin, symbols, anchor, sizes, bucket))
             for a, b in segments(bucket):
-                emit(int(bucket[a]), _pack(ids[a:b], place[a:b], begin[a:b], symbols[a:b], anchor[a:b], sizes[a:b], data[ranges(starts[a:b], sizes[a:b])].tobytes()))
+                emit(int(bucket[a]), _pack(ids[a:b], place[a:b], begin[a:b], symbols[a:b], anchor[a:b], sizes[a:b], taken(data, starts[a:b], sizes[a:b]).tobytes()))
             held.clear()
 
-        for ids, places, batch, doc, begin, end, shift, at, anchor, content in _cut_chunk(table, kind):
-            key_of = (_bucket_of(anchor, buckets).astype(np.uint64) << np.uint64(32)) | _short(anchor)
-            left = alive[np.searchsorted(names, key_of)]
+        seen = 0
+        for ids, places, batch, doc, begin, end, shift, at, anchor, content in cuts or _cut_chunk(table, kind):
+            left = alive[group[seen : seen + len(doc)]]
+            seen += len(doc)
             doc, begin, end, shift, at, anchor, content = (x[left] for x in (doc, begin, end, shift, at, anchor, content))
             if len(doc) == 0:
                 continue
             # documents come by id, so the first of equal fragments has the smallest
-            _, head, group = np.unique(content, return_index=True, return_inverse=True)
-            settled = (ids[doc] > ids[doc[head]][group]) & (end - begin == (end - begin)[head][group])
-            low, high = batch.offsets[begin], batch.offsets[end]
-            settled &= same_bytes(batch.data, low, high - low, low[head][group], (high - low)[head][group], settled)
+            head, equal = grouped(content)
+            settled = (ids[doc] > ids[doc[head]][equal]) & (end - begin == (end - begin)[head][equal])
+            low, high = batch.places(begin), batch.places(end)
+            settled &= same_bytes(batch.data, low, high - low, low[head][equal], (high - low)[head][equal], settled)
             if settled.any():
                 d, b, e = united(places[doc[settled]], (begin - shift)[settled], (end - shift)[settled])
                 emit(-1, _pack_spans(d, b, e))
             doc, begin, end, shift, at, anchor = (x[~settled] for x in (doc, begin, end, shift, at, anchor))
-            low, high = batch.offsets[begin], batch.offsets[end]
-            held.append((ids[doc], places[doc], begin - shift, end - begin, at - begin, high - low, _bucket_of(anchor ^ np.uint64(0xB5297A4D), bins), batch.data[ranges(low, high - low)]))
+            low, high = batch.places(begin), batch.places(end)
+            held.append((ids[doc], places[doc], begin - shift, end - begin, at - begin, high - low, _bucket_of(anchor ^ np.uint64(0xB5297A4D), bins), taken(batch.data, low, high - low)))
             if sum(len(h[7]) for h in held) > HELD_BYTES:
                 flush()
         flush()

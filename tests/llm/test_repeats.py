@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sluice.llm import fragments, queries, relative_lz, suffix_levels
@@ -190,3 +192,40 @@ def test_blocks_and_levels_decide(monkeypatch):
     monkeypatch.setattr(relative_lz, "BLOCK_STRETCHES", 16)
     assert not calls
     assert set(zip(*(x.tolist() for x in relative_lz.match(frags)))) == whole and calls
+
+
+def test_a_batch_is_cut_in_slices(monkeypatch):
+    """What is held beside two megabytes of text is a small multiple of them, and slices cut no fragment in two."""
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(97, 123, int(n), np.uint8)) for n in rng.integers(0, 20_000, 200)]
+    batch = fragments.read_batch(texts, fragments.BYTES)
+    tracemalloc.start()
+    whole = fragments.cut(batch, fragments.BYTES)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * sum(map(len, texts))
+    mixed = [b"", b"ab" * 300, b"", b"x" * 49, b"y" * 50, *texts[:3], b""]
+    few = fragments.read_batch(mixed, fragments.BYTES)
+    expected = fragments.cut(few, fragments.BYTES)
+    for size in (64, 100, 1000):
+        monkeypatch.setattr(fragments, "SLICE_SYMBOLS", size)
+        assert all(np.array_equal(a, b) for a, b in zip(fragments.cut(few, fragments.BYTES), expected, strict=True))
+    edges = np.cumsum([0, *map(len, mixed)])
+    windows = [w for b, e in zip(expected[1], expected[2], strict=True) for w in range(b, e - 49)]
+    assert windows == [w for a, b in zip(edges, edges[1:]) for w in range(a, b - 49)] and len(whole[0]) > 1000
+
+
+def test_a_chunk_is_cut_once_for_its_answers(monkeypatch):
+    texts = [("word%d " % (k % 3)).encode() * 40 + b"same words in every text " * 8 for k in range(6)]
+    table = pa.table({fragments.ID: pa.array(range(6), pa.int64()), fragments.TAG: pa.array([0] * 6, pa.int64()), fragments.TEXT: pa.array(texts, pa.binary())})
+    answers = pa.table({"bucket": pa.array([], pa.int64()), "bits": pa.array([], pa.binary())})
+    calls, real = [], fragments.cut
+    monkeypatch.setattr(fragments, "cut", lambda *a: calls.append(1) or real(*a))
+    for kind in (fragments.BYTES, fragments.WORDS):
+        calls.clear()
+        sent = fragments._send(kind, 4, 4)((pa.scalar(0),), table, answers)
+        assert sent.num_rows and len(calls) == 1
+        # texts too long to be held are cut again, with the same outcome
+        monkeypatch.setattr(fragments, "CHUNK_BYTES", 1)
+        assert fragments._send(kind, 4, 4)((pa.scalar(0),), table, answers).equals(sent) and len(calls) == 3
+        monkeypatch.setattr(fragments, "CHUNK_BYTES", 4 << 20)
