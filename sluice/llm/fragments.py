@@ -62,15 +62,7 @@ BYTES = Kind(50, 16, False)
 WORDS = Kind(13, 4, True)
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 19:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word, 9)
-        return value
-
-
-_hashes = _WordHash()
+_blank = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _byte_hashes = np.array([xxhash.xxh64_intdigest(bytes([b]), 9) for b in range(256)], np.uint64)
 
 
@@ -120,16 +112,35 @@ class Batch:
         return symbols if self.offsets is None else self.offsets[symbols]
 
 
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A hash of each word's bytes, of slices of words at once. It routes words; what is equal is told by bytes."""
+    out, at = np.zeros(len(offsets) - 1, np.uint64), 0
+    while at < len(out):
+        stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_SYMBOLS, "right")) - 1)
+        own, places = data[offsets[at] : offsets[stop]], offsets[at : stop + 1] - offsets[at]
+        if len(own) > SLICE_SYMBOLS:  # a single word
+            out[at] = xxhash.xxh64_intdigest(own.tobytes(), 9)
+        else:
+            sums = np.zeros(len(own) + 1, np.uint64)
+            np.cumsum(_byte_hashes[own] * _powers(int(_BASE), SLICE_SYMBOLS)[: len(own)], out=sums[1:])
+            out[at:stop] = (sums[places[1:]] - sums[places[:-1]]) * _powers(int(_INVERSE), SLICE_SYMBOLS)[places[:-1]]
+        at = stop
+    return _finish(out)
+
+
 def read_batch(texts: list[bytes], kind: Kind) -> Batch:
+    ends = np.cumsum(np.array([len(t) for t in texts], np.int64))
     if not kind.words:
-        return Batch(np.frombuffer(b"".join(texts), np.uint8), np.cumsum(np.array([len(t) for t in texts], np.int64)))
-    parts = [t.split() for t in texts]
-    words = [w for p in parts for w in p]
-    data = np.frombuffer(b" ".join(words) + b" ", np.uint8)
-    offsets = np.zeros(len(words) + 1, np.int64)
-    np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=offsets[1:])
-    hashes = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    return Batch(data, np.cumsum(np.array([len(p) for p in parts], np.int64)), offsets, hashes)
+        return Batch(np.frombuffer(b"".join(texts), np.uint8), ends)
+    raw = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    blank = _blank[raw]
+    last = blank.copy()  # the first white space behind each word
+    last[:1] = False
+    last[1:] &= ~blank[:-1]
+    data = np.where(blank, np.uint8(32), raw)[~blank | last]
+    offsets = np.concatenate([[0], np.flatnonzero(data == 32) + 1])
+    ends = np.searchsorted(np.flatnonzero(last), ends + np.arange(len(texts)), "right")
+    return Batch(data, ends, offsets, word_hashes(data, offsets))
 
 
 def cut(batch: Batch, kind: Kind) -> tuple[np.ndarray, ...]:

@@ -229,3 +229,25 @@ def test_a_chunk_is_cut_once_for_its_answers(monkeypatch):
         monkeypatch.setattr(fragments, "CHUNK_BYTES", 1)
         assert fragments._send(kind, 4, 4)((pa.scalar(0),), table, answers).equals(sent) and len(calls) == 3
         monkeypatch.setattr(fragments, "CHUNK_BYTES", 4 << 20)
+
+
+def test_words_are_read_as_split_reads_them(monkeypatch):
+    """Columns of words and their hashes come from the bytes of all texts at once, not word by word."""
+    rng = np.random.default_rng(4)
+    texts = [b"", b" ", b"a", b"\t\x0b a  b\r\nc\x0c", b"", "ü\xa0x  y".encode(), b"long" * 40_000 + b" x " + b"long" * 40_000, bytes(rng.integers(0, 256, 5000, np.uint8))]
+    words = [t.split() for t in texts]
+    flat = [w for p in words for w in p]
+    calls, real = [], fragments.xxhash.xxh64_intdigest
+    monkeypatch.setattr(fragments.xxhash, "xxh64_intdigest", lambda *a: calls.append(1) or real(*a))
+    for size in (16, 1 << 16):
+        monkeypatch.setattr(fragments, "SLICE_SYMBOLS", size)
+        calls.clear()
+        batch = fragments.read_batch(texts, fragments.WORDS)
+        assert batch.data.tobytes() == b"".join(w + b" " for w in flat)
+        assert batch.ends.tolist() == np.cumsum([len(p) for p in words]).tolist()
+        assert np.diff(batch.offsets).tolist() == [len(w) + 1 for w in flat]
+        named = {}
+        assert all(named.setdefault(w, h) == h for w, h in zip(flat, batch.hashes.tolist(), strict=True))
+        assert len(set(named.values())) == len(named)
+    assert len(calls) == 2  # the words longer than a slice
+    assert len(fragments.read_batch([], fragments.WORDS).hashes) == 0
