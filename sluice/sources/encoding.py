@@ -15,6 +15,7 @@ from sluice.sources.ranges import file_uri, heads, list_files
 
 # Fixed value: bytes looked at for detection.
 DETECT_BYTES = 102_400
+_TRIED = list(dict.fromkeys(["utf-8", *FALLBACK_CHARSETS]))
 
 
 def _common_share(text: str, charset: str) -> float:
@@ -50,13 +51,8 @@ def guess_legacy_charset(data: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["charset", "confidence"])
 
 
-def detect_charset(files: DataFrame, data: str = "head") -> DataFrame:
-    """Add ``original_encoding``, ``encoding`` and ``confidence`` for a column of leading bytes.
-
-    Byte order marks and UTF-8 validity are decided in the JVM; only other files reach Python.
-    """
-    hold_batches(files.sparkSession)
-    head = F.col(data)
+def _known_charset(head: Column) -> Column:
+    """What byte order marks and UTF-8 validity tell; null where they do not."""
     mark = F.hex(F.substring(head, 1, 3))
     # a head cut at a fixed size may end inside a character: up to three bytes may be missing
     text = head.cast("string")
@@ -64,13 +60,23 @@ def detect_charset(files: DataFrame, data: str = "head") -> DataFrame:
     utf8 = F.is_valid_utf8(text)
     for n in (1, 2, 3):
         utf8 = utf8 | (cut & F.is_valid_utf8(F.substring(head, F.lit(1), F.octet_length(head) - n).cast("string")))
-    known = (
+    return (
         F.when(F.hex(F.substring(head, 1, 4)).isin("FFFE0000", "0000FEFF"), "utf-32")
         .when(mark.startswith("FFFE") | mark.startswith("FEFF"), "utf-16").when(mark == "EFBBBF", "utf-8").when(utf8, "utf-8")
     )
-    guessed = files.withColumn("__known", known).withColumn(
-        "__guess", guess_legacy_charset(F.when(F.col("__known").isNull(), head))
-    )
+
+
+def detect_charset(files: DataFrame, data: str = "head") -> DataFrame:
+    """Add ``original_encoding``, ``encoding`` and ``confidence`` for a column of leading bytes.
+
+    Byte order marks and UTF-8 validity are decided in the JVM; only other files reach Python.
+    """
+    hold_batches(files.sparkSession)
+    known = files.withColumn("__known", _known_charset(F.col(data)))
+    return _detected(known.withColumn("__guess", guess_legacy_charset(F.when(F.col("__known").isNull(), F.col(data)))))
+
+
+def _detected(guessed: DataFrame) -> DataFrame:
     alias = F.col("original_encoding")
     for reported, used in CHARSET_ALIASES:
         alias = F.when(F.lower("original_encoding") == reported, used).otherwise(alias)
@@ -95,23 +101,36 @@ def fallback_charset(files: DataFrame, data: str = "head") -> DataFrame:
     """Add ``used_encoding`` and ``ignore_errors``: the first candidate that decodes strictly and passes the
     gate, else UTF-8 with errors ignored. All candidates are tried inside the row, without a shuffle."""
     hold_batches(files.sparkSession)
-    head = F.col(data)
+    return _fallen_back(files.select("*", *_tries(F.col(data))))
+
+
+def _tries(head: Column) -> list[Column]:
+    """What a head is in each charset that may be fallen back to; null where it does not fit."""
     utf8 = head.cast("string")
     tried = {"utf-8": F.when(F.is_valid_utf8(utf8), utf8)}
     for c in FALLBACK_CHARSETS:
         tried.setdefault(c, decode_strict(head, F.lit(c)))
-    wide = files.select("*", *[t.alias(f"__try{i}") for i, t in enumerate(tried.values())])
-    used = F.coalesce(*[F.when(_gate(F.col(f"__try{i}")), F.lit(c)) for i, c in enumerate(tried)])
+    return [tried[c].alias(f"__try{i}") for i, c in enumerate(_TRIED)]
+
+
+def _fallen_back(wide: DataFrame) -> DataFrame:
+    used = F.coalesce(*[F.when(_gate(F.col(f"__try{i}")), F.lit(c)) for i, c in enumerate(_TRIED)])
     return (
         wide.withColumn("ignore_errors", used.isNull())
         .withColumn("used_encoding", F.coalesce(used, F.lit("utf-8")))
-        .drop(*[f"__try{i}" for i in range(len(tried))])
+        .drop(*[f"__try{i}" for i in range(len(_TRIED))])
     )
 
 
 def choose_charset(files: DataFrame, data: str = "head") -> DataFrame:
-    """Detected charset where detection is sure, else the fallback's."""
-    both = fallback_charset(detect_charset(files, data), data)
+    """Detected charset where detection is sure, else the fallback's.
+
+    Both look only at heads that the JVM does not know, side by side, so that they share a Python worker.
+    """
+    hold_batches(files.sparkSession)
+    unsure = F.when(F.col("__known").isNull(), F.col(data))
+    known = files.withColumn("__known", _known_charset(F.col(data)))
+    both = _fallen_back(_detected(known.select("*", guess_legacy_charset(unsure).alias("__guess"), *_tries(unsure))))
     sure = F.col("confidence") >= MIN_CONFIDENCE
     return both.withColumn("encoding", F.when(sure, F.col("encoding")).otherwise(F.col("used_encoding"))).withColumn(
         "ignore_errors", ~sure & F.col("ignore_errors")).drop("used_encoding")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.sources.ranges import file_uri, list_files, read_range
+from sluice.sources.ranges import digest_range, file_uri, list_files, read_range
 
 #: bytes digested at each end
 END_BYTES = 64 * 1024
@@ -23,7 +23,7 @@ def _ends(size: Column) -> tuple[Column, Column]:
     """Digest of the first and of the last bytes of the first ``size`` bytes of a file."""
     length = F.least(F.lit(END_BYTES), size)
     path = file_uri(F.col("file_path"))
-    return F.sha2(read_range(path, F.lit(0), length), 256), F.sha2(read_range(path, size - length, length), 256)
+    return digest_range(path, F.lit(0), length), digest_range(path, size - length, length)
 
 
 def file_versions(spark: SparkSession, path: str | list[str]) -> DataFrame:

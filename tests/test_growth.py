@@ -1,6 +1,10 @@
 """What must not grow with the input: rows held by a task, tasks that do all the work, sorts of whole records."""
 
+import hashlib
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +12,7 @@ from pyspark.sql import functions as F
 from sluice.operators import profile
 from sluice.plans import load_queries, queries
 from sluice.session import scratch
-from sluice.sources import dumps, encoding, lexer
+from sluice.sources import dumps, encoding, lexer, ranges
 
 SF = "/root/testdata/sf0.01"
 ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -115,3 +119,31 @@ def test_kinds_and_magnitudes_are_numbers(spark):
     assert {r.raw: (r.kind, r.small, None if r.large is None else int(r.large)) for r in rows} == expected
     texts = {r.raw: r.text for r in rows}
     assert texts["'2024-01-31'"] == "2024-01-31" and texts["TO_DATE('2024-01-31 10:00:00', 'YYYY-MM-DD HH24:MI:SS')"] == "2024-01-31 10:00:00"
+
+
+def test_heads_of_known_charset_stay_in_the_jvm(spark, monkeypatch):
+    """Python decodes the heads that are no UTF-8 and have no mark, not all of them in every charset (load_ledger)."""
+    @F.pandas_udf("string")
+    def none(data: pd.Series, charset: pd.Series) -> pd.Series:
+        assert data.isna().all()
+        return pd.Series([None] * len(data), dtype=object)
+
+    monkeypatch.setattr(encoding, "decode_strict", none)
+    heads = [b"INSERT INTO t VALUES (1);\n" * 9, "INSERT INTO t VALUES ('é');\n".encode(), "INSERT".encode("utf-16"), b""]
+    files = spark.createDataFrame([(k, h) for k, h in enumerate(heads)], "k int, head binary")
+    rows = {r.k: (r.encoding, r.confidence, r.ignore_errors) for r in encoding.choose_charset(files).collect()}
+    assert rows == {0: ("utf-8", 1.0, False), 1: ("utf-8", 1.0, False), 2: ("utf-16", 1.0, False), 3: ("utf-8", 1.0, False)}
+
+
+def test_ranges_are_digested_one_at_a_time(tmp_path):
+    """Ends of files become digests where they are read; the bytes of a batch of files are never held together."""
+    data = bytes(range(256)) * 1024
+    (tmp_path / "a").write_bytes(data)
+    n = 300
+    uris, at, size = pd.Series([(tmp_path / "a").as_uri()] * n), pd.Series(range(n)), pd.Series([64 * 1024] * n)
+    ranges.digest_range.func(uris[:1], at[:1], size[:1])
+    tracemalloc.start()
+    got = ranges.digest_range.func(uris, at, size)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.tolist() == [hashlib.sha256(data[k : k + 64 * 1024]).hexdigest() for k in range(n)] and peak < 2 << 20
